@@ -65,29 +65,42 @@ def tilts(cells: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = 6
     """(source, lam): Newton's method on the dual, one grouping over the cells for each step.
 
     The dual of a source is sum(words * (cost of the rate)) - lam * target, convex in lam; its gradient is the words taken
-    less the target, its second derivative the words taken below the cap. A step goes at most 2 up and stops where all rates
-    are at the cap. Sources without words have lam 0. Only one number, the largest gap, comes to the driver after each step.
+    less the target, its second derivative the words taken below the cap. Every step keeps the interval in which the
+    gradient changes its sign, and is halved where Newton would leave it. Sources without words have lam 0. Only one number,
+    the largest gap, comes to the driver after each step.
     """
-    lam = targets.select("source", "target", F.lit(0.0).alias("lam"))
     top = math.log(cap)
+    # with every rate at the cap, a source has at least its target
+    most = cells.groupBy("source").agg((F.lit(top) - F.min(F.log("prior"))).alias("high"))
+    lam = join_on(targets.select("source", "target"), most, ["source"], "left").select(
+        "source", "target", F.lit(0.0).alias("lam"), F.lit(-700.0).alias("low"), F.coalesce("high", F.lit(top)).alias("high")
+    )
     for step in range(steps):
         joined = join_on(cells, lam, ["source"])
-        free = F.log("prior") + F.col("lam") < top
+        free = F.log("prior") + F.col("lam") <= top + 1e-12
         rate = F.when(free, F.col("prior") * F.exp("lam")).otherwise(cap)
         sums = joined.groupBy("source").agg(
-            F.first("target").alias("target"), F.first("lam").alias("lam"), F.sum("words").alias("words"),
+            *[F.first(c).alias(c) for c in ("target", "lam", "low", "high")], F.sum("words").alias("words"),
             F.sum(F.col("words") * rate).alias("taken"), F.sum(F.when(free, F.col("words") * rate).otherwise(0.0)).alias("bend"),
         )
         gap = F.col("taken") - F.col("target")
-        # beyond the target with every rate at the cap there is no slope: come down by steps
-        move = F.when(F.col("bend") > 0, -gap / F.col("bend")).when(gap > 0, F.lit(-1.0)).otherwise(F.lit(0.0))
-        move = F.when(F.col("words") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), move))).otherwise(F.lit(0.0))
-        off = F.when(F.col("words") > 0, F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-        new = written(sums.select("source", "target", (F.col("lam") + move).alias("lam"), off.alias("off")))
+        sums = sums.withColumn("gap", gap).where("words > 0")
+        sums = sums.withColumn("low", F.when(F.col("gap") < 0, F.greatest("low", "lam")).otherwise(F.col("low")))
+        sums = sums.withColumn("high", F.when(F.col("gap") > 0, F.least("high", "lam")).otherwise(F.col("high")))
+        newton = F.when(F.col("bend") > 0, F.col("lam") - F.col("gap") / F.col("bend")).otherwise(F.col("high"))
+        # from below the first try beyond the interval is its end, where a source that is taken whole belongs
+        held = F.when(newton >= F.col("high"), F.when(F.col("lam") < F.col("high"), F.col("high")).otherwise((F.col("low") + F.col("high")) / 2))
+        held = held.when(newton <= F.col("low"), (F.col("low") + F.col("high")) / 2).otherwise(newton)
+        off = F.abs(F.col("gap")) / F.greatest(F.col("target"), F.lit(1.0))
+        moved = F.when(off > tolerance, held).otherwise(F.col("lam"))
+        new = written(sums.select("source", "target", moved.alias("lam"), "low", "high", off.alias("off")))
         left = new.agg(F.max("off")).first()[0]
-        lam = new.select("source", "target", "lam")
-        if left is None or left <= tolerance or step == steps - 1:
+        lam = new.drop("off")
+        if left is None or left <= tolerance:
             break
+    else:
+        raise RuntimeError(f"rates did not settle in {steps} steps")
+    lam = join_on(targets.select("source"), lam, ["source"], "left").select("source", F.coalesce("lam", F.lit(0.0)).alias("lam"))
     return lam.select("source", "lam")
 
 
