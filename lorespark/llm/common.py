@@ -83,3 +83,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
         total = total + weight(F.col(f"`{f.name}`"), f.dataType)
     size = df.agg(F.sum(total)).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, with all its columns, without the documents (doc_id, key) of gone."""
+    small = broadcast_if_small(gone.select(F.col("doc_id").alias("_gone_doc"), F.col("key").alias("_gone_key")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")) & (F.xxhash64(text) == F.col("_gone_key"))
+    return docs.join(small, same, "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorespark.llm.common import NOT_ALNUM, ascii_lower, broadcast_if_small, documents, join_on, let, split_words, written
+from lorespark.llm.common import NOT_ALNUM, ascii_lower, broadcast_if_small, documents, join_on, let, split_words, without, written
 
 WINDOW = 10
 #: Rare words of each window whose posting lists are intersected.
@@ -162,3 +162,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
         F.sha2(F.array_join(F.coalesce("ids", none), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
+    """docs without the documents in which a window of an item occurs; all columns stay."""
+    phrases, _ = test_items(benchmark)
+    return without(docs, written(_hits(documents(docs), phrases, window, rarest).select("doc_id", "key")))

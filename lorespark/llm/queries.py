@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import decontamination, fingerprints, mixing, sentences, simhash, suffixes, urls
+from lorespark.llm import brown, decontamination, fingerprints, mixing, pii, sentences, simhash, suffixes, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -41,8 +45,20 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("key")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mixing, op3_urls, op4_suffixes, op6_simhash, op7_sentences, op8_fingerprints)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_mixing, op3_urls, op4_suffixes, op5_brown,
+        op6_simhash, op7_sentences, op8_fingerprints, op9_toxicity, op10_pii,
+    )
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import numbers, runs, values
-from lorespark.llm.common import broadcast_if_small, documents, join_on, written
+from lorespark.llm.common import broadcast_if_small, documents, join_on, without, written
 from lorespark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -266,3 +266,18 @@ def deduplicate(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float
     out = named.join(least, "root")
     kept = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.key") == F.col("key"))
     return out.select("doc_id", "key", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near duplicates; all columns stay. Of rows that repeat as a whole one stays."""
+    rows = written(deduplicate(docs))
+    kept = without(docs, rows.where("not kept"))
+    every = documents(docs).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(every.select("doc_id", "key"))
+    if twice.isEmpty():
+        return kept
+    once = without(kept, twice)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    small = broadcast_if_small(twice.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")))
+    again = kept.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))

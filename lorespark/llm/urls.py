@@ -16,7 +16,7 @@ from lorespark.llm.common import broadcast_if_small, split_words, written
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: At most about so many labelled URLs train the trees.
 TRAINING_URLS = 20_000
-FEATURES = ["length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "https", "fragment", "suffix_seen", "suffix_blocked", "host_blocked"]
+FEATURES = ["length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "https", "fragment", "suffix_seen", "suffix_blocked", "host_blocked", "section_blocked"]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -53,6 +53,7 @@ def lexical(urls: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "suffix": F.element_at(labels, -1),
+            "section": F.regexp_extract("path", "^/([^/]*)", 1),
             "site": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."),
             "length": length.cast("double"),
             "host_length": F.length("host").cast("double"),
@@ -74,29 +75,32 @@ def rates(labelled: DataFrame, column: str) -> DataFrame:
     return sums.select(column, F.log1p("n").alias("seen"), ((F.col("bad") + 1) / (F.col("n") + 2)).alias("blocked"))
 
 
-def with_rates(rows: DataFrame, suffixes: DataFrame, sites: DataFrame) -> DataFrame:
-    s = suffixes.withColumnsRenamed({"seen": "suffix_seen", "blocked": "suffix_blocked"})
-    h = sites.select("site", F.col("blocked").alias("host_blocked"))
-    out = rows.join(broadcast_if_small(s), "suffix", "left").join(broadcast_if_small(h), "site", "left")
-    return out.fillna({"suffix_seen": 0.0, "suffix_blocked": 0.5, "host_blocked": 0.5})
+def with_rates(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """rows with suffix_seen, suffix_blocked, host_blocked and section_blocked; values that no labelled URL has are neutral."""
+    named = {"suffix": "suffix_blocked", "site": "host_blocked", "section": "section_blocked"}
+    for column, name in named.items():
+        table = tables[column].withColumnsRenamed({"seen": "suffix_seen", "blocked": name})
+        table = table if column == "suffix" else table.drop("suffix_seen")
+        rows = rows.join(broadcast_if_small(table), column, "left")
+    return rows.fillna({"suffix_seen": 0.0} | dict.fromkeys(named.values(), 0.5))
 
 
-def train(labelled: DataFrame, most: int = TRAINING_URLS, trees: int = 12, depth: int = 4, seed: int = 7) -> tuple[GBTClassificationModel | None, DataFrame, DataFrame]:
-    """Trees, suffix rates and site rates from labelled lexical rows (label 1.0: block).
+def train(labelled: DataFrame, most: int = TRAINING_URLS, trees: int = 12, depth: int = 4, seed: int = 7) -> tuple[GBTClassificationModel | None, dict[str, DataFrame]]:
+    """Trees, and block rates of suffixes, sites and first path sections, from labelled lexical rows (label 1.0: block).
 
     The rates count every labelled row; the trees see a hash sample of about ``most`` rows. Without both labels the model is None.
     """
-    suffixes, sites = written(rates(labelled, "suffix")), written(rates(labelled, "site"))
+    tables = {c: written(rates(labelled, c)) for c in ("suffix", "site", "section")}
     total, bad = labelled.agg(F.count("*"), F.sum("label")).first()
     if not total or not 0 < bad < total:
-        return None, suffixes, sites
+        return None, tables
     keep = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / total))
-    sample = with_rates(labelled.where(keep), suffixes, sites).select("label", *FEATURES)
+    sample = with_rates(labelled.where(keep), tables).select("label", *FEATURES)
     sample = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(written(sample).repartition(4))
     if sample.select("label").distinct().count() < 2:
-        return None, suffixes, sites
+        return None, tables
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, subsamplingRate=0.8, seed=seed, maxMemoryInMB=256)
-    return gbt.fit(sample.select("label", "features")), suffixes, sites
+    return gbt.fit(sample.select("label", "features")), tables
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, most: int = TRAINING_URLS) -> DataFrame:
@@ -112,8 +116,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple
         known = rows.where("by_rule is not null").withColumn("label", (F.col("by_rule.verdict") == "block").cast("double"))
     else:
         known = lexical(labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("label"))).where("label is not null")
-    model, suffixes, sites = train(known, most)
-    scored = with_rates(rows, suffixes, sites)
+    model, tables = train(known, most)
+    scored = with_rates(rows, tables)
     if model is None:
         scored = scored.withColumn("block_score", F.lit(None).cast("double"))
     else:
