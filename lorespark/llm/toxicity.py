@@ -24,7 +24,7 @@ TRAINING_DOCS, TERMS = 20_000, 1024
 #: A term counts from this many toxic training texts.
 LEAST_TEXTS = 3
 #: A text with a chance above this of any grade over 0 is rejected.
-REJECT = 0.5
+REJECT = 0.6
 #: Bytes of a word's beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
