@@ -1,10 +1,457 @@
-"""All registered queries over the given tables, and DuckDB SQL for them."""
+"""All registered queries over the given tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespark.functions import text as X
+from lorespark.operators import analysis, chunking, notes, registry, retrieval, stats
+from lorespark.plans import adapters as A
+from lorespark.plans import jobs
+from lorespark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+DISTANCE = "list_sum(list_transform(generate_series(1, len(q.query_vector)), lambda i: (q.query_vector[i]::DOUBLE - v.embedding[i]::DOUBLE) * (q.query_vector[i]::DOUBLE - v.embedding[i]::DOUBLE)))"
+NEAREST = f"""{A.VECTORS}, {A.SUBQUERIES}, near AS (
+  SELECT query_id, question_id, sub_pos, v.domain, v.subject, chunk_id, content, {DISTANCE} AS distance
+  FROM subqueries q JOIN vectors v ON v.domain = q.domain AND v.subject = q.subject AND v.chunk_id <> q.query_id), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain, subject ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM near)"""
+
+
+@query(f"WITH {NEAREST} SELECT query_id, domain, subject, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5")
+def search_across_collections(spark, sf):
+    found = jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {NEAREST} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 5 AND domain IN ('d0', 'd1') AND subject <> 's3'")
+def search_some_collections(spark, sf):
+    subjects = [f"s{i}" for i in range(10) if i != 3]
+    return jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf), ["d0", "d1"], subjects).select("query_id", "chunk_id", "rank")
+
+
+@query()
+def mmr_retrieval(spark, sf):
+    candidates = retrieval.nearest(A.subqueries(spark, sf), A.vectors(spark, sf), retrieval.FETCH)
+    return retrieval.diverse(candidates).select("query_id", "domain", "subject", "chunk_id", "rank", "picked")
+
+
+@query(f"WITH {A.VECTORS} SELECT domain, subject, count(*) AS documents FROM vectors GROUP BY ALL")
+def collection_counts(spark, sf):
+    return stats.collections(A.vectors(spark, sf))
+
+
+@query(f"""WITH {A.VECTORS}, r AS (SELECT domain, subject, chunk_id, left(content, 200) AS preview, count(*) OVER (PARTITION BY domain, subject) AS documents,
+  CAST(row_number() OVER (PARTITION BY domain, subject ORDER BY chunk_id) AS INTEGER) AS rank FROM vectors) SELECT * FROM r WHERE rank <= 3""")
+def collection_samples(spark, sf):
+    return stats.collection_samples(A.vectors(spark, sf))
+
+
+@query(f"""WITH {A.VECTORS}, c AS (SELECT domain, subject, count(*) AS documents FROM vectors GROUP BY ALL)
+SELECT 'collection' AS level, domain, subject, documents, CAST(NULL AS BIGINT) AS collections, CAST(NULL AS BIGINT) AS domains, CAST(NULL AS BIGINT) AS subjects FROM c
+UNION ALL SELECT 'total', NULL, NULL, CAST(sum(documents) AS BIGINT), count(*), count(DISTINCT domain), count(DISTINCT subject) FROM c""")
+def store_totals(spark, sf):
+    return stats.totals(A.vectors(spark, sf))
+
+
+@query(f"""WITH {A.FILES} SELECT array_to_string(list_sort(list_distinct(list(domain))), ',') AS domains, array_to_string(list_sort(list_distinct(list(subject))), ',') AS subjects,
+  count(*) AS stems FROM files""")
+def knowledge_index(spark, sf):
+    paths = A.files(spark, sf).select(F.substring("filepath", 5, 1000).alias("rel_path"))
+    index = stats.knowledge_index(tables.listed(paths))
+    return index.select(F.array_join("domains", ",").alias("domains"), F.array_join("subjects", ",").alias("subjects"), F.size("stems").cast("long").alias("stems"))
+
+
+@query(f"""WITH {A.FILES}, s AS (SELECT domain, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM files GROUP BY domain)
+SELECT domain, bytes, files, CASE WHEN bytes < 1024 THEN printf('%.1f B', floor(bytes * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE) WHEN bytes < 1048576 THEN printf('%.1f KB', floor(bytes / 1024.0::DOUBLE * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE) ELSE printf('%.1f MB', floor(bytes / 1048576.0::DOUBLE * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE) END AS size FROM s""")
+def storage_bytes(spark, sf):
+    return stats.storage(A.files(spark, sf), ["domain"])
+
+
+@query(f"""WITH {A.CHUNK_EVENTS}, s AS (SELECT source_id, count(*) AS total, CAST(sum(embedded) AS BIGINT) AS completed FROM chunk_events GROUP BY source_id)
+SELECT source_id, total, completed, total - completed AS remaining, CAST(floor(completed * 100 / total) AS BIGINT) AS progress_pct FROM s""")
+def embedding_progress(spark, sf):
+    events = A.chunk_events(spark, sf)
+    return stats.progress(events, events)
+
+
+@query(f"""WITH {A.CHUNK_EVENTS}, r AS (SELECT source_id, seq, CAST(sum(added) OVER w AS BIGINT) AS total, CAST(sum(embedded) OVER w AS BIGINT) AS completed FROM chunk_events
+  WINDOW w AS (PARTITION BY source_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), p AS (SELECT *, CAST(floor(completed * 100 / total) AS BIGINT) AS progress_pct FROM r),
+  l AS (SELECT *, lag(progress_pct) OVER (PARTITION BY source_id ORDER BY seq) AS before FROM p)
+SELECT source_id, seq, total, completed, progress_pct, CASE WHEN total - completed <= 0 THEN 'completed' ELSE 'processing' END AS status, total - completed <= 0 AND total > 0 AS done
+FROM l WHERE before IS DISTINCT FROM progress_pct""")
+def progress_changes(spark, sf):
+    return stats.progress_feed(A.chunk_events(spark, sf))
+
+
+@query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN embedded = 1 THEN 'completed' WHEN converted = 1 THEN 'processing' ELSE 'pending' END AS status FROM files")
+def file_statuses(spark, sf):
+    return A.files(spark, sf).select("doc_id", X.file_status(F.col("converted"), F.col("embedded")).alias("status"))
+
+
+@query(f"WITH {A.FILES} SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 10) AS INTEGER) AS batch FROM files WHERE converted = 0")
+def conversion_batches(spark, sf):
+    return stats.batches(A.files(spark, sf).where("converted = 0"), "doc_id").select("doc_id", "batch")
+
+
+@query(f"""WITH {A.FILES} SELECT file_fingerprint, 'unconverted' AS queue FROM files WHERE converted = 0
+UNION ALL SELECT file_fingerprint, 'unembedded' FROM files WHERE converted = 1 AND embedded = 0""")
+def work_queues(spark, sf):
+    f = A.files(spark, sf)
+    a = f.where("converted = 0").select("file_fingerprint", F.lit("unconverted").alias("queue"))
+    return a.union(f.where("converted = 1 and embedded = 0").select("file_fingerprint", F.lit("unembedded")))
+
+
+@query(f"WITH {A.FILES} SELECT d.doc_id, coalesce(f.embedded, 0) = 1 AS is_set FROM labels d LEFT JOIN files f ON f.doc_id = d.doc_id * 2")
+def embedded_flags(spark, sf):
+    probes = A.table(spark, sf, "labels").select("doc_id", (F.col("doc_id") * 2).alias("probe"))
+    f = A.files(spark, sf).select(F.col("doc_id").alias("probe"), "embedded")
+    return registry.flag_set(probes, f, ["probe"], "embedded", ["converted", "embedded"]).drop("probe")
+
+
+@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(replace(replace(translate(left(text, 60), '/\:|', '----'), '*', ''), '?', ''), '-{2,}', '-', 'g'), '-'), chr(10), ' ', 'g') AS title,
+  sha256(text) AS chunk_fingerprint, left(sha256(text), 16) AS content_fingerprint, lower(replace(left(text, 30), ' ', '_')) AS slug,
+  CASE WHEN len(text) > 300 THEN left(text, 300) || '...' ELSE text END AS preview, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]')) AS tokens FROM (SELECT doc_id, replace(replace(replace(text, '"', ''), '<', ''), '>', '') AS text FROM documents)""")
+def scalar_functions(spark, sf):
+    clean = F.translate("text", '"<>', "")
+    d = A.table(spark, sf, "documents").select("doc_id", clean.alias("text"))
+    t = F.col("text")
+    return d.select(
+        "doc_id", F.regexp_replace(X.sanitize_title(F.substring(t, 1, 60)), "\n", " ").alias("title"), X.chunk_fingerprint(t).alias("chunk_fingerprint"),
+        X.content_fingerprint(t).alias("content_fingerprint"), X.slug(F.substring(t, 1, 30)).alias("slug"), X.preview(t, 300, "...").alias("preview"), X.token_count(t).cast("long").alias("tokens"),
+    )
+
+
+@query(f"""WITH {A.FILES} SELECT doc_id, file_fingerprint, sha256('{{"bubble_id":"' || domain || '","note_id":"' || doc_id || '","semantic_version":1}}') AS semantic FROM files""")
+def keyed_fingerprints(spark, sf):
+    f = A.files(spark, sf)
+    return f.select("doc_id", "file_fingerprint", X.semantic_fingerprint(F.col("domain"), F.col("doc_id").cast("string"), F.lit(1)).alias("semantic"))
+
+
+@query("""WITH raw AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '; ' || lang WHEN 1 THEN source || ', ' || lang WHEN 2 THEN source || ' and ' || lang || ', x' ELSE ' ' END AS author FROM documents), p AS (
+  SELECT doc_id, CASE WHEN trim(author) = '' THEN NULL WHEN contains(author, ';') THEN string_split(author, ';') WHEN contains(author, ',') AND NOT contains(lower(author), ' and ') THEN string_split(author, ',') ELSE [author] END AS ps FROM raw)
+SELECT doc_id, coalesce(array_to_string(list_transform(ps, lambda x: trim(x)), '|'), '') AS authors,
+  '---' || chr(10) || 'title: t' || doc_id || CASE WHEN ps IS NULL THEN '' ELSE chr(10) || 'authors:' || chr(10) || array_to_string(list_transform(ps, lambda x: '- ' || trim(x)), chr(10)) END || chr(10) || '---' || chr(10) || chr(10) AS front FROM p""")
+def document_metadata(spark, sf):
+    kind, source, lang = F.col("doc_id") % 4, F.col("source"), F.col("lang")
+    raw = F.when(kind == 0, F.concat(source, F.lit("; "), lang)).when(kind == 1, F.concat(source, F.lit(", "), lang)).when(kind == 2, F.concat(source, F.lit(" and "), lang, F.lit(", x"))).otherwise(F.lit(" "))
+    rows = A.table(spark, sf, "documents").select("doc_id", X.clean_authors(raw).alias("authors"))
+    front = X.front_matter({"title": F.concat(F.lit("t"), "doc_id")}, {"authors": F.col("authors")})
+    return rows.select("doc_id", F.coalesce(F.array_join("authors", "|"), F.lit("")).alias("authors"), front.alias("front"))
+
+
+@query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages), l AS (SELECT DISTINCT page_id, regexp_extract(href[2:], '[^/]*$') AS link FROM h WHERE starts_with(href, '/'))
+SELECT page_id, link, CASE WHEN contains(lower(link), 'embed') THEN 'embedding' ELSE 'chat' END AS kind FROM l WHERE link <> ''""")
+def link_catalogue(spark, sf):
+    rows = A.table(spark, sf, "pages").select("page_id", F.explode(X.links(F.col("html"), "/")).alias("link"))
+    return rows.withColumn("kind", X.model_kind(F.col("link")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN 'query ' || doc_id END AS rewritten, CASE WHEN doc_id % 4 < 3 THEN source END AS domain, doc_id % 4 < 3 AS valid FROM documents")
+def model_outputs(spark, sf):
+    rows = A.outputs(spark, sf).withColumn("json", X.json_from_output(F.col("output")))
+    rows = rows.select("doc_id", F.try_variant_get("json", "$.rewritten", "string").alias("rewritten"), F.try_variant_get("json", "$.domain", "string").alias("domain"))
+    return rows.withColumn("valid", F.col("rewritten").isNotNull())
+
+
+@query("SELECT doc_id, 'Question: ' || source || ' {' || lang || '} in {braces}' AS prompt FROM documents")
+def prompt_rows(spark, sf):
+    d = A.table(spark, sf, "documents")
+    filled = X.fill_template("Question: {question} {{{lang}}} in {{braces}}", {"question": F.col("source"), "lang": F.col("lang")})
+    return d.select("doc_id", filled.alias("prompt"))
+
+
+MD = f"""{A.MARKDOWN_LINES}, f AS (
+  SELECT *, sum(CAST(regexp_matches(line, '^\\s*(```|~~~)') AS INTEGER)) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fences FROM md_lines
+), lv AS (
+  SELECT *, CASE WHEN fences % 2 = 0 AND NOT regexp_matches(line, '^\\s*(```|~~~)') THEN len(regexp_extract(line, '^(#{{1,6}})( |$)', 1)) ELSE 0 END AS level FROM f
+), sec AS (
+  SELECT *, CAST(sum(CAST(level > 0 AS INTEGER)) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS section FROM lv
+), cont AS (
+  SELECT source_id, section, trim(string_agg(line, chr(10) ORDER BY pos), chr(10)) AS content FROM sec GROUP BY source_id, section
+), kept AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY section) - 1 AS INTEGER) AS chunk_index, octet_length(encode(content)) AS size FROM cont WHERE trim(content) <> ''
+), chunks AS (
+  SELECT source_id, sha256(content) AS chunk_fingerprint, chunk_index, CAST(sum(size) OVER (PARTITION BY source_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS byte_start,
+    CAST(sum(size) OVER (PARTITION BY source_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS byte_end, CAST(len(regexp_extract_all(content, '[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\r\\n]')) AS INTEGER) AS token_count, content
+  FROM kept)"""
+
+
+@query(f"WITH {MD} SELECT source_id, section, content FROM cont WHERE trim(content) <> ''")
+def header_sections(spark, sf):
+    return chunking.header_chunks(A.markdown(spark, sf)).select("source_id", F.col("section").cast("long").alias("section"), "content")
+
+
+@query(f"WITH {MD} SELECT source_id, chunk_fingerprint, chunk_index, byte_start, byte_end, token_count FROM chunks")
+def chunk_rows(spark, sf):
+    rows = chunking.chunk(A.markdown(spark, sf), most=10**9)
+    return rows.select("source_id", "chunk_fingerprint", "chunk_index", "byte_start", "byte_end", "token_count")
+
+
+@query()
+def recursive_chunks(spark, sf):
+    return chunking.chunk(A.markdown(spark, sf), most=200, overlap=20).drop("content")
+
+
+@query(f"WITH {MD} SELECT source_id, chunk_index, content AS slice FROM chunks")
+def chunk_slices(spark, sf):
+    return chunking.read_back(chunking.chunk(A.markdown(spark, sf), most=10**9))
+
+
+@query()
+def annotated_markdown(spark, sf):
+    d = A.markdown(spark, sf)
+    return chunking.annotated(d, chunking.chunk(d))
+
+
+@query()
+def archive_chunks(spark, sf):
+    d = A.markdown(spark, sf)
+    return chunking.archive_rows(chunking.chunk(d), d.select("source_id", F.lit(1.0).alias("content_version"))).drop("content")
+
+
+@query(f"""WITH {A.FILES}, new AS (SELECT doc_id + 500 AS doc_id FROM files)
+SELECT coalesce(f.doc_id, n.doc_id) AS doc_id, CASE WHEN f.doc_id IS NULL THEN 0 ELSE f.converted END AS converted, CASE WHEN n.doc_id IS NULL THEN 1 ELSE 2 END AS stamp FROM files f FULL JOIN new n ON f.doc_id = n.doc_id""")
+def register_files(spark, sf):
+    f = A.files(spark, sf).select("doc_id", "converted").withColumn("stamp", F.lit(1))
+    new = f.select((F.col("doc_id") + 500).alias("doc_id"), F.lit(0).alias("converted"), F.lit(2).alias("stamp"))
+    return registry.register(f, new, ["doc_id"], "stamp")
+
+
+@query(f"""WITH {A.FILES}, new AS (SELECT doc_id + 500 AS doc_id, length * 2 AS length FROM files)
+SELECT coalesce(f.doc_id, n.doc_id) AS doc_id, coalesce(n.length, f.length) AS length, CASE WHEN f.doc_id IS NULL THEN 0 ELSE f.embedded END AS embedded FROM files f FULL JOIN new n ON f.doc_id = n.doc_id""")
+def upsert_keeping_flags(spark, sf):
+    f = A.files(spark, sf).select("doc_id", "length", "embedded")
+    new = f.select((F.col("doc_id") + 500).alias("doc_id"), (F.col("length") * 2).alias("length"), F.lit(0).alias("embedded"))
+    return registry.upsert(f, new, ["doc_id"], keep=["embedded"])
+
+
+@query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE converted END AS converted, CASE WHEN doc_id % 14 = 0 THEN 'new' ELSE domain END AS domain FROM files")
+def mark_converted(spark, sf):
+    f = A.files(spark, sf).select("doc_id", "converted", "domain")
+    done = f.where("doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 14 == 0, F.lit("new")).otherwise(F.lit("")).alias("domain"))
+    return registry.mark(f, done, ["doc_id"], {"converted": F.lit(1)}, fill=["domain"])
+
+
+@query(f"WITH {A.FILES} SELECT doc_id, 'kept' AS what FROM files WHERE doc_id NOT IN (SELECT doc_id * 3 FROM labels) UNION ALL SELECT DISTINCT doc_id * 3, 'missing' FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM files)")
+def remove_files(spark, sf):
+    f, gone = A.files(spark, sf).select("doc_id"), A.table(spark, sf, "labels").select((F.col("doc_id") * 3).alias("doc_id"))
+    return registry.remove(f, gone, ["doc_id"]).withColumn("what", F.lit("kept")).union(registry.missing(f, gone, ["doc_id"]).withColumn("what", F.lit("missing")))
+
+
+@query(f"WITH {A.VECTORS} SELECT domain, count(*) AS rows, (SELECT count(*) FROM vectors WHERE subject = 's3') AS deleted FROM vectors WHERE subject <> 's3' GROUP BY domain")
+def delete_by_subject(spark, sf):
+    kept, count = registry.delete_where(A.vectors(spark, sf), F.col("subject") == "s3")
+    return kept.groupBy("domain").agg(F.count("*").alias("rows")).join(F.broadcast(count))
+
+
+@query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN domain = 'src0' THEN 0 ELSE embedded END AS embedded FROM files")
+def reset_embedded(spark, sf):
+    return registry.reset_flag(A.files(spark, sf), "embedded", ["converted", "embedded"], F.col("domain") == "src0").select("doc_id", "embedded")
+
+
+LATEST_EVENT = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
+
+
+@query(LATEST_EVENT)
+def latest_change(spark, sf):
+    e = A.table(spark, sf, "events")
+    return registry.latest(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id < 5000 OR event_type = 'purchase' GROUP BY user_id")
+def cache_put(spark, sf):
+    e = A.table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    old, new = e.where("event_id < 5000"), e.where("event_id >= 5000 and event_type = 'purchase'")
+    old = registry.latest(old, ["user_id"], [F.desc("event_id")])
+    return registry.put_latest(old, new, ["user_id"], "event_id").select("user_id", "event_id")
+
+
+@query(f"WITH {A.CURRENT_NOTES} SELECT note_id, content_version FROM current_notes WHERE bubble_id <> 'b3'")
+def delete_bubble(spark, sf):
+    n = A.current_notes(spark, sf).select("bubble_id", "note_id", "content_version")
+    gone = n.where("bubble_id = 'b3'").select("bubble_id")
+    return registry.cascade({"notes": n}, gone, ["bubble_id"])["notes"].drop("bubble_id")
+
+
+@query(f"WITH {A.NOTE_EDITS} SELECT note_id, seq, chars, blocks FROM note_edits")
+def note_text(spark, sf):
+    e = A.note_edits(spark, sf).withColumn("doc", notes.parsed(F.col("document")))
+    return e.select("note_id", "seq", F.length(notes.total_text(F.col("doc"))).cast("long").alias("chars"), F.size("doc.children").cast("long").alias("blocks"))
+
+
+INCREMENTS = f"""{A.NOTE_EDITS}, o AS (SELECT *, coalesce(lag(chars) OVER w, 0) AS oc, coalesce(lag(blocks) OVER w, 0) AS ob FROM note_edits WINDOW w AS (PARTITION BY note_id ORDER BY seq)),
+inc AS (SELECT note_id, bubble_id, seq, CASE WHEN chars - oc > 125 OR blocks - ob > 10 THEN 1.0::DOUBLE WHEN chars - oc > 75 OR blocks - ob > 5 THEN 0.1::DOUBLE WHEN chars - oc > 0 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS increment FROM o)"""
+
+
+def _versions(spark, sf):
+    e = A.note_edits(spark, sf).withColumn("doc", notes.parsed(F.col("document")))
+    e = e.select("note_id", "bubble_id", "seq", F.length(notes.total_text(F.col("doc"))).alias("chars"), F.size("doc.children").alias("blocks"), F.md5("document").alias("hash"))
+    return notes.versions(e), e
+
+
+@query(f"WITH {INCREMENTS} SELECT note_id, seq, increment FROM inc")
+def version_increments(spark, sf):
+    return _versions(spark, sf)[0].select("note_id", "seq", "increment")
+
+
+@query(f"""WITH RECURSIVE {INCREMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY seq) AS r FROM inc), v AS (
+  SELECT note_id, seq, r, 0.0::DOUBLE AS version_before, CASE WHEN increment >= 1 THEN 1.0::DOUBLE ELSE increment END AS version FROM n WHERE r = 1
+  UNION ALL SELECT n.note_id, n.seq, n.r, v.version, CASE WHEN n.increment >= 1 THEN floor(v.version) + 1 ELSE v.version + n.increment END FROM v JOIN n ON n.note_id = v.note_id AND n.r = v.r + 1)
+SELECT note_id, seq, version_before, version FROM v""")
+def note_versions(spark, sf):
+    return _versions(spark, sf)[0].select("note_id", "seq", "version_before", "version")
+
+
+@query("WITH t AS (SELECT * FROM conversations WHERE text IS NOT NULL) SELECT CAST(conv_id AS VARCHAR) AS note_id, turn AS seq, 'add' AS op, '/document/children/' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS path FROM t")
+def note_diffs(spark, sf):
+    e = A.note_edits(spark, sf).withColumn("doc", F.from_json("document", "children array<struct<type:string,data:string>>"))
+    e = e.select("note_id", "seq", F.transform("doc.children", lambda b: F.concat(b["type"], F.lit(":"), b["data"])).alias("children"))
+    return notes.diff_ops(e).select("note_id", "seq", "op", "path")
+
+
+@query("SELECT user_id AS note_id, event_type AS version, min(event_id) AS first_seq, max(event_id) AS seq FROM events GROUP BY user_id, event_type")
+def collapsed_history(spark, sf):
+    e = A.table(spark, sf, "events").select(F.col("user_id").alias("note_id"), F.col("event_type").alias("version"), F.col("event_id").alias("seq"))
+    return notes.collapse(e)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS note_id, trim(string_agg(CASE WHEN role = 'system' THEN '## ' || text ELSE trim(text, ' ') END || chr(10), chr(10) ORDER BY turn), ' ' || chr(10) || chr(9)) AS markdown FROM conversations WHERE text IS NOT NULL AND trim(text, ' ') <> '' GROUP BY conv_id")
+def note_markdown(spark, sf):
+    e = registry.latest(A.note_edits(spark, sf), ["note_id"], [F.desc("seq")])
+    return e.select("note_id", notes.markdown(notes.parsed(F.col("document"))).alias("markdown"))
+
+
+@query(f"WITH {A.CURRENT_NOTES} SELECT note_id, CASE WHEN CAST(note_id AS BIGINT) % 9 = 0 THEN 'renamed ' || note_id ELSE 'note ' || note_id END AS title, md5(text) AS content_hash FROM current_notes")
+def renamed_notes(spark, sf):
+    n = A.current_notes(spark, sf).select("note_id", F.concat(F.lit("note "), "note_id").alias("title"), "bubble_id", F.col("text").alias("document"), F.lit("[]").alias("ink"))
+    new = n.where("cast(note_id as bigint) % 9 = 0").select("note_id", F.concat(F.lit("renamed "), "note_id").alias("title"))
+    return notes.new_notes(notes.rename(n, new)).select("note_id", "title", "content_hash")
+
+
+@query(f"WITH {A.VECTORS}, {A.SUBQUERIES} SELECT query_id, domain, subject FROM subqueries WHERE domain <> '' AND subject <> '' AND (domain, subject) IN (SELECT domain, subject FROM vectors)")
+def routed_subqueries(spark, sf):
+    return retrieval.route(A.subqueries(spark, sf), retrieval.existing_routes(A.vectors(spark, sf))).select("query_id", "domain", "subject")
+
+
+@query(f"WITH {A.VECTORS} SELECT d.domain, s.subject FROM (SELECT DISTINCT domain FROM vectors) d, (SELECT DISTINCT subject FROM vectors) s EXCEPT SELECT domain, subject FROM vectors")
+def routes_that_do_not_exist(spark, sf):
+    v = A.vectors(spark, sf)
+    return retrieval.existing_routes(v, "cartesian").exceptAll(retrieval.existing_routes(v))
+
+
+@query(f"""WITH {A.SUBQUERIES} SELECT note_id, domain, query_id FROM (SELECT question_id % 3 AS note_id, domain, query_id, row_number() OVER (PARTITION BY question_id % 3, domain, subject ORDER BY question_id, sub_pos) AS r FROM subqueries) WHERE r = 1""")
+def first_route_of_note(spark, sf):
+    q = A.subqueries(spark, sf).withColumn("note_id", F.col("question_id") % 3).withColumn("query_pos", F.col("question_id"))
+    return retrieval.first_routes(q).select("note_id", "domain", "query_id")
+
+
+@query(f"""WITH {NEAREST}, once AS (SELECT *, row_number() OVER (PARTITION BY question_id, sha256(content) ORDER BY sub_pos, rank, chunk_id) AS f FROM ranked WHERE rank <= 5),
+top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sub_pos, rank, chunk_id) AS p FROM once WHERE f = 1)
+SELECT question_id, string_agg(content, chr(10) || chr(10) ORDER BY p) AS context, CAST(count(*) AS INTEGER) AS chunks FROM top WHERE p <= 5 GROUP BY question_id""")
+def question_context(spark, sf):
+    q = A.subqueries(spark, sf)
+    found = retrieval.nearest(q, A.vectors(spark, sf)).join(q.select("query_id", "question_id", "sub_pos"), "query_id")
+    return retrieval.context(found, "question_id", ["sub_pos", "rank", "chunk_id"])
+
+
+@query()
+def answer_prompts(spark, sf):
+    q = A.subqueries(spark, sf)
+    questions = q.select("question_id", F.concat(F.lit("question "), "question_id").alias("question")).distinct()
+    return jobs.answer_context(questions, q, A.vectors(spark, sf))
+
+
+@query(f"WITH {A.VECTORS} SELECT chunk_id, file_fingerprint FROM vectors WHERE file_fingerprint IN (SELECT sha256(CAST(doc_id AS VARCHAR)) FROM labels)")
+def chunks_by_fingerprint(spark, sf):
+    f = A.table(spark, sf, "labels").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("file_fingerprint"))
+    return retrieval.by_fingerprint(A.vectors(spark, sf), f).select("chunk_id", "file_fingerprint")
+
+
+CACHED = f"WITH {A.CURRENT_NOTES}, {A.ANALYSIS_CACHE}"
+
+
+@query(f"{CACHED} SELECT n.note_id, coalesce(c.content_version = n.content_version AND analysis <> '', false) AS hit, CASE WHEN c.content_version = n.content_version AND analysis <> '' THEN analysis END AS analysis FROM current_notes n LEFT JOIN analysis_cache c USING (bubble_id, note_id)")
+def cached_analyses(spark, sf):
+    return analysis.cache_lookup(A.current_notes(spark, sf), A.analysis_cache(spark, sf)).select("note_id", "hit", "analysis")
+
+
+@query(f"""{CACHED} SELECT n.note_id, c.content_version IS NOT NULL AS "exists", coalesce(c.content_version = n.content_version, false) AS is_current, c.content_version AS cached_version, NOT coalesce(c.content_version = n.content_version, false) AS needs_update FROM current_notes n LEFT JOIN analysis_cache c USING (bubble_id, note_id)""")
+def analysis_statuses(spark, sf):
+    return analysis.analysis_status(A.current_notes(spark, sf), A.analysis_cache(spark, sf)).select("note_id", "exists", "is_current", "cached_version", "needs_update")
+
+
+@query(f"{CACHED} SELECT note_id FROM current_notes WHERE note_id NOT IN (SELECT note_id FROM analysis_cache)")
+def notes_without_retrieval(spark, sf):
+    return analysis.needs_retrieval(A.current_notes(spark, sf), A.analysis_cache(spark, sf)).select("note_id")
+
+
+@query(f"""{CACHED} SELECT note_id, content_version FROM current_notes n WHERE NOT EXISTS (SELECT 1 FROM analysis_cache c WHERE c.note_id = n.note_id AND c.content_version = n.content_version)""")
+def notes_to_archive(spark, sf):
+    return analysis.to_archive(A.current_notes(spark, sf), A.analysis_cache(spark, sf)).select("note_id", "content_version")
+
+
+@query(f"{CACHED} SELECT note_id, sha256('p' || note_id) AS prompt_hash, 1 AS newest FROM analysis_cache WHERE content_version = 1.0 AND CAST(note_id AS BIGINT) % 2 = 0")
+def analysis_history(spark, sf):
+    history = A.analysis_cache(spark, sf).withColumn("prompt_hash", F.sha2(F.concat(F.lit("p"), "note_id"), 256))
+    asked = A.current_notes(spark, sf).where("cast(note_id as bigint) % 2 = 0").select("note_id", "content_version", F.concat(F.lit("p"), "note_id").alias("prompt"))
+    return analysis.version_history(analysis.history_lookup(asked, history)).select("note_id", "prompt_hash", "newest")
+
+
+@query(f"WITH {INCREMENTS}, n AS (SELECT *, coalesce(sum(increment) OVER (PARTITION BY note_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM inc) SELECT note_id, seq FROM n WHERE increment >= 1 OR before = 0")
+def first_or_major_edits(spark, sf):
+    v, e = _versions(spark, sf)
+    v = v.join(e.select("note_id", "seq", "bubble_id"), ["note_id", "seq"])
+    rows = analysis.triggered(v, A.analysis_cache(spark, sf).limit(0))
+    return rows.select("note_id", "seq")
+
+
+@query(f"WITH {A.FILES} SELECT file_fingerprint AS source_id, doc_id AS chunk FROM files WHERE converted = 1 AND embedded = 0")
+def chunks_to_embed(spark, sf):
+    f = A.files(spark, sf)
+    chunks = f.select(F.col("file_fingerprint").alias("source_id"), F.col("doc_id").alias("chunk"), "embedded")
+    return analysis.unembedded(f, chunks).select("source_id", "chunk")
+
+
+@query("SELECT conv_id AS note_id, count(*) AS chunks_count, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS queries_count, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS retrieved_docs FROM conversations GROUP BY conv_id")
+def analysis_counters(spark, sf):
+    c = A.table(spark, sf, "conversations").withColumnRenamed("conv_id", "note_id")
+    return stats.run_counters(c, c, c.where("role = 'user'"), c.where("role = 'assistant'"))
+
+
+@query()
+def hashed_embeddings(spark, sf):
+    return retrieval.embed(A.table(spark, sf, "documents").select("doc_id", "text"), "text", retrieval.hashing_embedder()).select("doc_id", "embedding")
+
+
+@query()
+def ingested_chunks(spark, sf):
+    f = A.files(spark, sf)
+    sources = f.join(A.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("original_name", "filepath", "domain", "subject", "text")
+    stamp = F.lit("2026-01-01").cast("timestamp")
+    empty_files = f.limit(0).select("file_fingerprint", "original_name", F.col("original_name").alias("sanitized_name"), "domain", "subject", "converted", "embedded", "filepath", stamp.alias("last_updated"))
+    empty_chunks = chunking.chunk(A.markdown(spark, sf).limit(0))
+    out = jobs.ingest_corpus(sources, empty_files, empty_chunks, retrieval.hashing_embedder(), stamp)
+    return out.vectors.select("source_id", "chunk_index", "domain", "subject", "embedding")
+
+
+@query()
+def note_chunks(spark, sf):
+    latest = registry.latest(A.note_edits(spark, sf), ["note_id"], [F.desc("seq")])
+    return jobs.process_notes(latest).drop("content")
