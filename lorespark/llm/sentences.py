@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import numbers, values
 from lorespark.llm.common import broadcast_if_small, join_on, written
-from lorespark.llm.repeats import repeated
-from lorespark.llm.suffixes import keyed
+from lorespark.llm.repeats import placed, repeated
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
 SENTENCE = re.compile(rb"[^\n.!?]*(?:[.!?]+(?![ \n])[^\n.!?]*)*(?:[.!?]+[ ]+|[.!?]*\n|[.!?]+\Z)|[^\n]+\Z")
@@ -48,7 +47,7 @@ def spans(text: bytes, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> It
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> DataFrame:
-    """(did, key, start, length) of every span of sentences but the first of its words."""
+    """(did, key, start, length) of every span of sentences of placed documents but the first of its words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +59,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN
                 columns = [np.array(h, np.uint64).view(np.int64), did[row], key[row], np.array(s, np.int64), np.array(n, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["value", "did", "key", "start", "length"])
 
-    rows = keyed(docs).select("did", "key", "text").mapInArrow(each, "value long, did long, key long, start long, length int")
+    rows = docs.select("did", "key", "text").mapInArrow(each, "value long, did long, key long, start long, length int")
     return repeated(rows)
 
 
@@ -70,8 +69,9 @@ def deduplicate(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WO
     Null texts are empty. Rows equal in doc_id and text are one document; first is the smallest doc_id (null first), then
     the smaller hash of the text, then the earlier sentence.
     """
+    docs = placed(docs)
     gone = written(repeated_spans(docs, least, words).groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
-    rows = join_on(keyed(docs), broadcast_if_small(gone), ["did", "key"], "left").select("doc_id", "text", "at")
+    rows = join_on(docs, broadcast_if_small(gone), ["did", "key"], "left").select("doc_id", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

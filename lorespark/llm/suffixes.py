@@ -9,8 +9,12 @@ anchor and the bytes of its windows are two hashes. Sorted by them,
 * an anchor met with different bytes around it, where a repeat may begin or end, has its suffixes examined,
 * an anchor met once, or always with the same bytes, has no more to tell.
 
-The suffixes to examine are range-partitioned by their leading bytes at sampled splitters, sorted in each partition, and
-compared with their neighbours, across partitions too. Documents never share a window.
+The stretches to examine go through a finer sieve of the same kind: each holds at most 18 windows that share 83 bytes, and
+takes its bytes along. What is left at the edges of repeats is cut into suffixes.
+
+These are range-partitioned by their leading eight bytes at sampled splitters, sorted in each partition by
+these and a hash of LENGTH bytes, and compared with their neighbours, across partitions too. Documents never share a window.
+Hashes have 64 bits and stand for the bytes.
 """
 
 from __future__ import annotations
@@ -20,29 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import numbers, values
-from lorespark.llm.common import broadcast_if_small, documents, join_on, written
-from lorespark.llm.repeats import PLACE, differs, repeated
+from lorespark.llm.common import broadcast_if_small, join_on, written
+from lorespark.llm.repeats import PLACE, differs, placed, repeated
 
 LENGTH, MER = 100, 32
+#: Of the LENGTH - MER bytes beside an anchor, a window has three quarters in steps of STEP to its left or right.
+STEP = 17
 #: Texts are hashed together up to so many bytes at a time; longer ones in overlapping pieces. Positions fit 24 bits.
 PIECE = 1 << 21
 LOW = np.uint64((1 << 24) - 1)
-NO_ID = -(2**63)
 
 _RNG = np.random.default_rng(5)
 TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """documents() with did: doc_id, a null one before all others."""
-    return documents(docs).withColumn("did", F.coalesce("doc_id", F.lit(NO_ID)))
-
-
 def _doubled(h: np.ndarray, step: int, factor: np.uint64) -> np.ndarray:
     out = h[:-step] * factor
     out += h[step:]
@@ -53,8 +54,8 @@ def _doubled(h: np.ndarray, step: int, factor: np.uint64) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: each anchor's hash, the hash of its windows' bytes, first window, and windows less one."""
-    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+    """Of texts laid end to end: each anchor's hash, the hash of its windows' bytes, first window, windows less one, place."""
+    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     if len(data) < LENGTH:
         return none
     h, at = TABLE[data], 1
@@ -80,7 +81,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     around = wide[first] * ODD[9] + wide[first + (size - 2 * MER) // 2] * ODD[10] + wide[first + size - 2 * MER] * ODD[11]
     around += size.astype(np.uint64) * ODD[12] + (spot - first).astype(np.uint64) * ODD[13]
     around ^= around >> np.uint64(31)
-    return h[spot], around, first, last - first
+    return h[spot], around, first, last - first, spot - first
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -108,23 +109,34 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def sieve(docs: DataFrame) -> DataFrame:
-    """(kind, did, key, start, length): kind 0 are repeated stretches, kind 1 stretches whose suffixes are to be examined; written."""
+    """Of placed documents (kind, did, key, start, length): kind 0 are repeated stretches, kind 1 stretches to be examined; written.
+
+    length is that of the bytes plus 256 times the place of the anchor in them.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, key = numbers(batch.column("did")), numbers(batch.column("key"))
             for data, ends, rows, offsets in _pieces(batch):
-                h, g, first, more = anchors(data, ends)
+                h, g, first, more, spot = anchors(data, ends)
                 text = np.searchsorted(ends, first, side="right")
                 start = first - np.concatenate([[0], ends[:-1]])[text] + offsets[text]
                 row = rows[text]
-                columns = [h.view(np.int64), g.view(np.int64), did[row], key[row], start, (more + LENGTH).astype(np.int32)]
+                columns = [h.view(np.int64), g.view(np.int64), did[row], key[row], start, (more + LENGTH + 256 * spot).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "g", "did", "key", "start", "length"])
 
-    rows = keyed(docs).select("did", "key", "text").mapInArrow(found, "h long, g long, did long, key long, start long, length int")
+    rows = docs.select("did", "key", "text").mapInArrow(found, "h long, g long, did long, key long, start long, length int")
+    return sifted(rows)
+
+
+def sifted(rows: DataFrame) -> DataFrame:
+    """(kind, did, key, start, length, ...) of rows (h, g, did, key, start, length, ...): kind 0 repeats an earlier row of its
+    h and g, kind 1 is the first of its g where h has another g too, or may have in another partition; written."""
+    extra = [c for c in rows.columns if c not in ("h", "g", *PLACE, "length")]
     order = ["h", "g", *PLACE]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    names = ["kind", *PLACE, "length"]
+    names = ["kind", *PLACE, "length", *extra]
+    schema = "kind int, did long, key long, start long, length int" + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in extra)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the first of a run of equal (h, g) waits until the next such first is known; runs at the partition's ends are examined
@@ -165,35 +177,70 @@ def sieve(docs: DataFrame) -> DataFrame:
         if waiting is not None:
             yield out(waiting, np.ones(1))
 
-    return written(rows.mapInArrow(scan, "kind int, did long, key long, start long, length int"))
+    return written(rows.mapInArrow(scan, schema))
 
 
 def examined(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """Repeated strings of LENGTH bytes among the suffixes that start in the stretches: (did, key, start, length)."""
+    """Repeated stretches among the windows of those to examine: (did, key, start, length)."""
     by_doc = written(stretches.groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
-    texts = join_on(keyed(docs), broadcast_if_small(by_doc), ["did", "key"]).select("did", "key", "text", "at")
+    texts = join_on(docs, broadcast_if_small(by_doc), ["did", "key"]).select("did", "key", "text", "at")
+    digest = xxhash.xxh3_64_intdigest
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "g", *PLACE, "length", "body"]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            h, g, d, k, s, n, body = zip(*rows)
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, g)]
+            columns += [pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(body, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, key = numbers(batch.column("did")), numbers(batch.column("key"))
-            lists = batch.column("at")
-            for i, text in enumerate(values(batch.column("text"))):
+            ids = zip(numbers(batch.column("did")).tolist(), numbers(batch.column("key")).tolist())
+            lists, rows = batch.column("at"), []
+            for i, ((d, k), text) in enumerate(zip(ids, values(batch.column("text")))):
                 own = lists[i].values
-                begin, length = numbers(own.field("start")), numbers(own.field("length"))
-                starts = np.unique(np.concatenate([np.arange(b, b + n - LENGTH + 1) for b, n in zip(begin.tolist(), length.tolist())]))
-                for part in np.array_split(starts, -(-len(starts) // 50_000)):
-                    lead = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)[part]
-                    lead = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(0, (len(part) + 1) * LENGTH, LENGTH, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(lead))])
-                    columns = [lead, pa.array(np.full(len(part), did[i])), pa.array(np.full(len(part), key[i])), pa.array(part), pa.array(np.full(len(part), LENGTH, np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["value", *PLACE, "length"])
+                for first, code in zip(numbers(own.field("start")).tolist(), numbers(own.field("length")).tolist()):
+                    more, x = code % 256 - LENGTH, first + code // 256
+                    for q in range(4):
+                        low = max(first, x - (STEP * q + STEP - 1 if q < 3 else LENGTH - MER))
+                        high = min(first + more, x - STEP * q)
+                        if low <= high:
+                            body = text[low : high + LENGTH]
+                            core = text[x - STEP * q : x + MER + STEP * (3 - q)]
+                            rows.append((digest(core, q), digest(body, x - low), d, k, low, len(body), body))
+                if len(rows) > 20_000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
+
+    fine = sifted(texts.mapInArrow(parts, "h long, g long, did long, key long, start long, length int, body binary"))
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = numbers(batch.column("start"))
+            bodies = list(values(batch.column("body")))
+            many = np.array([len(b) - LENGTH + 1 for b in bodies], np.int64)
+            row = np.repeat(np.arange(len(bodies)), many)
+            if not len(row):
+                continue
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            lead = [b[p : p + 8] for b, n in zip(bodies, many.tolist()) for p in range(n)]
+            lead = np.frombuffer(b"".join(lead), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+            whole = np.fromiter((digest(b[p : p + LENGTH]) for b, n in zip(bodies, many.tolist()) for p in range(n)), np.uint64, len(row))
+            places = [numbers(batch.column("did"))[row], numbers(batch.column("key"))[row], start[row] + at, np.full(len(row), LENGTH, np.int32)]
+            columns = [pa.array(x) for x in (lead.view(np.int64), whole.view(np.int64), *places)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lead", "value", *PLACE, "length"])
 
-    return repeated(texts.mapInArrow(suffixes, "value binary, did long, key long, start long, length int"))
+    rows = fine.where("kind = 1").select(*PLACE, "body").mapInArrow(suffixes, "lead long, value long, did long, key long, start long, length int")
+    return fine.where("kind = 0").select(*PLACE, "length").union(repeated(rows, ("lead", "value")))
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """(did, key, spans array<struct<start, end>>): the bytes to remove of every document that has any, merged and in order."""
     found = sieve(docs)
-    rows = found.where("kind = 0").select(*PLACE, "length").union(examined(docs, found.where("kind = 1")))
+    rows = found.where("kind = 0").select(*PLACE, (F.col("length") % 256).cast("int").alias("length")).union(examined(docs, found.where("kind = 1")))
     lists = rows.groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +263,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     A null text is empty. Rows equal in doc_id and text are one document and none repeats another; rows of one doc_id with
     different texts follow one another in the order of the texts' hashes; a null doc_id comes before all others.
     """
+    docs = placed(docs)
     spans = broadcast_if_small(repeated_stretches(docs))
-    rows = join_on(keyed(docs), spans, ["did", "key"], "left").select("doc_id", "text", "spans")
+    rows = join_on(docs, spans, ["did", "key"], "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
