@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import numbers, values
-from lorespark.llm.common import broadcast_if_small, join_on, written
+from lorespark.llm.common import join_on, written
 from lorespark.llm.repeats import placed, repeated
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
@@ -71,7 +71,7 @@ def deduplicate(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WO
     """
     docs = placed(docs)
     gone = written(repeated_spans(docs, least, words).groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
-    rows = join_on(docs, broadcast_if_small(gone), ["did", "key"], "left").select("doc_id", "text", "at")
+    rows = join_on(docs, gone, ["did", "key"], "left").select("doc_id", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

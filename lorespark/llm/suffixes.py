@@ -183,7 +183,7 @@ def sifted(rows: DataFrame) -> DataFrame:
 def examined(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     """Repeated stretches among the windows of those to examine: (did, key, start, length)."""
     by_doc = written(stretches.groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
-    texts = join_on(docs, broadcast_if_small(by_doc), ["did", "key"]).select("did", "key", "text", "at")
+    texts = join_on(docs, by_doc, ["did", "key"]).select("did", "key", "text", "at")
     digest = xxhash.xxh3_64_intdigest
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
