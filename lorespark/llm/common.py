@@ -16,6 +16,8 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACES = r"[\x09-\x0D\x20]+"
 #: A side of a join is broadcast up to this many bytes, measured before.
 BROADCAST_BYTES = 48 << 20
+#: Rows of one key that go to one task of join_unique; keys with more are salted.
+HOT_ROWS = 1000
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -34,6 +36,19 @@ def join_on(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner")
     return a.join(b, on, how).drop(*[f"_on_{c}" for c in columns])
 
 
+def join_unique(a: DataFrame, b: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner equi-join on a column unique in b and never null; values with over hot_rows rows in a are dealt to salts.
+
+    The list of such values has at most a row for every hot_rows rows of a.
+    """
+    hot = a.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = broadcast_if_small(written(hot.select(column, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))))
+    salts = F.coalesce("_salts", F.lit(1))
+    a = a.join(hot, column, "left").withColumn("_salt", F.pmod(F.xxhash64(*a.columns), salts).cast("int")).drop("_salts")
+    b = b.join(hot, column, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return a.join(b, [column, "_salt"]).drop("_salt")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is (``lower`` would change letters beyond ASCII)."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

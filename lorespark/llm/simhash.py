@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import numbers, runs, values
-from lorespark.llm.common import broadcast_if_small, documents, join_on, without, written
+from lorespark.llm.common import broadcast_if_small, documents, join_on, join_unique, without, written
 from lorespark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -191,15 +191,15 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
     rows = written(fingerprints(docs, shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     keyed = written(nodes.select(F.col("fp").alias("node"), "fp", F.inline(block_keys(F.col("fp")))))
-    found = components(compare_by_key(keyed, linked, radius))
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return (
-        rows.join(named.select("fp", "root"), "fp")
-        .join(least, "root")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    found = components(compare_by_key(keyed, linked, radius)).withColumnRenamed("node", "fp")
+    # only linked fingerprints have a component beside themselves
+    roots = found.select("fp", "root").union(found.select(F.col("root").alias("fp"), "root")).distinct()
+    roots = written(join_unique(nodes, roots, "fp"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked_to = written(join_unique(roots.select("fp", "root"), written(least), "root").select("fp", "component_id"))
+    alone = nodes.join(linked_to.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    named = written(linked_to.unionByName(alone))
+    return join_unique(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -263,7 +263,7 @@ def deduplicate(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float
     named = rows.join(found, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")).distinct()
     named = written(named)
     least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
-    out = named.join(least, "root")
+    out = join_unique(named, written(least), "root")
     kept = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.key") == F.col("key"))
     return out.select("doc_id", "key", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
