@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorespark.llm import brown, fingerprints, queries, simhash
+from lorespark.llm import brown, common, fingerprints, queries, simhash
 from tests.compare import spark_rows, sql_rows
 
 
@@ -153,3 +153,13 @@ def test_pipeline(spark, sf):
         assert docs.columns == names and 0 < docs.count() <= before, name
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert mixed.count() == docs.count()
+
+
+def test_unique_join_with_hot_values(spark):
+    left = [(1, i) for i in range(50)] + [(2, 0), (3, 1), (3, 1), (9, 5)]
+    right = [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    a, b = spark.createDataFrame(left, "k long, n long"), spark.createDataFrame(right, "k long, name string")
+    for hot_rows in (1, 7, 1000):
+        got = common.join_unique(a, b, "k", hot_rows).collect()
+        assert sorted((r["k"], r["n"], r["name"]) for r in got) == sorted((k, n, dict(right)[k]) for k, n in left if k in dict(right))
+    assert common.join_unique(a.limit(0), b, "k").isEmpty()
