@@ -95,9 +95,9 @@ def diverse(candidates: DataFrame, k: int = MMR_K, lam: float = LAMBDA) -> DataF
 
         d, q = unit(d), unit(q)
         near, between = d @ q, d @ d.T
-        taken = [int(np.argmax(near))]
+        taken = [int(np.argmax(near.round(9)))]  # rounded, so equal vectors tie however the products were summed
         while len(taken) < min(k, len(pdf)):
-            value = lam * near - (1 - lam) * between[:, taken].max(axis=1)
+            value = (lam * near - (1 - lam) * between[:, taken].max(axis=1)).round(9)
             value[taken] = -np.inf
             taken.append(int(np.argmax(value)))
         out = pdf.iloc[taken][columns].copy()

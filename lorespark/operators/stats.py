@@ -59,10 +59,21 @@ def run_counters(notes: DataFrame, chunks: DataFrame, queries: DataFrame, retrie
     return out.fillna(0)
 
 
-def batches(queue: DataFrame, key: str, size: int = 10) -> DataFrame:
-    """queue with its batch number in the order of the key. A total order of the (registry-sized) queue: one task numbers it."""
-    line = Window.partitionBy(F.lit(0)).orderBy(key)
-    return queue.withColumn("batch", F.floor((F.row_number().over(line) - 1) / size).cast("int"))
+def batches(queue: DataFrame, key: str, size: int = 10, ranges: int = 200) -> DataFrame:
+    """queue with its batch number in the order of the key (null first).
+
+    The keys of least hash cut the order into ranges. Each is numbered on its own, after the rows of the ranges before; only
+    the counts of the ranges meet in one task.
+    """
+    picked = queue.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k")).limit(ranges).collect()
+    cuts = F.array(*[F.lit(r["k"]) for r in picked])
+    at = F.size(F.filter(cuts, lambda c: c <= F.col(key))) if picked else F.lit(0)
+    rows = queue.withColumn("_range", at)
+    line = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(key)) + F.col("_before") - 1
+    rows = rows.join(F.broadcast(starts), "_range")  # at most ranges + 1 rows
+    return rows.withColumn("batch", F.floor(number / size).cast("int")).drop("_range", "_before")
 
 
 def progress_feed(events: DataFrame) -> DataFrame:

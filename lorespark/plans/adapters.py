@@ -65,20 +65,23 @@ VECTORS = """vectors AS (
 
 
 def subqueries(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 25th vector asks its own collection, every 100th one that does not exist; the vector itself is no candidate."""
-    e = table(spark, sf, "embeddings").where("vec_id % 25 = 0")
-    gone = F.col("vec_id") % 100 == 75
+    """Vectors with an id divisible by 100 are the queries; the vector itself is no candidate.
+
+    Each asks its own collection, but every fourth one that does not exist and every eighth one without a subject.
+    """
+    e = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    gone = F.col("vec_id") % 400 == 300
     return e.select(
-        F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 50).alias("question_id"), (F.col("vec_id") % 50).alias("sub_pos"),
+        F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 200).alias("question_id"), (F.col("vec_id") % 200).alias("sub_pos"),
         F.when(gone, F.lit("d9")).otherwise(F.concat(F.lit("d"), F.col("label") % 3)).alias("domain"),
-        F.when(F.col("vec_id") % 200 == 175, F.lit("")).otherwise(F.concat(F.lit("s"), "label")).alias("subject"),
+        F.when(F.col("vec_id") % 800 == 700, F.lit("")).otherwise(F.concat(F.lit("s"), "label")).alias("subject"),
         F.col("embedding").alias("query_vector"), F.col("vec_id").alias("exclude"),
     )
 
 
 SUBQUERIES = """subqueries AS (
-  SELECT vec_id AS query_id, CAST(floor(vec_id / 50) AS BIGINT) AS question_id, vec_id % 50 AS sub_pos, CASE WHEN vec_id % 100 = 75 THEN 'd9' ELSE 'd' || (label % 3) END AS domain,
-    CASE WHEN vec_id % 200 = 175 THEN '' ELSE 's' || label END AS subject, embedding AS query_vector FROM embeddings WHERE vec_id % 25 = 0)"""
+  SELECT vec_id AS query_id, CAST(floor(vec_id / 200) AS BIGINT) AS question_id, vec_id % 200 AS sub_pos, CASE WHEN vec_id % 400 = 300 THEN 'd9' ELSE 'd' || (label % 3) END AS domain,
+    CASE WHEN vec_id % 800 = 700 THEN '' ELSE 's' || label END AS subject, embedding AS query_vector FROM embeddings WHERE vec_id % 100 = 0)"""
 
 
 def note_edits(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,7 +46,29 @@ def search_some_collections(spark, sf):
     return jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf), ["d0", "d1"], subjects).select("query_id", "chunk_id", "rank")
 
 
-@query()
+def _alike(a: str, b: str) -> str:
+    return f"coalesce(nullif(list_cosine_similarity({a}, {b}), 'nan'::DOUBLE), 0)"
+
+
+BY_COLLECTION = "PARTITION BY query_id, domain, subject"
+
+
+@query(f"""WITH {NEAREST}, c AS (
+  SELECT query_id, domain, subject, chunk_id, rank, e.embedding::DOUBLE[] AS d, {_alike("e.embedding::DOUBLE[]", "q.embedding::DOUBLE[]")} AS alike
+  FROM ranked JOIN embeddings e ON e.vec_id = chunk_id JOIN embeddings q ON q.vec_id = query_id WHERE rank <= 15
+), one AS (
+  SELECT * FROM c QUALIFY row_number() OVER ({BY_COLLECTION} ORDER BY round(alike, 9) DESC, rank) = 1
+), c2 AS (
+  SELECT c.*, {_alike("c.d", "one.d")} AS most FROM c JOIN one USING (query_id, domain, subject) WHERE c.chunk_id <> one.chunk_id
+), two AS (
+  SELECT * FROM c2 QUALIFY row_number() OVER ({BY_COLLECTION} ORDER BY round(0.5::DOUBLE * alike - 0.5::DOUBLE * most, 9) DESC, rank) = 1
+), c3 AS (
+  SELECT c2.* REPLACE (greatest(c2.most, {_alike("c2.d", "two.d")}) AS most) FROM c2 JOIN two USING (query_id, domain, subject) WHERE c2.chunk_id <> two.chunk_id
+), three AS (
+  SELECT * FROM c3 QUALIFY row_number() OVER ({BY_COLLECTION} ORDER BY round(0.5::DOUBLE * alike - 0.5::DOUBLE * most, 9) DESC, rank) = 1
+)
+SELECT query_id, domain, subject, chunk_id, rank, 1 AS picked FROM one UNION ALL SELECT query_id, domain, subject, chunk_id, rank, 2 FROM two
+UNION ALL SELECT query_id, domain, subject, chunk_id, rank, 3 FROM three""")
 def mmr_retrieval(spark, sf):
     candidates = retrieval.nearest(A.subqueries(spark, sf), A.vectors(spark, sf), retrieval.FETCH)
     return retrieval.diverse(candidates).select("query_id", "domain", "subject", "chunk_id", "rank", "picked")
@@ -275,11 +297,11 @@ def latest_change(spark, sf):
     return registry.latest(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id < 5000 OR event_type = 'purchase' GROUP BY user_id")
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def cache_put(spark, sf):
     e = A.table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    old, new = e.where("event_id < 5000"), e.where("event_id >= 5000 and event_type = 'purchase'")
-    old = registry.latest(old, ["user_id"], [F.desc("event_id")])
+    bought = F.coalesce(F.col("event_type") == "purchase", F.lit(False))
+    old, new = registry.latest(e.where(~bought), ["user_id"], [F.desc("event_id")]), e.where(bought)
     return registry.put_latest(old, new, ["user_id"], "event_id").select("user_id", "event_id")
 
 

@@ -133,3 +133,12 @@ def test_feed_and_paths(spark):
     assert set(rows) == {"a.b.md", "x.pdf", ".hidden"} and rows["a.b.md"]["domain"] is None
     assert (rows["a.b.md"]["stem"], rows["a.b.md"]["suffix"], rows["x.pdf"]["subject"], rows[".hidden"]["suffix"]) == ("a.b", ".md", "s", "")
     assert [one(spark, X.human_bytes(F.lit(n))) for n in (5, 2048, 3 << 40)] == ["5.0 B", "2.0 KB", "3.0 TB"]
+
+
+def test_batches_over_ranges(spark):
+    keys = [f"k{i * 37 % 101:03d}" for i in range(100)]
+    queue = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k string")
+    for ranges in (1, 7, 200):
+        got = {r["k"]: r["batch"] for r in stats.batches(queue, "k", 10, ranges).collect()}
+        assert got == {k: i // 10 for i, k in enumerate([None, *sorted(keys)])}
+    assert stats.batches(queue.limit(0), "k").collect() == []
