@@ -26,6 +26,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of one key that a task compares at a time; larger keys are dealt out in pairs of blocks of half as many.
 BLOCK_ROWS = 4096
+#: Shingles of one key that a task holds at a time; keys with more are dealt out in pairs of blocks of half as many.
+BLOCK_SHINGLES = 1 << 21
 #: Near duplicates of texts: five words, similarity 0.8; candidates share one of BANDS keys of BAND_ROWS minima.
 TEXT_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 14, 4
 #: Bits in which texts as similar as that may differ: about 9.7 on average, with a deviation of 2.9.
@@ -132,32 +134,47 @@ def block_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def compare_by_key(rows: DataFrame, group: Callable[[np.ndarray, int], np.ndarray], radius: int, rows_at_once: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v): links found among rows (part, code, node, fp) that share part and code; group gives each row's first.
+#: A key, and the two blocks of it that meet in a task.
+KEYS = ["part", "code", "i", "j"]
 
-    A key with more rows than rows_at_once is dealt out: its rows are hashed to blocks, and every two blocks meet in a task.
+
+def dealt_out(rows: DataFrame, load: Column) -> DataFrame:
+    """rows (part, code, node, ...) with i and j, sorted by key within partitions; load is what a key weighs, 1 fits a task.
+
+    Heavier keys have their rows hashed to blocks of weight a half, and every two blocks meet in a task.
     """
-    half = rows_at_once // 2
-    large = written(rows.groupBy("part", "code").agg(F.count("*").alias("n")).where(F.col("n") > rows_at_once))
+    large = written(rows.groupBy("part", "code").agg(load.alias("load")).where(F.col("load") > 1))
+    columns = rows.columns
     rows = join_on(rows, broadcast_if_small(large), ["part", "code"], "left")
-    blocks = F.ceil(F.col("n") / half).cast("int")
+    blocks = F.ceil(F.col("load") * 2).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
     other = F.sequence(F.lit(0), blocks - 1)
     pairs = F.transform(other, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    pairs = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)
-    dealt = rows.select("part", "code", "node", "fp", F.inline(pairs))
-    keys = ["part", "code", "i", "j"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "node")
+    pairs = F.when(F.col("load").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)
+    return rows.select(*columns, F.inline(pairs)).repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
+
+
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """First and last row (excluded) of every run of equal KEYS."""
+    columns = [numbers(batch.column(k)) for k in KEYS]
+    new = np.ones(batch.num_rows + 1, bool)
+    new[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new).tolist()
+    return zip(starts[:-1], starts[1:])
+
+
+def compare_by_key(rows: DataFrame, group: Callable[[np.ndarray, int], np.ndarray], radius: int, rows_at_once: int = BLOCK_ROWS) -> DataFrame:
+    """(u, v): links found among rows (part, code, node, fp) that share part and code; group gives each row's first.
+
+    A key with more rows than rows_at_once is dealt out: its rows are hashed to blocks, and every two blocks meet in a task.
+    """
+    dealt = dealt_out(rows, F.count("*") / rows_at_once)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, keys):
-            columns = [numbers(batch.column(k)) for k in keys]
+        for batch in runs(batches, KEYS):
             node, fp = numbers(batch.column("node")), numbers(batch.column("fp")).view(np.uint64)
-            new = np.ones(batch.num_rows + 1, bool)
-            new[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            starts = np.flatnonzero(new)
             found_u, found_v = [], []
-            for a, b in zip(starts[:-1], starts[1:]):
+            for a, b in stretches(batch):
                 if b - a > 1:
                     first = group(fp[a:b], radius)
                     child = np.flatnonzero(first != np.arange(b - a))
@@ -212,7 +229,7 @@ def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
         for batch in batches:
             node, fps, codes = [], [], []
             for text in values(batch.column("text")):
-                h = hashes(text, shingle)
+                h = np.unique(hashes(text, shingle))  # of a set, as similarity is
                 node.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split())))
                 fps.append(simhash(h))
                 if len(h):
@@ -227,30 +244,133 @@ def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
     return documents(docs).mapInArrow(each, "doc_id long, key long, node long, fp long, codes array<long>")
 
 
-def similar_pairs(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Sketch rows of all documents, and (u, v): nodes whose sets of shingles are at least as similar, by Jaccard.
+def unsettled(part: int, fps: np.ndarray, root: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, booleans [row, other row]): candidates of different groups that share no earlier part, where they were met."""
+    plane = planes(fps)
+    for at in range(0, len(fps), 256):
+        mine = slice(at, at + 256)
+        open_ = near(plane, len(fps), fps[mine], TEXT_RADIUS) & (root[mine, None] != root)
+        for p in range(part):
+            open_ &= codes[mine, p, None] != codes[:, p]
+        yield at, open_
+
+
+def untried(part: int, fps: np.ndarray, root: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Booleans: rows that have unsettled candidates beside their pivot and the members of theirs."""
+    pivot, out = around(fps, TEXT_RADIUS), np.zeros(len(fps), bool)
+    every = np.arange(len(fps))
+    for at, open_ in unsettled(part, fps, root, codes):
+        own = pivot[at : at + 256]
+        open_ &= (own[:, None] != every) & (pivot != every[at : at + 256, None])
+        out[at : at + 256] = open_.any(axis=1)
+    return out
+
+
+def spanning(part: int, fps: np.ndarray, root: np.ndarray, codes: np.ndarray, sets: np.ndarray, ends: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Of the unsettled candidates that are similar as many (row, row) as join the same groups; sets of one row end at ends."""
+    group = np.unique(root, return_inverse=True)[1]
+    label = np.unique(sets, return_inverse=True)[1]
+    starts, size = np.r_[0, ends[:-1]], np.diff(ends, prepend=0)
+    open_ = np.concatenate([x for _, x in unsettled(part, fps, root, codes)])
+    has, out = np.zeros(label.max(initial=-1) + 1, bool), []
+    for row in np.argsort(-open_.sum(axis=1), kind="stable").tolist():  # the middle of a cloud joins it at once
+        short, long = np.minimum(size, size[row]), np.maximum(size, size[row])
+        others = np.flatnonzero(open_[row] & (group != group[row]) & (short >= similarity * long))
+        open_[:, row] = False  # asked
+        if not len(others):
+            continue
+        own = label[starts[row] : ends[row]]
+        has[own] = True
+        held = has[np.concatenate([label[starts[o] : ends[o]] for o in others.tolist()])]
+        common = np.add.reduceat(held, np.r_[0, np.cumsum(size[others])[:-1]], dtype=np.int64)
+        has[own] = False
+        for other in others[common >= similarity * (size[row] + size[others] - common)].tolist():
+            if group[other] != group[row]:
+                out.append((row, other))
+                group[group == group[other]] = group[row]
+    return out
+
+
+def other_links(first: DataFrame, sets: Callable[[DataFrame], DataFrame], links: DataFrame, similarity: float, rows_at_once: int, shingles_at_once: int) -> DataFrame:
+    """(u, v): similar candidates that join what the comparisons with pivots, whose links are given, have left apart.
 
-    Texts of equal words are one node. Candidates share a band key and lie around a pivot of it by bit-sliced distance;
-    every candidate is then compared exactly. A pair of similarity 0.8 shares a key with probability above 0.999.
+    Every candidate of another group is compared, within the task of their key; sets gives the shingles of nodes.
+    """
+    of = first.join(components(links), "node", "left").select("node", "fp", "codes", F.coalesce("root", "node").alias("root"))
+    keyed = written(of.select("*", F.posexplode("codes").alias("part", "code")).withColumn("band", F.xxhash64("part", "code")))
+    # of two in a key one was the pivot of the other
+    mixed = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 and a <> b")
+    columns = ["part", "code", "node", "fp", "root", "codes"]
+    rows = join_unique(keyed, written(mixed.select("band")), "band").select(*columns)
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        fp, codes = numbers(batch.column("fp")).view(np.uint64), numbers(batch.column("codes").flatten())
+        return numbers(batch.column("part")), fp, numbers(batch.column("root")), codes.reshape(batch.num_rows, -1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, KEYS):
+            part, *rest = read(batch)
+            out = np.zeros(batch.num_rows, bool)
+            for a, b in stretches(batch):
+                if b - a > 1:
+                    out[a:b] = untried(int(part[a]), *(x[a:b] for x in rest))
+            if out.any():
+                yield batch.select(columns).filter(pa.array(out))
+
+    schema = "part int, code long, node long, fp long, root long, codes array<long>"
+    asked = written(dealt_out(written(rows), F.count("*") / rows_at_once).select(*KEYS, *columns[2:]).mapInArrow(ask, schema).distinct())
+    held = sets(asked.select("node").distinct())
+    rows = written(asked.join(held, "node").select(*columns, "shingles"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, KEYS):
+            part, *rest = read(batch)
+            node, lists = numbers(batch.column("node")), batch.column("shingles")
+            flat, ends = numbers(lists.flatten()), np.cumsum(numbers(pa.compute.list_value_length(lists)))
+            found = []
+            for a, b in stretches(batch):
+                if b - a > 1:
+                    low = ends[a - 1] if a else 0
+                    own = spanning(int(part[a]), *(x[a:b] for x in rest), flat[low : ends[b - 1]], ends[a:b] - low, similarity)
+                    found += [(node[a + u], node[a + v]) for u, v in own]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found)], names=["u", "v"])
+
+    load = F.greatest(F.count("*") / rows_at_once, F.sum(F.size("shingles")) / shingles_at_once)
+    return dealt_out(rows, load).mapInArrow(compare, "u long, v long").distinct()
+
+
+def similar_pairs(
+    docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, rows_at_once: int = BLOCK_ROWS, shingles_at_once: int = BLOCK_SHINGLES
+) -> tuple[DataFrame, DataFrame]:
+    """Sketch rows of all documents, and (u, v): nodes whose sets of shingles are at least as similar, by Jaccard; as many
+    such links as make the groups that all of them make.
+
+    Texts of equal words are one node. Candidates share a band key and lie within the radius by bit-sliced distance. Those
+    around a pivot are compared with it first; then all candidates that this has left in different groups are compared,
+    whatever their pivots. A pair of similarity 0.8 shares a key with probability above 0.999.
     """
     rows = written(_sketches(docs, shingle, BANDS, BAND_ROWS))
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("fp").alias("fp"), F.first("codes").alias("codes"))
     first = written(first.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "fp", "codes"))
     keyed = first.select("node", "fp", F.posexplode("codes").alias("part", "code"))
-    pairs = written(compare_by_key(keyed, around, TEXT_RADIUS))
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = written(first.join(asked, "node").select("node", "doc_id", "key"))
-    texts = join_on(documents(docs), broadcast_if_small(asked), ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"])
+    pairs = written(compare_by_key(keyed, around, TEXT_RADIUS, rows_at_once))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.unique(hashes(t, shingle)).view(np.int64) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    kept = written(texts.mapInArrow(sets, "node long, shingles array<long>"))
+    def sets(nodes: DataFrame) -> DataFrame:
+        asked = written(first.join(nodes, "node").select("node", "doc_id", "key"))
+        texts = join_on(documents(docs), broadcast_if_small(asked), ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"])
+        return written(texts.mapInArrow(each, "node long, shingles array<long>"))
+
+    kept = sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
     both = pairs.join(kept.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(kept.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return rows, both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    links = written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+    return rows, links.union(other_links(first, sets, links, similarity, rows_at_once, shingles_at_once))
 
 
 def deduplicate(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -74,6 +74,34 @@ def test_near_duplicates(spark, sf, docs):
     assert got == root
 
 
+def cloud(copies=150):
+    """A text and copies with five words changed each, similar to it and not to one another."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, copies + 1):
+        words = list(base)
+        for at in (rng.choice(37, 5, replace=False) * 8 + 4).tolist():
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("rows_at_once", "shingles_at_once"), [(simhash.BLOCK_ROWS, simhash.BLOCK_SHINGLES), (32, 4000)])
+def test_copies_around_a_text_find_it(spark, rows_at_once, shingles_at_once):
+    rows = cloud()
+    sets = [set(simhash.hashes(t.encode(), 5).tolist()) for _, t in rows]
+    assert all(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets)
+    assert np.median([len(a & b) / len(a | b) for a in sets[1:] for b in sets[1:] if a is not b]) < 0.75
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if rows_at_once == simhash.BLOCK_ROWS:
+        assert {r["component_id"] for r in simhash.deduplicate(docs).collect()} == {0}
+    else:
+        nodes, links = simhash.similar_pairs(docs, rows_at_once=rows_at_once, shingles_at_once=shingles_at_once)
+        joined = simhash.components(links)
+        assert joined.count() == nodes.count() - 1 and joined.select("root").distinct().count() == 1
+
+
 def test_large_keys_are_dealt_out(spark):
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 2**62))
