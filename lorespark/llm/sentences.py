@@ -1,7 +1,8 @@
 """Substring deduplication by sliding spans of consecutive sentences.
 
-A sentence ends after a full stop, question or exclamation mark before a space, or with its line. From every sentence
-starts one span: the fewest consecutive sentences, two at least, that have MIN_WORDS words together. A sentence goes if it
+A sentence ends after a full stop, question or exclamation mark before a space, or with its line. At every sentence starts
+one span and ends one: the fewest consecutive sentences that have MIN_WORDS words together, a single one if it has them
+alone. So every passage with as many words is made up of spans. A text with fewer words is one span. A sentence goes if it
 lies in a span whose words, lower-cased, make up an earlier span too.
 """
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +34,29 @@ def sentences(text: bytes) -> list[bytes]:
 
 
 def spans(text: bytes, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of every span; sentences without words belong to none and are passed over."""
+    """(hash, first sentence, sentences) of every span; sentences without words belong to none and are passed over.
+
+    A span has at least least sentences unless a single one has the words.
+    """
     pieces = [(i, p.lower().split()) for i, p in enumerate(sentences(text))]
     pieces = [(i, w) for i, w in pieces if w]
-    end = total = 0
-    for at, (first, own) in enumerate(pieces):
-        while end < len(pieces) and (total < words or end - at < least):
-            total += len(pieces[end][1])
-            end += 1
-        if total < words or end - at < least:
-            return
-        joined = b"\n".join(b" ".join(w) for _, w in pieces[at:end])
-        yield xxhash.xxh64_intdigest(joined), first, pieces[end - 1][0] - first + 1
-        total -= len(own)
+    if not pieces:
+        return
+    joined, count = [b" ".join(w) for _, w in pieces], len(pieces)
+    until = [0, *accumulate(len(w) for _, w in pieces)]
+    found = {}
+    for at in range(count):
+        if until[at + 1] - until[at] >= words:
+            found[at, at + 1] = None
+            continue
+        end = max(bisect_left(until, until[at] + words), at + least)
+        if end <= count:
+            found[at, end] = None
+        start = min(bisect_right(until, until[at + 1] - words) - 1, at + 1 - least)
+        if start >= 0:
+            found[start, at + 1] = None
+    for at, end in found or [(0, count)]:
+        yield xxhash.xxh64_intdigest(b"\n".join(joined[at:end])), pieces[at][0], pieces[end - 1][0] - pieces[at][0] + 1
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> DataFrame:

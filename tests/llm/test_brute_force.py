@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorespark.llm import brown, common, fingerprints, queries, simhash
+from lorespark.llm import brown, common, fingerprints, queries, sentences, simhash
 from tests.compare import spark_rows, sql_rows
 
 
@@ -40,6 +40,42 @@ def test_suffixes(spark, sf, docs):
     assert got == want
 
 
+def without_repeated_runs(texts):
+    """Texts without the sentences of runs of 25 words, or of whole shorter texts, that were there before."""
+    seen, kept = set(), []
+    for text in texts:
+        pieces = sentences.sentences(text.encode())
+        own = [(i, p.lower().split()) for i, p in enumerate(pieces) if p.split()]
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                if sum(len(w) for _, w in own[a:b]) >= 25 or (a, b) == (0, len(own)):
+                    run = tuple(tuple(w) for _, w in own[a:b])
+                    if run in seen:
+                        gone.update(range(own[a][0], own[b - 1][0] + 1))
+                    seen.add(run)
+        kept.append(b"".join(p for i, p in enumerate(pieces) if i not in gone).decode())
+    return kept
+
+
+def test_sentences(spark, docs):
+    rng = np.random.default_rng(2)
+
+    def sentence(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) + ". "
+
+    texts = [t for _, t in sorted(docs.items()) if len(sentences.sentences(t.encode())) <= 40]
+    for n in range(50, 61):
+        for passage in (sentence(n), sentence(30) + sentence(n - 40) + sentence(5) + sentence(5)):
+            texts += [sentence(9) + passage + sentence(9) for _ in range(2)]
+    for text in (sentence(80), sentence(25), sentence(7), sentence(30) + sentence(5) + sentence(5), sentence(4) + sentence(6), "one line of words " * 15):
+        texts += [text, text]
+    rows = sentences.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = without_repeated_runs(texts)
+    assert [r["kept_text"] for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+    assert want[-1] == "" and "" in want[-12:-1]
+
+
 def closed(ids, near):
     root = {i: i for i in ids}
     changed = True
