@@ -1,18 +1,16 @@
 """Substring deduplication by sliding spans of consecutive sentences.
 
-A sentence ends after a full stop, question or exclamation mark before a space, or with its line. At every sentence starts
-one span and ends one: the fewest consecutive sentences that have MIN_WORDS words together, a single one if it has them
-alone. So every passage with as many words is made up of spans. A text with fewer words is one span. A sentence goes if it
-lies in a span whose words, lower-cased, make up an earlier span too.
+A sentence ends after a full stop, question or exclamation mark before a space, or with its line. Every run of SPAN
+consecutive sentences is a span, however short they are; a sentence of LONG words or more is one too, and so is a whole text
+of fewer sentences. A sentence goes if it lies in a span whose words, lower-cased, make up an earlier span too. Spans are met
+by 128 bits of their hash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,66 +22,56 @@ from lorespark.llm.arrow import numbers, values
 from lorespark.llm.common import join_on, written
 from lorespark.llm.repeats import placed, repeated
 
-MIN_SENTENCES, MIN_WORDS = 2, 25
-SENTENCE = re.compile(rb"[^\n.!?]*(?:[.!?]+(?![ \n])[^\n.!?]*)*(?:[.!?]+[ ]+|[.!?]*\n|[.!?]+\Z)|[^\n]+\Z")
+#: Sentences of a span, and words that make a sentence a span by itself.
+SPAN, LONG = 2, 25
+#: What ends a sentence. No part of it can match in two ways, so the time is linear whatever the text.
+END = re.compile(rb"[.!?] +|\n")
 
 
 def sentences(text: bytes) -> list[bytes]:
     """The text in pieces that make it up again."""
-    return [x for x in SENTENCE.findall(text) if x]
+    cuts = [0, *(m.end() for m in END.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def spans(text: bytes, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of every span; sentences without words belong to none and are passed over.
-
-    A span has at least least sentences unless a single one has the words.
-    """
+def spans(text: bytes, span: int = SPAN, long: int = LONG) -> Iterator[tuple[bytes, int, int]]:
+    """(16 bytes of hash, first sentence, sentences) of every span; sentences without words belong to none and are passed over."""
     pieces = [(i, p.lower().split()) for i, p in enumerate(sentences(text))]
-    pieces = [(i, w) for i, w in pieces if w]
-    if not pieces:
-        return
-    joined, count = [b" ".join(w) for _, w in pieces], len(pieces)
-    until = [0, *accumulate(len(w) for _, w in pieces)]
-    found = {}
-    for at in range(count):
-        if until[at + 1] - until[at] >= words:
-            found[at, at + 1] = None
-            continue
-        end = max(bisect_left(until, until[at] + words), at + least)
-        if end <= count:
-            found[at, end] = None
-        start = min(bisect_right(until, until[at + 1] - words) - 1, at + 1 - least)
-        if start >= 0:
-            found[start, at + 1] = None
-    for at, end in found or [(0, count)]:
-        yield xxhash.xxh64_intdigest(b"\n".join(joined[at:end])), pieces[at][0], pieces[end - 1][0] - pieces[at][0] + 1
-
-
-def repeated_spans(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> DataFrame:
+    pieces = [(i, len(w), b" ".join(w)) for i, w in pieces if w]
+    count = len(pieces)
+    runs = [(at, at + span) for at in range(count - span + 1)] or [(0, count)] * (count > 0)
+    runs += [(at, at + 1) for at, (_, n, _) in enumerate(pieces) if n >= long and (at, at + 1) not in runs[:1]]
+    for at, end in runs:
+        yield xxhash.xxh3_128_digest(b"\n".join(p for _, _, p in pieces[at:end])), pieces[at][0], pieces[end - 1][0] - pieces[at][0] + 1
+
+
+def repeated_spans(docs: DataFrame, span: int = SPAN, long: int = LONG) -> DataFrame:
     """(did, key, start, length) of every span of sentences of placed documents but the first of its words."""
+    names = ["high", "low", "did", "key", "start", "length"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, key = numbers(batch.column("did")), numbers(batch.column("key"))
-            found = [(h, i, s, n) for i, t in enumerate(values(batch.column("text"))) for h, s, n in spans(t, least, words)]
+            found = [(h, i, s, n) for i, t in enumerate(values(batch.column("text"))) for h, s, n in spans(t, span, long)]
             if found:
                 h, i, s, n = zip(*found)
-                row = np.array(i)
-                columns = [np.array(h, np.uint64).view(np.int64), did[row], key[row], np.array(s, np.int64), np.array(n, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["value", "did", "key", "start", "length"])
+                row, halves = np.array(i), np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
+                columns = [halves[:, 0].copy(), halves[:, 1].copy(), did[row], key[row], np.array(s, np.int64), np.array(n, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    rows = docs.select("did", "key", "text").mapInArrow(each, "value long, did long, key long, start long, length int")
-    return repeated(rows)
+    # written, as sampling the splitters would hash all texts a second time
+    rows = written(docs.select("did", "key", "text").mapInArrow(each, "high long, low long, did long, key long, start long, length int"))
+    return repeated(rows, ("high", "low"))
 
 
-def deduplicate(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, span: int = SPAN, long: int = LONG) -> DataFrame:
     """One row for each document: doc_id, n_sentences, n_removed, kept_sha256, kept_text.
 
     Null texts are empty. Rows equal in doc_id and text are one document; first is the smallest doc_id (null first), then
     the smaller hash of the text, then the earlier sentence.
     """
     docs = placed(docs)
-    gone = written(repeated_spans(docs, least, words).groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
+    gone = written(repeated_spans(docs, span, long).groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
     rows = join_on(docs, gone, ["did", "key"], "left").select("doc_id", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
