@@ -100,9 +100,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if size <= limit else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, with all its columns, without the documents (doc_id, key) of gone."""
-    small = broadcast_if_small(gone.select(F.col("doc_id").alias("_gone_doc"), F.col("key").alias("_gone_key")))
+    doc, key = unused(docs, "gone_doc", "gone_key")
+    small = broadcast_if_small(gone.select(F.col("doc_id").alias(doc), F.col("key").alias(key)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")) & (F.xxhash64(text) == F.col("_gone_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key))
     return docs.join(small, same, "left_anti")

@@ -1,17 +1,24 @@
 """Personal data by weak supervision.
 
-Four kinds have exact base rules. Further candidates, long runs without a space that may be credentials, are voted on by
-labelers: patterns, a gazetteer of words that name secrets, and the context around. Expectation-maximisation over the votes
-of all candidates estimates how far each labeler can be trusted, and the posteriors train a span classifier on the
-candidates' own shape, which decides. Whatever it accepts is added to the base spans.
+Four kinds have exact base rules. Candidates of six further kinds, which only context tells from other text, are voted on by
+labelers: patterns, gazetteers, the context before, and the shape. Expectation-maximisation over the votes of all candidates
+estimates for each kind how far each labeler can be trusted, and the posteriors train a span classifier on the candidates' own
+features, which decides. Whatever it accepts is added to the base spans.
+
+Kinds: ``secret`` (credentials: long runs without a space, and whatever follows a word that names secrets), ``tel`` (grouped
+digits without a plus), ``mail`` (addresses spelled out), ``date`` (days, of birth where the text says so), ``name`` (capitalised
+words after a title or a given name) and ``address`` (a house number beside a street). Every step takes time in proportion to
+the text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -19,24 +26,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import broadcast_if_small, documents, written
+from lorespark.llm.common import broadcast_if_small, documents, unused, written
 
-# Fixed values of the contract.
+# Fixed values of the contract. Dotted numbers are found as whole runs, which no part of the pattern can match in two ways.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 DIGITS = re.compile(r"[0-9]")
 
-#: Runs that may be credentials.
-CANDIDATE = re.compile(r"[A-Za-z0-9_=+/:-]{12,}")
+ADDED = ("secret", "tel", "mail", "date", "name", "address")
+#: Gazetteers, small and general.
+SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "credential", "passphrase", "passwort", "kennwort", "contraseña", "mot de passe")
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra")
+GIVEN = frozenset("Anna Anne Antonio Carlos Carmen Claire David Elena Emma Eva Frank George Hans Isabel James Jane Jean John José Juan Julia Karl Laura Lisa Louis Lucas Maria Marie Mary Michael Miguel Paul Peter Pierre Robert Sarah Sophie Thomas William".split())
+TLDS = frozenset("com org net edu gov info de fr es uk eu io".split())
+#: Words before a candidate that speak for its kind, and words that speak against any.
+CUES = {
+    "secret": SECRET_WORDS,
+    "tel": ("phone", "tel", "call", "mobile", "fax", "anruf", "appel", "llam", "móvil", "handy", "contact"),
+    "mail": ("mail", "contact", "write", "reach", "kontakt", "contacto", "écri"),
+    "date": ("born", "birth", "dob", "geboren", "geburt", "né le", "née le", "naissance", "nacid", "nacimiento"),
+    "name": ("name", "heiß", "appelle", "llamo", "dear", "liebe", "cher", "querid", "signed", "regards", "contact"),
+    "address": ("live", "address", "wohn", "adresse", "habite", "vivo", "direcci", "at ", "ship", "located"),
+}
+AGAINST = ("http", "www", "isbn", "page", "version", "figure", "table", "chapter", "seite", "página", "vol.", "order", "price", "$", "€")
+
+RUN = re.compile(r"[A-Za-z0-9_=+/:-]{12,}")
+#: The value after a word that names secrets and a sign or verb that gives it.
+GIVEN_SECRET = re.compile(r"(?i)\b(?:" + "|".join(SECRET_WORDS) + r")\b[ ]{0,2}(?:[:=]|is\b|ist\b|est\b|es\b)[ ]{0,2}[\"']?([^\s\"']{4,})")
 KEY_SHAPES = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{16,}")
-SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "credential", "passphrase")
-#: Votes: 1 secret, 0 not, -1 no opinion.
-LABELERS = ("key_shape", "secret_word", "before", "mixed", "hex", "wordlike")
-FEATURES = ("bias", "length", "digits", "upper", "classes", "entropy", "equals", "vowels", "named")
+GROUPED = re.compile(r"\(?[0-9][0-9() ./-]*[0-9]")
+PHONE_SHAPE = re.compile(r"\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}")
+SPELLED = re.compile(r"(?<= )[\[({<]?(?:at|arobase|arroba)[\])}>]? [A-Za-z0-9-]{1,63}(?: [\[({<]?(?:dot|punkt|point|punto)[\])}>]? [A-Za-z0-9-]{1,63})+")
+DAY = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[12][0-9]{3}|[12][0-9]{3}-[0-9]{2}-[0-9]{2})(?![0-9/-])")
+CAPITAL = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({CAPITAL}(?: {CAPITAL}){{0,2}})")
+NAMED = re.compile(rf"\b(?:{'|'.join(sorted(GIVEN))}) {CAPITAL}(?: {CAPITAL})?")
+STREETS = re.compile(
+    rf"\b[0-9]{{1,5}}[a-z]? {CAPITAL}(?: {CAPITAL})? (?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd)\b"
+    rf"|\b{CAPITAL}(?:straße|strasse|weg|platz|gasse) [0-9]{{1,4}}\b"
+    r"|\b[0-9]{1,4},? (?:rue|avenue|boulevard|place) [^\s,.;]{2,40}(?: [^\s,.;]{2,40}){0,2}"
+    rf"|\b(?:[Cc]alle|[Aa]venida|[Pp]laza) {CAPITAL},? [0-9]{{1,4}}\b"
+)
+#: Votes: 1 personal, 0 not, -1 no opinion.
+LABELERS = ("pattern", "gazetteer", "before", "shape", "wordlike")
+FEATURES = ("bias", *ADDED, "length", "digits", "upper", "entropy", "gazetteer", "cue", "against", "pattern", "shape")
 #: The final classifier learns from at most about so many candidates, by hash.
 TRAINING_SPANS = 20_000
 
@@ -63,11 +100,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", domain.end() if domain else at + 1)
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four dotted numbers at a time of every run of them, with parts up to 255."""
+    for m in DOTTED.finditer(text):
+        parts = m.group().split(".")
+        ends = list(accumulate(len(p) + 1 for p in parts))
+        for i in range(0, len(parts) - 3, 4):
+            own = [p.lstrip("0") for p in parts[i : i + 4]]
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in own):
+                yield m.start() + (ends[i - 1] if i else 0), m.start() + ends[i + 3] - 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base rules, by kind as listed, then start."""
     out = [("email", a, b) for a, b in emails(text)]
     if DIGITS.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split("."))]
+        out += [("ip", a, b) for a, b in addresses(text)]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -81,31 +129,79 @@ def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, list[int], list[float]]]:
-    """(start, end, votes, features) of runs with a digit or an equals sign, outside base spans."""
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        run = m.group()
-        if not ("=" in run or DIGITS.search(run)) or any(a < end and start < b for _, a, b in base):
-            continue
-        name, _, value = run.rpartition("=")
-        value = value or run
-        low, before = run.lower(), text[max(0, start - 24) : start].lower()
-        digits, upper = len(DIGITS.findall(value)), sum(c.isupper() for c in value)
-        letters = len(value) - digits
+def places(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all that may be personal, in order; of what overlaps the first."""
+    found = [(*m.span(), "secret") for m in RUN.finditer(text) if "=" in m.group() or DIGITS.search(m.group())]
+    found += [(*m.span(1), "secret") for m in GIVEN_SECRET.finditer(text)]
+    found += [(*m.span(), "address") for m in STREETS.finditer(text)]
+    found += [(*m.span(), "date") for m in DAY.finditer(text)]
+    for m in GROUPED.finditer(text):
+        if 7 <= sum(c.isdigit() for c in m.group()) <= 15 and not m.group().isdigit():
+            found.append((*m.span(), "tel"))
+    for m in SPELLED.finditer(text):
+        start = m.start() - 1
+        while start > 0 and m.start() - start <= 64 and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start() - 1:
+            found.append((start, m.end(), "mail"))
+    found += [(*m.span(1), "name") for m in TITLED.finditer(text)]
+    found += [(*m.span(), "name") for m in NAMED.finditer(text)]
+    order = {k: i for i, k in enumerate(("secret", "address", "date", "tel", "mail", "name"))}
+    out, done = [], 0
+    for start, end, kind in sorted(found, key=lambda x: (x[0], order[x[2]], -x[1])):
+        if start >= done:
+            out.append((start, end, kind))
+            done = end
+    return out
+
+
+def judged(text: str, start: int, end: int, kind: str) -> tuple[int, int, int, int, int]:
+    """The labelers' votes on a candidate."""
+    run = text[start:end]
+    low, before = run.lower(), text[max(0, start - 40) : start].lower()
+    value = run.rpartition("=")[2] or run
+    digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
+    cue, against = any(w in before for w in CUES[kind]), any(w in before for w in AGAINST)
+    if kind == "secret":
         vowels = sum(c in "aeiouAEIOU" for c in value) / max(1, letters)
-        named = any(w in low for w in SECRET_WORDS)
-        votes = [
-            1 if KEY_SHAPES.search(run) else -1,
-            1 if named else -1,
-            1 if any(w in before for w in SECRET_WORDS) else (0 if "http" in before or "www" in before else -1),
-            1 if digits >= 3 and letters >= 3 and len(value) >= 12 else 0,
-            1 if re.fullmatch(r"[0-9a-f]{12,}", value) and letters else -1,
-            0 if digits == 0 or letters == 0 or (vowels > 0.3 and digits <= 2) else -1,
-        ]
-        classes = (digits > 0) + (upper > 0) + any(c.islower() for c in value)
-        features = [1.0, min(len(value), 40) / 40, digits / len(value), upper / len(value), classes / 3, entropy(value) / 6, float("=" in run), vowels, float(named)]
-        yield start, end, votes, features
+        pattern = 1 if KEY_SHAPES.search(run) or (letters and re.fullmatch(r"[0-9a-f]{12,}", value)) else -1
+        listed = 1 if any(w in low for w in SECRET_WORDS) else -1
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
+        shape = 1 if turns >= 5 and len(value) >= 12 else -1 if cue else 0
+        word = 0 if len(value) >= 12 and (digits == 0 or letters == 0 or (vowels > 0.3 and digits <= 2)) else -1
+        return pattern, listed, 1 if cue else 0 if against else -1, shape, word
+    if kind == "tel":
+        pattern = 1 if PHONE_SHAPE.fullmatch(run) else 0
+        shape = 1 if 9 <= digits <= 12 else 0
+        listed, word = -1, 0 if len(set(value) & set("0123456789")) <= 2 else -1
+    elif kind == "mail":
+        pattern, shape = 1, -1
+        listed, word = 1 if low.rsplit(" ", 1)[-1] in TLDS else 0, -1
+    elif kind == "date":
+        day = [int(x) for x in re.split("[./-]", run)]
+        valid = max(day) < 2100 and sorted(day)[0] >= 1 and sorted(day)[0] <= 12 and sorted(day)[1] <= 31
+        pattern, shape, listed, word = 1 if valid else 0, 1 if 1900 <= max(day) <= 2015 else 0, -1, -1 if cue else 0
+    elif kind == "name":
+        titled = any(before.rstrip(" .").endswith(t.lower()) for t in TITLES)
+        pattern, shape = 1 if titled else -1, 1 if " " in run else -1
+        listed, word = 1 if run.split(" ")[0] in GIVEN else -1, -1 if titled or cue else 0
+    else:
+        pattern, shape, listed, word = 1, 1 if digits else 0, -1, -1
+    return pattern, listed, 1 if cue else 0 if against else -1, shape, word
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, list[int], list[float]]]:
+    """(start, end, kind, votes, features) of what may be personal outside base spans."""
+    spans = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    for start, end, kind in places(text):
+        i = bisect_left(starts, end)  # spans that begin before the end
+        if i and reach[i - 1] > start:
+            continue
+        votes, run = list(judged(text, start, end, kind)), text[start:end]
+        features = [1.0, *[float(kind == k) for k in ADDED], min(len(run), 40) / 40, sum(c.isdigit() for c in run) / len(run), sum(c.isupper() for c in run) / len(run)]
+        features += [entropy(run) / 6, float(votes[1]), float(votes[2] == 1), float(votes[2] == 0), float(votes[0]), float(votes[3])]
+        yield start, end, kind, votes, features
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
@@ -158,36 +254,39 @@ def found(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 own = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                spots.append([{"start": a, "end": b, "votes": v, "features": f} for a, b, v, f in candidates(text, own)])
+                spots.append([{"start": a, "end": b, "kind": k, "votes": v, "features": f} for a, b, k, v, f in candidates(text, own)])
             span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            spot = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.float64()))]))
+            spot = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.float64()))]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, span), pa.array(spots, spot)], names=["doc_id", "key", "base", "spots"])
 
-    schema = "doc_id long, key long, base array<struct<kind:string,start:int,end:int>>, spots array<struct<start:int,end:int,votes:array<int>,features:array<double>>>"
+    schema = "doc_id long, key long, base array<struct<kind:string,start:int,end:int>>, spots array<struct<start:int,end:int,kind:string,votes:array<int>,features:array<double>>>"
     return documents(docs).mapInArrow(each, schema)
 
 
 def train(rows: DataFrame, most: int = TRAINING_SPANS) -> np.ndarray | None:
-    """Weights of the span classifier; None without candidates. Vote patterns count all candidates, the fit takes a hash sample."""
+    """Weights of the span classifier; None without candidates.
+
+    The reliabilities of a kind's labelers come from the vote patterns of all its candidates, the fit takes a hash sample.
+    """
     spots = rows.select("doc_id", F.inline("spots"))
-    patterns = [(tuple(r["votes"]), r["n"]) for r in spots.groupBy("votes").agg(F.count("*").alias("n")).collect()]  # at most 3 ** labelers
-    if not patterns:
+    counted = spots.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # at most kinds * 3 ** labelers
+    if not counted:
         return None
-    prior, hit, alarm = reliabilities(sorted(patterns))
-    share = min(1.0, most / sum(n for _, n in patterns))
+    found = {k: reliabilities(sorted((tuple(r["votes"]), r["n"]) for r in counted if r["kind"] == k)) for k in {r["kind"] for r in counted}}
+    share = min(1.0, most / sum(r["n"] for r in counted))
     sample = spots.where(F.pmod(F.xxhash64("doc_id", "start", "features"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    sample = sorted((list(r["features"]), list(r["votes"])) for r in sample.select("votes", "features").collect())
+    sample = sorted((list(r["features"]), list(r["votes"]), r["kind"]) for r in sample.select("features", "votes", "kind").collect())
     if not sample:
         return None
-    x, votes = np.array([f for f, _ in sample]), np.array([v for _, v in sample])
-    return fit(x, posterior(votes, prior, hit, alarm))
+    belief = np.concatenate([posterior(np.array([v]), *found[k]) for _, v, k in sample])
+    return fit(np.array([f for f, _, _ in sample]), belief)
 
 
 def detect(docs: DataFrame, most: int = TRAINING_SPANS) -> DataFrame:
     """(doc_id, key, base, spans array<struct<kind, start, end>>) of each document: base spans, and all spans with the added ones.
 
-    Positions count characters, end exclusive. Spans come by kind (email, ip, card, phone, secret), then start. Null and empty
-    texts have none.
+    Positions count characters, end exclusive. Spans come by kind (email, ip, card, phone, then secret, tel, mail, date, name,
+    address), then start. Null and empty texts have none.
     """
     rows = written(found(docs))
     weights = train(rows, most)
@@ -198,11 +297,12 @@ def detect(docs: DataFrame, most: int = TRAINING_SPANS) -> DataFrame:
         parts = [F.get(f, i) * float(w) for i, w in enumerate(weights)]
         return sum(parts[1:], parts[0])
 
-    secrets = F.transform(
-        F.filter("spots", lambda s: score(s["features"]) > 0),
-        lambda s: F.struct(F.lit("secret").alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
-    )
-    return rows.select("doc_id", "key", "base", F.concat("base", secrets).alias("spans"))
+    def of_kind(kind: str) -> Column:
+        own = F.filter(F.col("accepted"), lambda s: s["kind"] == kind)
+        return F.transform(own, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    accepted, added = F.filter("spots", lambda s: score(s["features"]) > 0), [of_kind(k) for k in ADDED]
+    return rows.select("doc_id", "key", "base", accepted.alias("accepted")).select("doc_id", "key", "base", F.concat("base", *added).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -210,32 +310,39 @@ def digest(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), n_secret, base_sha256, spans."""
+    """One row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), n_added, base_sha256, spans.
+
+    Null and empty texts have no spans. Repeated rows have a row each, with equal results.
+    """
     rows = detect(docs)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    added = (F.size("spans") - F.size("base")).cast("long").alias("n_secret")
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
     return rows.select("doc_id", *[count(k) for k in KINDS], added, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span of a text replaced by its kind, and n_chars, where there is one, counted anew. All rows and columns stay."""
+    """docs with every span of a text replaced by its kind, and n_chars, where there is one, counted anew. All rows and columns stay.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike.
+    """
     rows = detect(docs).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])
-    small = broadcast_if_small(written(rows)).withColumnsRenamed({"doc_id": "_doc", "key": "_key", "spans": "_spans"})
+    doc, key, spans = unused(docs, "doc", "key", "spans")
+    small = broadcast_if_small(written(rows)).withColumnsRenamed({"doc_id": doc, "key": key, "spans": spans})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left")
+    joined = docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
 
     @F.pandas_udf("string")
     def hide(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([mask(t, [(s["kind"], s["start"], s["end"]) for s in own]) for t, own in zip(texts, spans)], dtype=object)
 
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(hide("text", F.coalesce("_spans", F.array().cast("array<struct<kind:string,start:int,end:int>>"))))
-    out = joined.withColumn("text", new)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(hide("text", F.coalesce(spans, none))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
