@@ -1,17 +1,25 @@
 """LM scoring with Brown class-based bigrams.
 
-Word counts cover all training documents. The CLUSTERED most frequent words are assigned to classes by the exchange
-algorithm on their bigram counts, which Spark gathers from all training documents; their number bounds that matrix. Every
-other word belongs to a class of its last character. A text's probability is the product of class transitions, from the end
-of the text before, and word emissions, each smoothed; unknown words share the spare mass of their class.
+Exchange clustering assigns every training word to one of CLASSES classes, frequent words first:
 
-Counts of the LOOKUP most frequent words travel to the tasks; rarer words of a text find theirs by a join.
+* the HEAD most frequent words by the exchange algorithm itself, word after word on the driver until none moves, on bigram
+  counts that Spark gathers from all training documents; the number of words bounds that table,
+* the LOOKUP most frequent words by sweeps over all of them at once: each goes to the class of greatest gain in likelihood,
+  judged by its neighbours' classes and the class table of the sweep before, until the likelihood hardly rises,
+* every other word by one such step, judged by its neighbours among the words before.
+
+The gain of a word outside the head is that of the exchange to first order in the word's counts, which are small beside a
+class's. A text's probability is the product of class transitions, from the end of the text before, and of word emissions;
+unknown words are one word in a class of their own, whose transitions are those of the words that training texts hold once.
+
+Texts become numbers once: all later passes read these. Words beyond LOOKUP stay strings and meet their classes by joins.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,31 +27,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrow import numbers, values
+from lorespark.llm.arrow import numbers, runs, values
 from lorespark.llm.common import documents, written
+from lorespark.llm.repeats import differs
 
-CLUSTERED, CLASSES, SWEEPS, LOOKUP = 2048, 64, 6, 131_072
+HEAD, CLASSES, LOOKUP = 2048, 64, 131_072
+#: Sweeps, and rounds of head and sweeps, end when they raise the likelihood by no more than so many nats a token.
+SETTLED = 0.005
 ALPHA, BETA = 0.1, 2.0
-#: Class of the end, then classes by last character: a-z, digits, five marks, other ASCII, eight for the rest; then CLASSES.
-ENDINGS = 1 + 26 + 1 + 5 + 1 + 8
-MARKS = b".,;!?"
+#: Codes of what is no frequent word, and their classes: the end of a text, and a rare word; in the model, an unknown one.
+END, RARE = 0, 1
+#: A frequent word's neighbours are dealt to a salt for so many tasks that found them.
+TASKS_A_SALT = 64
 
 
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def ending(word: bytes) -> int:
-    c = word[-1]
-    if 97 <= c <= 122:
-        return 1 + c - 97
-    if 48 <= c <= 57:
-        return 27
-    if c < 128:
-        return 28 + (MARKS.index(c) if c in MARKS else 5)
-    return 34 + (c & 7)
-
-
 def marked(docs: DataFrame) -> DataFrame:
     """documents() with held_out: crc32 of the id as text leaves no remainder by 10; a null id counts as an empty text."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -70,84 +71,91 @@ def word_counts(train: DataFrame) -> DataFrame:
     return written(train.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def bigrams(train: DataFrame, index: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring units over all texts: endings (0 is the end of a text), then indexed words. Their number bounds it."""
-    units = ENDINGS + len(index)
-    sent = train.sparkSession.sparkContext.broadcast(index)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = sent.value, None
-        held: list[np.ndarray] = []
-        size = 0
-
-        def merge(total):
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            if total is None:
-                return codes, n
-            codes, at = np.unique(np.concatenate([total[0], codes]), return_inverse=True)
-            return codes, np.bincount(at, np.concatenate([total[1], n])).astype(np.int64)
+def coded(rows: DataFrame, index: dict[bytes, int]) -> DataFrame:
+    """(row, doc_id, held_out, ids, rare): each text's words as codes of index, RARE for others, and END; rare has those others. Written."""
+    sent = rows.sparkSession.sparkContext.broadcast(index)
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row = sent.value, TaskContext.get().partitionId() << 33
         for batch in batches:
+            parts, rare, cuts = [np.zeros(0, np.int32)], [], [0]
             for text in values(batch.column("text")):
-                ids = [0, *[known[w] if w in known else ending(w) for w in words(text)], 0]
-                x = np.array(ids, np.int64)
-                held.append(x[:-1] * units + x[1:])
-                size += len(x)
-                if size > 1_000_000:
-                    total, held, size = merge(total), [], 0
-        if held:
-            total = merge(total)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["code", "n"])
+                own = words(text)
+                found = [known.get(w, RARE) for w in own]
+                rare += [w for w, x in zip(own, found) if x == RARE]
+                found.append(END)
+                parts.append(np.array(found, np.int32))
+                cuts.append(len(rare))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in parts]), pa.int32()), pa.array(np.concatenate(parts)))]
+            lists.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())))
+            number = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([number, batch.column("doc_id"), batch.column("held_out"), *lists], names=["row", "doc_id", "held_out", "ids", "rare"])
+
+    return written(rows.mapInArrow(each, "row long, doc_id long, held_out boolean, ids array<int>, rare array<string>"))
+
+
+def line(batch: pa.RecordBatch) -> np.ndarray:
+    """The codes of a batch's texts end to end, after an end."""
+    return np.concatenate([[END], numbers(batch.column("ids").flatten())])
 
-    rows = train.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    table = np.zeros((units, units), np.float64)
+
+def bigrams(texts: DataFrame, unit: np.ndarray, units: int) -> np.ndarray:
+    """Counts of neighbouring units over all texts; unit gives that of each code."""
+    sent = texts.sparkSession.sparkContext.broadcast(unit)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(units * units, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = sent.value[line(batch)]
+                table += np.bincount(x[:-1] * units + x[1:], minlength=units * units)
+        code = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(table[code])], names=["code", "n"])
+
+    rows = texts.select("ids").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    out = np.zeros((units, units), np.float64)
     for batch in rows.toArrow().to_batches():  # at most units * units rows, whatever the corpus
-        table.reshape(-1)[numbers(batch.column("code"))] = numbers(batch.column("n"))
-    return table
+        out.reshape(-1)[numbers(batch.column("code"))] = numbers(batch.column("n"))
+    return out
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each unit. Endings stay in their own; words start dealt out by rank, and each moves to the class in which
-    the bigram likelihood of classes is greatest, word after word, until a sweep moves none or the sweeps are over."""
-    units = len(table)
-    total = ENDINGS + classes
-    of = np.concatenate([np.arange(ENDINGS), ENDINGS + np.arange(units - ENDINGS) % classes]).astype(np.int64)
-    n = table.sum(axis=1)
-    onto = np.zeros((units, total))  # class of the next unit
-    into = np.zeros((units, total))  # class of the unit before
+def exchange(table: np.ndarray, of: np.ndarray, total: int, fixed: int) -> int:
+    """Moves each unit from ``fixed`` on to the class, of those after RARE, in which the bigram likelihood of classes is
+    greatest, unit after unit, until none moves. of, the class of each unit, is changed. Returns how often a unit moved."""
+    n, moves = table.sum(axis=1), 0
+    onto = np.zeros((len(table), total))  # class of the next unit
+    into = np.zeros((len(table), total))  # class of the unit before
     for c in range(total):
         onto[:, c] = table[:, of == c].sum(axis=1)
         into[:, c] = table[of == c].sum(axis=0)
     joint = np.zeros((total, total))
     np.add.at(joint, of, onto)
     size = np.bincount(of, n, total)
-    choice = np.arange(ENDINGS, total)
-    for _ in range(sweeps):
+    choice = np.arange(RARE + 1, total)
+    while True:
         moved = 0
-        for u in range(ENDINGS, units):
+        for u in range(fixed, len(table)):
             if not n[u]:
                 continue
             a, own = of[u], table[u, u]
             nxt, prv = onto[u].copy(), into[u].copy()
-            nxt[a] -= own  # the word's other neighbours; own pairs move with it
+            nxt[a] -= own  # the unit's other neighbours; own pairs move with it
             prv[a] -= own
             joint[a] -= nxt
             joint[:, a] -= prv
             joint[a, a] -= own
             size[a] -= n[u]
-            rows = joint[choice]
-            gain = (_phi(rows + nxt) - _phi(rows)).sum(axis=1)
-            columns = joint[:, choice].T
-            gain += (_phi(columns + prv) - _phi(columns)).sum(axis=1)
+            rows, columns = joint[choice], joint[:, choice].T
+            gain = (_phi(rows + nxt) - _phi(rows) + _phi(columns + prv) - _phi(columns)).sum(axis=1)
             corner = joint[choice, choice]
             gain += _phi(corner + nxt[choice] + prv[choice] + own) - _phi(corner + nxt[choice]) - _phi(corner + prv[choice]) + _phi(corner)
             gain -= 2 * (_phi(size[choice] + n[u]) - _phi(size[choice]))
-            b = choice[int(np.argmax(gain))] if gain.max() > gain[a - ENDINGS] + 1e-6 else a
+            b = choice[int(np.argmax(gain))] if gain.max() > gain[a - choice[0]] + 1e-6 else a
             joint[b] += nxt
             joint[:, b] += prv
             joint[b, b] += own
@@ -159,95 +167,315 @@ def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
                 onto[:, b] += table[:, u]
                 into[:, a] -= table[u]
                 into[:, b] += table[u]
+        moves += moved
         if not moved:
-            break
-    return of
+            return moves
 
 
-def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, lookup: int = LOOKUP) -> DataFrame:
-    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+def likelihood(joint: np.ndarray) -> float:
+    """Log likelihood of the classes' bigrams, a token."""
+    n = max(1.0, joint.sum())
+    return float(_phi(joint).sum() - _phi(joint.sum(axis=0)).sum() - _phi(joint.sum(axis=1)).sum()) / n
+
+
+def best(nxt: np.ndarray, prv: np.ndarray, now: np.ndarray, joint: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The class, after RARE, of greatest gain for words with nxt and prv neighbours of each class; now is theirs so far, or RARE.
 
-    Scores are log10 probabilities; tokens are a text's words and its end. Null texts are empty. Without any training document
-    all counts are 0 and scores are those of an empty model.
+    The class table is taken without the word itself.
     """
-    spark, rows = docs.sparkSession, marked(docs)
-    train = rows.where("not held_out")
-    counts = word_counts(train)
-    n_train = train.count()
-    n_words, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens, types = n_words + n_train, n_types + (n_train > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(lookup).collect()  # bounded by lookup
-    index = {r["word"].encode(): ENDINGS + i for i, r in enumerate(top[:clustered])}
-    table = bigrams(train, index)
-    of = exchange(table, classes)
-
-    # classes: words and kinds of each; clustered words have theirs, all others that of their ending
-    in_top = {w: int(of[u]) for w, u in index.items()}
-    sent_index = spark.sparkContext.broadcast(in_top)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, kinds = sent_index.value, np.zeros(ENDINGS + classes), np.zeros(ENDINGS + classes)
+    n, held = nxt.sum(axis=1), np.log(joint + 0.5)
+    gain = nxt @ held.T + prv @ held - 2 * n[:, None] * np.log(size + 1.0)
+    at = np.arange(len(n))
+    alone = (nxt * np.log(np.maximum(joint[now] - nxt, 0) + 0.5)).sum(axis=1) + (prv * np.log(np.maximum(joint.T[now] - prv, 0) + 0.5)).sum(axis=1)
+    gain[at, now] = alone - 2 * n * np.log(np.maximum(size[now] - n, 0) + 1.0)
+    gain[:, : RARE + 1] = -np.inf
+    new = gain.argmax(axis=1)
+    return np.where((now > RARE) & (gain[at, now] >= gain[at, new] - 1e-9), now, new)
+
+
+def neighbours(texts: DataFrame, least: int) -> DataFrame:
+    """(word, codes) of frequent words from code ``least`` on: twice the code of each next word, and one more for words before.
+
+    In parts of a word's rows, sorted by word. Written.
+    """
+    flush_at = 1_000_000
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            word, code = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(word, kind="stable")
+            word, code = word[order], code[order]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)), pa.int32()), pa.array(code))
+            return pa.RecordBatch.from_arrays([pa.array(word[first]), lists], names=["word", "codes"])
+
         for batch in batches:
-            for w, c in zip(values(batch.column("word")), numbers(batch.column("n")).tolist()):
-                k = known.get(w)
-                k = ending(w) if k is None else k
-                n[k] += c
-                kinds[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(kinds)], names=["class", "n", "kinds"])
-
-    held, kinds = np.zeros(ENDINGS + classes), np.zeros(ENDINGS + classes)
-    for r in counts.mapInArrow(add_up, "class int, n double, kinds double").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
-        held[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
-    held[0], kinds[0] = n_train, n_train > 0
-    joint = np.zeros((len(held), len(held)))
-    np.add.at(joint, (of[:, None], of[None, :]), table)
-    prior = (held + ALPHA) / (held.sum() + ALPHA * len(held))
-    step = np.log10((joint + BETA * prior[None, :]) / (joint.sum(axis=1, keepdims=True) + BETA))
-    spare = np.log10(held + ALPHA * (kinds + 1))  # an emission is log10(count + ALPHA) less this
-    base = float(np.log10(tokens + ALPHA * (types + 1)))
+            x = line(batch).astype(np.int32)
+            at = np.flatnonzero(x >= least)
+            held.append((np.concatenate([x[at], x[at]]), np.concatenate([2 * x[at + 1], 2 * x[at - 1] + 1])))
+            if sum(len(w) for w, _ in held) > flush_at:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    rows = texts.select("ids").mapInArrow(each, "word int, codes array<int>")
+    return written(rows.repartition("word", F.floor(F.spark_partition_id() / TASKS_A_SALT)).sortWithinPartitions("word"))
+
+
+def sweep(beside: DataFrame, of: np.ndarray, least: int, joint: np.ndarray, size: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(new class of each code, counts of neighbouring classes with a word from ``least`` on); every second word may move in a turn."""
+    total, spark = len(size), beside.sparkSession
+    sent = spark.sparkContext.broadcast((of, joint, size))
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sent.value[0]
+        for batch in runs(batches, ["word"]):
+            word, at = np.unique(numbers(batch.column("word")), return_inverse=True)
+            codes = numbers(batch.column("codes").flatten())
+            at = np.repeat(at, numbers(pa.compute.list_value_length(batch.column("codes"))))
+            other = codes >> 1
+            # next ones, then those before that are frequent only as neighbours, then others
+            part = (codes & 1) * np.where(other >= least, 2, 1)
+            n = np.bincount((at * 3 + part) * total + of[other], minlength=len(word) * 3 * total).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(word) + 1) * 3 * total, pa.int32()), pa.array(n))
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), lists], names=["word", "profile"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, joint, size = sent.value
+        table = np.zeros((total, total))
+        for batch in runs(batches, ["word"]):
+            word, at = np.unique(numbers(batch.column("word")), return_inverse=True)
+            profile = np.zeros((len(word), 3, total))
+            np.add.at(profile, at, numbers(batch.column("profile").flatten()).reshape(-1, 3, total))
+            nxt, first, second = profile[:, 0], profile[:, 1], profile[:, 2]
+            new = np.where(((word + turn) % 2 == 1) & (of[word] > RARE), of[word], best(nxt, first + second, of[word], joint, size))
+            np.add.at(table, new, nxt)
+            np.add.at(table.T, new, first)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(new.astype(np.float64))], names=["code", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(total * total)), pa.array(table.reshape(-1))], names=["code", "value"])
+
+    rows = beside.mapInArrow(profiles, "word int, profile array<float>").repartition("word").sortWithinPartitions("word")
+    found = rows.mapInArrow(move, "code long, value double").groupBy("code").agg(F.sum("value").alias("value")).toArrow()  # as many rows as lookup and classes allow
+    code, value = (numbers(found.column(c)) for c in ("code", "value"))
+    new, table = of.copy(), np.zeros(total * total)
+    new[code[code >= 0]] = value[code >= 0]
+    table[-1 - code[code < 0]] = value[code < 0]
+    return new, table.reshape(total, total)
+
+
+def cluster(texts: DataFrame, n: np.ndarray, head: int, classes: int, settled: float = SETTLED) -> np.ndarray:
+    """The class of every code; n has the count of each. Head words and the others take turns until both have settled."""
+    total, least = RARE + 1 + classes, min(len(n), RARE + 1 + head)
+    of = np.full(len(n), RARE)
+    of[END] = END
+    of[RARE + 1 : least] = RARE + 1 + np.arange(least - RARE - 1) % classes
+    beside, reached = neighbours(texts, least) if least < len(n) else None, -np.inf
+    while True:
+        # units: the end, rare words, later words of each class and those that have none yet; then each head word
+        later = np.where(of[least:] > RARE, of[least:], total)
+        table = bigrams(texts, np.concatenate([[END, RARE], total + 1 + np.arange(least - RARE - 1), later]), total + least - RARE)
+        own = np.concatenate([np.arange(total), of[RARE:least]])
+        own[total] = RARE
+        exchange(table, own, total, total + 1)
+        of[RARE + 1 : least] = own[total + 1 :]
+        joint, fixed = np.zeros((total, total)), np.zeros((total, total))
+        np.add.at(joint, (own[:, None], own[None, :]), table)
+        table[RARE + 1 : total + 1] = table[:, RARE + 1 : total + 1] = 0  # sweeps count the pairs with later words
+        np.add.at(fixed, (own[:, None], own[None, :]), table)
+        now = likelihood(joint)
+        if beside is None or ((later < total).all() and now <= reached + settled):
+            return of
+        reached, turn = now if (later < total).all() else -np.inf, 0
+        while turn < 3 or now > before + settled:
+            before = now
+            of, pairs = sweep(beside, of, least, joint, joint.sum(axis=1), turn)
+            joint, turn = fixed + pairs, turn + 1
+            now = likelihood(joint)
+
+
+def occurrences(texts: DataFrame, of: np.ndarray, total: int) -> DataFrame:
+    """(word, code, after) of every rare word in the texts: total times the class before and the class after it, and the next word if it is rare too."""
+    sent = texts.sparkSession.sparkContext.broadcast(of)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, word = line(batch), batch.column("rare").flatten()
+            at, of = np.flatnonzero(x == RARE), sent.value[x]
+            if len(at):
+                after = np.where(x[at + 1] == RARE, np.arange(1, len(at) + 1), len(at))
+                after = word.take(pa.array(after, mask=after == len(at)))
+                yield pa.RecordBatch.from_arrays([word, pa.array((of[at - 1] * total + of[at + 1]).astype(np.int32)), after], names=["word", "code", "after"])
+
+    return texts.select("ids", "rare").mapInArrow(each, "word string, code int, after string")
+
+
+def place(found: DataFrame, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of rare words, each in its best class, and counts of neighbouring classes, of which rare words are one or
+    both; those in RARE's row and column are those of the words that occur once."""
+    total, size = len(joint), joint.sum(axis=1)
+    sent = found.sparkSession.sparkContext.broadcast(joint)
 
-    known = {r["word"].encode(): (float(np.log10(r["n"] + ALPHA)), in_top.get(r["word"].encode(), ending(r["word"].encode()))) for r in top}
-    sent = spark.sparkContext.broadcast((known, step, spare, float(np.log10(n_train + ALPHA))))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, class_part double, word string, times long"
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held = np.zeros((total, total)), None
+
+        def out(word: pa.Array, profile: np.ndarray) -> pa.RecordBatch:
+            prv, nxt = profile[:, 0], profile[:, 1]
+            n = nxt.sum(axis=1)
+            of = best(nxt, prv, np.full(len(n), RARE), sent.value, size)
+            prv[:, RARE] = nxt[:, RARE] = 0  # rare on both sides: counted apart
+            np.add.at(table, of, nxt)
+            np.add.at(table.T, of, prv)
+            table[RARE] += nxt[n == 1].sum(axis=0)
+            table[:, RARE] += prv[n == 1].sum(axis=0)
+            return pa.RecordBatch.from_arrays([word, pa.array(n.astype(np.int64)), pa.array(of.astype(np.int32))], names=["word", "n", "class"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, code = batch.column("word"), numbers(batch.column("code"))
+            new = differs(word)
+            at, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            profile = np.bincount(np.concatenate([at * 2 * total + code // total, (at * 2 + 1) * total + code % total]), minlength=len(first) * 2 * total)
+            profile = profile.reshape(-1, 2, total).astype(float)
+            if held is not None:
+                if held[0][0] == word[0]:
+                    profile[0] += held[1][0]
+                else:
+                    yield out(*held)
+            if len(first) > 1:
+                yield out(word.take(pa.array(first[:-1])), profile[:-1])
+            held = word.slice(int(first[-1]), 1), profile[-1:]  # may go on in the next batch
+        if held is not None:
+            yield out(*held)
+        code = np.flatnonzero(table)
+        none = pa.array([None] * len(code), pa.string())
+        yield pa.RecordBatch.from_arrays([none, pa.array(table.reshape(-1)[code].astype(np.int64)), pa.array(code.astype(np.int32))], names=["word", "n", "class"])
+
+    rows = found.select("word", "code").repartition("word").sortWithinPartitions("word").mapInArrow(each, "word string, n long, class int")
+    rows = written(rows)
+    placed, pairs = rows.where("word is not null"), np.zeros(total * total)
+    for r in rows.where("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        pairs[r["class"]] = r["n"]
+    of = placed.select("word", "class")
+    both = found.where("after is not null").select("word", "after").join(of.withColumnRenamed("class", "a"), "word")
+    both = both.join(of.withColumnsRenamed({"word": "after", "class": "b"}), "after")
+    for r in both.groupBy("a", "b").count().collect():
+        pairs[r["a"] * total + r["b"]] += r["count"]
+    return placed, pairs.reshape(total, total)
+
+
+@dataclass
+class Model:
+    """Counts and classes. of and n are those of each code; rare is (word, n, class); joint, held and kinds are by class."""
+
+    index: dict[bytes, int]
+    of: np.ndarray
+    n: np.ndarray
+    rare: DataFrame
+    joint: np.ndarray
+    held: np.ndarray
+    kinds: np.ndarray
+    tokens: int
+    types: int
+
+
+def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP) -> tuple[Model, DataFrame]:
+    """The model of the rows of marked() that are not held out, and all of them coded."""
+    learn = rows.where("not held_out")
+    counts, n_train = word_counts(learn), learn.count()
+    n_words, n_types, n_once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(lookup).collect()  # bounded by lookup
+    index = {r["word"].encode(): RARE + 1 + i for i, r in enumerate(top)}
+    n = np.array([n_train, 0, *[r["n"] for r in top]], np.int64)
+    n[RARE] = n_words - n[RARE + 1 :].sum()
+    texts = coded(rows, index)
+    learn = texts.where("not held_out")
+    of, total = cluster(learn, n, head, classes), RARE + 1 + classes
+    joint = bigrams(learn, of, total)
+    rare, pairs = place(occurrences(learn, of, total), joint)
+    joint[RARE] = joint[:, RARE] = 0
+    held, kinds = np.bincount(of, n, total), np.bincount(of, minlength=total).astype(float)
+    held[RARE], kinds[RARE] = n_once, 1
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        held[r["class"]] += r["n"]
+        kinds[r["class"]] += r["kinds"]
+    return Model(index, of, n, rare, joint + pairs, held, kinds, n_words + n_train, n_types + (n_train > 0)), texts
+
+
+def word_classes(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP) -> DataFrame:
+    """(word, n, class) of every word of the documents that are not held out."""
+    model, _ = train(marked(docs), head, classes, lookup)
+    rows = [(w.decode(), int(model.n[i]), int(model.of[i])) for w, i in model.index.items()]  # bounded by lookup
+    return docs.sparkSession.createDataFrame(rows, "word string, n long, class int").union(model.rare)
+
+
+def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP) -> DataFrame:
+    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Scores are log10 probabilities; tokens are a text's words and its end. Null texts are empty; repeated rows count and score as
+    often as they stand there. Without any training document all counts are 0 and scores are those of an empty model.
+    """
+    model, texts = train(marked(docs), head, classes, lookup)
+    joint, held, total = model.joint, model.held, len(model.held)
+    prior = (held + ALPHA) / (held.sum() + ALPHA * total)
+    step = np.log10((joint + BETA * prior[None, :]) / (joint.sum(axis=1, keepdims=True) + BETA))
+    spare = np.log10(np.maximum(held + ALPHA * model.kinds, ALPHA))  # an emission is log10(count + ALPHA) less this
+    base = float(np.log10(model.tokens + ALPHA * (model.types + 1)))
+    log_n = np.log10(model.n + ALPHA)
+    log_n[RARE] = 0.0
+    sent = docs.sparkSession.sparkContext.broadcast((model.of, step, spare, log_n))
+    schema = "row long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, part double, word string, left int, right int"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, step, spare, end = sent.value
-        row = TaskContext.get().partitionId() << 33
+        of, step, spare, log_n = sent.value
+
+        def out(n: int, **columns) -> pa.RecordBatch:
+            rows = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)]
+            return pa.RecordBatch.from_arrays(rows, names=names)
+
         for batch in batches:
-            ids, outs = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            found: list[tuple] = []
-            for i, text in enumerate(values(batch.column("text"))):
-                own = words(text)
-                hits = [known.get(w) for w in own]
-                rare = [w for w, h in zip(own, hits) if h is None]
-                path = np.array([0, *[h[1] if h else ending(w) for w, h in zip(own, hits)], 0])
-                counted = sum([h[0] for h in hits if h]) + end
-                part = float(step[path[:-1], path[1:]].sum() - spare[path[1:]].sum())
-                found.append((row, ids[i], outs[i], len(own) + 1, len(own) - len(rare), counted, part, None, None))
-                found.extend((row, None, None, None, None, None, None, w.decode(), n) for w, n in Counter(rare).items())
-                row += 1
-                if len(found) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types_)], names=names)
-                    found = []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types_)], names=names)
-
-    types_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
-    out = written(rows.mapInArrow(each, schema))
-    rare = out.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
-    seen = F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))
-    rare = rare.groupBy("row").agg(
-        F.sum(seen).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("rarely")
-    )
-    both = out.where("word is null").join(rare, "row", "left")
-    counted = F.col("counted") + F.coalesce("rarely", F.lit(0.0))
-    known_end = F.lit(1 if n_train else 0)
+            if not batch.num_rows:
+                continue
+            x, size = line(batch), numbers(pa.compute.list_value_length(batch.column("ids")))
+            k, known, first = of[x], x != RARE, np.cumsum(size) - size
+            part = np.where(known[1:] & known[:-1], step[k[:-1], k[1:]], 0.0) + np.where(known[1:], log_n[x[1:]] - spare[k[1:]], 0.0)
+            seen, counted, part = (np.add.reduceat(v, first) for v in ((x[1:] > RARE).astype(np.int64), log_n[x[1:]], part))
+            yield out(batch.num_rows, row=batch.column("row"), pos=np.full(batch.num_rows, -1), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=size, n_known=seen, counted=counted, part=part)
+            at = np.flatnonzero(~known)
+            text = np.repeat(np.arange(batch.num_rows), size)[at - 1]
+            left, right = (np.where(known[i], k[i], -1) for i in (at - 1, at + 1))
+            if len(at):
+                yield out(len(at), row=numbers(batch.column("row"))[text], pos=at - 1 - first[text], word=batch.column("rare").flatten(), left=left, right=right)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, step, spare, _ = sent.value
+        for batch in runs(batches, ["row"]):
+            pos, k, n, left, right = (numbers(batch.column(c)) for c in ("pos", "class", "n", "left", "right"))
+            doc, rare, counted = np.flatnonzero(pos < 0), pos >= 0, np.log10(n + ALPHA)
+            left = np.where(left >= 0, left, np.roll(k, 1))  # a rare word after a rare one comes in the row after
+            part = step[left, k] + np.where(right >= 0, step[k, right], 0.0) + np.where(n > 0, counted - spare[k], 0.0)
+            more, counted, part = (np.add.reduceat(np.where(rare, v, 0), doc) for v in ((n > 0).astype(np.int64), counted, part))
+            own = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "held_out", "n_tokens", "n_known", "counted", "part")]
+            sums = [pa.array(numbers(c) + v) for c, v in zip(own[3:], (more, counted, part))]
+            yield pa.RecordBatch.from_arrays([*own[:3], *sums], names=["doc_id", "held_out", "n_tokens", "n_known", "counted", "part"])
+
+    rows = written(texts.mapInArrow(each, schema))
+    rare = rows.where("word is not null").join(model.rare, "word", "left")
+    zero = F.lit(0)
+    rare = rare.select(*names[:8], "left", "right", F.coalesce("n", zero).alias("n"), F.coalesce("class", F.lit(RARE)).alias("class"))
+    own = rows.where("word is null").select(*names[:8], zero.alias("left"), zero.alias("right"), zero.cast("long").alias("n"), zero.alias("class"))
+    both = own.union(rare).repartition("row").sortWithinPartitions("row", "pos")
+    both = both.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, part double")
     both = both.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0)) + known_end).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (counted - F.col("n_tokens") * base).alias("base_score"),
-        (counted + F.col("class_part")).alias("score"),
+        (F.col("n_known") + F.lit(1 if model.n[END] else 0)).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("counted") - F.col("n_tokens") * base).alias("base_score"),
+        F.col("part").alias("score"),
     )
     return both.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

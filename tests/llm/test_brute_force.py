@@ -186,17 +186,51 @@ def test_language_model(spark, sf, docs):
 
 def test_rare_words_find_their_counts(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    a = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in brown.score(d, clustered=50, lookup=100).collect()}
-    b = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in brown.score(d, clustered=50).collect()}
+    a = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in brown.score(d, head=50, lookup=100).collect()}
+    b = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in brown.score(d, head=50).collect()}
     assert a == b
 
 
+@pytest.mark.parametrize("lookup", [400, 10**6])
+def test_every_word_is_in_its_best_class(spark, sf, docs, lookup):
+    train = [brown.words(t.encode()) for i, t in docs.items() if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    rows = {r["word"].encode(): (r["n"], r["class"]) for r in brown.word_classes(spark.read.parquet(f"{sf}/documents.parquet"), 60, 8, lookup).collect()}
+    assert {w: n for w, (n, _) in rows.items()} == counts and {k for _, k in rows.values()} <= set(range(2, 10))
+    frequent = set(sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], w))[:lookup])
+    of = {w: k if w in frequent else brown.RARE for w, (_, k) in rows.items()}
+    joint, beside = np.zeros((10, 10)), {w: np.zeros((2, 10)) for w in rows}
+    for t in train:
+        for x, y in zip([None, *t], [*t, None]):
+            a, b = (brown.END if w is None else of[w] for w in (x, y))
+            joint[a, b] += 1
+            for w, side, k in ((x, 0, b), (y, 1, a)):
+                if w is not None:
+                    beside[w][side, k] += 1
+    size, order = joint.sum(axis=1), sorted(rows)
+    nxt, prv = (np.array([beside[w][i] for w in order]) for i in (0, 1))
+    now = np.array([rows[w][1] for w in order])
+    rare = np.array([w not in frequent for w in order])
+    want = brown.best(nxt, prv, np.where(rare, brown.RARE, now), joint, size)
+    assert (want == now)[rare].all()
+    # those that still change places do so at the same likelihood, in step with their neighbours
+    assert (want == now)[~rare].mean() > (0.95 if lookup < 1000 else 0.85)
+
+
+def test_rare_words_keep_their_places_in_scores(spark):
+    """With all classes one, a score is that of the emissions, wherever words find their counts."""
+    d = spark.createDataFrame([(i, f"a b a x{i} y{i} b a z{i % 3} end") for i in range(60)] + [(60, None), (61, "")], "doc_id long, text string")
+    rows = [{r["doc_id"]: r["score"] for r in brown.score(d, head=h, classes=1, lookup=n).collect()} for h, n in ((2, 2), (2, 100), (100, 100))]
+    assert rows[0] == pytest.approx(rows[1]) and rows[1] == pytest.approx(rows[2])
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(3)
-    table = np.zeros((brown.ENDINGS + 8, brown.ENDINGS + 8))
+    table = np.zeros((12, 12))
     table[-8:-4, -4:] = table[-4:, -8:-4] = rng.integers(5, 9, (4, 4))
-    of = brown.exchange(table, classes=2)[-8:]
-    assert len(set(of[:4])) == len(set(of[4:])) == 1 and of[0] != of[4]
+    of = np.array([0, 1, 2, 3, *[2, 3] * 4])
+    assert brown.exchange(table, of, 4, 4) > 0
+    assert len(set(of[4:8])) == len(set(of[8:])) == 1 and of[4] != of[8]
 
 
 def test_fingerprints(spark, sf, docs):
