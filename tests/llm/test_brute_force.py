@@ -244,9 +244,50 @@ def test_fingerprints(spark, sf, docs):
         assert same.setdefault(t, r["fingerprint"]) == r["fingerprint"]
         pair = [{x[k : k + 16] for k in range(0, len(x), 16)} for x in (r["fingerprint"], rows[after]["fingerprint"])]
         assert r["near_next"] == pytest.approx(len(pair[0] & pair[1]) / len(pair[0] | pair[1]) if pair[0] | pair[1] else 1.0)
-    whole = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h i")], "doc_id long, text string")
-    a, b = (set(r["s"]) for r in whole.select(fingerprints.sketch(F.col("text"), 5, 1.0).alias("s")).collect())
-    assert len(a) == 4 and a < b and len(b) == 5
+        edited = t[: len(t) - half] + u[:half]
+        if edited in same:
+            assert same[edited] == r["edited_fingerprint"]
+        pair = [{x[k : k + 16] for k in range(0, len(x), 16)} for x in (r["fingerprint"], r["edited_fingerprint"])]
+        assert r["near_edited"] == pytest.approx(len(pair[0] & pair[1]) / len(pair[0] | pair[1]) if pair[0] | pair[1] else 1.0)
+    # sketches of edited texts are those that such texts have as documents
+    texts = [(r["doc_id"], docs[r["doc_id"]][: len(docs[r["doc_id"]]) - len(docs[r["doc_id"]]) // 2] + docs[n][: len(docs[r["doc_id"]]) // 2]) for r, n in zip((rows[i] for i in ids), [*ids[1:], ids[0]])]
+    again = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert again == {i: rows[i]["edited_fingerprint"] for i in ids}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_sketches_estimate_and_merge(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 4000)]
+    texts = {"a": words[:3000], "b": words[1000:], "c": words[:40], "d": ["one"], "e": []}
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "name string, text string")
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in texts.items()}
+    got = {r["name"]: r["s"] for r in rows.select("name", fingerprints.sketch(F.col("text")).alias("s")).collect()}
+    full = {r["name"]: r["s"] for r in rows.select("name", fingerprints.sketch(F.col("text"), 5, 1.0).alias("s")).collect()}
+    assert [len(full[k]) for k in "abc"] == [len(sets[k]) for k in "abc"] and len(full["d"]) == 1 and full["e"] == []
+    assert all(set(got[k]) == {x for x in full[k] if x < fingerprints.below(fingerprints.FRACTION)} for k in got)
+    pair = rows.where("name = 'a'").crossJoin(rows.where("name = 'b'").toDF("other", "text2"))
+    one = pair.select(*[fingerprints.sketch(F.col(c)).alias(c) for c in ("text", "text2")])
+    near, part, both = one.select(fingerprints.likeness(F.col("text"), F.col("text2")), fingerprints.containment(F.col("text"), F.col("text2")), fingerprints.merge(F.col("text"), F.col("text2"))).first()
+    assert near == pytest.approx(jaccard(sets["a"], sets["b"]), abs=0.06) and part == pytest.approx(len(sets["a"] & sets["b"]) / len(sets["a"]), abs=0.06)
+    # the union's sketch, made of its own shingles
+    assert both == sorted(x for x in set(full["a"]) | set(full["b"]) if x < fingerprints.below(fingerprints.FRACTION))
+    grouped = fingerprints.merged(rows.where("name < 'c'").select(F.lit(1).alias("g"), fingerprints.sketch(F.col("text")).alias("sketch")), ["g"])
+    assert sorted(r["hash"] for r in grouped.collect()) == both
+
+
+def test_ranges_hold_however_the_ids_lie(spark):
+    rows = spark.range(20_000).selectExpr("cast(if(id = 0, 9000000000000000000, id) as long) as doc_id", "xxhash64(id) as key", "cast(id as string) as text")
+    sizes = [r["count"] for r in fingerprints.in_ranges(rows).groupBy("range").count().collect()]
+    assert max(sizes) < 4 * fingerprints.RANGE_ROWS and len(sizes) > 10
+    got = {r["text"]: r["next_text"] for r in fingerprints.with_next(rows, ["text"], 100).collect()}
+    order = [*map(str, range(1, 20_000)), "0"]
+    assert got == dict(zip(order, [*order[1:], order[0]]))
+    same = rows.withColumn("doc_id", F.lit(5).cast("long"))  # one id, many texts
+    assert max(r["count"] for r in fingerprints.in_ranges(same).groupBy("range").count().collect()) < 4 * fingerprints.RANGE_ROWS
 
 
 def test_pipeline(spark, sf):
