@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade > k) = logistic(w x - theta_k): one weight vector for all thresholds, and thresholds that rise. Features are the
-presence of terms that the labelled texts tie to toxicity. Grades come with the labels, or are made of their 0/1 mark and of
-how many of those terms a toxic text holds. A bounded sample of labelled documents trains the model; every text is scored.
+presence of terms, as many as the labelled texts tie to toxicity. Grades come from the labels alone. A bounded sample of labelled
+documents trains the model; every text is scored.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from lorespark.llm.arrow import values
 from lorespark.llm.common import broadcast_if_small, documents, without, written
 
-#: At most about so many labelled documents train the model, with so many terms.
-TRAINING_DOCS, TERMS = 20_000, 1024
-#: A term counts from this many toxic training texts.
-LEAST_TEXTS = 3
+#: At most about so many labelled documents train the model, with as many terms as they bear out.
+TRAINING_DOCS = 20_000
+#: Terms are taken as long as chance would explain at most this share of them; below the score FLOOR none is.
+CHANCE, FLOOR = 0.1, 3.0
 #: A text with a chance above this of any grade over 0 is rejected.
 REJECT = 0.6
 #: Bytes of a word's beginnings that are features of their own.
@@ -36,33 +36,40 @@ def terms_of(text: bytes) -> set[bytes]:
     return words | {w[:k] + b"*" for w in words for k in BEGINNINGS if len(w) > k}
 
 
+def severity(labels: DataFrame) -> Column:
+    """The grade column where there is one; a bare 0/1 mark gives two grades, and so a single threshold."""
+    return F.col("grade" if "grade" in labels.columns else "toxic").cast("int")
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> DataFrame:
-    """(doc_id, text, toxic, grade) of a hash sample of the labelled documents; grade is null where labels have none. Written."""
-    grade = F.col("grade").cast("int") if "grade" in labels.columns else F.lit(None).cast("int")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), grade.alias("grade"))
-    marks = marks.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("grade").alias("grade"))
+    """(doc_id, text, grade) of a hash sample of the labelled documents. Written.
+
+    Labels without an id or a grade are passed over; of several for one id the gravest counts.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), severity(labels).alias("grade"))
+    marks = marks.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     share = min(1.0, most / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return written(documents(docs).select("doc_id", "text").join(broadcast_if_small(marks), "doc_id"))
 
 
-def choose_terms(sample: DataFrame, most: int = TERMS) -> list[bytes]:
-    """Terms that more toxic training texts hold than chance explains, the surest first; at most ``most``."""
+def choose_terms(sample: DataFrame) -> list[bytes]:
+    """All terms that more toxic training texts hold than chance explains, the surest first; their number is bounded by the sample's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list[int]] = {}
-            for text, toxic in zip(values(batch.column("text")), batch.column("toxic").to_pylist()):
+            for text, toxic in zip(values(batch.column("text")), batch.column("grade").to_pylist()):
                 for w in terms_of(text):
                     found.setdefault(w, [0, 0])[1 if toxic else 0] += 1
             if found:
                 clean, bad = zip(*found.values())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(clean, pa.int64()), pa.array(bad, pa.int64())], names=["term", "clean", "bad"])
 
-    held = sample.select("text", "toxic").mapInArrow(count, "term binary, clean long, bad long")
-    held = held.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where(F.col("bad") >= LEAST_TEXTS)
-    n, bad = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
-    # signed root of the likelihood ratio statistic; as many terms are tested, so high it must be to be no accident
+    held = sample.select("text", "grade").mapInArrow(count, "term binary, clean long, bad long")
+    held = held.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
+    n, bad = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("grade") > 0).cast("int")), F.lit(0))).first()
+    # root of the likelihood ratio statistic
     x, y = F.col("bad").cast("double"), F.col("clean").cast("double")
     good, all_ = n - bad, max(1, n)
 
@@ -73,10 +80,15 @@ def choose_terms(sample: DataFrame, most: int = TERMS) -> list[bytes]:
         (part(k, side * share / all_) for k, side, share in ((x, x + y, bad), (y, x + y, good), (bad - x, all_ - x - y, bad), (good - y, all_ - x - y, good))),
         F.lit(0.0),
     )
-    held = written(held.withColumn("z", F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))).withColumn("odds", F.log((x + 0.5) / (y + 0.5))))
-    least = math.sqrt(2 * math.log(max(2, held.count())))
-    held = held.where((F.col("z") >= least) & (x * good > y * bad))
-    return [bytes(r["term"]) for r in held.orderBy(F.desc("z"), "term").limit(most).collect()]
+    tied = F.when(x * good > y * bad, F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))).otherwise(0.0)
+    held = written(held.withColumn("z", tied))
+    if not 0 < bad < n:
+        return []
+    # only terms in enough texts can reach the floor; the others are no trials of chance
+    trials = held.where(F.col("bad") + F.col("clean") >= FLOOR**2 / (2 * math.log(n / bad))).count()
+    found = held.where(F.col("z") >= FLOOR).orderBy(F.desc("z"), "term").select("term", "z").collect()
+    most = max((k for k, r in enumerate(found, 1) if trials * math.exp(-r["z"] ** 2 / 2) <= CHANCE * k), default=0)
+    return [bytes(r["term"]) for r in found[:most]]
 
 
 def fit(rows: list[tuple[list[int], int]], features: int, steps: int = 400, l2: float = 3e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +96,11 @@ def fit(rows: list[tuple[list[int], int]], features: int, steps: int = 400, l2:
 
     Thresholds are the first and exponentials of the gaps, so they rise. l2 weighs the squared weights against the mean loss.
     """
-    at = np.concatenate([np.full(len(x), i) for i, (x, _) in enumerate(rows)] or [np.zeros(0)]).astype(np.int64)
+    at = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows]).astype(np.int64)
     term = np.array([t for x, _ in rows for t in x], np.int64)
     grade = np.array([y for _, y in rows], np.int64)
     cuts = max(1, int(grade.max(initial=0)))
     p = np.zeros(features + cuts)
-    p[features + 1 :] = np.log(1.0)
     p[features] = 1.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     n = max(1, len(rows))
@@ -123,18 +134,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> tupl
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [[place[w] for w in terms_of(t) if w in place] for t in values(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), batch.column("toxic"), batch.column("grade")], names=["terms", "toxic", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), batch.column("grade")], names=["terms", "grade"])
 
-    rows = sample.select("text", "toxic", "grade").mapInArrow(features, "terms array<int>, toxic int, grade int").collect()  # bounded sample
-    made = [(sorted(r["terms"]), r["grade"] if r["grade"] is not None else (1 + (len(r["terms"]) > 1) if r["toxic"] else 0)) for r in rows]
-    w, theta = fit(sorted(made), len(terms))
+    rows = sample.select("text", "grade").mapInArrow(features, "terms array<int>, grade int").collect()  # bounded sample
+    w, theta = fit(sorted((sorted(r["terms"]), r["grade"]) for r in rows), len(terms))
     return {t: float(w[i]) for t, i in place.items()}, theta
 
 
 def grade(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> DataFrame:
     """One row for each document: doc_id, key, expected_severity, p_toxic, grade, rejected.
 
-    expected_severity sums the chances of exceeding each threshold; grade is the likeliest. Null and empty texts have no term.
+    expected_severity sums the chances of exceeding each threshold; grade is the likeliest. Null and empty texts have no term, and
+    the grade of such texts. Repeated rows have a row each, with equal results.
     """
     weights, theta = train(docs, labels, most)
 

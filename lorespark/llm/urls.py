@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorespark.llm.common import broadcast_if_small, split_words, written
 
@@ -69,33 +70,47 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def rates(labelled: DataFrame, column: str) -> DataFrame:
-    """(column, seen, blocked): labelled URLs of each value, and their smoothed share of blocked ones, counted over all of them."""
-    sums = labelled.groupBy(column).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
-    return sums.select(column, F.log1p("n").alias("seen"), ((F.col("bad") + 1) / (F.col("n") + 2)).alias("blocked"))
+#: Block rates of training URLs are counted on the other folds, so no URL sees its own label.
+FOLDS = 5
+RATED = {"suffix": "suffix_blocked", "site": "host_blocked", "section": "section_blocked"}
+
+
+def rates(labelled: DataFrame, column: str, others: bool = False) -> DataFrame:
+    """(column, seen, blocked): labelled URLs of each value, and their smoothed share of blocked ones, counted over all of them.
+
+    With ``others`` there is a row for each value and fold, that counts the URLs of all other folds.
+    """
+    sums = labelled.groupBy(column, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    if others:
+        whole = Window.partitionBy(column)
+        sums = sums.select(column, "fold", (F.sum("n").over(whole) - F.col("n")).alias("n"), (F.sum("bad").over(whole) - F.col("bad")).alias("bad"))
+    else:
+        sums = sums.groupBy(column).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return sums.withColumns({"seen": F.log1p("n"), "blocked": (F.col("bad") + 1) / (F.col("n") + 2)}).drop("n", "bad")
 
 
 def with_rates(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """rows with suffix_seen, suffix_blocked, host_blocked and section_blocked; values that no labelled URL has are neutral."""
-    named = {"suffix": "suffix_blocked", "site": "host_blocked", "section": "section_blocked"}
-    for column, name in named.items():
+    for column, name in RATED.items():
         table = tables[column].withColumnsRenamed({"seen": "suffix_seen", "blocked": name})
         table = table if column == "suffix" else table.drop("suffix_seen")
-        rows = rows.join(broadcast_if_small(table), column, "left")
-    return rows.fillna({"suffix_seen": 0.0} | dict.fromkeys(named.values(), 0.5))
+        rows = rows.join(broadcast_if_small(table), [c for c in (column, "fold") if c in table.columns], "left")
+    return rows.fillna({"suffix_seen": 0.0} | dict.fromkeys(RATED.values(), 0.5))
 
 
 def train(labelled: DataFrame, most: int = TRAINING_URLS, trees: int = 12, depth: int = 4, seed: int = 7) -> tuple[GBTClassificationModel | None, dict[str, DataFrame]]:
     """Trees, and block rates of suffixes, sites and first path sections, from labelled lexical rows (label 1.0: block).
 
-    The rates count every labelled row; the trees see a hash sample of about ``most`` rows. Without both labels the model is None.
+    The rates count every labelled row; the trees see a hash sample of about ``most`` rows, with rates of the other folds.
+    Without both labels the model is None.
     """
-    tables = {c: written(rates(labelled, c)) for c in ("suffix", "site", "section")}
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(seed + 1)), F.lit(FOLDS)))
+    tables = {c: written(rates(labelled, c)) for c in RATED}
     total, bad = labelled.agg(F.count("*"), F.sum("label")).first()
     if not total or not 0 < bad < total:
         return None, tables
     keep = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / total))
-    sample = with_rates(labelled.where(keep), tables).select("label", *FEATURES)
+    sample = with_rates(labelled.where(keep), {c: written(rates(labelled, c, others=True)) for c in RATED}).select("label", *FEATURES)
     sample = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(written(sample).repartition(4))
     if sample.select("label").distinct().count() < 2:
         return None, tables
@@ -108,7 +123,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple
 
     labelled: (url, label 1.0 block or 0.0 allow). Without it, the URLs that rules decide are the labelled ones, so the trees
     carry the rules' judgement over to URLs that look alike. block_score is the trees' probability; null where there are none,
-    and then what no rule decides is allowed. Null or malformed URLs have an empty host and path and are judged like others.
+    and then what no rule decides is allowed. Null or malformed URLs have an empty host and path and are judged like others;
+    repeated rows have a row each, with equal results.
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = lexical(urls).withColumn("by_rule", ruled(F.col("host"), F.col("path"), rules))
