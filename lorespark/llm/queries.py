@@ -80,10 +80,23 @@ WITH w AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+), slot AS (
+  SELECT item_id, unnest(list_distinct(ws)) AS term FROM item WHERE len(ws) > 0
+), place AS (
+  SELECT doc_id, ws[p] AS term, CAST(floor((p - 1) / 20) AS BIGINT) AS block FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS p FROM w) WHERE ws[p] IN (SELECT term FROM slot)
+), freq AS (
+  SELECT term, count(*) AS f FROM place GROUP BY term
+), ranked AS (
+  SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(f, 0), term) AS r, least(3, count(*) OVER (PARTITION BY item_id)) AS needed FROM slot LEFT JOIN freq USING (term)
+), beside AS (
+  SELECT doc_id, item_id, r, needed, unnest([block - 1, block]) AS b FROM place JOIN ranked USING (term) WHERE r <= 3
+), near AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near_ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, item_id, b FROM beside GROUP BY doc_id, item_id, b HAVING count(DISTINCT r) >= min(needed))) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP2_SQL = r"""

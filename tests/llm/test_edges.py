@@ -53,7 +53,10 @@ def test_decontamination(odd_docs, items):
     assert rows[3, 0]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     near = decontamination.proximity_matches(decontamination.documents(odd_docs), items, terms=3).select("doc_id", "item_id").distinct().collect()
     assert {(2, "4"), (2, "5")} <= {tuple(r) for r in near}
-    assert decontamination.decontaminate(odd_docs, items.limit(0)).where("contaminated").count() == 0
+    assert not any(x[1] in ("6", "None") for x in map(tuple, near))  # an item with a term that no document has
+    assert decontamination.decontaminate(odd_docs, items.limit(0)).where("contaminated or n_near > 0").count() == 0
+    kept = decontamination.keep_clean(odd_docs, items)
+    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} >= {3, 4, 5} and decontamination.keep_clean(odd_docs.limit(0), items).count() == 0
 
 
 def test_mixing_meets_targets(odd_docs):
