@@ -9,28 +9,33 @@ anchor and the bytes of its windows are two hashes. Sorted by them,
 * an anchor met with different bytes around it, where a repeat may begin or end, has its suffixes examined,
 * an anchor met once, or always with the same bytes, has no more to tell.
 
-The stretches to examine go through a finer sieve of the same kind: each holds at most 18 windows that share 83 bytes, and
-takes its bytes along. What is left at the edges of repeats is cut into suffixes.
+The stretches to examine take their bytes along through a finer sieve of the same kind: each holds at most 18 windows that share
+83 bytes, and is compared byte by byte. What is left at the edges of repeats is cut into suffixes. These are range-partitioned by
+their leading bytes at sampled splitters, sorted in each partition by multikey quicksort, and compared byte by byte with their
+neighbours, across partitions too. Documents never share a window.
 
-These are range-partitioned by their leading eight bytes at sampled splitters, sorted in each partition by
-these and a hash of LENGTH bytes, and compared with their neighbours, across partitions too. Documents never share a window.
-Hashes have 64 bits and stand for the bytes.
+Only in the first sieve do hashes stand for bytes: two different stretches are taken for one if both their hashes agree, a chance
+of 2 ** -128 for unrelated ones and of 2 ** -64 for each pair around one anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorespark.llm.arrow import numbers, values
 from lorespark.llm.common import broadcast_if_small, join_on, written
-from lorespark.llm.repeats import PLACE, differs, placed, repeated
+from lorespark.llm.repeats import PLACE, differs, placed
 
 LENGTH, MER = 100, 32
 #: Of the LENGTH - MER bytes beside an anchor, a window has three quarters in steps of STEP to its left or right.
@@ -53,8 +58,11 @@ def _doubled(h: np.ndarray, step: int, factor: np.uint64) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: each anchor's hash, the hash of its windows' bytes, first window, windows less one, place."""
+def anchors(data: np.ndarray, ends: np.ndarray, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end: each anchor's hash, the hash of its windows' bytes, first window, windows less one, place.
+
+    Fewer bits make anchors meet that differ: more is examined, and nothing else changes.
+    """
     none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     if len(data) < LENGTH:
         return none
@@ -81,7 +89,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     around = wide[first] * ODD[9] + wide[first + (size - 2 * MER) // 2] * ODD[10] + wide[first + size - 2 * MER] * ODD[11]
     around += size.astype(np.uint64) * ODD[12] + (spot - first).astype(np.uint64) * ODD[13]
     around ^= around >> np.uint64(31)
-    return h[spot], around, first, last - first, spot - first
+    return h[spot] >> np.uint64(64 - bits), around, first, last - first, spot - first
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -108,7 +116,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield flush()
 
 
-def sieve(docs: DataFrame) -> DataFrame:
+def sieve(docs: DataFrame, bits: int = 64) -> DataFrame:
     """Of placed documents (kind, did, key, start, length): kind 0 are repeated stretches, kind 1 stretches to be examined; written.
 
     length is that of the bytes plus 256 times the place of the anchor in them.
@@ -118,7 +126,7 @@ def sieve(docs: DataFrame) -> DataFrame:
         for batch in batches:
             did, key = numbers(batch.column("did")), numbers(batch.column("key"))
             for data, ends, rows, offsets in _pieces(batch):
-                h, g, first, more, spot = anchors(data, ends)
+                h, g, first, more, spot = anchors(data, ends, bits)
                 text = np.searchsorted(ends, first, side="right")
                 start = first - np.concatenate([[0], ends[:-1]])[text] + offsets[text]
                 row = rows[text]
@@ -129,11 +137,13 @@ def sieve(docs: DataFrame) -> DataFrame:
     return sifted(rows)
 
 
-def sifted(rows: DataFrame) -> DataFrame:
+def sifted(rows: DataFrame, g: str = "g") -> DataFrame:
     """(kind, did, key, start, length, ...) of rows (h, g, did, key, start, length, ...): kind 0 repeats an earlier row of its
-    h and g, kind 1 is the first of its g where h has another g too, or may have in another partition; written."""
+    h and g, kind 1 is the first of its g where h has another g too, or may have in another partition; written.
+
+    g may be bytes; such a column stays."""
     extra = [c for c in rows.columns if c not in ("h", "g", *PLACE, "length")]
-    order = ["h", "g", *PLACE]
+    order = ["h", g, *PLACE]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     names = ["kind", *PLACE, "length", *extra]
     schema = "kind int, did long, key long, start long, length int" + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in extra)
@@ -152,7 +162,7 @@ def sifted(rows: DataFrame) -> DataFrame:
             begin = last is None
             whole = pa.Table.from_batches([batch] if begin else [last, batch]).combine_chunks().to_batches()[0]
             new_h = differs(whole.column("h"))
-            new_g = new_h | differs(whole.column("g"))
+            new_g = new_h | differs(whole.column(g))
             moved = np.logical_or.reduce([differs(whole.column(c)) for c in PLACE])
             if not begin:
                 new_h[0] = new_g[0] = False
@@ -187,13 +197,12 @@ def examined(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     digest = xxhash.xxh3_64_intdigest
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "g", *PLACE, "length", "body"]
+        names = ["h", *PLACE, "length", "body"]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            h, g, d, k, s, n, body = zip(*rows)
-            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, g)]
-            columns += [pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(body, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            h, d, k, s, n, body = zip(*rows)
+            columns = [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(body, pa.binary())], names=names)
 
         for batch in batches:
             ids = zip(numbers(batch.column("did")).tolist(), numbers(batch.column("key")).tolist())
@@ -208,14 +217,14 @@ def examined(docs: DataFrame, stretches: DataFrame) -> DataFrame:
                         if low <= high:
                             body = text[low : high + LENGTH]
                             core = text[x - STEP * q : x + MER + STEP * (3 - q)]
-                            rows.append((digest(core, q), digest(body, x - low), d, k, low, len(body), body))
+                            rows.append((digest(core, q), d, k, low, len(body), body))
                 if len(rows) > 20_000:
                     yield out(rows)
                     rows = []
             if rows:
                 yield out(rows)
 
-    fine = sifted(texts.mapInArrow(parts, "h long, g long, did long, key long, start long, length int, body binary"))
+    fine = sifted(texts.mapInArrow(parts, "h long, did long, key long, start long, length int, body binary"), "body")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,20 +235,75 @@ def examined(docs: DataFrame, stretches: DataFrame) -> DataFrame:
             if not len(row):
                 continue
             at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            lead = [b[p : p + 8] for b, n in zip(bodies, many.tolist()) for p in range(n)]
-            lead = np.frombuffer(b"".join(lead), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-            whole = np.fromiter((digest(b[p : p + LENGTH]) for b, n in zip(bodies, many.tolist()) for p in range(n)), np.uint64, len(row))
-            places = [numbers(batch.column("did"))[row], numbers(batch.column("key"))[row], start[row] + at, np.full(len(row), LENGTH, np.int32)]
-            columns = [pa.array(x) for x in (lead.view(np.int64), whole.view(np.int64), *places)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lead", "value", *PLACE, "length"])
+            suffix = pa.array([b[p : p + LENGTH] for b, n in zip(bodies, many.tolist()) for p in range(n)], pa.binary())
+            places = [numbers(batch.column("did"))[row], numbers(batch.column("key"))[row], start[row] + at]
+            yield pa.RecordBatch.from_arrays([suffix, *[pa.array(x) for x in places]], names=["suffix", *PLACE])
+
+    rows = fine.where("kind = 1").select(*PLACE, "body").mapInArrow(suffixes, "suffix binary, did long, key long, start long")
+    return fine.where("kind = 0").select(*PLACE, "length").union(repeated_suffixes(rows))
 
-    rows = fine.where("kind = 1").select(*PLACE, "body").mapInArrow(suffixes, "lead long, value long, did long, key long, start long, length int")
-    return fine.where("kind = 0").select(*PLACE, "length").union(repeated(rows, ("lead", "value")))
 
+def multikey_quicksort(suffixes: np.ndarray, places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): suffixes (rows of bytes) in order, equal ones in that of places; same tells which equal the one before.
 
-def repeated_stretches(docs: DataFrame) -> DataFrame:
+    Sorted by their first eight bytes; what ties there, and no other, is sorted by the next eight, and so on.
+    """
+    n, width = suffixes.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = suffixes
+    words = words.view(">u8").astype(np.uint64)
+    order, tied = np.arange(n), np.ones(n, bool)  # tied with the one before, so far
+    tied[:1] = False
+    for w in range(words.shape[1] + 1):
+        open_ = np.flatnonzero(tied | np.append(tied[1:], False)[:n])
+        if not len(open_):
+            break
+        rows, group = order[open_], np.cumsum(~tied[open_])
+        last = w == words.shape[1]
+        keys = places[::-1] if last else [words[:, w]]
+        order[open_] = rows = rows[np.lexsort([*[k[rows] for k in keys], group])]
+        if not last:
+            tied[open_[1:]] = (np.diff(group) == 0) & (words[rows[1:], w] == words[rows[:-1], w])
+            tied[open_[0]] = False
+    return order, tied
+
+
+def repeated_suffixes(rows: DataFrame) -> DataFrame:
+    """(did, key, start, length) of every one of rows (suffix, did, key, start) whose bytes are those of an earlier one.
+
+    A task holds its range of suffixes; places are part of the splitters, so equal suffixes are dealt to many ranges.
+    """
+    order = ["suffix", *PLACE]
+    names, schema = ["kind", "part", *order], "kind int, part int, suffix binary, did long, key long, start long"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        places = [numbers(whole.column(c).combine_chunks()) for c in PLACE]
+        suffixes = np.concatenate([np.frombuffer(b"".join(values(b.column("suffix"))), np.uint8).reshape(-1, LENGTH) for b in held])
+        at, same = multikey_quicksort(suffixes, places)
+        moved = np.zeros(len(at), bool)
+        moved[1:] = np.logical_or.reduce([p[at[1:]] != p[at[:-1]] for p in places])
+        again = at[same & moved]
+        rows, kinds = np.concatenate([[at[0]], again, [at[-1]]]), np.concatenate([[1], np.zeros(len(again), int), [2]])
+        part = np.full(len(rows), TaskContext.get().partitionId())
+        out = [pa.array(kinds.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array([suffixes[i].tobytes() for i in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*out, *[pa.array(p[rows]) for p in places]], names=names)
+
+    found = written(rows.repartitionByRange(*order).mapInArrow(scan, schema))
+    # two rows a partition: their order needs no more than one task
+    before = Window.partitionBy(F.lit(0)).orderBy("part", "kind")
+    ends = found.where("kind > 0").select("*", *[F.lag(c).over(before).alias(f"last_{c}") for c in order])
+    moved = reduce(or_, [F.col(c) != F.col(f"last_{c}") for c in PLACE])
+    crossed = ends.where((F.col("kind") == 1) & (F.col("suffix") == F.col("last_suffix")) & moved)
+    return found.where("kind = 0").select(*PLACE, F.lit(LENGTH).alias("length")).union(crossed.select(*PLACE, F.lit(LENGTH).alias("length")))
+
+
+def repeated_stretches(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(did, key, spans array<struct<start, end>>): the bytes to remove of every document that has any, merged and in order."""
-    found = sieve(docs)
+    found = sieve(docs, bits)
     rows = found.where("kind = 0").select(*PLACE, (F.col("length") % 256).cast("int").alias("length")).union(examined(docs, found.where("kind = 1")))
     lists = rows.groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at"))
 
@@ -257,14 +321,14 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     return written(lists.mapInArrow(merged, "did long, key long, spans array<long>"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, bits: int = 64) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A null text is empty. Rows equal in doc_id and text are one document and none repeats another; rows of one doc_id with
     different texts follow one another in the order of the texts' hashes; a null doc_id comes before all others.
     """
     docs = placed(docs)
-    spans = broadcast_if_small(repeated_stretches(docs))
+    spans = broadcast_if_small(repeated_stretches(docs, bits))
     rows = join_on(docs, spans, ["did", "key"], "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorespark.llm import brown, common, fingerprints, queries, sentences, simhash
+from lorespark.llm import brown, common, fingerprints, queries, sentences, simhash, suffixes
 from tests.compare import spark_rows, sql_rows
 
 
@@ -25,7 +25,19 @@ def test_sql(spark, sf, name):
     assert spark_rows(queries.QUERIES[name](spark, sf)) == sql_rows(queries.ORACLES[name], sf)
 
 
-def test_suffixes(spark, sf, docs):
+def test_multikey_quicksort():
+    rng = np.random.default_rng(0)
+    rows = rng.integers(0, 2, (3000, 100), dtype=np.uint8)
+    rows[:, :97] = rng.integers(0, 2, (5, 97), dtype=np.uint8)[rng.integers(0, 5, 3000)]
+    places = [rng.integers(0, 9, 3000), rng.integers(0, 9, 3000)]
+    order, same = suffixes.multikey_quicksort(rows, places)
+    keys = [(r.tobytes(), *p) for r, *p in zip(rows[order], *(p[order].tolist() for p in places))]
+    assert keys == sorted(keys) and same.tolist() == [False, *[a[0] == b[0] for a, b in zip(keys, keys[1:])]]
+    assert [len(x) for x in suffixes.multikey_quicksort(rows[:0], [])] == [0, 0] and suffixes.multikey_quicksort(rows[:1], places)[1].tolist() == [False]
+
+
+@pytest.mark.parametrize("bits", [64, 8])
+def test_suffixes(spark, sf, docs, bits):
     seen, want = set(), {}
     for i, text in sorted(docs.items()):
         data = text.encode()
@@ -38,7 +50,7 @@ def test_suffixes(spark, sf, docs):
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i] = (len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op4_suffixes(spark, sf).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.deduplicate(spark.read.parquet(f"{sf}/documents.parquet"), bits).collect()}
     assert got == want
 
 
