@@ -85,7 +85,38 @@ def canonical_json(documents: pd.Series) -> pd.Series:
 
 
 def object_hash(document: Column) -> Column:
-    return F.md5(canonical_json(document))
+    """Hash of canonical JSON; of the text itself where it is no JSON."""
+    return F.md5(F.coalesce(canonical_json(document), document))
+
+
+def merged_metadata(provided: Mapping[str, Column], read: Mapping[str, Column]) -> dict[str, Column]:
+    """Fields of both; a provided value that is not null wins over the one read from the document."""
+    names = [*read, *(n for n in provided if n not in read)]
+    return {n: F.coalesce(*[m[n] for m in (provided, read) if n in m]) for n in names}
+
+
+def valid_query(json_: Column) -> Column:
+    """A translated query of a model's output: rewritten, domain, subject, subqueries (text, domain, subject). Null if rewritten is
+    missing or any subquery has no text."""
+    subs = F.coalesce(F.try_variant_get(json_, "$.subqueries", "array<struct<text:string,domain:string,subject:string>>"), F.array().cast("array<struct<text:string,domain:string,subject:string>>"))
+    rewritten = F.try_variant_get(json_, "$.rewritten", "string")
+    whole = F.struct(
+        rewritten.alias("rewritten"),
+        F.coalesce(F.try_variant_get(json_, "$.domain", "array<string>"), F.array_compact(F.array(F.try_variant_get(json_, "$.domain", "string")))).alias("domain"),
+        F.coalesce(F.try_variant_get(json_, "$.subject", "array<string>"), F.array_compact(F.array(F.try_variant_get(json_, "$.subject", "string")))).alias("subject"),
+        subs.alias("subqueries"),
+    )
+    return F.when(rewritten.isNotNull() & F.forall(subs, lambda s: s["text"].isNotNull()), whole)
+
+
+def valid_metadata(json_: Column) -> Column:
+    """File metadata of a model's output: title, domain, subject, authors, keywords; null if any is missing."""
+    one = {n: F.try_variant_get(json_, f"$.{n}", "string") for n in ("title", "domain", "subject")}
+    many = {n: F.try_variant_get(json_, f"$.{n}", "array<string>") for n in ("authors", "keywords")}
+    there = F.lit(True)
+    for c in (*one.values(), *many.values()):
+        there = there & c.isNotNull()
+    return F.when(there, F.struct(*[c.alias(n) for n, c in (one | many).items()]))
 
 
 def slug(name: Column) -> Column:

@@ -40,6 +40,11 @@ def version_history(history: DataFrame) -> DataFrame:
     return history.withColumn("newest", F.row_number().over(line))
 
 
+def retrieved_for(notes: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """The retrieval cache's rows of exactly these (bubble_id, note_id), whatever their version."""
+    return retrieved.join(notes.select(*NOTE).distinct(), NOTE, "left_semi")
+
+
 def to_archive(notes: DataFrame, archive: DataFrame) -> DataFrame:
     """Notes whose (note_id, content_version) the archive does not have."""
     return notes.join(archive.select("note_id", "content_version").distinct(), ["note_id", "content_version"], "left_anti")
@@ -73,7 +78,3 @@ def complete(prompts: DataFrame, column: str, complete_fn, out: str = "output")
     return prompts.withColumn(out, outputs(column))
 
 
-def prompt(template: str, **slots: Column) -> Column:
-    from lorespark.functions.text import fill_template
-
-    return fill_template(template, slots)

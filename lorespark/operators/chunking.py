@@ -8,7 +8,9 @@ content are dropped. A header clears all deeper levels of the path and inherits
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,16 +27,16 @@ HEADERS = [f"header_{k}" for k in LEVELS]
 def header_chunks(documents: DataFrame) -> DataFrame:
     """(source_id, section, content, header_1 .. header_6) of documents (source_id, text); front matter is left out."""
     _, body = split_front_matter(F.col("text"))
-    lines = documents.select("source_id", F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    # every second part between fence lines is code: its number signs are hidden from the split
+    parts = F.split(body, r"(?m)^(?=[ \t\x0B\f\r]*(?:```|~~~))")
+    hidden = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, "(?m)^#", "\u0001#")).otherwise(p))
+    text = F.when(body.contains("```") | body.contains("~~~"), F.array_join(hidden, "")).otherwise(body)
+    rows = documents.select("source_id", F.posexplode(F.split(text, "(?m)^(?=#{1,6}(?: |$))")).alias("pos", "part"))
+    mark = F.regexp_extract("part", "^(#{1,6})(?: |\n|$)", 1)
+    rows = rows.withColumn("level", F.length(mark)).withColumn("title", F.trim(F.substring(F.substring_index("part", "\n", 1), F.col("level") + 1, F.length("part"))))
     line = Window.partitionBy("source_id").orderBy("pos")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
-    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(upto))
-    mark = F.regexp_extract("line", "^(#{1,6})( |$)", 1)
-    open_ = (F.col("fences") % 2 == 0) & ~fence
-    lines = lines.withColumn("level", F.when(open_, F.length(mark)).otherwise(0))
-    lines = lines.withColumn("title", F.trim(F.expr("substring(line, level + 1, length(line))")))
-    lines = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(upto))
+    rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(upto))
 
     def last(value: Column) -> Column:
         return F.last(value, ignorenulls=True).over(upto)
@@ -44,42 +46,52 @@ def header_chunks(documents: DataFrame) -> DataFrame:
         own, above = last(F.when(F.col("level") == k, F.col("pos"))), last(F.when((F.col("level") > 0) & (F.col("level") < k), F.col("pos")))
         title = last(F.when(F.col("level") == k, F.col("title")))
         path[f"header_{k}"] = F.when(own > F.coalesce(above, F.lit(-1)), title)
-    lines = lines.withColumns(path)
-    rows = lines.groupBy("source_id", "section").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"), *[F.max_by(h, "pos").alias(h) for h in HEADERS]
-    )
-    content = F.btrim(F.array_join(F.col("lines.line"), "\n"), F.lit("\n"))
-    return rows.select("source_id", "section", content.alias("content"), *HEADERS).where("trim(content) <> ''")
+    content = F.btrim(F.replace("part", F.lit("\u0001#"), F.lit("#")), F.lit("\n"))
+    return rows.select("source_id", "section", content.alias("content"), *[c.alias(h) for h, c in path.items()]).where("trim(content) <> ''")
 
 
 def default_length(text: str) -> int:
     return len(re.findall(TOKEN, text))
 
 
+def range_counter(text: str, length: Callable[[str], int]) -> Callable[[int, int], int]:
+    """count(a, b): the tokens of text[a:b]. Of the token pattern from running sums, so that any range costs the same."""
+    if length is not default_length:
+        return lambda a, b: length(text[a:b])
+    inside = [c.isascii() and c.isalnum() for c in text]
+    starts = [0, *accumulate((x and not y) or (not x and c not in " \t\r\n") for x, y, c in zip(inside, [False, *inside], text))]
+
+    def count(a: int, b: int) -> int:
+        return starts[b] - starts[a] + (0 < a < b and inside[a] and inside[a - 1])
+
+    return count
+
+
 def split_recursively(text: str, most: int, overlap: int, length: Callable[[str], int] = default_length, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[tuple[str, int]]:
     """Pieces (text, start) of at most ``most`` tokens: parts between the coarsest separator, merged up to the limit.
 
     Parts that are too long are split by the next separator. A piece begins with as many parts of the one before as have at
     most ``overlap`` tokens. Pieces lose white space at their ends; start is the place of the piece in the text.
     """
+    count = range_counter(text, length)
+
     def parts(a: int, b: int, level: int) -> list[tuple[int, int]]:
-        if length(text[a:b]) <= most or level == len(separators):
+        if count(a, b) <= most or level == len(separators):
             return [(a, b)]
         sep = separators[level]
-        cuts = [a, *[m.end() for m in re.finditer(re.escape(sep), text[a:b])], b] if sep else list(range(a, b + 1))
-        cuts = [c if i in (0, len(cuts) - 1) or not sep else a + c for i, c in enumerate(cuts)]
+        cuts = [a, *[m.end() for m in re.compile(re.escape(sep)).finditer(text, a, b)], b] if sep else list(range(a, b + 1))
         out: list[tuple[int, int]] = []
         for x, y in zip(cuts, cuts[1:]):
             if x < y:
-                out += parts(x, y, level + 1) if length(text[x:y]) > most else [(x, y)]
+                out += parts(x, y, level + 1) if count(x, y) > most else [(x, y)]
         return out
 
-    out, held = [], []
+    out, held = [], deque()
     for a, b in parts(0, len(text), 0):
-        if held and length(text[held[0][0] : b]) > most:
+        if held and count(held[0][0], b) > most:
             out.append((held[0][0], held[-1][1]))
-            while held and (length(text[held[0][0] : held[-1][1]]) > overlap or length(text[held[0][0] : b]) > most):
-                held.pop(0)
+            while held and (count(held[0][0], held[-1][1]) > overlap or count(held[0][0], b) > most):
+                held.popleft()
         held.append((a, b))
     if held:
         out.append((held[0][0], held[-1][1]))
@@ -132,6 +144,7 @@ def with_offsets(rows: DataFrame, count: Callable[[Column], Column] = token_coun
 
 def annotated(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source_id, markdown): front matter, then every chunk between comment lines that state its coordinates."""
+    # The names and the order of a comment's lines.
     keys = ["chunk_fingerprint", "chunk_type", "chunk_index", "parent_chunk_index", "byte_start", "byte_end", "token_count"]
     lines = [F.concat(F.lit(f"{k}: "), F.coalesce(F.col(k).cast("string"), F.lit("None"))) for k in keys]
     lines += [F.when(F.col(h) != "", F.concat(F.lit(f"{h}: "), F.col(h))) for h in HEADERS]
@@ -144,9 +157,43 @@ def annotated(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def read_back(chunks: DataFrame) -> DataFrame:
     """(source_id, chunk_index, slice): each chunk cut by its byte range out of the source's contents laid end to end."""
-    whole = chunks.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).content, "").alias("whole"))
-    cut = F.expr("decode(substring(encode(whole, 'UTF-8'), cast(byte_start + 1 as int), cast(byte_end - byte_start as int)), 'UTF-8')")
-    return chunks.join(whole, "source_id").select("source_id", "chunk_index", cut.alias("slice"))
+    rows = chunks.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "byte_start", "byte_end", "content"))).alias("xs"))
+    whole = F.encode(F.array_join(F.col("xs.content"), ""), "UTF-8")
+
+    def slices(data: Column) -> Column:
+        def one(x: Column) -> Column:
+            own = F.substring(data, (x["byte_start"] + 1).cast("int"), (x["byte_end"] - x["byte_start"]).cast("int"))
+            return F.struct(x["chunk_index"].alias("chunk_index"), F.decode(own, "UTF-8").alias("slice"))
+
+        return F.transform("xs", one)
+
+    # the contents are laid end to end once for a source
+    return rows.select("source_id", F.inline(F.transform(F.array(whole), slices)[0]))
+
+
+def fetch(chunks: DataFrame, source_id: str | None = None, chunk_index: int | None = None, **headers: str) -> DataFrame:
+    """Chunks of a note or file, by their index, or below headers (header_1="..."); conditions that are left out hold for all."""
+    rows = chunks
+    for c, v in {"source_id": source_id, "chunk_index": chunk_index, **headers}.items():
+        rows = rows.where(F.col(c) == v) if v is not None else rows
+    return rows
+
+
+def asked_chunks(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Chunks of (source_id, chunk_index) pairs in chunk order within a source; a null index asks for all of a source."""
+    keys = asked.select(F.col("source_id").alias("_source"), F.col("chunk_index").alias("_index")).distinct()
+    match = (F.col("source_id") == F.col("_source")) & F.coalesce(F.col("chunk_index") == F.col("_index"), F.lit(True))
+    return chunks.join(keys, match, "left_semi").sortWithinPartitions("source_id", "chunk_index")
+
+
+def embed_metadata(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """What is stored beside a chunk's vector. A parent of 0 or none is an empty string."""
+    parent = F.col("parent_chunk_index")
+    places = files.select(F.col("file_fingerprint").alias("source_id"), "original_name", "domain", "subject")
+    return chunks.join(places, "source_id").select(
+        F.col("source_id").alias("file_fingerprint"), "chunk_fingerprint", "chunk_index", "chunk_type", "original_name", "domain", "subject",
+        F.when(F.coalesce(parent, F.lit(0)) == 0, F.lit("")).otherwise(parent.cast("string")).alias("parent_chunk_index"),
+    )
 
 
 def archive_rows(chunks: DataFrame, versions: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorespark.functions.text import object_hash
+
 #: A run of text in a block is an object with "insert" or a plain string; children of a table are cells, of a cell blocks.
 BLOCK = "struct<type:string,data:struct<level:int,delta:array<variant>,rowsLen:int,colsLen:int,rowPosition:int,colPosition:int>,children:array<struct<type:string,data:struct<delta:array<variant>,rowPosition:int,colPosition:int>,children:array<struct<type:string,data:struct<delta:array<variant>>>>>>>"
 DOCUMENT = f"struct<type:string,children:array<{BLOCK}>>"
@@ -42,29 +44,42 @@ def total_text(doc: Column) -> Column:
     return F.array_join(F.transform(doc["children"], lambda b: block_text(b["data"]["delta"])), "")
 
 
+# An edit of more characters or blocks than these adds so much to the version.
+MAJOR_CHARS, MAJOR_BLOCKS, MAJOR = 125, 10, 1.0
+MIDDLE_CHARS, MIDDLE_BLOCKS, MIDDLE = 75, 5, 0.1
+SMALL = 0.01
+
+
 def increment(chars: Column, blocks: Column) -> Column:
     """What an edit adds to the version, by characters added (may be negative) and blocks added (not below 0)."""
     added = F.greatest(F.lit(0), blocks)
-    return F.when((chars > 125) | (added > 10), 1.0).when((chars > 75) | (added > 5), 0.1).when(chars > 0, 0.01).otherwise(0.0)
+    major, middle = (chars > MAJOR_CHARS) | (added > MAJOR_BLOCKS), (chars > MIDDLE_CHARS) | (added > MIDDLE_BLOCKS)
+    return F.when(major, MAJOR).when(middle, MIDDLE).when(chars > 0, SMALL).otherwise(0.0)
 
 
 def versions(edits: DataFrame) -> DataFrame:
     """edits (note_id, seq, chars, blocks, hash) with increment, changed, version_before and version.
 
-    A major step goes to the next whole version, others add up; only a change of content moves it. The fold runs over a note's
-    edits in order, gathered into one array of small numbers.
+    A major step goes to the next whole version, others add up; only a change of content moves it. All of it are windows: an edit
+    lies in the stretch after a note's latest major step, and the version is the whole number there and the sum of the smaller
+    steps since. That number grows by one at each major step, and by the whole part of what the steps before it had added up to.
     """
     line = Window.partitionBy("note_id").orderBy("seq")
     rows = edits.withColumns({"old_chars": F.coalesce(F.lag("chars").over(line), F.lit(0)), "old_blocks": F.coalesce(F.lag("blocks").over(line), F.lit(0)), "changed": ~F.lag("hash").over(line).eqNullSafe(F.col("hash"))})
     rows = rows.withColumn("increment", F.when(F.col("changed"), increment(F.col("chars") - F.col("old_chars"), F.col("blocks") - F.col("old_blocks"))).otherwise(0.0))
-    steps = rows.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("seq", "increment", "changed"))).alias("steps"))
-    fold = F.expr(
-        "aggregate(steps, array(named_struct('seq', steps[0].seq, 'increment', 0D, 'changed', false, 'before', 0D, 'version', 0D)), (acc, s) -> "
-        "concat(acc, array(named_struct('seq', s.seq, 'increment', s.increment, 'changed', s.changed, 'before', element_at(acc, -1).version, 'version', "
-        "case when s.increment >= 1 then floor(element_at(acc, -1).version) + 1D else element_at(acc, -1).version + s.increment end))))"
-    )
-    out = steps.select("note_id", F.inline(F.slice(fold, F.lit(2), F.size("steps"))))
-    return out.select("note_id", "seq", "increment", "changed", F.col("before").alias("version_before"), "version")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("stretch", F.sum((F.col("increment") >= MAJOR).cast("int")).over(upto))
+    # hundredths are whole numbers, so sums are exact
+    minor = F.when(F.col("increment") >= MAJOR, 0).otherwise(F.round(F.col("increment") * 100).cast("long"))
+    inside = Window.partitionBy("note_id", "stretch").orderBy("seq")
+    rows = rows.withColumn("minor", F.sum(minor).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a stretch's own whole steps carry over to the next major step
+    sums = rows.groupBy("note_id", "stretch").agg(F.max("minor").alias("all"))
+    order = Window.partitionBy("note_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("note_id", "stretch", (F.coalesce(F.sum(F.floor(F.col("all") / 100)).over(order), F.lit(0)) + F.col("stretch")).alias("whole"))
+    rows = rows.join(sums, ["note_id", "stretch"]).withColumn("version", (F.col("whole") * 100 + F.col("minor")) / 100)
+    rows = rows.withColumn("version_before", F.coalesce(F.lag("version").over(line), F.lit(0.0)))
+    return rows.select("note_id", "seq", "increment", "changed", "version_before", "version")
 
 
 def diff_ops(edits: DataFrame) -> DataFrame:
@@ -132,5 +147,6 @@ def rename(notes: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def new_notes(notes: DataFrame) -> DataFrame:
-    """Notes (note_id, bubble_id, title, document, ink) as first stored: hashes of content and ink, version 0."""
-    return notes.select("note_id", "bubble_id", "title", F.md5("document").alias("content_hash"), F.md5(F.coalesce("ink", F.lit("[]"))).alias("ink_hash"), F.lit(0.0).alias("content_version"), F.lit(0.0).alias("ink_version"))
+    """Notes (note_id, bubble_id, title, document, ink) as first stored: hashes of content and ink, whatever the order of their
+    keys, and version 0."""
+    return notes.select("note_id", "bubble_id", "title", object_hash(F.col("document")).alias("content_hash"), object_hash(F.coalesce("ink", F.lit("[]"))).alias("ink_hash"), F.lit(0.0).alias("content_version"), F.lit(0.0).alias("ink_version"))

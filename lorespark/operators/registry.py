@@ -24,8 +24,15 @@ def matched(table: DataFrame, changes: DataFrame, keys: Sequence[str], how: str)
     return table.join(new, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys], how)
 
 
-def register(table: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str) -> DataFrame:
-    """New keys are inserted with defaults; of known ones only the stamp is moved."""
+def last_of(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
+    """One change a key: the first in the order (newest first); what that leaves open goes by the other columns, greatest first."""
+    rest = [F.col(f.name).desc_nulls_last() for f in changes.schema.fields if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
+    return latest(changes, keys, [*order, *rest] or [F.lit(1)])
+
+
+def register(table: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str, order: Sequence[Column | str] = ()) -> DataFrame:
+    """New keys are inserted with defaults; of known ones only the stamp is moved. Of a key's rows in new the last in order counts."""
+    new = last_of(new, keys, order)
     known, fresh = F.col("_old"), F.col("_fresh")
     old = table.withColumn("_old", F.lit(True))
     both = matched(old, new.withColumn("fresh", F.lit(True)).withColumnRenamed("fresh", "_fresh"), keys, "full")
@@ -38,19 +45,35 @@ def register(table: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str)
     return both.select(*columns)
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """New keys are inserted, known ones overwritten but for the columns to keep."""
-    both = matched(table.withColumn("_old", F.lit(True)), new.withColumn("_is", F.lit(True)), keys, "full")
+def upsert(
+    table: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: Sequence[Column | str] = (), prune: Sequence[str] = ()
+) -> DataFrame:
+    """New keys are inserted, known ones overwritten but for the columns to keep. Of a key's rows in new the last in order counts.
+
+    prune names columns of a source: old rows of a source that new has rows of go if new does not have their key.
+    """
+    once = last_of(new, keys, order)
+    both = matched(table.withColumn("_old", F.lit(True)), once.withColumn("_is", F.lit(True)), keys, "full")
     columns = []
     for c in table.columns:
         value = F.when(F.col("_new__is").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c))
         columns.append((F.when(F.col("_old").isNotNull(), F.col(c)).otherwise(F.col(f"_new_{c}")) if c in keep else value).alias(c))
-    return both.select(*columns)
-
-
-def mark(table: DataFrame, changes: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], fill: Sequence[str] = ()) -> DataFrame:
-    """Rows whose key is among the changes get the flags, and the changes' values of ``fill`` unless null or empty."""
-    one = changes.select(*keys, *fill).dropDuplicates(list(keys)).withColumn("_is", F.lit(True))
+    if not prune:
+        return both.select(*columns)
+    stale = both.select(*columns, F.col("_new__is").isNull().alias("_stale"))
+    sources = new.select(*prune).distinct().withColumn("_is", F.lit(True))
+    return matched(stale, sources, prune, "left").where(~(F.col("_stale") & F.col("_new__is").isNotNull())).select(*table.columns)
+
+
+def mark(
+    table: DataFrame, changes: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], fill: Sequence[str] = (), order: Sequence[Column | str] = ()
+) -> DataFrame:
+    """Rows whose key is among the changes get the flags, and the changes' values of ``fill`` unless null or empty.
+
+    Of several changes to a key the last in order counts.
+    """
+    extra = [c for c in changes.columns if c not in keys and c not in fill]
+    one = last_of(changes.select(*keys, *fill, *extra), keys, order).select(*keys, *fill).withColumn("_is", F.lit(True))
     both = matched(table, one, keys, "left")
     hit = F.col("_new__is").isNotNull()
     out = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in flags.items()}
@@ -73,6 +96,25 @@ def delete_where(table: DataFrame, condition: Column) -> tuple[DataFrame, DataFr
     return table.where(~hit), table.agg(F.count(F.when(hit, 1)).alias("deleted"))
 
 
+def reset_count(table: DataFrame, condition: Column | None = None) -> DataFrame:
+    """One row: how many rows a reset matches, changed or not."""
+    hit = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    return table.agg(F.count(F.when(hit, 1)).alias("matched"))
+
+
+def queue(table: DataFrame, done: str, after: Sequence[str] = ()) -> DataFrame:
+    """Rows whose flag ``done`` is 0 and whose flags ``after`` are all 1."""
+    rows = table.where(F.col(done) == 0)
+    for flag in after:
+        rows = rows.where(F.col(flag) == 1)
+    return rows
+
+
+def cache_info(cache: DataFrame, keys: Sequence[str], stamp: str) -> DataFrame:
+    """One row: entries, and the oldest and newest stamp."""
+    return cache.select(*keys, stamp).agg(F.count("*").alias("entries"), F.min(stamp).alias("oldest"), F.max(stamp).alias("newest"))
+
+
 def reset_flag(table: DataFrame, flag: str, allowed: Sequence[str], condition: Column | None = None) -> DataFrame:
     """The flag is 0 where the condition holds, everywhere without one. Only allowed flags can be reset."""
     if flag not in allowed:

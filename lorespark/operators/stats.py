@@ -39,11 +39,14 @@ def totals(vectors: DataFrame) -> DataFrame:
 
 
 def knowledge_index(files: DataFrame) -> DataFrame:
-    """One row of sorted different domains, subjects, topics and subtopics, and all stems; folders named by ids are skipped."""
+    """(kind, value) of all different domains, subjects, topics, subtopics and stems; folders named by ids are skipped.
+
+    A row for each value, as the stems of a large base are too many for one.
+    """
     names = ["domain", "subject", "topic", "subtopic"]
     rows = files.where(~has_uuid_part(F.filter(F.array(*names), lambda p: p.isNotNull())))
-    sets = [F.array_sort(F.filter(F.collect_set(n), lambda x: x != "")).alias(f"{n}s") for n in names]
-    return rows.agg(*sets, F.array_sort(F.collect_list("stem")).alias("stems"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("value")) for n in (*names, "stem")])
+    return rows.select(F.inline(pairs)).where("value <> ''").distinct()
 
 
 def storage(files: DataFrame, by: list[str]) -> DataFrame:

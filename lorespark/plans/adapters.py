@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorespark.functions.text import file_fingerprint
 
@@ -84,15 +85,24 @@ SUBQUERIES = """subqueries AS (
     CASE WHEN vec_id % 800 = 700 THEN '' ELSE 's' || label END AS subject, embedding AS query_vector FROM embeddings WHERE vec_id % 100 = 0)"""
 
 
+def search_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with an id divisible by 100 ask every collection; the vector itself is no candidate."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(
+        F.col("vec_id").alias("query_id"), none.alias("domain"), none.alias("subject"), F.col("embedding").alias("query_vector"), F.col("vec_id").alias("exclude")
+    )
+
+
 def note_edits(spark: SparkSession, sf: str) -> DataFrame:
     """After turn t a conversation's document has a block for each turn so far; what the system said is a heading."""
     c = table(spark, sf, "conversations").where("text is not null")
-    both = c.select("conv_id", F.col("turn").alias("seq")).join(c, "conv_id").where("turn <= seq")
     block = F.struct(
         F.when(F.col("role") == "system", F.lit("heading")).otherwise(F.lit("paragraph")).alias("type"),
         F.struct(F.lit(2).alias("level"), F.array(F.struct(F.col("text").alias("insert"))).alias("delta")).alias("data"),
     )
-    rows = both.groupBy("conv_id", "seq").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("xs"))
+    # a document holds all turns up to its own: as large as it must be, but made by one window
+    line = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = c.select("conv_id", F.col("turn").alias("seq"), F.collect_list(F.struct("turn", block.alias("block"))).over(line).alias("xs"))
     document = F.to_json(F.struct(F.lit("page").alias("type"), F.col("xs.block").alias("children")))
     return rows.select(F.col("conv_id").cast("string").alias("note_id"), F.concat(F.lit("b"), F.col("conv_id") % 10).alias("bubble_id"), "seq", document.alias("document"))
 
@@ -134,9 +144,12 @@ CURRENT_NOTES = "current_notes AS (SELECT 'b' || (doc_id % 10) AS bubble_id, CAS
 
 
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """What a model might have said: plain JSON, a fenced block, JSON in prose, and broken JSON in turn."""
+    """What a model might have said: plain JSON, a fenced block, JSON in prose, and broken JSON in turn; each fifth has a subquery
+    without text."""
     d = table(spark, sf, "documents")
-    body = F.to_json(F.struct(F.concat(F.lit("query "), "doc_id").alias("rewritten"), F.col("source").alias("domain")))
+    part = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("part "), "doc_id"))
+    subs = F.array(F.struct(part.alias("text"), F.col("lang").alias("subject")))
+    body = F.to_json(F.struct(F.concat(F.lit("query "), "doc_id").alias("rewritten"), F.col("source").alias("domain"), subs.alias("subqueries")))
     kind = F.col("doc_id") % 4
     out = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here: "), body, F.lit(" done")))
     return d.select("doc_id", out.otherwise(F.lit('{"rewritten": ')).alias("output"))

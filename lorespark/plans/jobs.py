@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
 from lorespark.operators import analysis, chunking, notes, registry, retrieval, stats
+from lorespark.sources.tables import stored
 
 QUESTION = "Answer the question from the context only.\nQuestion: {question}\nContext:\n{context}\nAnswer:"
 REVIEW = "Review the note against its sources and its earlier form.\nEarlier:\n{archived_data}\nNote:\n{current_note}\nSources:\n{context}\n"
@@ -25,22 +26,24 @@ def ingest_corpus(sources: DataFrame, files: DataFrame, chunks: DataFrame, embed
     """Registers sources (original_name, filepath, domain, subject, text), chunks those not converted, embeds what is not embedded.
 
     files and chunks are the registries before; the result has them after, and the new vectors. Equal chunks are embedded once.
-    Running it again changes nothing but stamps.
+    Chunks and vectors are stored as they are made, and marks follow from what was stored. Running it again changes nothing but
+    stamps; after a run that stopped half way it embeds what is registered and has no vectors.
     """
     named = sources.withColumn("file_fingerprint", X.file_fingerprint(F.col("original_name"), F.col("filepath")))
     fresh = named.select("file_fingerprint", "original_name", F.lit(None).cast("string").alias("sanitized_name"), "domain", "subject", F.lit(0).alias("converted"), F.lit(0).alias("embedded"), "filepath", as_of.alias("last_updated"))
     files = registry.register(files, fresh, ["file_fingerprint"], "last_updated")
     todo = named.join(files.where("converted = 0").select("file_fingerprint"), "file_fingerprint", "left_semi")
-    new = chunking.chunk(todo.select(F.col("file_fingerprint").alias("source_id"), "text"), most)
+    new = stored(chunking.chunk(todo.select(F.col("file_fingerprint").alias("source_id"), "text"), most))
     chunks = registry.upsert(chunks, new, ["source_id", "chunk_fingerprint", "chunk_index"], keep=["embedded"])
     titles = todo.select("file_fingerprint", X.sanitize_title(F.col("original_name")).alias("sanitized_name"))
     files = registry.mark(files, titles, ["file_fingerprint"], {"converted": F.lit(1)}, fill=["sanitized_name"])
     open_ = analysis.unembedded(files, chunks)
     once = retrieval.embed(open_.groupBy("chunk_fingerprint").agg(F.first("content").alias("content")), "content", embed_fn).drop("content")
     places = files.select(F.col("file_fingerprint").alias("source_id"), "original_name", "domain", "subject")
-    vectors = open_.join(places, "source_id").join(once, "chunk_fingerprint")
-    chunks = registry.mark(chunks, open_, ["source_id", "chunk_fingerprint"], {"embedded": F.lit(1)})
-    files = registry.mark(files, open_.select(F.col("source_id").alias("file_fingerprint")), ["file_fingerprint"], {"embedded": F.lit(1)})
+    vectors = stored(open_.join(places, "source_id").join(once, "chunk_fingerprint"))
+    done = vectors.select("source_id", "chunk_fingerprint")
+    chunks = registry.mark(chunks, done, ["source_id", "chunk_fingerprint"], {"embedded": F.lit(1)})
+    files = registry.mark(files, done.select(F.col("source_id").alias("file_fingerprint")), ["file_fingerprint"], {"embedded": F.lit(1)})
     return Ingested(files, chunks, vectors)
 
 
@@ -73,7 +76,7 @@ def process_notes(rows: DataFrame, most: int = chunking.MAX_TOKENS) -> DataFrame
 def apply_note_updates(edits: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(version of every edit, edits to be analysed) of edits (bubble_id, note_id, seq, document)."""
     doc = notes.parsed(F.col("document"))
-    rows = edits.select("bubble_id", "note_id", "seq", doc.alias("doc"), F.md5("document").alias("hash"))
+    rows = edits.select("bubble_id", "note_id", "seq", doc.alias("doc"), X.object_hash(F.col("document")).alias("hash"))
     rows = rows.select("bubble_id", "note_id", "seq", "hash", F.length(notes.total_text(F.col("doc"))).alias("chars"), F.size("doc.children").alias("blocks"))
     versions = notes.versions(rows).join(rows.select("note_id", "seq", "bubble_id"), ["note_id", "seq"])
     return versions, analysis.triggered(versions, cache)

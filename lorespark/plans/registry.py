@@ -34,16 +34,27 @@ NEAREST = f"""{A.VECTORS}, {A.SUBQUERIES}, near AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain, subject ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM near)"""
 
 
-@query(f"WITH {NEAREST} SELECT query_id, domain, subject, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5")
+EVERYWHERE = f"""{A.VECTORS}, far AS (
+  SELECT q.vec_id AS query_id, v.domain, v.subject, chunk_id, {DISTANCE.replace('q.query_vector', 'q.embedding')} AS distance
+  FROM embeddings q JOIN vectors v ON v.chunk_id <> q.vec_id WHERE q.vec_id % 100 = 0), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain, subject ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM far)"""
+
+
+@query(f"WITH {EVERYWHERE} SELECT query_id, domain, subject, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5")
 def search_across_collections(spark, sf):
-    found = jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf))
+    found = jobs.search_across_collections(A.search_queries(spark, sf), A.vectors(spark, sf))
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query(f"WITH {NEAREST} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 5 AND domain IN ('d0', 'd1') AND subject <> 's3'")
+@query(f"WITH {EVERYWHERE} SELECT query_id, domain, subject, chunk_id, rank FROM ranked WHERE rank <= 5 AND domain IN ('d0', 'd1') AND subject <> 's3'")
 def search_some_collections(spark, sf):
     subjects = [f"s{i}" for i in range(10) if i != 3]
-    return jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf), ["d0", "d1"], subjects).select("query_id", "chunk_id", "rank")
+    return jobs.search_across_collections(A.search_queries(spark, sf), A.vectors(spark, sf), ["d0", "d1"], subjects).drop("distance")
+
+
+@query(f"WITH {NEAREST} SELECT query_id, domain, subject, chunk_id, rank FROM ranked WHERE rank <= 5")
+def search_named_collections(spark, sf):
+    return jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf)).drop("distance")
 
 
 def _alike(a: str, b: str) -> str:
@@ -92,12 +103,10 @@ def store_totals(spark, sf):
     return stats.totals(A.vectors(spark, sf))
 
 
-@query(f"""WITH {A.FILES} SELECT array_to_string(list_sort(list_distinct(list(domain))), ',') AS domains, array_to_string(list_sort(list_distinct(list(subject))), ',') AS subjects,
-  count(*) AS stems FROM files""")
+@query(f"""WITH {A.FILES} SELECT DISTINCT 'domain' AS kind, domain AS value FROM files UNION ALL SELECT DISTINCT 'subject', subject FROM files UNION ALL SELECT DISTINCT 'stem', 'doc_' || doc_id FROM files""")
 def knowledge_index(spark, sf):
-    paths = A.files(spark, sf).select(F.substring("filepath", 5, 1000).alias("rel_path"))
-    index = stats.knowledge_index(tables.listed(paths))
-    return index.select(F.array_join("domains", ",").alias("domains"), F.array_join("subjects", ",").alias("subjects"), F.size("stems").cast("long").alias("stems"))
+    paths = A.files(spark, sf).select(F.expr("substring(filepath, 5)").alias("rel_path"))
+    return stats.knowledge_index(tables.listed(paths))
 
 
 @query(f"""WITH {A.FILES}, s AS (SELECT domain, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM files GROUP BY domain)
@@ -122,9 +131,13 @@ def progress_changes(spark, sf):
     return stats.progress_feed(A.chunk_events(spark, sf))
 
 
-@query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN embedded = 1 THEN 'completed' WHEN converted = 1 THEN 'processing' ELSE 'pending' END AS status FROM files")
+@query(f"""WITH {A.FILES}, p AS (SELECT user_id, count(*) AS total, CAST(sum(CAST(event_type = 'purchase' AS INTEGER)) AS BIGINT) AS completed FROM events GROUP BY user_id)
+SELECT doc_id, CASE WHEN embedded = 1 THEN 'completed' WHEN converted = 1 THEN 'processing' ELSE 'pending' END AS status, coalesce(total, 0) AS total,
+  coalesce(completed, 0) AS completed, CAST(coalesce(floor(completed * 100 / total), 0) AS BIGINT) AS progress_pct FROM files LEFT JOIN p ON user_id = doc_id""")
 def file_statuses(spark, sf):
-    return A.files(spark, sf).select("doc_id", X.file_status(F.col("converted"), F.col("embedded")).alias("status"))
+    f = A.files(spark, sf).withColumn("source_id", F.col("doc_id"))
+    rows = f.join(stats.progress(f, A.chunk_events(spark, sf)), "source_id")
+    return rows.select("doc_id", X.file_status(F.col("converted"), F.col("embedded")).alias("status"), "total", "completed", "progress_pct")
 
 
 @query(f"WITH {A.FILES} SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 10) AS INTEGER) AS batch FROM files WHERE converted = 0")
@@ -132,12 +145,18 @@ def conversion_batches(spark, sf):
     return stats.batches(A.files(spark, sf).where("converted = 0"), "doc_id").select("doc_id", "batch")
 
 
-@query(f"""WITH {A.FILES} SELECT file_fingerprint, 'unconverted' AS queue FROM files WHERE converted = 0
-UNION ALL SELECT file_fingerprint, 'unembedded' FROM files WHERE converted = 1 AND embedded = 0""")
+@query(f"""WITH {A.FILES} SELECT file_fingerprint AS id, 'unconverted' AS queue FROM files WHERE converted = 0
+UNION ALL SELECT file_fingerprint, 'unembedded' FROM files WHERE converted = 1 AND embedded = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'uncached' FROM labels WHERE quality = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'unanalysed' FROM labels WHERE toxic = 0""")
 def work_queues(spark, sf):
-    f = A.files(spark, sf)
-    a = f.where("converted = 0").select("file_fingerprint", F.lit("unconverted").alias("queue"))
-    return a.union(f.where("converted = 1 and embedded = 0").select("file_fingerprint", F.lit("unembedded")))
+    f = A.files(spark, sf).withColumnRenamed("file_fingerprint", "id")
+    n = A.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").alias("cached"), F.col("toxic").alias("analysed"))
+    queues = {"unconverted": registry.queue(f, "converted"), "unembedded": registry.queue(f, "embedded", ["converted"]), "uncached": registry.queue(n, "cached"), "unanalysed": registry.queue(n, "analysed")}
+    out = None
+    for name, rows in queues.items():
+        rows = rows.select("id", F.lit(name).alias("queue"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query(f"WITH {A.FILES} SELECT d.doc_id, coalesce(f.embedded, 0) = 1 AS is_set FROM labels d LEFT JOIN files f ON f.doc_id = d.doc_id * 2")
@@ -147,16 +166,16 @@ def embedded_flags(spark, sf):
     return registry.flag_set(probes, f, ["probe"], "embedded", ["converted", "embedded"]).drop("probe")
 
 
-@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(replace(replace(translate(left(text, 60), '/\:|', '----'), '*', ''), '?', ''), '-{2,}', '-', 'g'), '-'), chr(10), ' ', 'g') AS title,
-  sha256(text) AS chunk_fingerprint, left(sha256(text), 16) AS content_fingerprint, lower(replace(left(text, 30), ' ', '_')) AS slug,
+@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(replace(replace(translate(text, '/\:|', '----'), '*', ''), '?', ''), '-{2,}', '-', 'g'), '-'), chr(10), ' ', 'g') AS title,
+  sha256(text) AS chunk_fingerprint, left(sha256(text), 16) AS content_fingerprint, lower(replace(text, ' ', '_')) AS slug,
   CASE WHEN len(text) > 300 THEN left(text, 300) || '...' ELSE text END AS preview, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]')) AS tokens FROM (SELECT doc_id, replace(replace(replace(text, '"', ''), '<', ''), '>', '') AS text FROM documents)""")
 def scalar_functions(spark, sf):
     clean = F.translate("text", '"<>', "")
     d = A.table(spark, sf, "documents").select("doc_id", clean.alias("text"))
     t = F.col("text")
     return d.select(
-        "doc_id", F.regexp_replace(X.sanitize_title(F.substring(t, 1, 60)), "\n", " ").alias("title"), X.chunk_fingerprint(t).alias("chunk_fingerprint"),
-        X.content_fingerprint(t).alias("content_fingerprint"), X.slug(F.substring(t, 1, 30)).alias("slug"), X.preview(t, 300, "...").alias("preview"), X.token_count(t).cast("long").alias("tokens"),
+        "doc_id", F.regexp_replace(X.sanitize_title(t), "\n", " ").alias("title"), X.chunk_fingerprint(t).alias("chunk_fingerprint"),
+        X.content_fingerprint(t).alias("content_fingerprint"), X.slug(t).alias("slug"), X.preview(t, 300, "...").alias("preview"), X.token_count(t).cast("long").alias("tokens"),
     )
 
 
@@ -185,11 +204,12 @@ def link_catalogue(spark, sf):
     return rows.withColumn("kind", X.model_kind(F.col("link")))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN 'query ' || doc_id END AS rewritten, CASE WHEN doc_id % 4 < 3 THEN source END AS domain, doc_id % 4 < 3 AS valid FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 3 AND doc_id % 5 <> 0 THEN 'query ' || doc_id END AS rewritten, CASE WHEN doc_id % 4 < 3 AND doc_id % 5 <> 0 THEN source END AS domain,
+  CASE WHEN doc_id % 4 < 3 AND doc_id % 5 <> 0 THEN 'part ' || doc_id END AS first_part, doc_id % 4 < 3 AND doc_id % 5 <> 0 AS valid FROM documents""")
 def model_outputs(spark, sf):
-    rows = A.outputs(spark, sf).withColumn("json", X.json_from_output(F.col("output")))
-    rows = rows.select("doc_id", F.try_variant_get("json", "$.rewritten", "string").alias("rewritten"), F.try_variant_get("json", "$.domain", "string").alias("domain"))
-    return rows.withColumn("valid", F.col("rewritten").isNotNull())
+    rows = A.outputs(spark, sf).withColumn("q", X.valid_query(X.json_from_output(F.col("output"))))
+    first = F.col("q.subqueries")[0]["text"]
+    return rows.select("doc_id", F.col("q.rewritten").alias("rewritten"), F.col("q.domain")[0].alias("domain"), first.alias("first_part"), F.col("q").isNotNull().alias("valid"))
 
 
 @query("SELECT doc_id, 'Question: ' || source || ' {' || lang || '} in {braces}' AS prompt FROM documents")
@@ -249,26 +269,39 @@ def archive_chunks(spark, sf):
 
 
 @query(f"""WITH {A.FILES}, new AS (SELECT doc_id + 500 AS doc_id FROM files)
-SELECT coalesce(f.doc_id, n.doc_id) AS doc_id, CASE WHEN f.doc_id IS NULL THEN 0 ELSE f.converted END AS converted, CASE WHEN n.doc_id IS NULL THEN 1 ELSE 2 END AS stamp FROM files f FULL JOIN new n ON f.doc_id = n.doc_id""")
+SELECT coalesce(f.doc_id, n.doc_id) AS doc_id, CASE WHEN f.doc_id IS NULL THEN 0 ELSE f.converted END AS converted, CASE WHEN n.doc_id IS NULL THEN 1 ELSE 3 END AS stamp FROM files f FULL JOIN new n ON f.doc_id = n.doc_id""")
 def register_files(spark, sf):
     f = A.files(spark, sf).select("doc_id", "converted").withColumn("stamp", F.lit(1))
-    new = f.select((F.col("doc_id") + 500).alias("doc_id"), F.lit(0).alias("converted"), F.lit(2).alias("stamp"))
-    return registry.register(f, new, ["doc_id"], "stamp")
+    new = f.select((F.col("doc_id") + 500).alias("doc_id"), F.lit(0).alias("converted"), F.explode(F.array(F.lit(2), F.lit(3))).alias("stamp"))  # each key twice
+    return registry.register(f, new, ["doc_id"], "stamp", [F.desc("stamp")])
+
+
+@query("""WITH t AS (SELECT user_id AS source_id, event_type AS chunk_fingerprint, event_id % 3 AS chunk_index, max(event_id) AS stamp FROM events GROUP BY ALL)
+SELECT source_id, chunk_fingerprint, chunk_index, stamp, CAST(source_id % 2 AS INTEGER) AS embedded FROM t
+UNION ALL SELECT DISTINCT user_id + 1000000, event_type, event_id % 3, -1, 1 FROM events WHERE user_id % 2 = 1""")
+def upsert_repeated_chunks(spark, sf):
+    e = A.table(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.col("event_type").alias("chunk_fingerprint"), (F.col("event_id") % 3).alias("chunk_index"), F.col("event_id").alias("stamp"))
+    keys = ["source_id", "chunk_fingerprint", "chunk_index"]
+    old = e.where("source_id % 2 = 1").select(*keys).distinct().select(*keys, F.lit(-1).cast("long").alias("stamp"), F.lit(1).alias("embedded"))
+    stale = old.withColumn("chunk_index", F.col("chunk_index") + 10)  # of sources that come again: pruned
+    other = old.withColumn("source_id", F.col("source_id") + 1_000_000)
+    return registry.upsert(old.union(stale).union(other), e.withColumn("embedded", F.lit(0)), keys, ["embedded"], [F.desc("stamp")], prune=["source_id"])
 
 
 @query(f"""WITH {A.FILES}, new AS (SELECT doc_id + 500 AS doc_id, length * 2 AS length FROM files)
 SELECT coalesce(f.doc_id, n.doc_id) AS doc_id, coalesce(n.length, f.length) AS length, CASE WHEN f.doc_id IS NULL THEN 0 ELSE f.embedded END AS embedded FROM files f FULL JOIN new n ON f.doc_id = n.doc_id""")
 def upsert_keeping_flags(spark, sf):
     f = A.files(spark, sf).select("doc_id", "length", "embedded")
-    new = f.select((F.col("doc_id") + 500).alias("doc_id"), (F.col("length") * 2).alias("length"), F.lit(0).alias("embedded"))
-    return registry.upsert(f, new, ["doc_id"], keep=["embedded"])
+    new = f.select((F.col("doc_id") + 500).alias("doc_id"), F.explode(F.array(F.col("length"), F.col("length") * 2)).alias("length"), F.lit(0).alias("embedded"))
+    return registry.upsert(f, new, ["doc_id"], keep=["embedded"], order=[F.desc("length")])
 
 
 @query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE converted END AS converted, CASE WHEN doc_id % 14 = 0 THEN 'new' ELSE domain END AS domain FROM files")
 def mark_converted(spark, sf):
     f = A.files(spark, sf).select("doc_id", "converted", "domain")
-    done = f.where("doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 14 == 0, F.lit("new")).otherwise(F.lit("")).alias("domain"))
-    return registry.mark(f, done, ["doc_id"], {"converted": F.lit(1)}, fill=["domain"])
+    done = f.where("doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 14 == 0, F.lit("new")).otherwise(F.lit("")).alias("domain"), F.lit(2).alias("at"))
+    done = done.union(done.select("doc_id", F.lit("overruled").alias("domain"), F.lit(1)))
+    return registry.mark(f, done, ["doc_id"], {"converted": F.lit(1)}, ["domain"], [F.desc("at")])
 
 
 @query(f"WITH {A.FILES} SELECT doc_id, 'kept' AS what FROM files WHERE doc_id NOT IN (SELECT doc_id * 3 FROM labels) UNION ALL SELECT DISTINCT doc_id * 3, 'missing' FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM files)")
@@ -280,7 +313,7 @@ def remove_files(spark, sf):
 @query(f"WITH {A.VECTORS} SELECT domain, count(*) AS rows, (SELECT count(*) FROM vectors WHERE subject = 's3') AS deleted FROM vectors WHERE subject <> 's3' GROUP BY domain")
 def delete_by_subject(spark, sf):
     kept, count = registry.delete_where(A.vectors(spark, sf), F.col("subject") == "s3")
-    return kept.groupBy("domain").agg(F.count("*").alias("rows")).join(F.broadcast(count))
+    return kept.groupBy("domain").agg(F.count("*").alias("rows")).withColumn("deleted", F.lit(count.first()["deleted"]))
 
 
 @query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN domain = 'src0' THEN 0 ELSE embedded END AS embedded FROM files")
@@ -333,10 +366,13 @@ def version_increments(spark, sf):
     return _versions(spark, sf)[0].select("note_id", "seq", "increment")
 
 
-@query(f"""WITH RECURSIVE {INCREMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY seq) AS r FROM inc), v AS (
-  SELECT note_id, seq, r, 0.0::DOUBLE AS version_before, CASE WHEN increment >= 1 THEN 1.0::DOUBLE ELSE increment END AS version FROM n WHERE r = 1
-  UNION ALL SELECT n.note_id, n.seq, n.r, v.version, CASE WHEN n.increment >= 1 THEN floor(v.version) + 1 ELSE v.version + n.increment END FROM v JOIN n ON n.note_id = v.note_id AND n.r = v.r + 1)
-SELECT note_id, seq, version_before, version FROM v""")
+VERSIONS = f"""{INCREMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY seq) AS r FROM inc), v AS (
+  SELECT note_id, bubble_id, seq, r, increment, 0.0::DOUBLE AS version_before, CASE WHEN increment >= 1 THEN 1.0::DOUBLE ELSE increment END AS version FROM n WHERE r = 1
+  UNION ALL SELECT n.note_id, n.bubble_id, n.seq, n.r, n.increment, v.version, CASE WHEN n.increment >= 1 THEN floor(v.version) + 1 ELSE round(v.version + n.increment, 2) END
+  FROM v JOIN n ON n.note_id = v.note_id AND n.r = v.r + 1)"""
+
+
+@query(f"WITH RECURSIVE {VERSIONS} SELECT note_id, seq, version_before, version FROM v")
 def note_versions(spark, sf):
     return _versions(spark, sf)[0].select("note_id", "seq", "version_before", "version")
 
@@ -429,19 +465,19 @@ def notes_to_archive(spark, sf):
     return analysis.to_archive(A.current_notes(spark, sf), A.analysis_cache(spark, sf)).select("note_id", "content_version")
 
 
-@query(f"{CACHED} SELECT note_id, sha256('p' || note_id) AS prompt_hash, 1 AS newest FROM analysis_cache WHERE content_version = 1.0 AND CAST(note_id AS BIGINT) % 2 = 0")
+@query(f"""{CACHED} SELECT note_id, content_version, sha256('p' || note_id) AS prompt_hash, CAST(row_number() OVER (PARTITION BY note_id ORDER BY content_version DESC) AS INTEGER) AS newest
+FROM (SELECT note_id, content_version FROM analysis_cache UNION ALL SELECT note_id, content_version + 1 FROM analysis_cache) WHERE content_version >= 1.0""")
 def analysis_history(spark, sf):
-    history = A.analysis_cache(spark, sf).withColumn("prompt_hash", F.sha2(F.concat(F.lit("p"), "note_id"), 256))
-    asked = A.current_notes(spark, sf).where("cast(note_id as bigint) % 2 = 0").select("note_id", "content_version", F.concat(F.lit("p"), "note_id").alias("prompt"))
-    return analysis.version_history(analysis.history_lookup(asked, history)).select("note_id", "prompt_hash", "newest")
+    once = A.analysis_cache(spark, sf).withColumn("prompt_hash", F.sha2(F.concat(F.lit("p"), "note_id"), 256))
+    history = once.union(once.withColumn("content_version", F.col("content_version") + 1))
+    asked = history.where("content_version >= 1").select("note_id", "content_version", F.concat(F.lit("p"), "note_id").alias("prompt"))
+    return analysis.version_history(analysis.history_lookup(asked, history)).select("note_id", "content_version", "prompt_hash", "newest")
 
 
-@query(f"WITH {INCREMENTS}, n AS (SELECT *, coalesce(sum(increment) OVER (PARTITION BY note_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM inc) SELECT note_id, seq FROM n WHERE increment >= 1 OR before = 0")
+@query(f"""WITH RECURSIVE {A.ANALYSIS_CACHE}, {VERSIONS} SELECT note_id, seq, version FROM v
+WHERE (increment >= 1 OR version_before = 0) AND NOT EXISTS (SELECT 1 FROM analysis_cache c WHERE c.note_id = v.note_id AND c.bubble_id = v.bubble_id AND c.content_version = v.version)""")
 def first_or_major_edits(spark, sf):
-    v, e = _versions(spark, sf)
-    v = v.join(e.select("note_id", "seq", "bubble_id"), ["note_id", "seq"])
-    rows = analysis.triggered(v, A.analysis_cache(spark, sf).limit(0))
-    return rows.select("note_id", "seq")
+    return jobs.apply_note_updates(A.note_edits(spark, sf), A.analysis_cache(spark, sf))[1].select("note_id", "seq", "version")
 
 
 @query(f"WITH {A.FILES} SELECT file_fingerprint AS source_id, doc_id AS chunk FROM files WHERE converted = 1 AND embedded = 0")
@@ -462,18 +498,149 @@ def hashed_embeddings(spark, sf):
     return retrieval.embed(A.table(spark, sf, "documents").select("doc_id", "text"), "text", retrieval.hashing_embedder()).select("doc_id", "embedding")
 
 
-@query()
+@query(f"""WITH {MD}, {A.FILES} SELECT file_fingerprint AS source_id, chunk_index, domain, subject, 64 AS dimensions FROM chunks c JOIN files f ON c.source_id = CAST(doc_id AS VARCHAR) WHERE doc_id % 3 <> 1""")
 def ingested_chunks(spark, sf):
     f = A.files(spark, sf)
-    sources = f.join(A.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("original_name", "filepath", "domain", "subject", "text")
+    sources = f.join(A.markdown(spark, sf).select(F.col("source_id").cast("long").alias("doc_id"), "text"), "doc_id")
     stamp = F.lit("2026-01-01").cast("timestamp")
-    empty_files = f.limit(0).select("file_fingerprint", "original_name", F.col("original_name").alias("sanitized_name"), "domain", "subject", "converted", "embedded", "filepath", stamp.alias("last_updated"))
-    empty_chunks = chunking.chunk(A.markdown(spark, sf).limit(0))
-    out = jobs.ingest_corpus(sources, empty_files, empty_chunks, retrieval.hashing_embedder(), stamp)
-    return out.vectors.select("source_id", "chunk_index", "domain", "subject", "embedding")
+    # a third of the files is new, a third was converted only, and a third is done
+    known = f.where("converted = 1").select("file_fingerprint", "original_name", F.col("original_name").alias("sanitized_name"), "domain", "subject", "converted", "embedded", "filepath", stamp.alias("last_updated"))
+    before = chunking.chunk(sources.where("converted = 1").select(F.col("file_fingerprint").alias("source_id"), "text"))
+    before = before.drop("embedded").join(known.select(F.col("file_fingerprint").alias("source_id"), "embedded"), "source_id").select(*before.columns)
+    out = jobs.ingest_corpus(sources.select("original_name", "filepath", "domain", "subject", "text"), known, before, retrieval.hashing_embedder(), stamp)
+    return out.vectors.select("source_id", "chunk_index", "domain", "subject", F.size("embedding").alias("dimensions"))
 
 
 @query()
 def note_chunks(spark, sf):
     latest = registry.latest(A.note_edits(spark, sf), ["note_id"], [F.desc("seq")])
     return jobs.process_notes(latest).drop("content")
+
+
+@query(f"WITH {MD} SELECT source_id, chunk_index, content FROM chunks WHERE source_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AND (CAST(source_id AS BIGINT) % 2 = 0 OR chunk_index = 1)")
+def fetched_chunks(spark, sf):
+    ids = A.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("source_id"))
+    asked = ids.select("source_id", F.when(F.col("source_id").cast("long") % 2 != 0, F.lit(1)).alias("chunk_index"))
+    return chunking.asked_chunks(chunking.chunk(A.markdown(spark, sf)), asked).select("source_id", "chunk_index", "content")
+
+
+@query(f"WITH {MD} SELECT source_id, chunk_index FROM chunks WHERE chunk_index = 0")
+def first_chunks(spark, sf):
+    return chunking.fetch(chunking.chunk(A.markdown(spark, sf)), chunk_index=0).select("source_id", "chunk_index")
+
+
+@query(f"""WITH {MD}, {A.FILES} SELECT c.source_id AS file_fingerprint, chunk_fingerprint, chunk_index, 'header' AS chunk_type, original_name, domain, subject, '' AS parent_chunk_index
+FROM chunks c JOIN files f ON c.source_id = CAST(doc_id AS VARCHAR)""")
+def embed_metadata(spark, sf):
+    f = A.files(spark, sf).withColumn("file_fingerprint", F.col("doc_id").cast("string"))
+    return chunking.embed_metadata(chunking.chunk(A.markdown(spark, sf), most=10**9), f)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'given ' || doc_id ELSE 'read ' || source END AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS subject, source AS domain,
+  array_to_string(['a', source, 'b c'], '|') AS keywords FROM documents""")
+def merged_metadata(spark, sf):
+    d = A.table(spark, sf, "documents")
+    given = {"title": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("given "), "doc_id")), "domain": F.col("source")}
+    read = {"title": F.concat(F.lit("read "), "source"), "subject": F.when(F.col("doc_id") % 3 != 0, F.col("lang"))}
+    words = X.clean_keywords(F.concat(F.lit(" a, "), "source", F.lit(",, b c ")))
+    return d.select("doc_id", *[c.alias(n) for n, c in X.merged_metadata(given, read).items()], F.array_join(words, "|").alias("keywords"))
+
+
+@query("""SELECT doc_id, doc_id % 2 = 0 AS valid, CASE WHEN doc_id % 2 = 0 THEN 't' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN source || '|' || lang END AS authors FROM documents""")
+def file_metadata(spark, sf):
+    d = A.table(spark, sf, "documents")
+    body = F.struct(F.concat(F.lit("t"), "doc_id").alias("title"), F.col("source").alias("domain"), F.col("lang").alias("subject"), F.array("source", "lang").alias("authors"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("k"))).alias("keywords"))
+    rows = d.select("doc_id", X.valid_metadata(F.try_parse_json(F.to_json(body))).alias("m"))
+    return rows.select("doc_id", F.col("m").isNotNull().alias("valid"), F.col("m.title").alias("title"), F.array_join("m.authors", "|").alias("authors"))
+
+
+@query("""SELECT doc_id, md5('{"a": ' || doc_id || ', "b": "' || lang || '"}') AS hash, true AS same FROM documents""")
+def object_hashes(spark, sf):
+    d = A.table(spark, sf, "documents")
+    one, other = F.struct(F.col("lang").alias("b"), F.col("doc_id").alias("a")), F.struct(F.col("doc_id").alias("a"), F.col("lang").alias("b"))
+    return d.select("doc_id", X.object_hash(F.to_json(one)).alias("hash"), (X.object_hash(F.to_json(one)) == X.object_hash(F.to_json(other))).alias("same"))
+
+
+@query(f"SELECT a.vec_id, round({_alike('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')}, 6) AS alike FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 100")
+def cosine_to_the_hundredth(spark, sf):
+    e = A.table(spark, sf, "embeddings")
+    near = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("at"), F.col("embedding").alias("other"))
+    rows = e.join(near, F.col("vec_id") - F.col("vec_id") % 100 == F.col("at"))
+    return rows.select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("other")), 6).alias("alike"))
+
+
+@query(f"""WITH {A.VECTORS}, d AS (SELECT domain, row_number() OVER (ORDER BY domain) AS r FROM (SELECT DISTINCT domain FROM vectors)), s AS (SELECT subject, row_number() OVER (ORDER BY subject) AS r FROM (SELECT DISTINCT subject FROM vectors))
+SELECT domain, subject, (domain, subject) IN (SELECT domain, subject FROM vectors) AS "exists" FROM d JOIN s USING (r)""")
+def zipped_routes(spark, sf):
+    v = A.vectors(spark, sf)
+    there = retrieval.existing_routes(v).withColumn("exists", F.lit(True))
+    return retrieval.existing_routes(v, "zip").join(there, ["domain", "subject"], "left").select("domain", "subject", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
+@query(f"{CACHED} SELECT CAST(count(*) AS BIGINT) AS entries, min(cached_at) AS oldest, max(cached_at) AS newest, (SELECT count(*) FROM analysis_cache WHERE bubble_id = 'b3') AS gone FROM analysis_cache WHERE bubble_id <> 'b3'")
+def invalidated_cache(spark, sf):
+    cache = A.analysis_cache(spark, sf)
+    kept, count = registry.delete_where(cache, F.col("bubble_id") == "b3")
+    return registry.cache_info(kept, analysis.NOTE, "cached_at").withColumn("gone", F.lit(count.first()["deleted"]))
+
+
+@query(f"{CACHED} SELECT note_id, analysis, 2 AS stamp FROM analysis_cache WHERE content_version = 1.0 UNION ALL SELECT note_id, 'old', 1 FROM analysis_cache WHERE content_version <> 1.0")
+def saved_history(spark, sf):
+    c = A.analysis_cache(spark, sf)
+    old = c.select("note_id", F.lit("old").alias("analysis"), F.lit(1).alias("stamp"))
+    new = c.where("content_version = 1").select("note_id", "analysis", F.lit(2).alias("stamp"))
+    return registry.put_latest(old, new, ["note_id"], "stamp")
+
+
+@query(f"WITH {A.VECTORS} SELECT chunk_id, file_fingerprint, 'b' || (chunk_id % 10) AS bubble_id, 'then' AS cached_at FROM vectors WHERE chunk_id % 10 <> 3")
+def retrieval_cache(spark, sf):
+    note = F.floor(F.col("chunk_id") / 2).cast("string")
+    v = A.vectors(spark, sf).select("chunk_id", "file_fingerprint", note.alias("note_id"), F.concat(F.lit("b"), F.col("chunk_id") % 10).alias("bubble_id"))
+    none = v.limit(0).withColumn("cached_at", F.lit("then"))
+    rows = registry.append_stamped(none, v, "cached_at", F.lit("then"))
+    kept = registry.remove(rows, rows.where("bubble_id = 'b3'"), ["bubble_id"])
+    return analysis.retrieved_for(v, kept).drop("note_id")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS note_id, string_agg(CAST(turn AS VARCHAR) || ':' || text, '|' ORDER BY turn DESC) AS versions FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def archived_versions(spark, sf):
+    c = A.table(spark, sf, "conversations").where("text is not null")
+    archive = c.select(F.col("conv_id").cast("string").alias("note_id"), (-F.col("turn").cast("double")).alias("content_version"), F.col("turn").alias("chunk_id"), F.col("text").alias("content"))
+    rows = analysis.archived_versions(archive)
+    return rows.select("note_id", F.array_join(F.transform("versions", lambda v: F.concat(v["pos"].cast("string"), F.lit(":"), v["content"])), "|").alias("versions"))
+
+
+@query("SELECT page_id, '| ' || page_id || ' |  |' || chr(10) || '| --- | --- |' || chr(10) || '|  | ' || len(url) || ' |' AS markdown FROM pages WHERE url IS NOT NULL")
+def note_tables(spark, sf):
+    p = A.table(spark, sf, "pages").where("url is not null")
+
+    def cell(r, c, text):
+        delta = F.array(F.struct(text.cast("string").alias("insert")))
+        return F.struct(F.struct(F.lit(r).alias("rowPosition"), F.lit(c).alias("colPosition")).alias("data"), F.array(F.struct(F.struct(delta.alias("delta")).alias("data"))).alias("children"))
+
+    cells = F.array(cell(0, 0, F.col("page_id")), cell(1, 1, F.lit("first")), cell(1, 1, F.length("url")), cell(7, 7, F.lit("outside")))
+    table = F.struct(F.lit("table").alias("type"), F.struct(F.lit(2).alias("rowsLen"), F.lit(2).alias("colsLen")).alias("data"), cells.alias("children"))
+    document = F.to_json(F.struct(F.lit("page").alias("type"), F.array(table).alias("children")))
+    return p.select("page_id", notes.markdown(notes.parsed(document)).alias("markdown"))
+
+
+@query(f"{CACHED} SELECT note_id, content_version, 'Review the note against its sources and its earlier form.' || chr(10) || 'Earlier:' || chr(10) || coalesce(analysis, '') || chr(10) || 'Note:' || chr(10) || coalesce(n.text, '') || chr(10) || 'Sources:' || chr(10) || CASE WHEN c.note_id IS NULL THEN '' ELSE 'source of ' || n.note_id END || chr(10) AS prompt FROM current_notes n LEFT JOIN (SELECT note_id, analysis FROM analysis_cache) c USING (note_id)")
+def review_prompts(spark, sf):
+    """Notes with a retrieval cache use it; the others have no route here, so their context is empty."""
+    n, c = A.current_notes(spark, sf), A.analysis_cache(spark, sf)
+    archive = c.select("note_id", F.col("content_version"), F.lit(0).alias("chunk_id"), F.col("analysis").alias("content"))
+    held = c.select("note_id", "bubble_id", F.lit("d").alias("domain"), F.lit("s").alias("subject"), F.lit(1).cast("long").alias("chunk_id"), F.concat(F.lit("source of "), "note_id").alias("content"))
+    q = A.subqueries(spark, sf).withColumn("note_id", F.lit("no such note")).withColumn("query_pos", F.col("question_id"))
+    return jobs.analyse_notes(n, archive, held, q, A.vectors(spark, sf)).drop("bubble_id")
+
+
+@query(f"""WITH {A.VECTORS}, {A.FILES} SELECT 'counts' AS part, domain, subject, count(*) AS n FROM vectors GROUP BY domain, subject
+UNION ALL SELECT 'storage', domain, subject, CAST(sum(length) AS BIGINT) FROM files GROUP BY domain, subject
+UNION ALL SELECT 'samples', domain, subject, least(3, count(*)) FROM vectors GROUP BY domain, subject
+UNION ALL SELECT 'totals', NULL, NULL, count(*) FROM vectors""")
+def inspected_stores(spark, sf):
+    parts = jobs.inspect_stores(A.vectors(spark, sf), A.files(spark, sf))
+    rows = parts["counts"].select(F.lit("counts").alias("part"), "domain", "subject", F.col("documents").alias("n"))
+    rows = rows.union(parts["storage"].select(F.lit("storage"), "domain", "subject", "bytes"))
+    rows = rows.union(parts["samples"].groupBy("domain", "subject").agg(F.count("*").alias("n")).select(F.lit("samples"), "domain", "subject", "n"))
+    return rows.union(parts["totals"].where("level = 'total'").select(F.lit("totals"), "domain", "subject", "documents"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,19 @@ NOTE = "title string, note_id string, bubble_id string, document string, ink str
 BUBBLE = "id string, name string, description string, domains array<string>, user_goals array<string>, created_at timestamp"
 
 
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df as a Parquet table, read back. Without a folder it goes below spark.checkpoint.dir, which a cluster must name; only a
+    local session may go without."""
+    spark = df.sparkSession
+    if folder is None:
+        top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = f"{(top or tempfile.mkdtemp(prefix='lorespark-')).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def path_parts(rel_path: Column, deepest: int = 4) -> dict[str, Column]:
     """Columns of a path below the root: four folder names (null where absent), name, stem, suffix, depth."""
     parts = F.split(rel_path, "/")
@@ -22,7 +38,11 @@ def path_parts(rel_path: Column, deepest: int = 4) -> dict[str, Column]:
 def file_tree(spark: SparkSession, root: str, deepest: int = 4) -> DataFrame:
     """Files of at most ``deepest`` folders below the root, without their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    resolved = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(top).toString().rstrip("/")
+    # both forms of a path, file:/x and file:///x, name the same; what is cut off is that literal prefix
+    plain = F.regexp_replace("path", "^([a-z][a-z0-9+.-]*:)//(?=/)", "$1")
+    rel = F.when(plain.startswith(resolved + "/"), F.substring(plain, F.lit(len(resolved) + 2), F.length(plain)))
     return listed(files.select(rel.alias("rel_path"), "length"), deepest)
 
 
@@ -34,15 +54,28 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 
-def notes(spark: SparkSession, path: str) -> DataFrame:
-    """Note files of one JSON document each; ink defaults to an empty list. The id is the file's name without .json."""
+def notes(spark: SparkSession, path: str, bubble_id: str | None = None) -> DataFrame:
+    """Note files of one JSON document each, of one bubble if it is given; ink defaults to an empty list. The id is the file's
+    name without .json."""
     rows = spark.read.schema(NOTE).json(path, multiLine=True).select("*", F.col("_metadata.file_name").alias("file_name"))
+    rows = rows.where(F.col("bubble_id") == bubble_id) if bubble_id is not None else rows
     return rows.withColumn("ink", F.coalesce("ink", F.lit("[]"))).withColumn("file_stem", F.regexp_replace("file_name", r"\.json$", ""))
 
 
-def bubbles(spark: SparkSession, root: str) -> DataFrame:
-    """Bubbles of all folders that have an info.json."""
-    return spark.read.schema(BUBBLE).json(f"{root}/*/info.json", multiLine=True)
+def bubbles(spark: SparkSession, root: str, bubble_id: str | None = None) -> DataFrame:
+    """Bubbles of all folders that have an info.json, or the one of an id."""
+    rows = spark.read.schema(BUBBLE).json(f"{root}/*/info.json", multiLine=True)
+    return rows.where(F.col("id") == bubble_id) if bubble_id is not None else rows
+
+
+def registry_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a registry of files, notes or chunks."""
+    return spark.read.parquet(path)
+
+
+def write_annotated(rows: DataFrame, path: str) -> None:
+    """Annotated Markdown (source_id, markdown), a row for each document."""
+    rows.select("source_id", "markdown").write.mode("overwrite").parquet(path)
 
 
 def add_vectors(rows: DataFrame, path: str, files_each: int = 8) -> None:

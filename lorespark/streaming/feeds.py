@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorespark.operators.notes import MAJOR, MAJOR_BLOCKS, MAJOR_CHARS, MIDDLE, MIDDLE_BLOCKS, MIDDLE_CHARS, SMALL
+
 
 def progress_feed(events: DataFrame) -> DataFrame:
     """The feed of operators.stats.progress_feed over a stream of (source_id, seq, added, embedded).
@@ -29,7 +31,10 @@ def progress_feed(events: DataFrame) -> DataFrame:
             if pct != last:
                 rows.append((key[0], r.seq, total, completed, pct, "completed" if left <= 0 else "processing", left <= 0 and total > 0))
             last = pct
-        state.update((total, completed, last))
+        if total > 0 and completed >= total:
+            state.remove()
+        else:
+            state.update((total, completed, last))
         yield pd.DataFrame(rows, columns=["source_id", "seq", "total", "completed", "progress_pct", "status", "done"])
 
     state = "total long, completed long, last long"
@@ -53,8 +58,9 @@ def note_versions(edits: DataFrame, ttl_ms: int = 0) -> DataFrame:
             changed, before, inc = r.hash != last, version, 0.0
             if changed:
                 more, added = r.chars - chars, max(0, r.blocks - blocks)
-                inc = 1.0 if more > 125 or added > 10 else 0.1 if more > 75 or added > 5 else 0.01 if more > 0 else 0.0
-                version = float(int(version)) + 1 if inc >= 1 else version + inc
+                major, middle = more > MAJOR_CHARS or added > MAJOR_BLOCKS, more > MIDDLE_CHARS or added > MIDDLE_BLOCKS
+                inc = MAJOR if major else MIDDLE if middle else SMALL if more > 0 else 0.0
+                version = float(int(version)) + 1 if inc >= MAJOR else round(version + inc, 2)
             chars, blocks, last = r.chars, r.blocks, r.hash
             rows.append((key[0], r.seq, inc, changed, before, version))
         state.update((int(chars), int(blocks), last, version))
@@ -66,6 +72,11 @@ def note_versions(edits: DataFrame, ttl_ms: int = 0) -> DataFrame:
     return edits.groupBy("note_id").applyInPandasWithState(step, out, "chars long, blocks long, last string, version double", "append", timeout)
 
 
+def due_analyses(versions: DataFrame) -> DataFrame:
+    """Of note_versions() the edits that ask for an analysis: a major step, or the first of a note. Stays a stream."""
+    return versions.where((versions["increment"] >= MAJOR) | (versions["version_before"] == 0))
+
+
 def ingest_continuously(files: DataFrame, ingest: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Calls the batch ingestion with every micro-batch of a file stream until there is nothing new. ingest must stand replays."""
     return files.writeStream.foreachBatch(lambda batch, _: ingest(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
