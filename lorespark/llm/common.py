@@ -67,19 +67,33 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir; a temporary folder where that is unset, in local sessions only (tests)."""
     conf = spark.sparkContext.getConf()
     top = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set, and executors share no other folder")
     return f"{(top or tempfile.mkdtemp(prefix='lorespark-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage is cut, and lost executors cost nothing."""
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: lineage is cut, and lost executors cost nothing.
+
+    zstd suits large tables that are read again and again: it needs no buffers beside the heap, and less disk.
+    """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the folder of a table that written() made. Nothing may read it afterwards."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its rows, counted and weighed first, stay below the limit; else df as it is, for a shuffle join."""
 

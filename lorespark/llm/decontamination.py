@@ -52,7 +52,7 @@ def positional_index(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, Da
     small = broadcast_if_small(terms)
     # a vocabulary too large to broadcast: the hot words' places are dealt to salts
     found = exploded.join(small, "term") if small is not terms else join_unique(exploded, terms, "term")
-    return written(found.select("term_id", "doc_id", "key", "pos")), terms
+    return written(found.select("term_id", "doc_id", "key", "pos"), "zstd"), terms
 
 
 def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
