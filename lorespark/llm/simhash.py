@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import numbers, runs, values
-from lorespark.llm.common import broadcast_if_small, documents, join_on, join_unique, without, written
+from lorespark.llm.common import broadcast_if_small, documents, join_on, join_unique, unused, without, written
 from lorespark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -389,7 +389,8 @@ def deduplicate(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates; all columns stay. Of rows that repeat as a whole one stays."""
+    """docs with one document of each group of near duplicates; all columns stay. Of rows equal in doc_id and text one stays,
+    whatever else they hold; a null text is an empty one, and all texts without words are one group."""
     rows = written(deduplicate(docs))
     kept = without(docs, rows.where("not kept"))
     every = documents(docs).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -397,7 +398,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if twice.isEmpty():
         return kept
     once = without(kept, twice)
+    doc, key = unused(docs, "doc", "key")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    small = broadcast_if_small(twice.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")))
-    again = kept.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    small = broadcast_if_small(twice.select(F.col("doc_id").alias(doc), F.col("key").alias(key)))
+    again = kept.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)))
+    return once.unionByName(again.dropDuplicates([doc, key]).drop(doc, key))

@@ -11,8 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorespark.llm import brown, common, fingerprints, queries, sentences, simhash, suffixes
-from tests.compare import spark_rows, sql_rows
+from lorespark.llm import brown, common, fingerprints, pii, queries, sentences, simhash, suffixes, toxicity
+from tests.compare import TABLES, spark_rows, sql_rows
 
 
 @pytest.fixture(scope="session")
@@ -123,12 +123,49 @@ def test_simhash(spark, sf, docs):
     assert got == {i: (f"{fp[i]:016x}", root[i]) for i in fp}
 
 
-def test_near_duplicates(spark, sf, docs):
+def near_groups(docs):
+    """The smallest id of each document's group of texts with a Jaccard similarity of 0.8 or more, pair by pair."""
     sets = {i: set(simhash.hashes(t.encode(), 5).tolist()) for i, t in docs.items()}
-    near = {a: [b for b in sets if (not sets[a] and not sets[b]) or (sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))] for a in sets}
-    root = closed(sorted(sets), near)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.deduplicate(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    assert got == root
+    near, order = {i: [] for i in sets}, sorted(sets, key=lambda i: len(sets[i]))
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            if (not sets[i] and not sets[j]) or (common := len(sets[i] & sets[j])) and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                near[i].append(j)
+                near[j].append(i)
+    return closed(sorted(sets), near)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_near_duplicates(spark, size):
+    rows = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    root = near_groups({r["doc_id"]: r["text"] or "" for r in rows.select("doc_id", "text").collect()})
+    got = {r["doc_id"]: r["component_id"] for r in simhash.deduplicate(rows).collect()}
+    assert len(set(root.values())) < len(root) and got == root
+
+
+def test_pairs_within_a_family_of_templates(spark):
+    """Planted pairs of similarity 0.82 among hundreds of texts of 0.76, which all are candidates for one another."""
+    rng = np.random.default_rng(12)
+    base, rows = [f"w{i}" for i in range(300)], []
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.choice(50, n, replace=False) * 6:
+            words[at] = f"x{rng.integers(1 << 40)}"
+        return words
+
+    for i in range(500):
+        rows.append((i, " ".join(changed(base, 4))))
+    for i in range(100):
+        own = changed(base, 4)
+        rows += [(1000 + 2 * i, " ".join(changed(own, 3))), (1001 + 2 * i, " ".join(changed(own, 3)))]
+    want = near_groups(dict(rows))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, r in want.items() if r != i]
+    assert len(linked) > 80 and np.mean([got[i] == want[i] for i in linked]) >= 0.99
+    assert all(got[i] == i for i, r in want.items() if r == i)
 
 
 def cloud(copies=150):
@@ -203,6 +240,12 @@ def test_rare_words_find_their_counts(spark, sf):
     assert a == b
 
 
+def test_hot_words_are_dealt_to_salts(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = (sorted(map(tuple, brown.word_classes(d, 20, 8, 300, word_rows).collect())) for word_rows in (brown.WORD_ROWS, 40))
+    assert a == b
+
+
 @pytest.mark.parametrize("lookup", [400, 10**6])
 def test_every_word_is_in_its_best_class(spark, sf, docs, lookup):
     train = [brown.words(t.encode()) for i, t in docs.items() if zlib.crc32(str(i).encode()) % 10]
@@ -302,17 +345,50 @@ def test_ranges_hold_however_the_ids_lie(spark):
     assert max(r["count"] for r in fingerprints.in_ranges(same).groupBy("range").count().collect()) < 4 * fingerprints.RANGE_ROWS
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, sf, tmp_path):
+    """Every stage's decisions, on what the one before has kept."""
+    import corpus_pipeline
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet").cache()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+
+    def after(name, rows):
+        out = corpus_pipeline.written(stages[name](spark, rows, sf))
+        assert out.columns == rows.columns
+        return out, {r["doc_id"]: r["text"] for r in out.collect()}
+
+    def by_sql(name, texts):
+        here = tmp_path / name
+        here.mkdir()
+        for t in TABLES:
+            (here / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet") if t != "documents" else None
+        docs.where(F.col("doc_id").isin(list(texts))).drop("text").toPandas().assign(text=lambda d: d["doc_id"].map(texts)).to_parquet(here / "documents.parquet")
+        columns, rows = sql_rows(queries.ORACLES[name], str(here))
+        return [dict(zip(columns, r)) for r in rows]
+
+    clean, texts = after("toxicity", docs)
+    rejected = {r["doc_id"] for r in toxicity.grade(docs, labels).where("rejected").collect()}
+    assert rejected and set(texts) == {r["doc_id"] for r in docs.collect()} - rejected
+    once, kept = after("near_duplicates", clean)
+    assert {i for i, r in near_groups(texts).items() if r == i} == set(kept) < set(texts)
+    apart, left = after("decontamination", once)
+    assert {r["doc_id"] for r in by_sql("op1_decontamination", kept) if not r["contaminated"]} == set(left) < set(kept)
+    hidden, masked = after("personal_data", apart)
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.detect(apart).collect()}
+    assert masked == {i: pii.mask(t, spans[i]) for i, t in left.items()} and any(spans.values())
+    assert all({k for k, _, _ in pii.base_spans(t)} <= {k for k, _, _ in spans[i]} for i, t in left.items())
+    assert {r["doc_id"]: r["n_chars"] for r in hidden.collect()} == {i: len(t) for i, t in masked.items()}
+    mixed = {r["doc_id"]: (r["size"], r["target"], r["taken"]) for r in stages["mixing"](spark, hidden, sf).collect()}
+    assert {i: (s, pytest.approx(t), n) for i, (s, t, n) in mixed.items()} == {r["doc_id"]: (r["size"], r["target"], r["taken"]) for r in by_sql("op2_mixing", masked)}
+
+
+def test_stages_take_odd_tables(spark, odd_docs, no_docs, sf):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = corpus_pipeline.written(stage(spark, docs, sf))
-        assert docs.columns == names and 0 < docs.count() <= before, name
-    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert mixed.count() == docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, sf)
+        assert name == "mixing" or out.columns == odd_docs.columns
+        assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in odd_docs.collect()} and stage(spark, no_docs, sf).isEmpty()
 
 
 def test_unique_join_with_hot_values(spark):
