@@ -15,22 +15,28 @@ from lorespark.llm.common import written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the labels' model rejects. Null and empty texts stay; repeated rows go or stay together."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest doc_id (null last). All texts without words are one group; of repeated rows one stays."""
     return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a window of a test item. Null and empty texts stay; repeated rows go or stay together."""
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All docs, every span of personal data replaced by its kind. Null texts stay null, empty ones empty; repeated rows are masked alike."""
     return pii.masked(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document. Null and empty texts have size 0 and are not taken; repeated rows count one by one; a
+    null source is a source of its own."""
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "partial")
 
 
