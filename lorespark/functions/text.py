@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from string import Formatter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +123,12 @@ def slug(name: Column) -> Column:
     return F.lower(F.replace(name, F.lit(" "), F.lit("_")))
 
 
+def slug_collisions(names: DataFrame, column: str) -> DataFrame:
+    """(slug, names): slugs that several different names share."""
+    rows = names.select(slug(F.col(column)).alias("slug"), F.col(column).alias("name")).distinct()
+    return rows.groupBy("slug").agg(F.count("*").alias("names")).where("names > 1")
+
+
 def preview(content: Column, length: int, ellipsis: str = "") -> Column:
     cut = F.concat(F.substring(content, 1, length), F.lit(ellipsis))
     return F.when(F.length(content) > length, cut).otherwise(F.coalesce(content, F.lit("")))

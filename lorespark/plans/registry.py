@@ -316,9 +316,11 @@ def delete_by_subject(spark, sf):
     return kept.groupBy("domain").agg(F.count("*").alias("rows")).withColumn("deleted", F.lit(count.first()["deleted"]))
 
 
-@query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN domain = 'src0' THEN 0 ELSE embedded END AS embedded FROM files")
+@query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN domain = 'src0' THEN 0 ELSE embedded END AS embedded, (SELECT count(*) FROM files WHERE domain = 'src0') AS matched FROM files")
 def reset_embedded(spark, sf):
-    return registry.reset_flag(A.files(spark, sf), "embedded", ["converted", "embedded"], F.col("domain") == "src0").select("doc_id", "embedded")
+    f, hit = A.files(spark, sf), F.col("domain") == "src0"
+    matched = registry.reset_count(f, hit).first()["matched"]
+    return registry.reset_flag(f, "embedded", ["converted", "embedded"], hit).select("doc_id", "embedded", F.lit(matched).alias("matched"))
 
 
 LATEST_EVENT = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
@@ -644,3 +646,43 @@ def inspected_stores(spark, sf):
     rows = rows.union(parts["storage"].select(F.lit("storage"), "domain", "subject", "bytes"))
     rows = rows.union(parts["samples"].groupBy("domain", "subject").agg(F.count("*").alias("n")).select(F.lit("samples"), "domain", "subject", "n"))
     return rows.union(parts["totals"].where("level = 'total'").select(F.lit("totals"), "domain", "subject", "documents"))
+
+
+@query("""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS note_id, 'b' || (doc_id % 10) AS bubble_id FROM documents), new AS (SELECT CAST(doc_id + 100 AS VARCHAR) AS note_id, 'b' || (doc_id % 10) AS bubble_id FROM documents)
+SELECT coalesce(n.note_id, new.note_id) AS note_id, coalesce(n.bubble_id, new.bubble_id) AS bubble_id, CASE WHEN CAST(coalesce(n.note_id, new.note_id) AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS analysed,
+  'd' AS domain, CASE WHEN new.note_id IS NULL THEN 1 ELSE 2 END AS last_analysed FROM n FULL JOIN new ON n.note_id = new.note_id""")
+def registered_notes(spark, sf):
+    """Several notes of one bubble register, and an empty domain of a mark does not overwrite."""
+    d = A.table(spark, sf, "documents")
+
+    def rows(plus, stamp):
+        return d.select((F.col("doc_id") + plus).cast("string").alias("note_id"), F.concat(F.lit("b"), F.col("doc_id") % 10).alias("bubble_id"), F.lit(0).alias("analysed"), F.lit("d").alias("domain"), F.lit(stamp).alias("last_analysed"))
+
+    n = registry.register(rows(0, 1), rows(100, 2), ["note_id"], "last_analysed")
+    done = n.where("cast(note_id as bigint) % 5 = 0").select("note_id", F.lit("").alias("domain"))
+    return registry.mark(n, done, ["note_id"], {"analysed": F.lit(1)}, ["domain"])
+
+
+@query("SELECT lower(replace(source, ' ', '_')) || '_' || lang AS slug, CAST(2 AS BIGINT) AS names FROM documents GROUP BY source, lang")
+def slug_collisions(spark, sf):
+    d = A.table(spark, sf, "documents")
+    both = F.array(F.concat("source", F.lit(" "), "lang"), F.concat(F.upper("source"), F.lit("_"), F.col("lang")))
+    return X.slug_collisions(d.select(F.explode(both).alias("name")), "name")
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS has_id FROM documents")
+def id_folders(spark, sf):
+    d = A.table(spark, sf, "documents")
+    hexes = F.md5(F.col("doc_id").cast("string"))
+    uuid = F.concat_ws("-", *[F.substring(hexes, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    path = F.concat_ws("/", F.lit("kb"), F.when(F.col("doc_id") % 3 == 0, uuid).otherwise(hexes), F.lit("x.pdf"))
+    return d.select("doc_id", X.has_uuid_part(F.split(path, "/")).alias("has_id"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS note_id, v.version AS content_version FROM documents, (VALUES (1.0::DOUBLE), (2.0::DOUBLE)) v(version) WHERE doc_id % 4 <> 0")
+def archive_of_notes(spark, sf):
+    """Chunks are appended with their version, and dropped with their note."""
+    d = A.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("note_id"))
+    old = d.withColumn("content_version", F.lit(1.0))
+    both = registry.append_stamped(old, d, "content_version", F.lit(2.0))
+    return registry.remove(both, d.where("cast(note_id as bigint) % 4 = 0"), ["note_id"])
