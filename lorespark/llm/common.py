@@ -70,7 +70,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; a temporary folder where that is unset, in local sessions only (tests)."""
     conf = spark.sparkContext.getConf()
     top = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not spark.sparkContext.master.startswith("local["):
+    if not top and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir is not set, and executors share no other folder")
     return f"{(top or tempfile.mkdtemp(prefix='lorespark-')).rstrip('/')}/{uuid.uuid4().hex}"
 
