@@ -507,9 +507,9 @@ def ingested_chunks(spark, sf):
     stamp = F.lit("2026-01-01").cast("timestamp")
     # a third of the files is new, a third was converted only, and a third is done
     known = f.where("converted = 1").select("file_fingerprint", "original_name", F.col("original_name").alias("sanitized_name"), "domain", "subject", "converted", "embedded", "filepath", stamp.alias("last_updated"))
-    before = chunking.chunk(sources.where("converted = 1").select(F.col("file_fingerprint").alias("source_id"), "text"))
+    before = chunking.chunk(sources.where("converted = 1").select(F.col("file_fingerprint").alias("source_id"), "text"), most=10**9)
     before = before.drop("embedded").join(known.select(F.col("file_fingerprint").alias("source_id"), "embedded"), "source_id").select(*before.columns)
-    out = jobs.ingest_corpus(sources.select("original_name", "filepath", "domain", "subject", "text"), known, before, retrieval.hashing_embedder(), stamp)
+    out = jobs.ingest_corpus(sources.select("original_name", "filepath", "domain", "subject", "text"), known, before, retrieval.hashing_embedder(), stamp, most=10**9)
     return out.vectors.select("source_id", "chunk_index", "domain", "subject", F.size("embedding").alias("dimensions"))
 
 
@@ -523,12 +523,12 @@ def note_chunks(spark, sf):
 def fetched_chunks(spark, sf):
     ids = A.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("source_id"))
     asked = ids.select("source_id", F.when(F.col("source_id").cast("long") % 2 != 0, F.lit(1)).alias("chunk_index"))
-    return chunking.asked_chunks(chunking.chunk(A.markdown(spark, sf)), asked).select("source_id", "chunk_index", "content")
+    return chunking.asked_chunks(chunking.chunk(A.markdown(spark, sf), most=10**9), asked).select("source_id", "chunk_index", "content")
 
 
 @query(f"WITH {MD} SELECT source_id, chunk_index FROM chunks WHERE chunk_index = 0")
 def first_chunks(spark, sf):
-    return chunking.fetch(chunking.chunk(A.markdown(spark, sf)), chunk_index=0).select("source_id", "chunk_index")
+    return chunking.fetch(chunking.chunk(A.markdown(spark, sf), most=10**9), chunk_index=0).select("source_id", "chunk_index")
 
 
 @query(f"""WITH {MD}, {A.FILES} SELECT c.source_id AS file_fingerprint, chunk_fingerprint, chunk_index, 'header' AS chunk_type, original_name, domain, subject, '' AS parent_chunk_index
