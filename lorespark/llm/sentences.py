@@ -1,16 +1,18 @@
 """Substring deduplication by sliding spans of consecutive sentences.
 
-A sentence ends after a full stop, question or exclamation mark before a space, or with its line. Every run of SPAN
-consecutive sentences is a span, however short they are; a sentence of LONG words or more is one too, and so is a whole text
-of fewer sentences. A sentence goes if it lies in a span whose words, lower-cased, make up an earlier span too. Spans are met
-by 128 bits of their hash.
+A sentence ends after a full stop, question or exclamation mark before a space, or with its line. Every run of SPAN or more
+consecutive sentences with WORDS words together counts, and a sentence of LONG words alone; a text without either is one span.
+The shortest runs from and up to every sentence make up all others, so only these are hashed. A sentence goes if it lies in a
+span whose words, lower-cased, make up an earlier span too. Spans are met by 128 bits of their hash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from lorespark.llm.arrow import numbers, values
 from lorespark.llm.common import join_on, written
 from lorespark.llm.repeats import placed, repeated
 
-#: Sentences of a span, and words that make a sentence a span by itself.
-SPAN, LONG = 2, 25
+#: Sentences and words of the shortest spans, and words that make a sentence a span by itself.
+SPAN, WORDS, LONG = 2, 15, 25
 #: What ends a sentence. No part of it can match in two ways, so the time is linear whatever the text.
 END = re.compile(rb"[.!?] +|\n")
 
@@ -34,25 +36,34 @@ def sentences(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def spans(text: bytes, span: int = SPAN, long: int = LONG) -> Iterator[tuple[bytes, int, int]]:
+def spans(text: bytes, span: int = SPAN, least: int = WORDS, long: int = LONG) -> Iterator[tuple[bytes, int, int]]:
     """(16 bytes of hash, first sentence, sentences) of every span; sentences without words belong to none and are passed over."""
     pieces = [(i, p.lower().split()) for i, p in enumerate(sentences(text))]
     pieces = [(i, len(w), b" ".join(w)) for i, w in pieces if w]
     count = len(pieces)
-    runs = [(at, at + span) for at in range(count - span + 1)] or [(0, count)] * (count > 0)
-    runs += [(at, at + 1) for at, (_, n, _) in enumerate(pieces) if n >= long and (at, at + 1) not in runs[:1]]
-    for at, end in runs:
+    until, runs = [0, *accumulate(n for _, n, _ in pieces)], {}
+    for at in range(count):
+        if pieces[at][1] >= long:
+            runs[at, at + 1] = None
+            continue
+        end = max(bisect_left(until, until[at] + least), at + span)
+        if end <= count:
+            runs[at, end] = None
+        start = min(bisect_right(until, until[at + 1] - least) - 1, at + 1 - span)
+        if start >= 0:
+            runs[start, at + 1] = None
+    for at, end in runs or [(0, count)] * (count > 0):
         yield xxhash.xxh3_128_digest(b"\n".join(p for _, _, p in pieces[at:end])), pieces[at][0], pieces[end - 1][0] - pieces[at][0] + 1
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, long: int = LONG) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS, long: int = LONG) -> DataFrame:
     """(did, key, start, length) of every span of sentences of placed documents but the first of its words."""
     names = ["high", "low", "did", "key", "start", "length"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, key = numbers(batch.column("did")), numbers(batch.column("key"))
-            found = [(h, i, s, n) for i, t in enumerate(values(batch.column("text"))) for h, s, n in spans(t, span, long)]
+            found = [(h, i, s, n) for i, t in enumerate(values(batch.column("text"))) for h, s, n in spans(t, span, least, long)]
             if found:
                 h, i, s, n = zip(*found)
                 row, halves = np.array(i), np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
@@ -64,14 +75,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, long: int = LONG) -> DataF
     return repeated(rows, ("high", "low"))
 
 
-def deduplicate(docs: DataFrame, span: int = SPAN, long: int = LONG) -> DataFrame:
+def deduplicate(docs: DataFrame, span: int = SPAN, least: int = WORDS, long: int = LONG) -> DataFrame:
     """One row for each document: doc_id, n_sentences, n_removed, kept_sha256, kept_text.
 
     Null texts are empty. Rows equal in doc_id and text are one document; first is the smallest doc_id (null first), then
     the smaller hash of the text, then the earlier sentence.
     """
     docs = placed(docs)
-    gone = written(repeated_spans(docs, span, long).groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
+    gone = written(repeated_spans(docs, span, least, long).groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))
     rows = join_on(docs, gone, ["did", "key"], "left").select("doc_id", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

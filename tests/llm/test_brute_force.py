@@ -55,7 +55,7 @@ def test_suffixes(spark, sf, docs, bits):
 
 
 def without_repeated_runs(texts):
-    """Texts without the sentences of two in a row, of long ones, or of whole texts of one, that were there before."""
+    """Texts without the sentences of runs of 15 words, of long ones, or of whole short texts, that were there before."""
     seen, kept = set(), []
     for text in texts:
         pieces = [p for p in re.split(r"(?<=\n)|(?<=[.!?] )(?! )", text) if p]
@@ -64,7 +64,7 @@ def without_repeated_runs(texts):
         for a in range(len(own)):
             for b in range(a + 1, len(own) + 1):
                 run = tuple(w for _, w in own[a:b])
-                if b - a >= 2 or len(run[0]) >= 25 or (a, b) == (0, len(own)):
+                if (b - a >= 2 and sum(map(len, run)) >= 15) or (b - a == 1 and len(run[0]) >= 25) or (a, b) == (0, len(own)):
                     if run in seen:
                         gone.update(range(own[a][0], own[b - 1][0] + 1))
                     seen.add(run)
