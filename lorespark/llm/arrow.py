@@ -25,6 +25,23 @@ def numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def packed(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of 32-bit numbers that end at ``ends`` (0 first) as binary values, which Spark moves without a look at each number."""
+    offsets = pa.py_buffer(np.ascontiguousarray(4 * np.asarray(ends), np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(flat, np.int32))])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers end to end, how many each value has) of a column made by packed()."""
+    if not len(column):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    big = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if big else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(flat).view(np.int32), np.diff(at) // 4
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches of a partition sorted by keys, cut anew so that no run of equal keys is divided between two of them.
 

@@ -27,18 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrow import numbers, runs, values
-from lorespark.llm.common import documents, written
+from lorespark.llm.arrow import numbers, packed, runs, unpacked, values
+from lorespark.llm.common import discard, documents, written
 from lorespark.llm.repeats import differs
 
 HEAD, CLASSES, LOOKUP = 2048, 64, 131_072
 #: Sweeps, and rounds of head and sweeps, end when they raise the likelihood by no more than so many nats a token.
-SETTLED = 0.005
+SETTLED = 0.01
 ALPHA, BETA = 0.1, 2.0
 #: Codes of what is no frequent word, and their classes: the end of a text, and a rare word; in the model, an unknown one.
 END, RARE = 0, 1
-#: A frequent word's neighbours are dealt to a salt for so many tasks that found them.
-TASKS_A_SALT = 64
+#: A frequent word's neighbours are dealt to a salt for every so many of them.
+WORD_ROWS = 4_000_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -86,18 +86,18 @@ def coded(rows: DataFrame, index: dict[bytes, int]) -> DataFrame:
                 found.append(END)
                 parts.append(np.array(found, np.int32))
                 cuts.append(len(rare))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in parts]), pa.int32()), pa.array(np.concatenate(parts)))]
+            lists = [packed(np.concatenate(parts), np.cumsum([len(x) for x in parts]))]
             lists.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())))
             number = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([number, batch.column("doc_id"), batch.column("held_out"), *lists], names=["row", "doc_id", "held_out", "ids", "rare"])
 
-    return written(rows.mapInArrow(each, "row long, doc_id long, held_out boolean, ids array<int>, rare array<string>"))
+    return written(rows.mapInArrow(each, "row long, doc_id long, held_out boolean, ids binary, rare array<string>"), "zstd")
 
 
 def line(batch: pa.RecordBatch) -> np.ndarray:
     """The codes of a batch's texts end to end, after an end."""
-    return np.concatenate([[END], numbers(batch.column("ids").flatten())])
+    return np.concatenate([[END], unpacked(batch.column("ids"))[0]])
 
 
 def bigrams(texts: DataFrame, unit: np.ndarray, units: int) -> np.ndarray:
@@ -133,8 +133,7 @@ def exchange(table: np.ndarray, of: np.ndarray, total: int, fixed: int) -> int:
     for c in range(total):
         onto[:, c] = table[:, of == c].sum(axis=1)
         into[:, c] = table[of == c].sum(axis=0)
-    joint = np.zeros((total, total))
-    np.add.at(joint, of, onto)
+    joint = by_class(table, of, total)
     size = np.bincount(of, n, total)
     choice = np.arange(RARE + 1, total)
     while True:
@@ -193,23 +192,25 @@ def best(nxt: np.ndarray, prv: np.ndarray, now: np.ndarray, joint: np.ndarray, s
     return np.where((now > RARE) & (gain[at, now] >= gain[at, new] - 1e-9), now, new)
 
 
-def neighbours(texts: DataFrame, least: int) -> DataFrame:
+def neighbours(texts: DataFrame, n: np.ndarray, least: int, word_rows: int = WORD_ROWS) -> DataFrame:
     """(word, codes) of frequent words from code ``least`` on: twice the code of each next word, and one more for words before.
 
-    In parts of a word's rows, sorted by word. Written.
+    In parts of a word's rows, sorted by word; all parts of a word lie in one partition, unless it has over word_rows. Written.
     """
-    flush_at = 1_000_000
+    flush_at, sent = 1_000_000, texts.sparkSession.sparkContext.broadcast(1 + n // word_rows)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        task = TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
             word, code = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(word, kind="stable")
             word, code = word[order], code[order]
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)), pa.int32()), pa.array(code))
-            return pa.RecordBatch.from_arrays([pa.array(word[first]), lists], names=["word", "codes"])
+            lists = packed(code, np.append(first, len(word)))
+            salt = pa.array((task % sent.value[word[first]]).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(word[first]), salt, lists], names=["word", "salt", "codes"])
 
         for batch in batches:
             x = line(batch).astype(np.int32)
@@ -221,44 +222,64 @@ def neighbours(texts: DataFrame, least: int) -> DataFrame:
         if held:
             yield out()
 
-    rows = texts.select("ids").mapInArrow(each, "word int, codes array<int>")
-    return written(rows.repartition("word", F.floor(F.spark_partition_id() / TASKS_A_SALT)).sortWithinPartitions("word"))
+    rows = texts.select("ids").mapInArrow(each, "word int, salt int, codes binary")
+    return written(rows.repartition("word", "salt").sortWithinPartitions("word").drop("salt"), "zstd")
 
 
-def sweep(beside: DataFrame, of: np.ndarray, least: int, joint: np.ndarray, size: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+def sweep(
+    beside: DataFrame, of: np.ndarray, n: np.ndarray, least: int, joint: np.ndarray, turn: int, word_rows: int = WORD_ROWS
+) -> tuple[np.ndarray, np.ndarray]:
     """(new class of each code, counts of neighbouring classes with a word from ``least`` on); every second word may move in a turn."""
-    total, spark = len(size), beside.sparkSession
-    sent = spark.sparkContext.broadcast((of, joint, size))
+    total, size = len(joint), joint.sum(axis=1)
+    sent = beside.sparkSession.sparkContext.broadcast((of, n, joint, size))
+    names = ["code", "value", "profile"]
+
+    def chosen(word: np.ndarray, profile: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        of, _, joint, size = sent.value
+        nxt, first, second = profile[:, 0], profile[:, 1], profile[:, 2]
+        new = np.where(((word + turn) % 2 == 1) & (of[word] > RARE), of[word], best(nxt, first + second, of[word], joint, size))
+        np.add.at(table, new, nxt)
+        np.add.at(table.T, new, first)
+        return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(new.astype(np.float64)), pa.nulls(len(word), pa.list_(pa.float32()))], names=names)
+
+    def counted(table: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(table)
+        return pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.array(table.reshape(-1)[at]), pa.nulls(len(at), pa.list_(pa.float32()))], names=names)
 
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = sent.value[0]
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n, table = sent.value[0], sent.value[1], np.zeros((total, total))
         for batch in runs(batches, ["word"]):
             word, at = np.unique(numbers(batch.column("word")), return_inverse=True)
-            codes = numbers(batch.column("codes").flatten())
-            at = np.repeat(at, numbers(pa.compute.list_value_length(batch.column("codes"))))
+            codes, many = unpacked(batch.column("codes"))
+            at = np.repeat(at, many)
             other = codes >> 1
             # next ones, then those before that are frequent only as neighbours, then others
             part = (codes & 1) * np.where(other >= least, 2, 1)
-            n = np.bincount((at * 3 + part) * total + of[other], minlength=len(word) * 3 * total).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(word) + 1) * 3 * total, pa.int32()), pa.array(n))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), lists], names=["word", "profile"])
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, joint, size = sent.value
+            profile = np.bincount((at * 3 + part) * total + of[other], minlength=len(word) * 3 * total).reshape(-1, 3, total)
+            whole = n[word] < word_rows
+            yield chosen(word[whole], profile[whole].astype(float), table)
+            if not whole.all():  # other partitions have more of these
+                word, profile = word[~whole].astype(np.int64), profile[~whole].astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(word) + 1) * 3 * total, pa.int32()), pa.array(profile.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.nulls(len(word), pa.float64()), lists], names=names)
+        yield counted(table)
+
+    def move_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((total, total))
-        for batch in runs(batches, ["word"]):
-            word, at = np.unique(numbers(batch.column("word")), return_inverse=True)
+        for batch in runs(batches, ["code"]):
+            word, at = np.unique(numbers(batch.column("code")), return_inverse=True)
             profile = np.zeros((len(word), 3, total))
             np.add.at(profile, at, numbers(batch.column("profile").flatten()).reshape(-1, 3, total))
-            nxt, first, second = profile[:, 0], profile[:, 1], profile[:, 2]
-            new = np.where(((word + turn) % 2 == 1) & (of[word] > RARE), of[word], best(nxt, first + second, of[word], joint, size))
-            np.add.at(table, new, nxt)
-            np.add.at(table.T, new, first)
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(new.astype(np.float64))], names=["code", "value"])
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(total * total)), pa.array(table.reshape(-1))], names=["code", "value"])
-
-    rows = beside.mapInArrow(profiles, "word int, profile array<float>").repartition("word").sortWithinPartitions("word")
-    found = rows.mapInArrow(move, "code long, value double").groupBy("code").agg(F.sum("value").alias("value")).toArrow()  # as many rows as lookup and classes allow
+            yield chosen(word, profile, table)
+        yield counted(table)
+
+    schema = "code long, value double, profile array<float>"
+    rows = beside.mapInArrow(move, schema)
+    if (n[least:] >= word_rows).any():
+        rows = written(rows)
+        hot = rows.where("profile is not null").repartition("code").sortWithinPartitions("code").mapInArrow(move_hot, schema)
+        rows = rows.where("profile is null").union(hot)
+    found = rows.groupBy("code").agg(F.sum("value").alias("value")).toArrow()  # as many rows as lookup and classes allow
     code, value = (numbers(found.column(c)) for c in ("code", "value"))
     new, table = of.copy(), np.zeros(total * total)
     new[code[code >= 0]] = value[code >= 0]
@@ -266,13 +287,20 @@ def sweep(beside: DataFrame, of: np.ndarray, least: int, joint: np.ndarray, size
     return new, table.reshape(total, total)
 
 
-def cluster(texts: DataFrame, n: np.ndarray, head: int, classes: int, settled: float = SETTLED) -> np.ndarray:
+def by_class(table: np.ndarray, of: np.ndarray, total: int) -> np.ndarray:
+    """Counts of neighbouring classes from those of units."""
+    member = np.zeros((len(of), total))
+    member[np.arange(len(of)), of] = 1
+    return member.T @ (table @ member)
+
+
+def cluster(texts: DataFrame, n: np.ndarray, head: int, classes: int, settled: float = SETTLED, word_rows: int = WORD_ROWS) -> np.ndarray:
     """The class of every code; n has the count of each. Head words and the others take turns until both have settled."""
     total, least = RARE + 1 + classes, min(len(n), RARE + 1 + head)
     of = np.full(len(n), RARE)
     of[END] = END
     of[RARE + 1 : least] = RARE + 1 + np.arange(least - RARE - 1) % classes
-    beside, reached = neighbours(texts, least) if least < len(n) else None, -np.inf
+    beside, reached = neighbours(texts, n, least, word_rows) if least < len(n) else None, -np.inf
     while True:
         # units: the end, rare words, later words of each class and those that have none yet; then each head word
         later = np.where(of[least:] > RARE, of[least:], total)
@@ -281,17 +309,18 @@ def cluster(texts: DataFrame, n: np.ndarray, head: int, classes: int, settled: f
         own[total] = RARE
         exchange(table, own, total, total + 1)
         of[RARE + 1 : least] = own[total + 1 :]
-        joint, fixed = np.zeros((total, total)), np.zeros((total, total))
-        np.add.at(joint, (own[:, None], own[None, :]), table)
+        joint = by_class(table, own, total)
         table[RARE + 1 : total + 1] = table[:, RARE + 1 : total + 1] = 0  # sweeps count the pairs with later words
-        np.add.at(fixed, (own[:, None], own[None, :]), table)
+        fixed = by_class(table, own, total)
         now = likelihood(joint)
         if beside is None or ((later < total).all() and now <= reached + settled):
+            if beside is not None:
+                discard(beside)
             return of
         reached, turn = now if (later < total).all() else -np.inf, 0
         while turn < 3 or now > before + settled:
             before = now
-            of, pairs = sweep(beside, of, least, joint, joint.sum(axis=1), turn)
+            of, pairs = sweep(beside, of, n, least, joint, turn, word_rows)
             joint, turn = fixed + pairs, turn + 1
             now = likelihood(joint)
 
@@ -382,7 +411,7 @@ class Model:
     types: int
 
 
-def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP) -> tuple[Model, DataFrame]:
+def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP, word_rows: int = WORD_ROWS) -> tuple[Model, DataFrame]:
     """The model of the rows of marked() that are not held out, and all of them coded."""
     learn = rows.where("not held_out")
     counts, n_train = word_counts(learn), learn.count()
@@ -393,7 +422,7 @@ def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
     n[RARE] = n_words - n[RARE + 1 :].sum()
     texts = coded(rows, index)
     learn = texts.where("not held_out")
-    of, total = cluster(learn, n, head, classes), RARE + 1 + classes
+    of, total = cluster(learn, n, head, classes, word_rows=word_rows), RARE + 1 + classes
     joint = bigrams(learn, of, total)
     rare, pairs = place(occurrences(learn, of, total), joint)
     joint[RARE] = joint[:, RARE] = 0
@@ -405,9 +434,9 @@ def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
     return Model(index, of, n, rare, joint + pairs, held, kinds, n_words + n_train, n_types + (n_train > 0)), texts
 
 
-def word_classes(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP) -> DataFrame:
+def word_classes(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP, word_rows: int = WORD_ROWS) -> DataFrame:
     """(word, n, class) of every word of the documents that are not held out."""
-    model, _ = train(marked(docs), head, classes, lookup)
+    model, _ = train(marked(docs), head, classes, lookup, word_rows)
     rows = [(w.decode(), int(model.n[i]), int(model.of[i])) for w, i in model.index.items()]  # bounded by lookup
     return docs.sparkSession.createDataFrame(rows, "word string, n long, class int").union(model.rare)
 
@@ -441,7 +470,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, size = line(batch), numbers(pa.compute.list_value_length(batch.column("ids")))
+            x, size = line(batch), unpacked(batch.column("ids"))[1]
             k, known, first = of[x], x != RARE, np.cumsum(size) - size
             part = np.where(known[1:] & known[:-1], step[k[:-1], k[1:]], 0.0) + np.where(known[1:], log_n[x[1:]] - spare[k[1:]], 0.0)
             seen, counted, part = (np.add.reduceat(v, first) for v in ((x[1:] > RARE).astype(np.int64), log_n[x[1:]], part))
@@ -464,7 +493,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
             sums = [pa.array(numbers(c) + v) for c, v in zip(own[3:], (more, counted, part))]
             yield pa.RecordBatch.from_arrays([*own[:3], *sums], names=["doc_id", "held_out", "n_tokens", "n_known", "counted", "part"])
 
-    rows = written(texts.mapInArrow(each, schema))
+    rows = texts.mapInArrow(each, schema)  # cheap to compute twice, and large to store
     rare = rows.where("word is not null").join(model.rare, "word", "left")
     zero = F.lit(0)
     rare = rare.select(*names[:8], "left", "right", F.coalesce("n", zero).alias("n"), F.coalesce("class", F.lit(RARE)).alias("class"))
