@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import brown, decontamination, fingerprints, mixing, pii, sentences, simhash, suffixes, toxicity, urls
+from lorespark.llm import brown, decontamination, fingerprints, html, merkle, mixing, pii, sentences, simhash, suffixes, toxicity, urls, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_mixing, op3_urls, op4_suffixes, op5_brown,
         op6_simhash, op7_sentences, op8_fingerprints, op9_toxicity, op10_pii,
+        op11_html, op12_variants, op13_merkle,
     )
 }
 
@@ -126,4 +139,98 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - ahead)) AS BIGINT) AS taken FROM r
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL}
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS crc_of FROM (SELECT i, list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i::BIGINT) AS c FROM range(256) r(i)))"""
+
+
+def _crc(s: str) -> str:
+    """SQL for the crc32 of a string's UTF-8 bytes, unsigned."""
+    return f"xor(4294967295::BIGINT, list_reduce(list_transform(range(0, octet_length(encode({s}))), lambda k: CAST('0x' || substr(hex(encode({s})), 2 * k + 1, 2) AS BIGINT)), lambda c, b: xor(crc_of[xor(c, b) % 256 + 1], c >> 8), 4294967295::BIGINT))"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')), {_AZ}) AS run FROM documents
+), each AS (
+  SELECT doc_id, run, count(*) AS k FROM found GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM each, crc_table
+), made AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM hashed
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS form, max(other_n) AS form_n FROM pairs GROUP BY word
+), forms AS (
+  SELECT word, n, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n, coalesce(n_near, 0) AS n_near FROM words LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT s.word, s.root FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NULL
+)
+SELECT word, n, form, form_n, root, n_near FROM forms JOIN roots USING (word)
+"""
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, leaves AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS given FROM documents, crc_table
+), laid AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY lang) AS width FROM laid
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (max(width) + 1) // 2 FROM nodes WHERE width > 1 GROUP BY lang, level, pos // 2
+), subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM nodes WHERE width = 1
+), tops AS (
+  SELECT 0 AS level, place AS pos, subroot AS digest, count(*) OVER () AS width FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (max(width) + 1) // 2 FROM tops WHERE width > 1 GROUP BY level, pos // 2
+), way AS (
+  SELECT l.doc_id, l.leaf, l.given, l.lang, l.pos AS leaf_pos, n.level AS step, (l.pos >> n.level) % 2 = 1 AS ahead, b.digest AS sibling
+  FROM laid l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE width > 1) n ON n.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN nodes b ON b.lang IS NOT DISTINCT FROM l.lang AND b.level = n.level AND b.pos = xor(l.pos >> n.level, 1)
+  UNION ALL
+  SELECT l.doc_id, l.leaf, l.given, l.lang, l.pos, 100 + n.level, (s.place >> n.level) % 2 = 1, b.digest
+  FROM laid l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang, (SELECT DISTINCT level FROM tops WHERE width > 1) n
+  LEFT JOIN tops b ON b.level = n.level AND b.pos = xor(s.place >> n.level, 1)
+), paths AS (
+  SELECT lang, leaf_pos, list({{'ahead': ahead, 'sibling': coalesce(sibling, '')}} ORDER BY step) AS path, coalesce(string_agg(sibling, '' ORDER BY step), '') AS others FROM way GROUP BY lang, leaf_pos
+), done AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT digest FROM tops WHERE width = 1) AS root, sha256(coalesce(others, '')) AS proof_sha256,
+    CASE WHEN path IS NULL THEN l.given ELSE list_reduce(list_transform(path, lambda p: p.ahead::INTEGER || p.sibling), lambda own, p: sha256(CASE WHEN p[1] = '1' THEN p[2:] || own ELSE own || p[2:] END), l.given) END AS folded_root
+  FROM laid l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.leaf_pos = l.pos
+)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
+OP11_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS ps FROM pages
+), plain AS (
+  SELECT page_id, url, list_transform(ps, lambda p: regexp_replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')) AS ps FROM parts
+), joined AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(ps, lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM plain
+)
+SELECT page_id, url, text, CAST(len(text) AS BIGINT) AS n_chars FROM joined
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op11_html": OP11_SQL, "op12_variants": OP12_SQL, "op13_merkle": OP13_SQL,
+}
