@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorespark.operators import search
+
 NOTE = ["bubble_id", "note_id"]
+FETCH_K = 5
 
 
 def cache_lookup(notes: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
@@ -25,6 +28,12 @@ def analysis_status(notes: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.select(*NOTE, F.col("cached_version").isNotNull().alias("exists"), current.alias("is_current"), "cached_version", "current_version", (~current).alias("needs_update"), "cached_at")
 
 
+def semantic_fetch(questions: DataFrame, cached: DataFrame, k: int = FETCH_K) -> DataFrame:
+    """The k cached chunks (bubble_id, chunk_id, embedding, ...) nearest to each question (query_id, bubble_id, query_vector), of
+    its bubble alone."""
+    return search.nearest(questions.withColumn("exclude", F.lit(None).cast(dict(cached.dtypes)["chunk_id"])), cached, k, by=["bubble_id"])
+
+
 def needs_retrieval(notes: DataFrame, retrieved: DataFrame) -> DataFrame:
     return notes.join(retrieved.select(*NOTE).distinct(), NOTE, "left_anti")
 
@@ -76,5 +85,3 @@ def complete(prompts: DataFrame, column: str, complete_fn, out: str = "output")
         return complete_fn(batch)
 
     return prompts.withColumn(out, outputs(column))
-
-

@@ -11,11 +11,6 @@ from pyspark.sql.window import Window
 FETCH, MMR_K, SEARCH_K, CONTEXT_K, LAMBDA = 15, 3, 5, 5, 0.5
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -58,31 +53,6 @@ def first_routes(routed: DataFrame) -> DataFrame:
     return routed.withColumn("_at", F.row_number().over(line)).where("_at = 1").drop("_at")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, salts: int = 16) -> DataFrame:
-    """The k nearest chunks of its collection for each query: (query_id, domain, subject, chunk_id, distance, rank, ...).
-
-    queries: (query_id, domain, subject, query_vector, exclude); a null domain or subject asks all collections of the other, two
-    nulls ask every collection. Such queries are first dealt to the collections that exist; then Spark joins on the collection
-    and a salt. Only ids and distances are ranked: each of a collection's salted parts keeps k before the parts meet, so a large collection
-    is ranked by many tasks. What else the vectors hold joins the k at the end.
-    """
-    asked = queries.select("query_id", F.col("domain").alias("q_domain"), F.col("subject").alias("q_subject"), "query_vector", "exclude")
-    routes = existing_routes(vectors)
-    fits = F.coalesce(F.col("q_domain") == F.col("domain"), F.lit(True)) & F.coalesce(F.col("q_subject") == F.col("subject"), F.lit(True))
-    open_ = asked.where("q_domain is null or q_subject is null").join(routes, fits).drop("q_domain", "q_subject")
-    named = asked.where("q_domain is not null and q_subject is not null").withColumnsRenamed({"q_domain": "domain", "q_subject": "subject"})
-    asked = named.unionByName(open_).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    place = ["domain", "subject", "chunk_id"]
-    rows = vectors.select(*place, "embedding").withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    rows = rows.join(asked, ["domain", "subject", "_salt"]).where(~F.col("chunk_id").eqNullSafe(F.col("exclude")))
-    rows = rows.select("query_id", *place, "_salt", squared_distance(F.col("query_vector"), F.col("embedding")).alias("distance"))
-    part = Window.partitionBy("query_id", "domain", "subject", "_salt").orderBy("distance", "chunk_id")
-    rows = rows.withColumn("_at", F.row_number().over(part)).where(F.col("_at") <= k).drop("_at", "_salt")
-    line = Window.partitionBy("query_id", "domain", "subject").orderBy("distance", "chunk_id")
-    rows = rows.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
-    return rows.join(vectors, place).join(queries.select("query_id", "query_vector"), "query_id")
-
-
 def diverse(candidates: DataFrame, k: int = MMR_K, lam: float = LAMBDA) -> DataFrame:
     """Greedy maximal marginal relevance of the few candidates of each query and collection.
 

@@ -50,12 +50,15 @@ MARKDOWN_LINES = """raw_lines AS (
 )"""
 
 
-def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents").select("doc_id", "text")
-    rows = e.join(d, e["vec_id"] == d["doc_id"], "left")
+def vectors(spark: SparkSession, sf: str, contents: bool = True) -> DataFrame:
+    """The vector store; without contents where only ids and vectors are asked for, as a join with the texts would be for nothing."""
+    rows = table(spark, sf, "embeddings")
+    if contents:
+        d = table(spark, sf, "documents").select("doc_id", "text")
+        rows = rows.join(d, rows["vec_id"] == d["doc_id"], "left").withColumn("content", F.coalesce("text", F.concat(F.lit("chunk "), "vec_id")))
     return rows.select(
         F.col("vec_id").alias("chunk_id"), F.concat(F.lit("d"), F.col("label") % 3).alias("domain"), F.concat(F.lit("s"), "label").alias("subject"),
-        F.coalesce("text", F.concat(F.lit("chunk "), "vec_id")).alias("content"), F.sha2(F.floor(F.col("vec_id") / 4).cast("string"), 256).alias("file_fingerprint"), "embedding",
+        *(["content"] if contents else []), F.sha2(F.floor(F.col("vec_id") / 4).cast("string"), 256).alias("file_fingerprint"), "embedding",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
-from lorespark.operators import analysis, chunking, notes, registry, retrieval, stats
+from lorespark.operators import analysis, chunking, notes, registry, retrieval, search, stats
 from lorespark.sources.tables import stored
 
 QUESTION = "Answer the question from the context only.\nQuestion: {question}\nContext:\n{context}\nAnswer:"
@@ -48,13 +48,13 @@ def ingest_corpus(sources: DataFrame, files: DataFrame, chunks: DataFrame, embed
 
 
 def search_across_collections(queries: DataFrame, vectors: DataFrame, domains=None, subjects=None, k: int = retrieval.SEARCH_K) -> DataFrame:
-    found = retrieval.nearest(queries, retrieval.in_collections(vectors, domains, subjects), k)
-    return found.select("query_id", "domain", "subject", "chunk_id", "distance", "rank")
+    """Ids and distances alone; the vectors' contents are not read."""
+    return search.nearest_ids(queries, retrieval.in_collections(vectors, domains, subjects), k)
 
 
 def retrieve(routed: DataFrame, vectors: DataFrame, k: int = retrieval.MMR_K) -> DataFrame:
     """The k diverse chunks of each routed query, with contents."""
-    candidates = retrieval.nearest(routed, vectors, retrieval.FETCH)
+    candidates = search.nearest(routed, vectors, retrieval.FETCH)
     picked = retrieval.diverse(candidates, k)
     return picked.join(vectors.select("domain", "subject", "chunk_id", "content"), ["domain", "subject", "chunk_id"])
 

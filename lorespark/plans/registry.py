@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
-from lorespark.operators import analysis, chunking, notes, registry, retrieval, stats
+from lorespark.operators import analysis, chunking, notes, registry, retrieval, search, stats
 from lorespark.plans import adapters as A
 from lorespark.plans import jobs
 from lorespark.sources import tables
@@ -42,19 +42,31 @@ EVERYWHERE = f"""{A.VECTORS}, far AS (
 
 @query(f"WITH {EVERYWHERE} SELECT query_id, domain, subject, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5")
 def search_across_collections(spark, sf):
-    found = jobs.search_across_collections(A.search_queries(spark, sf), A.vectors(spark, sf))
+    found = jobs.search_across_collections(A.search_queries(spark, sf), A.vectors(spark, sf, contents=False))
     return found.withColumn("distance", F.round("distance", 6))
 
 
 @query(f"WITH {EVERYWHERE} SELECT query_id, domain, subject, chunk_id, rank FROM ranked WHERE rank <= 5 AND domain IN ('d0', 'd1') AND subject <> 's3'")
 def search_some_collections(spark, sf):
     subjects = [f"s{i}" for i in range(10) if i != 3]
-    return jobs.search_across_collections(A.search_queries(spark, sf), A.vectors(spark, sf), ["d0", "d1"], subjects).drop("distance")
+    return jobs.search_across_collections(A.search_queries(spark, sf), A.vectors(spark, sf, contents=False), ["d0", "d1"], subjects).drop("distance")
 
 
 @query(f"WITH {NEAREST} SELECT query_id, domain, subject, chunk_id, rank FROM ranked WHERE rank <= 5")
 def search_named_collections(spark, sf):
-    return jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf)).drop("distance")
+    return jobs.search_across_collections(A.subqueries(spark, sf), A.vectors(spark, sf, contents=False)).drop("distance")
+
+
+@query(f"""WITH {A.VECTORS}, far AS (
+  SELECT q.vec_id AS query_id, v.chunk_id, v.content, {DISTANCE.replace('q.query_vector', 'q.embedding')} AS distance
+  FROM embeddings q JOIN vectors v ON v.chunk_id % 7 = q.vec_id // 100 % 7 WHERE q.vec_id % 100 = 0), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM far)
+SELECT query_id, 'b' || (query_id // 100 % 7) AS bubble_id, chunk_id, content, rank FROM ranked WHERE rank <= 5""")
+def cached_chunks_by_meaning(spark, sf):
+    cached = A.vectors(spark, sf).withColumn("bubble_id", F.concat(F.lit("b"), F.col("chunk_id") % 7))
+    asked = A.table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("b"), F.floor(F.col("vec_id") / 100) % 7).alias("bubble_id"), F.col("embedding").alias("query_vector"))
+    return analysis.semantic_fetch(asked, cached).select("query_id", "bubble_id", "chunk_id", "content", "rank")
 
 
 def _alike(a: str, b: str) -> str:
@@ -81,7 +93,7 @@ BY_COLLECTION = "PARTITION BY query_id, domain, subject"
 SELECT query_id, domain, subject, chunk_id, rank, 1 AS picked FROM one UNION ALL SELECT query_id, domain, subject, chunk_id, rank, 2 FROM two
 UNION ALL SELECT query_id, domain, subject, chunk_id, rank, 3 FROM three""")
 def mmr_retrieval(spark, sf):
-    candidates = retrieval.nearest(A.subqueries(spark, sf), A.vectors(spark, sf), retrieval.FETCH)
+    candidates = search.nearest(A.subqueries(spark, sf), A.vectors(spark, sf), retrieval.FETCH)
     return retrieval.diverse(candidates).select("query_id", "domain", "subject", "chunk_id", "rank", "picked")
 
 
@@ -427,7 +439,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sub_pos,
 SELECT question_id, string_agg(content, chr(10) || chr(10) ORDER BY p) AS context, CAST(count(*) AS INTEGER) AS chunks FROM top WHERE p <= 5 GROUP BY question_id""")
 def question_context(spark, sf):
     q = A.subqueries(spark, sf)
-    found = retrieval.nearest(q, A.vectors(spark, sf)).join(q.select("query_id", "question_id", "sub_pos"), "query_id")
+    found = search.nearest(q, A.vectors(spark, sf), retrieval.SEARCH_K).join(q.select("query_id", "question_id", "sub_pos"), "query_id")
     return retrieval.context(found, "question_id", ["sub_pos", "rank", "chunk_id"])
 
 

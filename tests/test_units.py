@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
-from lorespark.operators import chunking, notes, registry, retrieval, stats
+from lorespark.operators import chunking, notes, registry, retrieval, search, stats
 from lorespark.sources import tables
 
 
@@ -116,7 +116,7 @@ def test_mmr(spark):
     v = {1: [1.0, 0.0], 2: [0.999, 0.04], 3: [0.7, 0.71], 4: [0.0, 1.0]}
     vectors = spark.createDataFrame([(i, "d", "s", f"c{i}", x) for i, x in v.items()], "chunk_id long, domain string, subject string, content string, embedding array<float>")
     q = spark.createDataFrame([(9, "d", "s", [0.95, 0.3], None)], "query_id long, domain string, subject string, query_vector array<float>, exclude long")
-    near = retrieval.nearest(q, vectors, 4)
+    near = search.nearest(q, vectors, 4)
     order = [r["chunk_id"] for r in near.orderBy("rank").collect()]
     assert order == sorted(v, key=lambda i: np.sum((np.array(v[i]) - [0.95, 0.3]) ** 2))
     picked = [r["chunk_id"] for r in retrieval.diverse(near, 2).orderBy("picked").collect()]
@@ -124,6 +124,35 @@ def test_mmr(spark):
     assert [r["chunk_id"] for r in retrieval.diverse(near, 3, lam=1.0).orderBy("picked").collect()] == order[:3]
 
 
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_block_search(spark, monkeypatch, text_ids):
+    """Several blocks, batches and partitions, names left open, excluded ids, hosts of equal vectors, vectors that are no candidates."""
+    monkeypatch.setattr(search, "BLOCK", 3)
+    monkeypatch.setattr(search, "PAIRS", 7)
+    rng = np.random.default_rng(4)
+    kind = "string" if text_ids else "int"
+    name = (lambda i: f"c{i}") if text_ids else int
+    rows = [(name(i), f"d{i % 2}", f"s{i % 3}", [1.0, 2.0, 3.0] if i % 4 == 0 else rng.integers(-3, 4, 3).astype(float).tolist()) for i in rng.permutation(300)]
+    odd = [(name(900), "d0", "s0", None), (name(901), None, "s0", [0.0] * 3), (name(902), "d0", "s0", [0.0] * 4), (None, "d0", "s0", [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows + odd, f"chunk_id {kind}, domain string, subject string, embedding array<float>").repartition(5)
+    asked = [(i, f"d{i % 2}" if i % 5 else None, f"s{i % 3}" if i % 3 else None, [1.0, 2.0, 3.0] if i % 2 else rng.integers(-3, 4, 3).astype(float).tolist(), name(4 * i) if i % 4 else None) for i in range(10)]
+    asked += [(98, "nowhere", None, [0.0] * 3, None), (99, None, None, None, None), (97, None, None, [0.0] * 4, None)]
+    queries = spark.createDataFrame(asked, f"query_id long, domain string, subject string, query_vector array<float>, exclude {kind}")
+    want = []
+    for q, d, s, v, gone in asked:
+        groups = {}
+        for c, *place, e in rows + odd:
+            if v and e and c is not None and None not in place and len(e) == len(v) and d in (None, place[0]) and s in (None, place[1]) and c != gone:
+                groups.setdefault(tuple(place), []).append((sum((x - y) ** 2 for x, y in zip(v, e)), c))
+        want += [(q, *g, c, x, r + 1) for g, own in groups.items() for r, (x, c) in enumerate(sorted(own)[:5])]
+    for batch in ("10000", "20"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = sorted(tuple(r) for r in search.nearest_ids(queries, vectors, 5).collect())
+        assert got == sorted(want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert search.nearest_ids(queries.limit(0), vectors, 5).count() == 0 == search.nearest_ids(queries, vectors.limit(0), 5).count()
+
+
 def test_feed_and_paths(spark):
     events = spark.createDataFrame([("s", 0, 0, 0), ("s", 1, 4, 1), ("s", 2, 0, 0), ("s", 3, 0, 3)], "source_id string, seq long, added int, embedded int")
     got = [(r["progress_pct"], r["status"], r["done"]) for r in stats.progress_feed(events).orderBy("seq").collect()]
