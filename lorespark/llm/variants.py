@@ -5,7 +5,9 @@ is what is left. A word is decomposed from left to right into the longest grams
 one before. An edit at a place of a word can only change the grams that reach over it, those that the dictionary could prolong
 over it, and those behind it that a gram over it could swallow. The greatest number of such grams over all places is the word's
 bound: any word one edit away shares all others, shifted by at most one. So it shares one of any (bound + 1) of them, and only
-the shortest lists so many are merged; all that meets there is verified. Two words whose bounds leave them no common gram are
+the shortest lists so many are merged, in one order of all grams, so that both words' choices have a gram in common. What meets
+there is verified: the edit lies on one side of the gram, so on the other side the words are equal, which short hashes tell;
+then the distance is reckoned. A word whose bound leaves no common gram asks with all of its grams, and two such words are
 compared through grams of the least length, which always leave some.
 """
 
@@ -106,68 +108,68 @@ class Grams:
                 most = max(most, left + over + right)
         return most
 
-    def merged(self, word: str) -> tuple[list[tuple[str, int, bool]], bool]:
-        """((gram, start, whether its list is merged) of the word, whether the bound leaves none)."""
+    def merged(self, word: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+        """(gram, start) of the word whose lists are merged, and, if the bound leaves no common gram, such grams of the least length."""
         grams = self.of(word)
         bound = self.changed(word, grams)
-        if bound >= len(grams):
-            return [(word[a:b], a, False) for a, b in grams], True
-        order = sorted(grams, key=lambda x: (self.known.get(word[x[0] : x[1]], 1), x))
-        lists = set(order[: bound + 1])
-        return [(word[a:b], a, (a, b) in lists) for a, b in grams], False
+        if bound < len(grams):
+            return self.rarest(word, grams, bound + 1), []
+        short = [(a, a + SHORT) for a in range(len(word) - SHORT + 1)]
+        return self.rarest(word, grams, len(grams)), self.rarest(word, short, SHORT + 1)
+
+    def rarest(self, word: str, grams: list[tuple[int, int]], k: int) -> list[tuple[str, int]]:
+        """The k grams of the shortest lists; the order is one of grams, then of places."""
+        return sorted(((word[a:b], a) for a, b in grams), key=lambda x: (self.known.get(x[0], 1), x))[:k]
 
 
 def decomposed(words: DataFrame, known: dict[str, int]) -> DataFrame:
-    """words (word, n) with grams array<struct<gram, start, merged>> and loose (the bound leaves no common gram)."""
+    """words (word, n) with grams and short, arrays of (gram, start) as Grams.merged() gives them."""
     shared = words.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Grams(shared.value)
         for batch in batches:
             made = [index.merged(w) for w in batch["word"]]
-            batch["grams"] = [[{"gram": g, "start": a, "merged": m} for g, a, m in x[0]] for x in made]
-            batch["loose"] = [x[1] for x in made]
+            for i, column in enumerate(("grams", "short")):
+                batch[column] = [[{"gram": g, "start": a} for g, a in x[i]] for x in made]
             yield batch
 
-    return words.mapInPandas(work, "word string, n long, grams array<struct<gram:string,start:int,merged:boolean>>, loose boolean")
-
-
-def short_grams(words: DataFrame) -> DataFrame:
-    """Loose words with all their grams of the least length; as many lists are merged as an edit can change, and one more."""
-    places = F.sequence(F.lit(0), F.char_length("word") - SHORT)
-    grams = F.transform(places, lambda p: F.struct(F.substring("word", p + 1, F.lit(SHORT)).alias("gram"), p.alias("start"), (p <= SHORT).alias("merged")))
-    return words.where("loose").select("word", "n", grams.alias("grams"), F.lit(False).alias("loose"))
+    return words.mapInPandas(work, "word string, n long, grams array<struct<gram:string,start:int>>, short array<struct<gram:string,start:int>>")
 
 
-def candidates(probing: DataFrame, index: DataFrame, to_loose: bool) -> DataFrame:
-    """Pairs (word, n, other, other_n) one edit apart that share a gram of a merged list of word, in its place or one beside it.
-
-    Words of the index that probe themselves are met from one side only: the longer one, or the later one of equal length.
-    """
+def places(words: DataFrame, grams: str, moves: list[tuple[int, int]], *more: str) -> DataFrame:
+    """(key, sides, word, n, ...) for each gram of words: key of the gram, the word's length and the gram's start, moved by each
+    of the moves; sides holds short hashes of what ends with the gram and of what begins with it."""
+    rows = words.select("word", "n", *more, F.explode(grams).alias("g"))
+    end = F.col("g.start") + F.char_length("g.gram")
+    sides = [F.hash(F.substring("word", F.lit(1), end)), F.hash(F.substring("word", F.col("g.start") + 1, F.char_length("word")))]
+    rows = rows.withColumn("sides", F.shiftleft(sides[0].bitwiseAND(0xFFFF), 16).bitwiseOR(sides[1].bitwiseAND(0xFFFF)))
+    rows = rows.withColumn("move", F.explode(F.array(*[F.struct(F.lit(x).alias("length"), F.lit(y).alias("start")) for x, y in moves])))
+    key = F.xxhash64("g.gram", F.char_length("word") + F.col("move.length"), F.col("g.start") + F.col("move.start"))
+    return rows.select(key.alias("key"), "sides", "word", "n", *more)
 
-    def key(gram: Column, length: Column, start: Column) -> Column:
-        return F.xxhash64(gram, length, start)
 
-    own = F.char_length("word")
-    lists = index.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.explode("grams").alias("g"))
-    lists = lists.select(key(F.col("g.gram"), F.char_length("other"), F.col("g.start")).alias("key"), "other", "other_n")
-    moves = [(0, 0), (-1, 0), (-1, -1), *([(1, 0), (1, 1)] if to_loose else [])]
-    moves = F.array(*[F.struct(F.lit(x).alias("length"), F.lit(y).alias("start")) for x, y in moves])
-    asked = probing.select("word", "n", F.explode(F.filter("grams", lambda g: g["merged"])).alias("g")).withColumn("move", F.explode(moves))
-    asked = asked.select(key(F.col("g.gram"), own + F.col("move.length"), F.col("g.start") + F.col("move.start")).alias("key"), "word", "n")
-    met = join_unique(lists, asked, "key")
-    if not to_loose:
-        met = met.where((F.char_length("other") < own) | (F.col("other") < F.col("word")))
-    return met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+def meet(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs (word, n, other, other_n) one edit apart of places with a common key. Words that are in the index too meet from one
+    side: from the longer one, or the later one of equal length; those that are not (``alone``) from theirs."""
+    index = index.select("key", F.col("sides").alias("other_sides"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    met = join_unique(index, asked, "key")
+    differ = F.col("sides").bitwiseXOR(F.col("other_sides"))
+    once = F.col("alone") | (F.char_length("other") < F.char_length("word")) | (F.col("other") < F.col("word"))
+    met = met.where(((differ.bitwiseAND(0xFFFF) == 0) | (F.shiftrightunsigned(differ, 16) == 0)) & once & (F.levenshtein("word", "other", 1) == 1))
+    return met.select("word", "n", "other", "other_n")
 
 
 def near(words: DataFrame) -> DataFrame:
     """Every pair (word, n, other, other_n) of words one edit apart, once from each side."""
-    split = written(decomposed(words, dictionary(words)))
-    firm, loose = split.where("not loose"), split.where("loose")
-    pairs = candidates(firm, firm, False).unionByName(candidates(firm, loose, True))
-    short = short_grams(split)
-    pairs = written(pairs.unionByName(candidates(short, short, False)).distinct())
+    split = written(decomposed(words, dictionary(words)).withColumn("alone", F.size("short") > 0))
+    firm, loose = split.where("not alone"), split.where("alone")
+    shorter, longer = [(0, 0), (-1, 0), (-1, -1)], [(1, 0), (1, 1)]
+    asked = places(firm, "grams", shorter, "alone").unionByName(places(loose, "grams", shorter + longer, "alone"))
+    pairs = meet(asked, places(firm, "grams", [(0, 0)]))
+    loose = loose.withColumn("alone", F.lit(False))
+    pairs = pairs.unionByName(meet(places(loose, "short", shorter, "alone"), places(loose, "short", [(0, 0)])))
+    pairs = written(pairs.distinct())
     discard(split)
     turned = pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     return pairs.unionByName(turned)
