@@ -17,37 +17,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorespark.functions.text import TOKEN, chunk_fingerprint, split_front_matter, token_count
+from lorespark.functions.text import TOKEN, chunk_fingerprint, let, split_front_matter, token_count
 
 MAX_TOKENS, OVERLAP = 4000, 200
 LEVELS = range(1, 7)
 HEADERS = [f"header_{k}" for k in LEVELS]
 
 
+#: A fence line begins or ends code; a header begins a section unless it is code. Lines end at newlines only.
+FENCE = r"(?md)^(?=[ \t\x0B\f\r]*(?:```|~~~))"
+HEADER = "(?md)^(?=#{1,6}(?: |$))"
+
+
+def sections(body: Column) -> Column:
+    """array<struct<section, content, header_1 .. header_6>> of a text, without sections that have no content.
+
+    All inside the row, in time that grows with the text: it is cut at fences, then, but for what is code, at headers; a section
+    is what lies from one header to the next. A header of a level is in force from itself to the next one that is not deeper.
+    """
+    text_of, mark = (lambda x: x["text"]), "(?d)^(#{1,6})(?: |\n|$)"
+
+    def piece(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.length(F.regexp_extract(text, mark, 1)).alias("level"))
+
+    def cut(part: Column, i: Column) -> Column:
+        code = F.array(F.struct(part.alias("text"), F.lit(0).alias("level")))
+        return F.when(i % 2 == 1, code).otherwise(F.transform(F.split(part, HEADER), piece))
+
+    def joined(pieces: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i == 0) | (F.get(pieces, i)["level"] > 0))
+
+        def section(begins: Column) -> Column:
+            def one(a: Column, k: Column) -> Column:
+                own = F.slice(pieces, a + 1, F.coalesce(F.get(begins, k + 1), F.size(pieces)) - a)
+                first, content = F.get(pieces, a), F.array_join(F.transform(own, text_of), "")
+                title = F.trim(F.substring(F.substring_index(first["text"], "\n", 1), first["level"] + 1, F.length(first["text"])))
+                return F.struct(k.alias("section"), first["level"].alias("level"), title.alias("title"), F.btrim(content, F.lit("\n")).alias("content"))
+
+            return F.transform(begins, one)
+
+        return let(begins, section)
+
+    def with_paths(xs: Column) -> Column:
+        last = F.size(xs)
+
+        def in_force(level: int) -> Column:
+            """The header of a level for every section, laid end to end from the places of those that are not deeper."""
+            at = F.filter(F.sequence(F.lit(0), last - 1), lambda i: (F.get(xs, i)["level"] > 0) & (F.get(xs, i)["level"] <= level))
+
+            def stretch(at: Column) -> Column:
+                def one(a: Column, k: Column) -> Column:
+                    own = F.get(xs, a)
+                    return F.array_repeat(F.when(own["level"] == level, own["title"]), F.coalesce(F.get(at, k + 1), last) - a)
+
+                none = F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.get(at, F.lit(0)), last))
+                return F.concat(none, F.flatten(F.transform(at, one)))
+
+            return let(at, stretch)
+
+        def rows(paths: Column) -> Column:
+            def one(x: Column, k: Column) -> Column:
+                return F.struct(x["section"].alias("section"), x["content"].alias("content"), *[F.get(F.get(paths, F.lit(i)), k).alias(h) for i, h in enumerate(HEADERS)])
+
+            return F.transform(xs, one)
+
+        return let(F.array(*[in_force(k) for k in LEVELS]), rows)
+
+    # with a line before it the text never begins with code
+    pieces = F.flatten(F.transform(F.split(F.concat(F.lit("\n"), body), FENCE), cut))
+    return F.filter(let(let(pieces, joined), with_paths), lambda s: F.trim(s["content"]) != "")
+
+
 def header_chunks(documents: DataFrame) -> DataFrame:
-    """(source_id, section, content, header_1 .. header_6) of documents (source_id, text); front matter is left out."""
+    """(source_id, idx, section, content, header_1 .. header_6) of documents (source_id, text); front matter is left out.
+
+    idx counts a document's chunks from 0, section its headers. Nothing is shuffled.
+    """
     _, body = split_front_matter(F.col("text"))
-    # every second part between fence lines is code: its number signs are hidden from the split
-    parts = F.split(body, r"(?m)^(?=[ \t\x0B\f\r]*(?:```|~~~))")
-    hidden = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, "(?m)^#", "\u0001#")).otherwise(p))
-    text = F.when(body.contains("```") | body.contains("~~~"), F.array_join(hidden, "")).otherwise(body)
-    rows = documents.select("source_id", F.posexplode(F.split(text, "(?m)^(?=#{1,6}(?: |$))")).alias("pos", "part"))
-    mark = F.regexp_extract("part", "^(#{1,6})(?: |\n|$)", 1)
-    rows = rows.withColumn("level", F.length(mark)).withColumn("title", F.trim(F.substring(F.substring_index("part", "\n", 1), F.col("level") + 1, F.length("part"))))
-    line = Window.partitionBy("source_id").orderBy("pos")
-    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(upto))
-
-    def last(value: Column) -> Column:
-        return F.last(value, ignorenulls=True).over(upto)
-
-    path = {}
-    for k in LEVELS:
-        own, above = last(F.when(F.col("level") == k, F.col("pos"))), last(F.when((F.col("level") > 0) & (F.col("level") < k), F.col("pos")))
-        title = last(F.when(F.col("level") == k, F.col("title")))
-        path[f"header_{k}"] = F.when(own > F.coalesce(above, F.lit(-1)), title)
-    content = F.btrim(F.replace("part", F.lit("\u0001#"), F.lit("#")), F.lit("\n"))
-    return rows.select("source_id", "section", content.alias("content"), *[c.alias(h) for h, c in path.items()]).where("trim(content) <> ''")
+    rows = documents.select("source_id", sections(body).alias("xs"))
+    # an outer explode, as before an inner one Spark asks for the array's size and so computes it twice
+    rows = rows.select("source_id", F.posexplode_outer("xs").alias("idx", "x")).where("x is not null")
+    return rows.select("source_id", "idx", "x.*")
 
 
 def default_length(text: str) -> int:
@@ -103,7 +153,7 @@ def chunk(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP,
     """Chunk rows of documents (source_id, text), in the columns of the chunk registry and with content and header path.
 
     Chunks of more than ``most`` tokens are split; their pieces carry the index of the header chunk they come from, counted
-    among header chunks. byte_start and byte_end address the contents laid end to end. Only oversize chunks meet Python.
+    among header chunks. Texts are read once, and only the running offsets of a document shuffle. byte_start and byte_end address the contents laid end to end. Only oversize chunks meet Python.
     length replaces the token pattern.
     """
     measure = length or default_length
@@ -114,31 +164,26 @@ def chunk(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP,
 
     @F.pandas_udf("array<struct<text:string,start:int>>")
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"text": x, "start": s} for x, s in split_recursively(t, most, overlap, measure)])
+        return texts.map(lambda t: None if t is None else [{"text": x, "start": s} for x, s in split_recursively(t, most, overlap, measure)])
 
     count = token_count if length is None else measured
-    by_source = Window.partitionBy("source_id")
-    rows = header_chunks(documents).withColumn("idx", F.row_number().over(by_source.orderBy("section")) - 1)
-    rows = rows.withColumn("tokens", count(F.col("content")))
-    whole = rows.where(F.col("tokens") <= most).select(
-        "source_id", "section", F.lit(0).alias("piece"), "content", *HEADERS, F.lit("header").alias("chunk_type"), F.lit(None).cast("int").alias("parent_chunk_index")
-    )
-    large = rows.where(F.col("tokens") > most).withColumn("parts", pieces("content"))
-    large = large.select("source_id", "section", F.posexplode("parts").alias("piece", "part"), *HEADERS, F.col("idx").alias("parent_chunk_index"))
-    large = large.select("source_id", "section", "piece", F.col("part.text").alias("content"), *HEADERS, F.lit("recursive").alias("chunk_type"), "parent_chunk_index")
-    return with_offsets(whole.unionByName(large), count)
-
-
-def with_offsets(rows: DataFrame, count: Callable[[Column], Column] = token_count) -> DataFrame:
-    """Chunk registry rows of (source_id, section, piece, content, ...)."""
+    rows = header_chunks(documents).withColumn("tokens", count(F.col("content")))
+    # of a chunk that is not split only a null goes to Python
+    rows = rows.withColumn("parts", pieces(F.when(F.col("tokens") > most, F.col("content"))))
+    whole = F.col("parts").isNull()
+    one = F.array(F.struct(F.col("content").alias("text"), F.lit(0).alias("start")))
+    rows = rows.select("*", F.posexplode(F.when(whole, one).otherwise(F.col("parts"))).alias("piece", "part"))
+    rows = rows.select(
+        "source_id", "section", "piece", F.col("part.text").alias("content"), F.when(whole, F.lit("header")).otherwise(F.lit("recursive")).alias("chunk_type"),
+        F.when(~whole, F.col("idx")).alias("parent_chunk_index"), F.when(whole, F.col("tokens")).otherwise(count(F.col("part.text"))).alias("token_count"), *HEADERS,
+    )
     order = Window.partitionBy("source_id").orderBy("section", "piece")
     size = F.octet_length("content").cast("long")
     end = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumns({"chunk_index": F.row_number().over(order) - 1, "byte_end": end})
     return rows.select(
-        "source_id", chunk_fingerprint(F.col("content")).alias("chunk_fingerprint"), "chunk_index",
-        (F.col("byte_end") - size).alias("byte_start"), "byte_end", count(F.col("content")).alias("token_count"),
-        "chunk_type", "parent_chunk_index", F.lit(0).alias("embedded"), "content", *HEADERS,
+        "source_id", chunk_fingerprint(F.col("content")).alias("chunk_fingerprint"), "chunk_index", (F.col("byte_end") - size).alias("byte_start"), "byte_end",
+        "token_count", "chunk_type", "parent_chunk_index", F.lit(0).alias("embedded"), "content", *HEADERS,
     )
 
 

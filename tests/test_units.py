@@ -54,6 +54,18 @@ def test_header_chunks_and_offsets(spark):
     assert all(a["byte_end"] == b["byte_start"] for a, b in zip(got, got[1:]))
 
 
+def test_header_chunks_keep_every_character(spark):
+    """Control characters stay what they are, lines end at newlines only, and a long text is cut in one task without a shuffle."""
+    texts = ["x \u0001# y\n# A\n```\n# \u0001#\n~~~\n# B \u0001#", "# A\r# no\u2028# no\n# B", "```\n# open", "", "#", "\n\n# A\n\n"]
+    rows = chunking.header_chunks(spark.createDataFrame(list(enumerate(texts)), "source_id int, text string"))
+    got = [(r["source_id"], r["idx"], r["section"], r["content"], r["header_1"]) for r in rows.orderBy("source_id", "idx").collect()]
+    assert got == [(0, 0, 0, "x \u0001# y", None), (0, 1, 1, "# A\n```\n# \u0001#\n~~~", "A"), (0, 2, 2, "# B \u0001#", "B \u0001#"), (1, 0, 1, "# A\r# no\u2028# no", "A\r# no\u2028# no"), (1, 1, 2, "# B", "B"), (2, 0, 0, "```\n# open", None), (4, 0, 1, "#", ""), (5, 0, 1, "# A", "A")]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    chunks = chunking.chunk(spark.createDataFrame([("s", "# h\nx\n## i\n" * 20_000)], "source_id string, text string"))
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert chunks.groupBy("header_1", "header_2").count().count() == 2
+
+
 def test_recursive_split(spark):
     text = "one two three four five six seven\n\neight nine ten"
     parts = chunking.split_recursively(text, 5, 2)
