@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
 from lorespark.operators import analysis, chunking, notes, registry, retrieval, search, stats
+from lorespark.sources import tables
 from lorespark.sources.tables import stored
 
 QUESTION = "Answer the question from the context only.\nQuestion: {question}\nContext:\n{context}\nAnswer:"
@@ -47,6 +48,37 @@ def ingest_corpus(sources: DataFrame, files: DataFrame, chunks: DataFrame, embed
     return Ingested(files, chunks, vectors)
 
 
+FILE_REGISTRY = "file_fingerprint string, original_name string, sanitized_name string, domain string, subject string, converted int, embedded int, filepath string, last_updated timestamp"
+
+
+def ingest_batch(sources: DataFrame, batch: int, store: str, embed_fn, as_of: Column, most: int = chunking.MAX_TOKENS) -> None:
+    """ingest_corpus() on the registries and vectors in the folder ``store``, as its numbered batch.
+
+    The batch starts from the registries as the batch before left them and replaces whatever an earlier try of it wrote, vectors
+    first, the file registry last. So a batch that failed anywhere, or comes again, gives each row once.
+    """
+    spark = sources.sparkSession
+    files, chunks = (tables.snapshot(spark, f"{store}/{name}", batch) for name in ("files", "chunks"))
+    files = spark.createDataFrame([], FILE_REGISTRY) if files is None else files
+    chunks = chunking.chunk(sources.limit(0).select(F.lit("").alias("source_id"), "text")) if chunks is None else chunks
+    out = ingest_corpus(sources, files, chunks, embed_fn, as_of, most)
+    named = out.vectors.withColumn("chunk_id", F.concat_ws(":", "source_id", "chunk_index")).withColumnRenamed("source_id", "file_fingerprint")
+    tables.add_vectors(named, f"{store}/vectors", batch=batch)
+    tables.put_snapshot(out.chunks, f"{store}/chunks", batch)
+    tables.put_snapshot(out.files, f"{store}/files", batch)
+
+
+def remove_files(files: DataFrame, chunks: DataFrame, gone: DataFrame, store: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(files, chunks, keys asked for that are no files, vectors deleted) without the files of gone (original_name, file_fingerprint).
+
+    A file goes only if both its name and fingerprint are asked for, and its chunks and stored vectors go with it.
+    """
+    keys = ["original_name", "file_fingerprint"]
+    known = files.select(*keys).join(gone.select(*keys).distinct(), keys, "left_semi").select("file_fingerprint")
+    left = registry.remove(chunks, known.withColumnRenamed("file_fingerprint", "source_id"), ["source_id"])
+    return registry.remove(files, gone, keys), left, registry.missing(files, gone, keys), tables.delete_vectors(files.sparkSession, store, fingerprints=known)
+
+
 def search_across_collections(queries: DataFrame, vectors: DataFrame, domains=None, subjects=None, k: int = retrieval.SEARCH_K) -> DataFrame:
     """Ids and distances alone; the vectors' contents are not read."""
     return search.nearest_ids(queries, retrieval.in_collections(vectors, domains, subjects), k)

@@ -78,11 +78,73 @@ def write_annotated(rows: DataFrame, path: str) -> None:
     rows.select("source_id", "markdown").write.mode("overwrite").parquet(path)
 
 
-def add_vectors(rows: DataFrame, path: str, files_each: int = 8) -> None:
-    """Appends to the store, one folder for each domain and subject; large collections are dealt over several files."""
+#: Folders of the vector store, from the top; a store that is filled batch by batch has one for each batch first.
+LAYOUT = ["batch", "domain", "subject"]
+
+
+def add_vectors(rows: DataFrame, path: str, files_each: int = 8, batch: int | None = None) -> None:
+    """Adds to the store, one folder for each domain and subject; large collections are dealt over several files.
+
+    Without a batch rows are appended. With one they are all that the batch has: writing it again, after a failure too, puts its
+    folder in the place of the former one, so no row comes twice.
+    """
     rows = rows.withColumns({c: F.coalesce(c, F.lit("default")) for c in ("domain", "subject")})
     salt = F.pmod(F.xxhash64("chunk_id"), F.lit(files_each))
-    rows.repartition("domain", "subject", salt).write.mode("append").partitionBy("domain", "subject").parquet(path)
+    writer = rows.repartition("domain", "subject", salt).write.partitionBy("domain", "subject")
+    if batch is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def delete_vectors(spark: SparkSession, path: str, condition: Column | None = None, fingerprints: DataFrame | None = None) -> int:
+    """Deletes the store's rows that meet the condition, or whose file_fingerprint is one of ``fingerprints``; the number of them.
+
+    Only the folders of collections that hold such rows are written anew, and those that have no others go; all else keeps its
+    files. A condition that is null keeps a row. What comes to the driver is a row for each touched collection.
+    """
+    store = spark.read.parquet(path)
+    folders = [c for c in LAYOUT if c in store.columns]
+    rows = store.withColumn("_path", F.col("_metadata.file_path")).withColumn("_gone", F.coalesce(condition, F.lit(False)) if condition is not None else F.lit(False))
+    if fingerprints is not None:
+        asked = fingerprints.select(F.col("file_fingerprint").alias("_asked")).distinct()
+        rows = rows.join(asked, F.col("file_fingerprint") == F.col("_asked"), "left").withColumn("_gone", F.col("_gone") | F.col("_asked").isNotNull()).drop("_asked")
+    counts = rows.groupBy(*folders).agg(F.count(F.when(F.col("_gone"), 1)).alias("gone"), F.count("*").alias("whole"), F.min("_path").alias("file"))
+    touched = counts.where("gone > 0").collect()
+    some = [r for r in touched if r["gone"] < r["whole"]]
+    if some:
+        keys = spark.createDataFrame([tuple(r[c] for c in folders) for r in some], store.select(*folders).schema)
+        kept = rows.where(~F.col("_gone")).join(F.broadcast(keys), folders, "left_semi").select(*store.columns)  # one row a collection
+        kept.repartition(*folders, F.pmod(F.xxhash64(*[c for c in store.columns if c == "chunk_id"], F.lit(0)), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+    for r in touched:
+        if r["gone"] == r["whole"]:
+            jvm = spark.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["file"])).getParent()  # Spark gives the path as a URI
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return sum(r["gone"] for r in touched)
+
+
+def put_snapshot(table: DataFrame, path: str, number: int) -> None:
+    """The state of a table after a numbered step; writing it again replaces it. The states before the last two are deleted."""
+    table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/after={number}")
+    fs, there = _snapshots(table.sparkSession, path)
+    for old in [n for n in there if n < number - 1]:
+        fs.delete(table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/after={old}"), True)
+
+
+def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last complete state of a table, or the last from a step below ``before``; None if there is none."""
+    there = [n for n in _snapshots(spark, path)[1] if before is None or n < before]
+    return spark.read.parquet(f"{path.rstrip('/')}/after={max(there)}") if there else None
+
+
+def _snapshots(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.Path(path)):
+        return fs, []
+    names = [x.getPath().getName() for x in fs.listStatus(jvm.Path(path))]
+    return fs, [int(n[6:]) for n in names if n.startswith("after=") and fs.exists(jvm.Path(f"{path.rstrip('/')}/{n}/_SUCCESS"))]
 
 
 def read_vectors(spark: SparkSession, path: str, domain: str | None = None, subject: str | None = None) -> DataFrame:

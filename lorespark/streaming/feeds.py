@@ -77,6 +77,9 @@ def due_analyses(versions: DataFrame) -> DataFrame:
     return versions.where((versions["increment"] >= MAJOR) | (versions["version_before"] == 0))
 
 
-def ingest_continuously(files: DataFrame, ingest: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Calls the batch ingestion with every micro-batch of a file stream until there is nothing new. ingest must stand replays."""
-    return files.writeStream.foreachBatch(lambda batch, _: ingest(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_continuously(files: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Calls the batch ingestion with every micro-batch of a file stream and its number until there is nothing new.
+
+    After a failure the same micro-batch comes again under the same number, which plans.jobs.ingest_batch() makes good.
+    """
+    return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -51,27 +51,79 @@ def test_markdown_and_registries(spark, tmp_path):
     assert tuple(tables.markdown_files(spark, str(tmp_path / "one.md")).first()) == ("one.md", "# T\nbody")
 
 
-def test_ingesting_a_stream_with_a_replay(spark, tmp_path):
-    """Micro-batches register, chunk and embed; one that comes again changes nothing."""
-    schema = "original_name string, filepath string, domain string, subject string, text string"
-    stamp = F.lit("2026-01-01").cast("timestamp")
-    state = {
-        "files": spark.createDataFrame([], "file_fingerprint string, original_name string, sanitized_name string, domain string, subject string, converted int, embedded int, filepath string, last_updated timestamp"),
-        "chunks": chunking.chunk(spark.createDataFrame([], "source_id string, text string")), "vectors": 0,
-    }
-
-    def ingest(batch):
-        out = jobs.ingest_corpus(batch, state["files"], state["chunks"], retrieval.hashing_embedder(4), stamp)
-        state["files"], state["chunks"] = tables.stored(out.files), tables.stored(out.chunks)
-        state["vectors"] += out.vectors.count()
-
-    for i in range(2):
-        rows = spark.createDataFrame([(f"{i}.pdf", f"/{i}", "d", "s", f"# T{i}\nx y\n## U\nz{i}")], schema)
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        feeds.ingest_continuously(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ingest, str(tmp_path / "c")).awaitTermination()
-    assert state["vectors"] == 4 and state["files"].where("embedded = 1").count() == 2
-    ingest(spark.read.schema(schema).parquet(str(tmp_path / "in")))
-    assert state["vectors"] == 4 and state["chunks"].count() == 4 == state["chunks"].where("embedded = 1").count()
+SOURCES = "original_name string, filepath string, domain string, subject string, text string"
+STAMP = "2026-01-01"
+
+
+@pytest.mark.parametrize("fails_at", ["add_vectors", "put_snapshot"])
+def test_a_batch_that_fails_half_way_comes_again(spark, tmp_path, monkeypatch, fails_at):
+    """The second micro-batch fails after its vectors, or amid its registries, were written; the stream begins anew."""
+    store, source, wrote = str(tmp_path / "store"), str(tmp_path / "in"), getattr(tables, fails_at)
+    broken = []
+
+    def ingest(batch, number):
+        jobs.ingest_batch(batch, number, store, retrieval.hashing_embedder(4), F.lit(STAMP).cast("timestamp"))
+
+    def once(*args, **named):
+        wrote(*args, **named)
+        if broken:
+            broken.clear()
+            raise OSError("lost")
+
+    monkeypatch.setattr(tables, fails_at, once)
+
+    def run():
+        feeds.ingest_continuously(spark.readStream.schema(SOURCES).parquet(source), ingest, str(tmp_path / "c")).awaitTermination()
+
+    for i in range(3):
+        rows = [(f"{i}.pdf", f"/{i}", f"d{i}", "s", f"# T{i}\nx y\n## U\nz{i}"), ("0.pdf", "/0", "d0", "s", "known")]
+        spark.createDataFrame(rows, SOURCES).limit(1 if i == 0 else 2).coalesce(1).write.mode("append").parquet(source)
+        if i == 1:
+            broken.append(True)
+            with pytest.raises(Exception, match="lost"):
+                run()
+        run()
+    found = tables.read_vectors(spark, f"{store}/vectors")
+    assert sorted((r["domain"], r["chunk_index"]) for r in found.collect()) == [(f"d{i}", k) for i in range(3) for k in range(2)]
+    files, chunks = (tables.snapshot(spark, f"{store}/{name}") for name in ("files", "chunks"))
+    assert files.where("embedded = 1").count() == files.count() == 3 and chunks.where("embedded = 1").count() == chunks.count() == 6
+    ingest(spark.read.schema(SOURCES).parquet(source), 2)  # a replay of the last one
+    assert tables.read_vectors(spark, f"{store}/vectors").count() == 6 and tables.snapshot(spark, f"{store}/chunks").count() == 6
+
+
+@pytest.mark.parametrize("batch", [None, 7])
+def test_deletes_rewrite_only_what_they_touch(spark, tmp_path, batch):
+    path = str(tmp_path / "v")
+    rows = [(f"c{i}", f"d {i % 4}/ü", f"s{i % 2}", f"f{i % 8}", i) for i in range(64)]
+    tables.add_vectors(spark.createDataFrame(rows, "chunk_id string, domain string, subject string, file_fingerprint string, n int"), path, batch=batch)
+
+    def state():
+        return {str(p): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+
+    before = state()
+    assert tables.delete_vectors(spark, path, F.col("n") > 1000) == 0 and state() == before
+    files = spark.createDataFrame([("f1",), ("f1",), ("f5",), ("none",), (None,)], "file_fingerprint string")
+    assert tables.delete_vectors(spark, path, fingerprints=files) == 16  # all of d 1
+    one = state()
+    assert set(one) == {p for p in before if "domain=d 1" not in p} and all(one[p] == before[p] for p in one)
+    assert tables.delete_vectors(spark, path, (F.col("domain") == "d 2/ü") & (F.col("n") < 32)) == 8
+    two = state()
+    assert {p for p in one if two.get(p) != one[p]} == {p for p in one if "domain=d 2" in p}
+    left = spark.read.parquet(path).collect()
+    assert sorted(r["n"] for r in left) == [i for i in range(64) if i % 4 != 1 and not (i % 4 == 2 and i < 32)]
+    assert all(r["domain"] == f"d {r['n'] % 4}/ü" for r in left)
+
+
+def test_files_go_with_their_chunks_and_vectors(spark, tmp_path):
+    store = str(tmp_path / "s")
+    rows = [(f"{i}.pdf", f"/{i}", "d", f"s{i}", f"# T{i}\nx") for i in range(3)]
+    jobs.ingest_batch(spark.createDataFrame(rows, SOURCES), 0, store, retrieval.hashing_embedder(4), F.lit(STAMP).cast("timestamp"))
+    files, chunks = (tables.snapshot(spark, f"{store}/{name}") for name in ("files", "chunks"))
+    prints = {r["original_name"]: r["file_fingerprint"] for r in files.collect()}
+    gone = spark.createDataFrame([("0.pdf", prints["0.pdf"]), ("1.pdf", "wrong")], "original_name string, file_fingerprint string")
+    left, kept, missing, deleted = jobs.remove_files(files, chunks, gone, f"{store}/vectors")
+    assert {r["original_name"] for r in left.collect()} == {"1.pdf", "2.pdf"} and kept.count() == 2 and deleted == 1
+    assert [r["file_fingerprint"] for r in missing.collect()] == ["wrong"] and spark.read.parquet(f"{store}/vectors").count() == 2
 
 
 def test_feed_forgets_what_is_done(spark, tmp_path):

@@ -34,8 +34,8 @@ def test_continuous_ingestion_and_store(spark, tmp_path):
     rows = spark.createDataFrame([("a", "d", "s", "one two"), ("b", None, "s", "three")], "chunk_id string, domain string, subject string, content string")
     rows.coalesce(1).write.parquet(src)
 
-    def ingest(batch):
-        tables.add_vectors(retrieval.embed(batch, "content", retrieval.hashing_embedder(8)), store)
+    def ingest(batch, number):
+        tables.add_vectors(retrieval.embed(batch, "content", retrieval.hashing_embedder(8)), store, batch=number)
 
     feeds.ingest_continuously(spark.readStream.schema(rows.schema).parquet(src), ingest, str(tmp_path / "c")).awaitTermination()
     assert {r["chunk_id"] for r in tables.read_vectors(spark, store, "default").collect()} == {"b"}
