@@ -126,25 +126,6 @@ def test_files_go_with_their_chunks_and_vectors(spark, tmp_path):
     assert [r["file_fingerprint"] for r in missing.collect()] == ["wrong"] and spark.read.parquet(f"{store}/vectors").count() == 2
 
 
-def test_feed_forgets_what_is_done(spark, tmp_path):
-    df = spark.createDataFrame([(1, 0, 1, 0), (1, 1, 0, 1), (1, 2, 1, 0), (1, 3, 0, 1)], "source_id long, seq long, added int, embedded int")
-    for lo in (0, 2):
-        df.where(f"seq >= {lo} and seq < {lo + 2}").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
-    q = feeds.progress_feed(stream).writeStream.format("memory").queryName("forgets").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    rows = sorted((r["seq"], r["total"], r["done"]) for r in spark.table("forgets").collect())
-    assert rows == [(0, 1, False), (1, 1, True), (2, 1, False), (3, 1, True)]  # the second batch starts anew
-
-
-def test_due_analyses(spark):
-    edits = spark.createDataFrame([("n", i, c, 1, str(i)) for i, c in enumerate([10, 20, 300, 310])], "note_id string, seq long, chars long, blocks long, hash string")
-    rows = notes.versions(edits)
-    assert sorted(r["seq"] for r in feeds.due_analyses(rows).collect()) == [0, 2]
-    cache = spark.createDataFrame([("b", "n", 1.0)], "bubble_id string, note_id string, content_version double")
-    assert [r["seq"] for r in analysis.triggered(rows.withColumn("bubble_id", F.lit("b")), cache).collect()] == [0]
-
-
 def test_completions(spark):
     rows = analysis.complete(spark.createDataFrame([("a",)], "prompt string"), "prompt", lambda s: s + "!")
     assert rows.first()["output"] == "a!"

@@ -1,32 +1,50 @@
 """Streams give what the batch operators give."""
 
-from lorespark.operators import notes, retrieval, stats
+import pytest
+
+from lorespark.operators import analysis, notes, retrieval, stats
 from lorespark.plans import jobs
 from lorespark.sources import tables
 from lorespark.streaming import feeds
 
 
+def batches(spark, df, folder, cuts):
+    """df as a stream with a micro-batch from each cut of seq to the next."""
+    for lo, hi in zip((0, *cuts), (*cuts, 10**9)):
+        df.where(f"seq >= {lo} and seq < {hi}").coalesce(1).write.mode("append").parquet(str(folder / "e"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "e"))
+
+
 def run(spark, stream, name):
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return {tuple(r) for r in spark.table(name).collect()}
 
 
-def test_progress_feed(spark, sf, tmp_path):
-    rows = [(s, i, 1, (i * s) % 2) for s in (1, 2, 3) for i in range(12)]
+@pytest.mark.parametrize("cuts", [(), (2, 3, 7), (1, 2, 5, 6)])
+def test_progress_feed(spark, tmp_path, cuts):
+    """Wherever micro-batches end, also after a source was complete and comes back."""
+    rows = [(s, i, int(i % 3 == 0), int(i % 3 == s % 3)) for s in (1, 2, 3) for i in range(12)]
     df = spark.createDataFrame(rows, "source_id long, seq long, added int, embedded int")
-    for lo in (0, 6):
-        df.where(f"seq >= {lo} and seq < {lo + 6}").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
-    got = run(spark, feeds.progress_feed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))), "feed")
-    assert got == {tuple(r) for r in stats.progress_feed(df).collect()}
-
-
-def test_note_versions(spark, tmp_path):
-    rows = [(f"n{n}", i, 40 * i * n, i, f"h{i // 2}") for n in (1, 2) for i in range(6)]
-    df = spark.createDataFrame(rows, "note_id string, seq long, chars long, blocks long, hash string")
-    df.coalesce(1).write.parquet(str(tmp_path / "e"))
-    got = run(spark, feeds.note_versions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))), "versions")
-    assert got == {tuple(r) for r in notes.versions(df).select("note_id", "seq", "increment", "changed", "version_before", "version").collect()}
+    want = {tuple(r) for r in stats.progress_feed(df).collect()}
+    assert sum(r[-1] for r in want) > 3
+    assert run(spark, feeds.progress_feed(batches(spark, df, tmp_path, cuts)), f"feed{len(cuts)}") == want
+
+
+@pytest.mark.parametrize("cuts", [(), (2, 4)])
+def test_note_versions_and_triggers(spark, tmp_path, cuts):
+    rows = [(f"b{n % 2}", f"n{n}", i, 40 * i * n, i, f"h{i // 2}") for n in (1, 2, 3, 4) for i in range(6)]
+    df = spark.createDataFrame(rows, "bubble_id string, note_id string, seq long, chars long, blocks long, hash string")
+    versions = notes.versions(df)
+    stream = batches(spark, df, tmp_path, cuts)
+    got = run(spark, feeds.note_versions(stream.drop("bubble_id")), f"versions{len(cuts)}")
+    assert got == {tuple(r) for r in versions.select("note_id", "seq", "increment", "changed", "version_before", "version").collect()}
+    cache = spark.createDataFrame([("b0", "n4", 1.0), ("b0", "n4", 9.0), ("b1", "n4", 2.0), ("b0", "n2", 0.1), ("b0", "n2", None), ("b1", "other", 1.0)], "bubble_id string, note_id string, content_version double")
+    due = analysis.triggered(versions.join(df.select("note_id", "seq", "bubble_id"), ["note_id", "seq"]), cache)
+    want = {tuple(r) for r in due.select("bubble_id", "note_id", "seq", "increment", "changed", "version_before", "version").collect()}
+    assert ("b0", "n4", 2) not in {r[:3] for r in want} and len(want) > 5
+    rows = feeds.due_analyses(stream, cache).select("bubble_id", "note_id", "seq", "increment", "changed", "version_before", "version")
+    assert run(spark, rows, f"due{len(cuts)}") == want
 
 
 def test_continuous_ingestion_and_store(spark, tmp_path):
