@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,18 +83,73 @@ def versions(edits: DataFrame) -> DataFrame:
     return rows.select("note_id", "seq", "increment", "changed", "version_before", "version")
 
 
+def common(old: list, new: list) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places, by the greedy method of furthest reaching paths (Myers, 1986), in time
+    that grows with the lengths and the number of changes."""
+    begin = 0
+    while begin < min(len(old), len(new)) and old[begin] == new[begin]:
+        begin += 1
+    end = 0
+    while end < min(len(old), len(new)) - begin and old[-1 - end] == new[-1 - end]:
+        end += 1
+    a, b = old[begin : len(old) - end], new[begin : len(new) - end]
+    reach, trace = {1: 0}, []
+    for changes in range(len(a) + len(b) + 1):
+        trace.append(dict(reach))
+        for k in range(-changes, changes + 1, 2):
+            x = reach[k + 1] if k == -changes or (k != changes and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
+                x += 1
+            reach[k] = x
+            if x >= len(a) and x - k >= len(b):
+                break
+        else:
+            continue
+        break
+    x, y, found = len(a), len(b), []
+    for changes in range(len(trace) - 1, -1, -1):
+        reach, k = trace[changes], x - y
+        before = k + 1 if k == -changes or (k != changes and reach[k - 1] < reach[k + 1]) else k - 1
+        px = reach[before]
+        py = px - before
+        while x > max(px, 0) and y > max(py, 0):
+            x, y = x - 1, y - 1
+            found.append((begin + x, begin + y))
+        x, y = px, py
+    ends = [(len(old) - i, len(new) - i) for i in range(end, 0, -1)]
+    return [(i, i) for i in range(begin)] + found[::-1] + ends
+
+
+def patch(old: list, new: list) -> list[tuple[str, int, object]]:
+    """(op, place, value): what turns old into new, one after the other; between kept blocks others are replaced as far as both
+    have some, then removed or added."""
+    out, done = [], (0, 0)
+    for i, j in [*common(old, new), (len(old), len(new))]:
+        gone, come = i - done[0], new[done[1] : j]
+        for n, value in enumerate(come):
+            out.append(("replace" if n < gone else "add", done[1] + n, value))
+        out += [("remove", j, None)] * (gone - len(come))
+        done = i + 1, j + 1
+    return out
+
+
 def diff_ops(edits: DataFrame) -> DataFrame:
-    """(note_id, seq, op, path, value) between consecutive edits: blocks added, removed or replaced, by position.
+    """(note_id, seq, step, op, path, value): the steps that turn a note's document into its next edit, few and in their order.
 
-    edits: (note_id, seq, children array<string>).
+    edits: (note_id, seq, children array<string>); a first edit starts from nothing. Blocks that stay, wherever others come or
+    go before them, have no step: a longest common subsequence is kept. Each pair of edits is compared on its own.
     """
     line = Window.partitionBy("note_id").orderBy("seq")
-    rows = edits.withColumn("old", F.coalesce(F.lag("children").over(line), F.array().cast("array<string>")))
-    at = F.sequence(F.lit(0), F.greatest(F.size("children"), F.size("old")) - 1)
-    rows = rows.where((F.size("children") > 0) | (F.size("old") > 0)).select("note_id", "seq", "children", "old", F.explode(at).alias("pos"))
-    new, old = F.get("children", F.col("pos")), F.get("old", F.col("pos"))
-    op = F.when(old.isNull(), F.lit("add")).when(new.isNull(), F.lit("remove")).when(old != new, F.lit("replace"))
-    return rows.select("note_id", "seq", op.alias("op"), F.concat(F.lit("/document/children/"), F.col("pos")).alias("path"), new.alias("value")).where("op is not null")
+    none = F.array().cast("array<string>")
+    rows = edits.select("note_id", "seq", F.coalesce("children", none).alias("new"), F.coalesce(F.lag("children").over(line), none).alias("old"))
+
+    @F.pandas_udf("array<struct<op:string,place:int,value:string>>")
+    def steps(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([[{"op": o, "place": p, "value": v} for o, p, v in patch(list(a), list(b))] for a, b in zip(old, new)], dtype=object)
+
+    rows = rows.select("note_id", "seq", F.posexplode(steps("old", "new")).alias("step", "x"))
+    path = F.concat(F.lit("/document/children/"), F.col("x.place"))
+    return rows.select("note_id", "seq", "step", F.col("x.op").alias("op"), path.alias("path"), F.col("x.value").alias("value"))
 
 
 def collapse(diffs: DataFrame) -> DataFrame:

@@ -39,14 +39,22 @@ def totals(vectors: DataFrame) -> DataFrame:
 
 
 def knowledge_index(files: DataFrame) -> DataFrame:
-    """(kind, value) of all different domains, subjects, topics, subtopics and stems; folders named by ids are skipped.
+    """(kind, value, files) of all different domains, subjects, topics, subtopics and stems, with the number of files that have each;
+    folders named by ids are skipped.
 
-    A row for each value, as the stems of a large base are too many for one.
+    Stems repeat as often as files share them, which their number tells; a row for each value, as the stems of a large base are
+    too many for one. with_repeats() lists them as often as they come.
     """
     names = ["domain", "subject", "topic", "subtopic"]
     rows = files.where(~has_uuid_part(F.filter(F.array(*names), lambda p: p.isNotNull())))
     pairs = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("value")) for n in (*names, "stem")])
-    return rows.select(F.inline(pairs)).where("value <> ''").distinct()
+    return rows.select(F.inline(pairs)).where("value <> ''").groupBy("kind", "value").agg(F.count("*").alias("files"))
+
+
+def with_repeats(index: DataFrame) -> DataFrame:
+    """(kind, value) of knowledge_index(), a stem once for each of its files, all else once."""
+    times = F.when(F.col("kind") == "stem", F.col("files")).otherwise(1)
+    return index.select("kind", "value", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias("n")).drop("n")
 
 
 def storage(files: DataFrame, by: list[str]) -> DataFrame:

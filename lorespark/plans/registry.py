@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorespark.functions import text as X
 from lorespark.operators import analysis, chunking, notes, registry, retrieval, search, stats
@@ -115,10 +116,23 @@ def store_totals(spark, sf):
     return stats.totals(A.vectors(spark, sf))
 
 
-@query(f"""WITH {A.FILES} SELECT DISTINCT 'domain' AS kind, domain AS value FROM files UNION ALL SELECT DISTINCT 'subject', subject FROM files UNION ALL SELECT DISTINCT 'stem', 'doc_' || doc_id FROM files""")
+@query(f"""WITH {A.FILES}, p AS (SELECT domain, subject, 'part_' || (doc_id % 50) AS stem FROM files)
+SELECT 'domain' AS kind, domain AS value, count(*) AS files FROM p GROUP BY domain UNION ALL SELECT 'subject', subject, count(*) FROM p GROUP BY subject
+UNION ALL SELECT 'stem', stem, count(*) FROM p GROUP BY stem""")
 def knowledge_index(spark, sf):
-    paths = A.files(spark, sf).select(F.expr("substring(filepath, 5)").alias("rel_path"))
-    return stats.knowledge_index(tables.listed(paths))
+    return stats.knowledge_index(_paths(spark, sf))
+
+
+@query(f"""WITH {A.FILES} SELECT DISTINCT 'domain' AS kind, domain AS value FROM files UNION ALL SELECT DISTINCT 'subject', subject FROM files
+UNION ALL SELECT 'stem', 'part_' || (doc_id % 50) FROM files""")
+def knowledge_base_lists(spark, sf):
+    return stats.with_repeats(stats.knowledge_index(_paths(spark, sf)))
+
+
+def _paths(spark, sf):
+    """Files of which many share a name in different folders."""
+    path = F.concat_ws("/", "domain", "subject", F.concat(F.lit("part_"), F.col("doc_id") % 50, F.lit(".pdf")))
+    return tables.listed(A.files(spark, sf).select(path.alias("rel_path")))
 
 
 @query(f"""WITH {A.FILES}, s AS (SELECT domain, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM files GROUP BY domain)
@@ -398,6 +412,19 @@ def note_diffs(spark, sf):
     return notes.diff_ops(e).select("note_id", "seq", "op", "path")
 
 
+@query("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS note_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE text IS NOT NULL)
+SELECT note_id, turn AS seq, 0 AS step, 'add' AS op, '/document/children/0' AS path, 'draft ' || turn AS value FROM t WHERE r = 1
+UNION ALL SELECT note_id, turn, CASE WHEN r > 3 THEN 1 ELSE 0 END, 'replace', '/document/children/' || (least(r, 3) - 2), 'turn ' || before FROM (SELECT *, lag(turn) OVER (PARTITION BY note_id ORDER BY turn) AS before FROM t) WHERE r > 1
+UNION ALL SELECT note_id, turn, CASE WHEN r > 3 THEN 2 ELSE 1 END, 'add', '/document/children/' || (least(r, 3) - 1), 'draft ' || turn FROM t WHERE r > 1
+UNION ALL SELECT note_id, turn, 0, 'remove', '/document/children/0', NULL FROM t WHERE r > 3""")
+def note_patches(spark, sf):
+    """A note of the last three turns, the newest of them a draft: with each turn the oldest goes, the draft is replaced, a draft comes."""
+    c = A.table(spark, sf, "conversations").where("text is not null")
+    line = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, Window.currentRow)
+    kept = F.transform(F.collect_list("turn").over(line), lambda t: F.concat(F.when(t == F.col("turn"), F.lit("draft ")).otherwise(F.lit("turn ")), t.cast("string")))
+    return notes.diff_ops(c.select(F.col("conv_id").cast("string").alias("note_id"), F.col("turn").alias("seq"), kept.alias("children")))
+
+
 @query("SELECT user_id AS note_id, event_type AS version, min(event_id) AS first_seq, max(event_id) AS seq FROM events GROUP BY user_id, event_type")
 def collapsed_history(spark, sf):
     e = A.table(spark, sf, "events").select(F.col("user_id").alias("note_id"), F.col("event_type").alias("version"), F.col("event_id").alias("seq"))

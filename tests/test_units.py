@@ -85,12 +85,36 @@ def test_versions(spark):
 
 def test_diffs_and_collapse(spark):
     edits = spark.createDataFrame([("n", 0, ["a", "b"]), ("n", 1, ["a", "c", "d"]), ("n", 2, ["a"])], "note_id string, seq int, children array<string>")
-    got = [(r["seq"], r["op"], r["path"][-1]) for r in notes.diff_ops(edits).orderBy("seq", "path").collect()]
-    assert got == [(0, "add", "0"), (0, "add", "1"), (1, "replace", "1"), (1, "add", "2"), (2, "remove", "1"), (2, "remove", "2")]
+    got = [(r["seq"], r["op"], r["path"][-1]) for r in notes.diff_ops(edits).orderBy("seq", "step").collect()]
+    assert got == [(0, "add", "0"), (0, "add", "1"), (1, "replace", "1"), (1, "add", "2"), (2, "remove", "1"), (2, "remove", "1")]
     diffs = spark.createDataFrame([("n", i, v) for i, v in enumerate([0.0, 0.0, 0.01, 0.0])], "note_id string, seq int, version double")
     assert [(r["version"], r["seq"]) for r in notes.collapse(diffs).orderBy("first_seq").collect()] == [(0.0, 3), (0.01, 2)]
 
 
+def test_patches():
+    """Applied step by step a patch gives the new document, and it keeps as much as can be kept."""
+    assert notes.patch(list("abc"), list("xabc")) == [("add", 0, "x")] and notes.patch(list("abc"), list("bc")) == [("remove", 0, None)]
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        old, new = (rng.integers(0, 4, rng.integers(0, 9)).tolist() for _ in range(2))
+        steps, doc = notes.patch(old, new), list(old)
+        for op, at, value in steps:
+            if op == "add":
+                doc.insert(at, value)
+            elif op == "remove":
+                doc.pop(at)
+            else:
+                doc[at] = value
+        assert doc == new
+        best = np.zeros((len(old) + 1, len(new) + 1), int)
+        for i, a in enumerate(old):
+            for j, b in enumerate(new):
+                best[i + 1, j + 1] = best[i, j] + 1 if a == b else max(best[i, j + 1], best[i + 1, j])
+        kept = notes.common(old, new)
+        assert len(kept) == best[-1, -1] and all(old[i] == new[j] for i, j in kept) and kept == sorted(set(kept))
+    assert len(notes.patch(list(range(5000)), [*range(7, 5000), *range(9000, 9100)])) == 107
+
+
 def test_note_documents(spark):
     doc = {
         "type": "page",
