@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.operators import search
+from lorespark.sources.tables import stored
 
 NOTE = ["bubble_id", "note_id"]
 FETCH_K = 5
@@ -85,3 +88,18 @@ def complete(prompts: DataFrame, column: str, complete_fn, out: str = "output")
         return complete_fn(batch)
 
     return prompts.withColumn(out, outputs(column))
+
+
+def memoised(prompts: DataFrame, column: str, history: DataFrame, complete_fn, valid: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(prompts with prompt_hash and output, history) of a model that is asked only what it has not answered yet.
+
+    history: (prompt_hash, output), one row a hash. Each different prompt that it lacks is put to complete_fn once, however many
+    rows have it, and what comes back is stored before it is used, so no lost task asks again later. Outputs that are null or
+    not valid give null and do not enter the history, so they are asked anew the next time. A null prompt has no output.
+    """
+    rows = prompts.withColumn("prompt_hash", F.sha2(column, 256))
+    asked = rows.where(F.col(column).isNotNull()).select("prompt_hash", F.col(column).alias("prompt")).dropDuplicates(["prompt_hash"])
+    made = stored(complete(asked.join(history.select("prompt_hash"), "prompt_hash", "left_anti"), "prompt", complete_fn).select("prompt_hash", "output"))
+    good = made.where(F.coalesce(valid(F.col("output")), F.lit(False)) if valid else F.col("output").isNotNull())
+    known = history.select("prompt_hash", "output").unionByName(good)
+    return rows.join(known, "prompt_hash", "left").select(*prompts.columns, "prompt_hash", "output"), known

@@ -16,6 +16,38 @@ QUESTION = "Answer the question from the context only.\nQuestion: {question}\nCo
 REVIEW = "Review the note against its sources and its earlier form.\nEarlier:\n{archived_data}\nNote:\n{current_note}\nSources:\n{context}\n"
 
 
+DESCRIBE = "Give title, domain, subject, authors and keywords of the file as JSON.\nFile: {filename}\nKnown: {metadata}\n"
+
+
+def describe_sources(sources: DataFrame, history: DataFrame, complete_fn) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources with title, domain, subject, authors and keywords, sources that got none, history of model calls).
+
+    sources: (original_name, filepath, author, keywords, title, text), as they were read from the files. A model is asked for each
+    file by its name and cleaned metadata; what the history knows is not asked again. Its output must hold a whole
+    description in one of the first two forms, all of the output or a fenced block; else the file is one of those without.
+    What was read from the file itself wins over what the model says.
+    """
+    read = {"title": X.sanitize_title(F.nullif(F.trim("title"), F.lit(""))), "authors": X.clean_authors(F.col("author")), "keywords": X.clean_keywords(F.col("keywords"))}
+    rows = sources.select("original_name", "filepath", "text", F.struct(*[c.alias(n) for n, c in read.items()]).alias("read"))
+    prompt = X.fill_template(DESCRIBE, {"filename": F.col("original_name"), "metadata": F.to_json("read")})
+
+    def described(output: Column) -> Column:
+        return X.valid_metadata(X.json_from_output(output, 2))
+
+    rows, history = analysis.memoised(rows.withColumn("prompt", prompt), "prompt", history, complete_fn, lambda o: described(o).isNotNull())
+    rows = rows.withColumn("said", described(F.col("output")))
+    given = {n: F.col(f"read.{n}") for n in read}
+    said = {n: F.col(f"said.{n}") for n in ("title", "domain", "subject", "authors", "keywords")}
+    whole = [c.alias(n) for n, c in X.merged_metadata(given, said).items()]
+    return rows.where("said is not null").select("original_name", "filepath", *whole, "text"), rows.where("said is null").select("original_name", "filepath"), history
+
+
+def artifacts(described: DataFrame) -> DataFrame:
+    """(domain, subject, title, markdown) of described sources, for sources.tables.write_markdown(): front matter, then the text."""
+    front = X.front_matter({n: F.col(n) for n in ("title", "domain", "subject")}, {n: F.col(n) for n in ("authors", "keywords")})
+    return described.select("domain", "subject", "title", F.concat(front, F.coalesce("text", F.lit(""))).alias("markdown"))
+
+
 @dataclass
 class Ingested:
     files: DataFrame
@@ -131,5 +163,30 @@ def analyse_notes(current: DataFrame, archive: DataFrame, retrieved: DataFrame,
     return rows.select("bubble_id", "note_id", "content_version", prompt.alias("prompt"))
 
 
+@dataclass
+class Analysed:
+    results: DataFrame
+    cache: DataFrame
+    history: DataFrame
+    calls: DataFrame
+
+
+def finish_analyses(prompts: DataFrame, calls: DataFrame, cache: DataFrame, history: DataFrame, complete_fn, as_of: Column) -> Analysed:
+    """The prompts of analyse_notes() put to a model, and what it says kept.
+
+    calls: (prompt_hash, output) of all model calls so far; none is made twice. The cache (bubble_id, note_id, content_version,
+    analysis, cached_at) gets one entry a note, the newest; the history (note_id, bubble_id, content_version, prompt_hash,
+    analysis, created_at) one for each version and prompt. Empty analyses are not kept.
+    """
+    results, calls = analysis.memoised(prompts, "prompt", calls, complete_fn, lambda o: F.trim(o) != "")
+    results = stored(results.withColumnRenamed("output", "analysis"))
+    new = results.where("analysis is not null").withColumn("stamp", as_of)
+    entries = new.select("bubble_id", "note_id", "content_version", "analysis", F.col("stamp").alias("cached_at"))
+    cache = registry.put_latest(cache.select(*entries.columns), registry.latest(entries, analysis.NOTE, [F.desc("content_version")]), analysis.NOTE, "cached_at")
+    lines = new.select("note_id", "bubble_id", "content_version", "prompt_hash", "analysis", F.col("stamp").alias("created_at"))
+    history = registry.put_latest(history.select(*lines.columns), lines.dropDuplicates(["note_id", "content_version", "prompt_hash"]), ["note_id", "content_version", "prompt_hash"], "created_at")
+    return Analysed(results, cache, history, calls)
+
+
 def inspect_stores(vectors: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     return {"counts": stats.collections(vectors), "samples": stats.collection_samples(vectors), "totals": stats.totals(vectors), "storage": stats.storage(files, ["domain", "subject"])}

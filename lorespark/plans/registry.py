@@ -675,6 +675,19 @@ def review_prompts(spark, sf):
     return jobs.analyse_notes(n, archive, held, q, A.vectors(spark, sf)).drop("bubble_id")
 
 
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN 'about ' || source || ' in ' || lang END AS prompt, source, lang FROM documents)
+SELECT doc_id, prompt, CASE WHEN prompt IS NULL THEN NULL WHEN lang = 'en' THEN 'known ' || source WHEN lang = 'de' THEN NULL ELSE upper(prompt) END AS output,
+  CAST((SELECT count(DISTINCT prompt) FROM p WHERE lang <> 'de') AS BIGINT) AS known FROM p""")
+def memoised_outputs(spark, sf):
+    """A model that answers nothing valid about German, and has been asked about English before."""
+    d = A.table(spark, sf, "documents")
+    prompt = F.concat(F.lit("about "), "source", F.lit(" in "), "lang")
+    rows = d.select("doc_id", F.when(F.col("doc_id") % 9 != 0, prompt).alias("prompt"))
+    before = d.where("lang = 'en' and doc_id % 9 <> 0").select(F.sha2(prompt, 256).alias("prompt_hash"), F.concat(F.lit("known "), "source").alias("output")).distinct()
+    out, calls = analysis.memoised(rows, "prompt", before, lambda x: x.str.upper(), lambda o: ~o.endswith(" DE"))
+    return out.select("doc_id", "prompt", "output").crossJoin(calls.agg(F.count("*").alias("known")))  # one row
+
+
 @query(f"""WITH {A.VECTORS}, {A.FILES} SELECT 'counts' AS part, domain, subject, count(*) AS n FROM vectors GROUP BY domain, subject
 UNION ALL SELECT 'storage', domain, subject, CAST(sum(length) AS BIGINT) FROM files GROUP BY domain, subject
 UNION ALL SELECT 'samples', domain, subject, least(3, count(*)) FROM vectors GROUP BY domain, subject

@@ -1,6 +1,7 @@
 """Files and tables written to a folder and read back."""
 
 import json
+import uuid
 from pathlib import Path
 
 import pytest
@@ -126,6 +127,62 @@ def test_files_go_with_their_chunks_and_vectors(spark, tmp_path):
     assert [r["file_fingerprint"] for r in missing.collect()] == ["wrong"] and spark.read.parquet(f"{store}/vectors").count() == 2
 
 
+def asked_in(folder, answer):
+    """A model that leaves a file for every prompt it is asked."""
+
+    def complete(batch):
+        for x in batch:
+            (folder / f"{uuid.uuid4().hex}").write_text(x)
+        return batch.map(answer)
+
+    return complete
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    calls = spark.createDataFrame([], "prompt_hash string, output string")
+    prompts = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "a", None, "bad", "a"])], "id int, prompt string")
+    model = asked_in(tmp_path, lambda x: None if x == "bad" else x + "!")
+    for times in (3, 4):  # what was not answered is asked again, nothing else
+        out, calls = analysis.memoised(prompts, "prompt", calls, model)
+        calls = tables.stored(calls)
+        assert [r["output"] for r in out.orderBy("id").collect()] == ["a!", "b!", "a!", None, None, "a!"]
+        assert len(list(tmp_path.iterdir())) == times and calls.count() == 2
+
+
+def test_described_sources(spark, tmp_path):
+    schema = "original_name string, filepath string, author string, keywords string, title string, text string"
+    rows = [("a.pdf", "/a", "X; Y", "k, l", "a/b", "# T\nx"), ("b.pdf", "/b", None, "", " ", None), ("c.pdf", "/c", "Z", None, None, "y")]
+    whole = {"title": "said", "domain": "d", "subject": "s", "authors": ["M"], "keywords": ["n"]}
+    answers = {"a.pdf": json.dumps(whole), "b.pdf": f"```json\n{json.dumps(whole)}\n```", "c.pdf": json.dumps({**whole, "subject": None})}
+    model = asked_in(tmp_path, lambda x: next(v for k, v in answers.items() if k in x))
+    calls = spark.createDataFrame([], "prompt_hash string, output string")
+    for times in (3, 4):
+        good, bad, calls = jobs.describe_sources(spark.createDataFrame(rows, schema), calls, model)
+        calls = tables.stored(calls)
+        got = {r["original_name"]: (r["title"], r["domain"], r["authors"], r["keywords"]) for r in good.collect()}
+        assert got == {"a.pdf": ("a-b", "d", ["X", "Y"], ["k", "l"]), "b.pdf": ("said", "d", ["M"], ["n"])}
+        assert [r["original_name"] for r in bad.collect()] == ["c.pdf"] and len(list(tmp_path.iterdir())) == times
+    files = {r["title"]: r["markdown"] for r in jobs.artifacts(good).collect()}
+    assert files["a-b"] == "---\ntitle: a-b\ndomain: d\nsubject: s\nauthors:\n- X\n- Y\nkeywords:\n- k\n- l\n---\n\n# T\nx" and files["said"].endswith("---\n\n")
+
+
+def test_analyses_are_kept(spark, tmp_path):
+    prompts = spark.createDataFrame([("b", "n1", 1.0, "p1"), ("b", "n2", 2.0, "p2"), ("b", "n3", 1.0, "none"), ("c", "n4", 1.0, "p1")], "bubble_id string, note_id string, content_version double, prompt string")
+    calls = spark.createDataFrame([], "prompt_hash string, output string")
+    cache = spark.createDataFrame([("b", "n1", 0.5, "old", "2025"), ("b", "n9", 1.0, "kept", "2025")], "bubble_id string, note_id string, content_version double, analysis string, cached_at string")
+    history = spark.createDataFrame([], "note_id string, bubble_id string, content_version double, prompt_hash string, analysis string, created_at string")
+    model = asked_in(tmp_path, lambda x: " " if x == "none" else f"analysis of {x}")
+    for stamp in ("2026", "2027"):
+        out = jobs.finish_analyses(prompts, calls, cache, history, model, F.lit(stamp))
+        calls, cache, history = (tables.stored(x) for x in (out.calls, out.cache, out.history))
+        got = {r["note_id"]: (r["content_version"], r["analysis"], r["cached_at"]) for r in cache.collect()}
+        assert got == {"n1": (1.0, "analysis of p1", stamp), "n2": (2.0, "analysis of p2", stamp), "n4": (1.0, "analysis of p1", stamp), "n9": (1.0, "kept", "2025")}
+        assert history.count() == 3 and calls.count() == 2
+    assert sorted(p.read_text() for p in tmp_path.iterdir()) == ["none", "none", "p1", "p2"]
+    hits = analysis.cache_lookup(prompts.select("bubble_id", "note_id", "content_version"), cache)
+    assert {r["note_id"] for r in hits.where("hit").collect()} == {"n1", "n2", "n4"}
+
+
 def test_completions(spark):
     rows = analysis.complete(spark.createDataFrame([("a",)], "prompt string"), "prompt", lambda s: s + "!")
     assert rows.first()["output"] == "a!"
