@@ -146,6 +146,20 @@ def apply_note_updates(edits: DataFrame, cache: DataFrame) -> tuple[DataFrame, D
     return versions, analysis.triggered(versions, cache)
 
 
+def note_history(edits: DataFrame) -> DataFrame:
+    """(note_id, version, seq, first_seq, ops) of edits (bubble_id, note_id, seq, document): what changed the note at each version.
+
+    An edit that changes a note leaves its steps under the version before it; of several under one version the last stays.
+    """
+    blocks = F.transform(F.from_json("document", "children array<variant>")["children"], lambda b: F.to_json(b))
+    steps = notes.diff_ops(edits.select("note_id", "seq", blocks.alias("children")))
+    ops = steps.groupBy("note_id", "seq").agg(F.array_sort(F.collect_list(F.struct("step", "op", "path", "value"))).alias("ops"))
+    versions, _ = apply_note_updates(edits, edits.limit(0).select("bubble_id", "note_id", F.lit(0.0).alias("content_version")))
+    rows = versions.where("changed").select("note_id", "seq", F.col("version_before").alias("version"))
+    none = F.array().cast("array<struct<step:int,op:string,path:string,value:string>>")
+    return notes.collapse(rows.join(ops, ["note_id", "seq"], "left").withColumn("ops", F.coalesce("ops", none)))
+
+
 def analyse_notes(current: DataFrame, archive: DataFrame, retrieved: DataFrame, subqueries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(note_id, content_version, prompt) of notes (bubble_id, note_id, content_version, text) for a model to complete.
 

@@ -192,15 +192,14 @@ def embedded_flags(spark, sf):
     return registry.flag_set(probes, f, ["probe"], "embedded", ["converted", "embedded"]).drop("probe")
 
 
-@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(replace(replace(translate(text, '/\:|', '----'), '*', ''), '?', ''), '-{2,}', '-', 'g'), '-'), chr(10), ' ', 'g') AS title,
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, '/\:|', '----'), '[*?"<>]', '', 'g'), '-{2,}', '-', 'g'), '-') AS title,
   sha256(text) AS chunk_fingerprint, left(sha256(text), 16) AS content_fingerprint, lower(replace(text, ' ', '_')) AS slug,
-  CASE WHEN len(text) > 300 THEN left(text, 300) || '...' ELSE text END AS preview, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]')) AS tokens FROM (SELECT doc_id, replace(replace(replace(text, '"', ''), '<', ''), '>', '') AS text FROM documents)""")
+  CASE WHEN len(text) > 300 THEN left(text, 300) || '...' ELSE text END AS preview, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]')) AS tokens FROM documents""")
 def scalar_functions(spark, sf):
-    clean = F.translate("text", '"<>', "")
-    d = A.table(spark, sf, "documents").select("doc_id", clean.alias("text"))
+    d = A.table(spark, sf, "documents").select("doc_id", "text")
     t = F.col("text")
     return d.select(
-        "doc_id", F.regexp_replace(X.sanitize_title(t), "\n", " ").alias("title"), X.chunk_fingerprint(t).alias("chunk_fingerprint"),
+        "doc_id", X.sanitize_title(t).alias("title"), X.chunk_fingerprint(t).alias("chunk_fingerprint"),
         X.content_fingerprint(t).alias("content_fingerprint"), X.slug(t).alias("slug"), X.preview(t, 300, "...").alias("preview"), X.token_count(t).cast("long").alias("tokens"),
     )
 
@@ -373,6 +372,17 @@ def delete_bubble(spark, sf):
     return registry.cascade({"notes": n}, gone, ["bubble_id"])["notes"].drop("bubble_id")
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 2 ELSE 1 END AS blocks, CASE WHEN doc_id % 6 >= 4 THEN lang ELSE '' END AS text,
+  CASE WHEN doc_id % 6 >= 4 THEN lang ELSE '' END AS markdown FROM documents""")
+def repaired_notes(spark, sf):
+    """No document, no children, children that are no list, a paragraph without runs, a whole one, and one beside an unknown block."""
+    whole = F.concat(F.lit('{"type":"paragraph","data":{"delta":[{"insert":"'), "lang", F.lit('"}]}}'))
+    kinds = [F.lit("no JSON {"), F.lit("{}"), F.lit('{"children": 3}'), F.lit('{"children":[{"type":"paragraph"}]}'), F.concat(F.lit('{"children":['), whole, F.lit("]}")), F.concat(F.lit('{"children":['), whole, F.lit(',{"type":"odd"}]}'))]
+    broken = F.coalesce(*[F.when(F.col("doc_id") % 6 == i, k) for i, k in enumerate(kinds)])
+    rows = A.table(spark, sf, "documents").select("doc_id", notes.parsed(broken).alias("d"))
+    return rows.select("doc_id", F.size("d.children").alias("blocks"), notes.total_text(F.col("d")).alias("text"), notes.markdown(F.col("d")).alias("markdown"))
+
+
 @query(f"WITH {A.NOTE_EDITS} SELECT note_id, seq, chars, blocks FROM note_edits")
 def note_text(spark, sf):
     e = A.note_edits(spark, sf).withColumn("doc", notes.parsed(F.col("document")))
@@ -521,6 +531,13 @@ def first_or_major_edits(spark, sf):
     return jobs.apply_note_updates(A.note_edits(spark, sf), A.analysis_cache(spark, sf))[1].select("note_id", "seq", "version")
 
 
+@query(f"""WITH RECURSIVE {VERSIONS} SELECT note_id, version_before AS version, min(seq) AS first_seq, max(seq) AS seq, 1 AS n_ops, 'add' AS op, '/document/children/' || (max(r) - 1) AS path
+FROM v GROUP BY note_id, version_before""")
+def note_histories(spark, sf):
+    h = jobs.note_history(A.note_edits(spark, sf))
+    return h.select("note_id", "version", "first_seq", "seq", F.size("ops").alias("n_ops"), F.col("ops")[0]["op"].alias("op"), F.col("ops")[0]["path"].alias("path"))
+
+
 @query(f"WITH {A.FILES} SELECT file_fingerprint AS source_id, doc_id AS chunk FROM files WHERE converted = 1 AND embedded = 0")
 def chunks_to_embed(spark, sf):
     f = A.files(spark, sf)
