@@ -225,10 +225,11 @@ def fetch(chunks: DataFrame, source_id: str | None = None, chunk_index: int | No
 
 
 def asked_chunks(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """Chunks of (source_id, chunk_index) pairs in chunk order within a source; a null index asks for all of a source."""
+    """Chunks of (source_id, chunk_index) pairs, with their place among those asked of a source; a null index asks for all of a source."""
     keys = asked.select(F.col("source_id").alias("_source"), F.col("chunk_index").alias("_index")).distinct()
     match = (F.col("source_id") == F.col("_source")) & F.coalesce(F.col("chunk_index") == F.col("_index"), F.lit(True))
-    return chunks.join(keys, match, "left_semi").sortWithinPartitions("source_id", "chunk_index")
+    line = Window.partitionBy("source_id").orderBy("chunk_index", "chunk_fingerprint")
+    return chunks.join(keys, match, "left_semi").withColumn("place", F.row_number().over(line))
 
 
 def embed_metadata(chunks: DataFrame, files: DataFrame) -> DataFrame:

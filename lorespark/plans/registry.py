@@ -575,11 +575,11 @@ def note_chunks(spark, sf):
     return jobs.process_notes(latest).drop("content")
 
 
-@query(f"WITH {MD} SELECT source_id, chunk_index, content FROM chunks WHERE source_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AND (CAST(source_id AS BIGINT) % 2 = 0 OR chunk_index = 1)")
+@query(f"WITH {MD} SELECT source_id, chunk_index, content, CAST(row_number() OVER (PARTITION BY source_id ORDER BY chunk_index) AS INTEGER) AS place FROM chunks WHERE source_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AND (CAST(source_id AS BIGINT) % 2 = 0 OR chunk_index = 1)")
 def fetched_chunks(spark, sf):
     ids = A.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("source_id"))
     asked = ids.select("source_id", F.when(F.col("source_id").cast("long") % 2 != 0, F.lit(1)).alias("chunk_index"))
-    return chunking.asked_chunks(chunking.chunk(A.markdown(spark, sf), most=10**9), asked).select("source_id", "chunk_index", "content")
+    return chunking.asked_chunks(chunking.chunk(A.markdown(spark, sf), most=10**9), asked).select("source_id", "chunk_index", "content", "place")
 
 
 @query(f"WITH {MD} SELECT source_id, chunk_index FROM chunks WHERE chunk_index = 0")

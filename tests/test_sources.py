@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.operators import analysis, chunking, notes, retrieval
+from lorespark.operators import analysis, chunking, retrieval, stats
 from lorespark.plans import jobs
 from lorespark.sources import tables
 from lorespark.streaming import feeds
@@ -115,6 +115,15 @@ def test_deletes_rewrite_only_what_they_touch(spark, tmp_path, batch):
     assert all(r["domain"] == f"d {r['n'] % 4}/ü" for r in left)
 
 
+def test_counts_of_a_store_read_no_columns(spark, tmp_path):
+    path = str(tmp_path / "v")
+    tables.add_vectors(spark.createDataFrame([(f"c{i}", f"d{i % 2}", f"s{i % 3}", "x" * 99) for i in range(60)], "chunk_id string, domain string, subject string, content string"), path)
+    for rows in (stats.collections(tables.read_vectors(spark, path)), stats.totals(tables.read_vectors(spark, path))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReadSchema: struct<>") == plan.count("ReadSchema") > 0
+    assert {tuple(r) for r in stats.collections(tables.read_vectors(spark, path)).collect()} == {(f"d{i}", f"s{j}", 10) for i in range(2) for j in range(3)}
+
+
 def test_files_go_with_their_chunks_and_vectors(spark, tmp_path):
     store = str(tmp_path / "s")
     rows = [(f"{i}.pdf", f"/{i}", "d", f"s{i}", f"# T{i}\nx") for i in range(3)]
