@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm import decontamination, mixing, pii, simhash, toxicity
-from lorespark.llm.common import written
+from lorespark.llm.common import dense, discard
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = dense(stage(spark, docs, sf_dir))
+        if held is not None:
+            discard(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import written
+from lorespark.llm.common import dense
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Each round is two groupings and joins over a table of at most as many rows as there are links, written in between;
     the number of rounds grows with the logarithm of the longest path. Only a count and a sum come to the driver.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = dense(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     seen = now.agg(mark).first()[0]
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = written(_small(_large(now)))
+        now = dense(_small(_large(now)))
         new = now.agg(mark).first()[0]
         if new == seen:
             break

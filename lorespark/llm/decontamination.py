@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorespark.llm.common import NOT_ALNUM, ascii_lower, broadcast_if_small, documents, join_on, join_unique, let, split_words, without, written
+from lorespark.llm.common import ascii_lower, broadcast_if_small, dense, documents, join_on, join_unique, let, NOT_ALNUM, split_words, without
 
 WINDOW = 10
 #: Rare words of each window whose posting lists are intersected.
@@ -32,7 +32,7 @@ def test_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")
     ).where(F.size("words") > 0)
-    rows = written(rows.groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).withColumn("phrase_id", F.monotonically_increasing_id()))
+    rows = dense(rows.groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).withColumn("phrase_id", F.monotonically_increasing_id()))
     return rows.select("phrase_id", "words"), rows.select("phrase_id", F.explode("item_ids").alias("item_id"))
 
 
@@ -46,19 +46,19 @@ def positional_index(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, Da
 
     Rows lie in the order of the texts, so documents and their keys take next to no room.
     """
-    terms = written(slots_of(phrases).select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+    terms = dense(slots_of(phrases).select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
     exploded = docs.select("doc_id", "key", F.posexplode(split_words(F.col("text"), NOT_ALNUM)).alias("pos", "word"))
     exploded = exploded.select("doc_id", "key", "pos", ascii_lower(F.col("word")).alias("term"))
     small = broadcast_if_small(terms)
     # a vocabulary too large to broadcast: the hot words' places are dealt to salts
     found = exploded.join(small, "term") if small is not terms else join_unique(exploded, terms, "term")
-    return written(found.select("term_id", "doc_id", "key", "pos"), "zstd"), terms
+    return dense(found.select("term_id", "doc_id", "key", "pos")), terms
 
 
 def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, term_id, freq): how often each term stands in the documents; written."""
     counts = postings.groupBy("term_id").agg(F.count("*").alias("freq"))
-    return written(terms.join(counts, "term_id", "left").select("term", "term_id", F.coalesce("freq", F.lit(0)).alias("freq")))
+    return dense(terms.join(counts, "term_id", "left").select("term", "term_id", F.coalesce("freq", F.lit(0)).alias("freq")))
 
 
 def rare_terms(counts: DataFrame, phrases: DataFrame, window: int, rarest: int) -> DataFrame:
@@ -82,7 +82,7 @@ def rare_terms(counts: DataFrame, phrases: DataFrame, window: int, rarest: int)
 
 def alignments(postings: DataFrame, counts: DataFrame, phrases: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """(doc_id, key, phrase_id, shift): where the offset-adjusted lists of rare terms meet. Every true match is among them."""
-    terms = broadcast_if_small(written(rare_terms(counts, phrases, window, rarest)))
+    terms = broadcast_if_small(dense(rare_terms(counts, phrases, window, rarest)))
     votes = postings.join(terms, "term_id").withColumn("shift", F.col("pos") - F.col("q"))
     # repeated rows of one document vote for the same q: count different q, not rows
     met = votes.groupBy("doc_id", "key", "phrase_id", "shift").agg(
@@ -107,7 +107,7 @@ def _hits(docs: DataFrame, phrases: DataFrame, postings: DataFrame, counts: Data
     """(doc_id, key, hits: phrase_id, start, length), one row for each document with any."""
     found = alignments(postings, counts, phrases, window, rarest).groupBy("doc_id", "key", "phrase_id").agg(F.collect_list("shift").alias("shifts"))
     # an item's words come once for a document, however many alignments they have
-    by_doc = written(found.join(phrases, "phrase_id").groupBy("doc_id", "key").agg(F.collect_list(F.struct("phrase_id", "shifts", "words")).alias("found")))
+    by_doc = dense(found.join(phrases, "phrase_id").groupBy("doc_id", "key").agg(F.collect_list(F.struct("phrase_id", "shifts", "words")).alias("found")))
     there = join_on(docs, broadcast_if_small(by_doc), ["doc_id", "key"]).select("doc_id", "key", "text", "found")
 
     def compared(own: Column, x: Column, shift: Column) -> Column:
@@ -131,7 +131,7 @@ def _near(postings: DataFrame, counts: DataFrame, phrases: DataFrame, terms: int
     ranked = slots.withColumns({"rank": F.row_number().over(of.orderBy("freq", "term")), "needed": F.least(F.count("*").over(of), F.lit(terms))})
     rare = of.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = ranked.withColumn("least", F.first("freq").over(rare)).where((F.col("rank") <= terms) & (F.col("least") > 0))
-    wanted = broadcast_if_small(written(ranked.select("term_id", "phrase_id", "rank", "needed")))
+    wanted = broadcast_if_small(dense(ranked.select("term_id", "phrase_id", "rank", "needed")))
     block = F.floor(F.col("pos") / width)
     near = postings.join(wanted, "term_id").select("doc_id", "key", "phrase_id", "rank", "needed", F.explode(F.array(block - 1, block)).alias("block"))
     # ranks are few: one bit each, so repeats of a term cost nothing
@@ -172,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     counts = term_counts(postings, terms)
     hits = _hits(docs, phrases, postings, counts, window, rarest)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
-    hits = written(hits.select("doc_id", "key", F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.col("hits.phrase_id")).alias("phrases")))
+    hits = dense(hits.select("doc_id", "key", F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.col("hits.phrase_id")).alias("phrases")))
     ids = _ids(hits.select("doc_id", "key", F.explode("phrases").alias("phrase_id")), names, "ids")
     near = _ids(_near(postings, counts, phrases, NEAR_TERMS, NEAR_WIDTH).drop("block"), names, "near")
     found = join_on(hits.drop("phrases"), ids, ["doc_id", "key"], "left").withColumn("near", F.lit(None).cast("array<string>"))
@@ -198,4 +198,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rare
     phrases, _ = test_items(benchmark)
     own = documents(docs)
     postings, terms = positional_index(own, phrases)
-    return without(docs, written(_hits(own, phrases, postings, term_counts(postings, terms), window, rarest).select("doc_id", "key")))
+    return without(docs, dense(_hits(own, phrases, postings, term_counts(postings, terms), window, rarest).select("doc_id", "key")))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorespark.llm.common import join_on, written
+from lorespark.llm.common import dense, join_on
 
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3.0, 1.0, 2.0)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,7 +93,7 @@ def tilts(cells: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = 6
         held = held.when(newton <= F.col("low"), (F.col("low") + F.col("high")) / 2).otherwise(newton)
         off = F.abs(F.col("gap")) / F.greatest(F.col("target"), F.lit(1.0))
         moved = F.when(off > tolerance, held).otherwise(F.col("lam"))
-        new = written(sums.select("source", "target", moved.alias("lam"), "low", "high", off.alias("off")))
+        new = dense(sums.select("source", "target", moved.alias("lam"), "low", "high", off.alias("off")))
         left = new.agg(F.max("off")).first()[0]
         lam = new.drop("off")
         if left is None or left <= tolerance:
@@ -112,9 +112,9 @@ def mix(
     taken words are copies whole repeats of the text and its first partial words; at most one document of a source and base
     rate gets a part that is neither nothing nor all. Empty texts take 0. Rows that repeat are documents of their own.
     """
-    rows = written(sizes(docs, prior))
-    cells = written(rows.groupBy("source", "prior").agg(F.sum("size").alias("words")))
-    targets = written(fill_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), share, cap, weights))
+    rows = dense(sizes(docs, prior))
+    cells = dense(rows.groupBy("source", "prior").agg(F.sum("size").alias("words")))
+    targets = dense(fill_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), share, cap, weights))
     lam = tilts(cells, targets, cap)
     plan = join_on(join_on(cells, lam, ["source"]), targets, ["source"])
     plan = plan.withColumn("rate", F.least(F.lit(cap), F.col("prior") * F.exp("lam")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import broadcast_if_small, documents, unused, written
+from lorespark.llm.common import broadcast_if_small, dense, documents, unused
 
 # Fixed values of the contract. Dotted numbers are found as whole runs, which no part of the pattern can match in two ways.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -288,7 +288,7 @@ def detect(docs: DataFrame, most: int = TRAINING_SPANS) -> DataFrame:
     Positions count characters, end exclusive. Spans come by kind (email, ip, card, phone, then secret, tel, mail, date, name,
     address), then start. Null and empty texts have none.
     """
-    rows = written(found(docs))
+    rows = dense(found(docs))
     weights = train(rows, most)
     if weights is None:
         return rows.select("doc_id", "key", "base", F.col("base").alias("spans"))
@@ -330,7 +330,7 @@ def masked(docs: DataFrame) -> DataFrame:
     """
     rows = detect(docs).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])
     doc, key, spans = unused(docs, "doc", "key", "spans")
-    small = broadcast_if_small(written(rows)).withColumnsRenamed({"doc_id": doc, "key": key, "spans": spans})
+    small = broadcast_if_small(dense(rows)).withColumnsRenamed({"doc_id": doc, "key": key, "spans": spans})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
 

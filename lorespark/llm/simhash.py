@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import numbers, runs, values
-from lorespark.llm.common import broadcast_if_small, documents, join_on, join_unique, unused, without, written
+from lorespark.llm.common import broadcast_if_small, dense, documents, join_on, join_unique, unused, without
 from lorespark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -143,7 +143,7 @@ def dealt_out(rows: DataFrame, load: Column) -> DataFrame:
 
     Heavier keys have their rows hashed to blocks of weight a half, and every two blocks meet in a task.
     """
-    large = written(rows.groupBy("part", "code").agg(load.alias("load")).where(F.col("load") > 1))
+    large = dense(rows.groupBy("part", "code").agg(load.alias("load")).where(F.col("load") > 1))
     columns = rows.columns
     rows = join_on(rows, broadcast_if_small(large), ["part", "code"], "left")
     blocks = F.ceil(F.col("load") * 2).cast("int")
@@ -205,17 +205,17 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
     """
     if not 0 <= radius <= 3:
         raise ValueError("block keys find radii up to 3")
-    rows = written(fingerprints(docs, shingle))
+    rows = dense(fingerprints(docs, shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    keyed = written(nodes.select(F.col("fp").alias("node"), "fp", F.inline(block_keys(F.col("fp")))))
+    keyed = dense(nodes.select(F.col("fp").alias("node"), "fp", F.inline(block_keys(F.col("fp")))))
     found = components(compare_by_key(keyed, linked, radius)).withColumnRenamed("node", "fp")
     # only linked fingerprints have a component beside themselves
     roots = found.select("fp", "root").union(found.select(F.col("root").alias("fp"), "root")).distinct()
-    roots = written(join_unique(nodes, roots, "fp"))
+    roots = dense(join_unique(nodes, roots, "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked_to = written(join_unique(roots.select("fp", "root"), written(least), "root").select("fp", "component_id"))
+    linked_to = dense(join_unique(roots.select("fp", "root"), dense(least), "root").select("fp", "component_id"))
     alone = nodes.join(linked_to.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    named = written(linked_to.unionByName(alone))
+    named = dense(linked_to.unionByName(alone))
     return join_unique(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -297,11 +297,11 @@ def other_links(first: DataFrame, sets: Callable[[DataFrame], DataFrame], links:
     Every candidate of another group is compared, within the task of their key; sets gives the shingles of nodes.
     """
     of = first.join(components(links), "node", "left").select("node", "fp", "codes", F.coalesce("root", "node").alias("root"))
-    keyed = written(of.select("*", F.posexplode("codes").alias("part", "code")).withColumn("band", F.xxhash64("part", "code")))
+    keyed = dense(of.select("*", F.posexplode("codes").alias("part", "code")).withColumn("band", F.xxhash64("part", "code")))
     # of two in a key one was the pivot of the other
     mixed = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 and a <> b")
     columns = ["part", "code", "node", "fp", "root", "codes"]
-    rows = join_unique(keyed, written(mixed.select("band")), "band").select(*columns)
+    rows = join_unique(keyed, dense(mixed.select("band")), "band").select(*columns)
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         fp, codes = numbers(batch.column("fp")).view(np.uint64), numbers(batch.column("codes").flatten())
@@ -318,9 +318,9 @@ def other_links(first: DataFrame, sets: Callable[[DataFrame], DataFrame], links:
                 yield batch.select(columns).filter(pa.array(out))
 
     schema = "part int, code long, node long, fp long, root long, codes array<long>"
-    asked = written(dealt_out(written(rows), F.count("*") / rows_at_once).select(*KEYS, *columns[2:]).mapInArrow(ask, schema).distinct())
+    asked = dense(dealt_out(dense(rows), F.count("*") / rows_at_once).select(*KEYS, *columns[2:]).mapInArrow(ask, schema).distinct())
     held = sets(asked.select("node").distinct())
-    rows = written(asked.join(held, "node").select(*columns, "shingles"))
+    rows = dense(asked.join(held, "node").select(*columns, "shingles"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, KEYS):
@@ -350,11 +350,11 @@ def similar_pairs(
     around a pivot are compared with it first; then all candidates that this has left in different groups are compared,
     whatever their pivots. A pair of similarity 0.8 shares a key with probability above 0.999.
     """
-    rows = written(_sketches(docs, shingle, BANDS, BAND_ROWS))
+    rows = dense(_sketches(docs, shingle, BANDS, BAND_ROWS))
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("fp").alias("fp"), F.first("codes").alias("codes"))
-    first = written(first.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "fp", "codes"))
+    first = dense(first.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "fp", "codes"))
     keyed = first.select("node", "fp", F.posexplode("codes").alias("part", "code"))
-    pairs = written(compare_by_key(keyed, around, TEXT_RADIUS, rows_at_once))
+    pairs = dense(compare_by_key(keyed, around, TEXT_RADIUS, rows_at_once))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,14 +362,14 @@ def similar_pairs(
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     def sets(nodes: DataFrame) -> DataFrame:
-        asked = written(first.join(nodes, "node").select("node", "doc_id", "key"))
+        asked = dense(first.join(nodes, "node").select("node", "doc_id", "key"))
         texts = join_on(documents(docs), broadcast_if_small(asked), ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"])
-        return written(texts.mapInArrow(each, "node long, shingles array<long>"))
+        return dense(texts.mapInArrow(each, "node long, shingles array<long>"))
 
     kept = sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
     both = pairs.join(kept.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(kept.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
     common = F.size(F.array_intersect("a", "b"))
-    links = written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+    links = dense(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
     return rows, links.union(other_links(first, sets, links, similarity, rows_at_once, shingles_at_once))
 
 
@@ -381,9 +381,9 @@ def deduplicate(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float
     rows, links = similar_pairs(docs, shingle, similarity)
     found = components(links)
     named = rows.join(found, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")).distinct()
-    named = written(named)
+    named = dense(named)
     least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
-    out = join_unique(named, written(least), "root")
+    out = join_unique(named, dense(least), "root")
     kept = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.key") == F.col("key"))
     return out.select("doc_id", "key", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
@@ -391,10 +391,10 @@ def deduplicate(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near duplicates; all columns stay. Of rows equal in doc_id and text one stays,
     whatever else they hold; a null text is an empty one, and all texts without words are one group."""
-    rows = written(deduplicate(docs))
+    rows = dense(deduplicate(docs))
     kept = without(docs, rows.where("not kept"))
     every = documents(docs).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    twice = written(every.select("doc_id", "key"))
+    twice = dense(every.select("doc_id", "key"))
     if twice.isEmpty():
         return kept
     once = without(kept, twice)

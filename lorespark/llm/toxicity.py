@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrow import values
-from lorespark.llm.common import broadcast_if_small, documents, without, written
+from lorespark.llm.common import broadcast_if_small, dense, documents, without
 
 #: At most about so many labelled documents train the model, with as many terms as they bear out.
 TRAINING_DOCS = 20_000
@@ -50,7 +50,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS
     marks = marks.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     share = min(1.0, most / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return written(documents(docs).select("doc_id", "text").join(broadcast_if_small(marks), "doc_id"))
+    return dense(documents(docs).select("doc_id", "text").join(broadcast_if_small(marks), "doc_id"))
 
 
 def choose_terms(sample: DataFrame) -> list[bytes]:
@@ -81,7 +81,7 @@ def choose_terms(sample: DataFrame) -> list[bytes]:
         F.lit(0.0),
     )
     tied = F.when(x * good > y * bad, F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))).otherwise(0.0)
-    held = written(held.withColumn("z", tied))
+    held = dense(held.withColumn("z", tied))
     if not 0 < bad < n:
         return []
     # only terms in enough texts can reach the floor; the others are no trials of chance
@@ -163,4 +163,4 @@ def grade(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Data
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that grade() rejects; all columns stay."""
-    return without(docs, written(grade(docs, labels).where("rejected").select("doc_id", "key")))
+    return without(docs, dense(grade(docs, labels).where("rejected").select("doc_id", "key")))
