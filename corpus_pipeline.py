@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm import decontamination, mixing, pii, simhash, toxicity
-from lorespark.llm.common import dense, discard
+from lorespark.llm.common import discard, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = dense(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir), "zstd")
         if held is not None:
             discard(held)
         held = docs
