@@ -1,7 +1,10 @@
 """Substring deduplication by sliding spans of consecutive sentences.
 
-A sentence ends after a full stop, question or exclamation mark before a space, or with its line. Every run of SPAN or more
+A sentence ends after a full stop, question or exclamation mark before a space, after such a mark of another script with the
+brackets that close there, at a space of scripts that put none between words, or with its line. Every run of SPAN or more
 consecutive sentences with WORDS words together counts, and a sentence of LONG words alone; a text without either is one span.
+Where words are not told apart by spaces, every HAN letters of Han or kana, or INDIC ones of Thai, Lao, Burmese and Khmer, are
+counted as a word beside those between spaces.
 The shortest runs from and up to every sentence make up all others, so only these are hashed. A sentence goes if it lies in a
 span whose words, lower-cased, make up an earlier span too. Spans are met by 128 bits of their hash.
 """
@@ -26,20 +29,40 @@ from lorespark.llm.repeats import placed, repeated
 
 #: Sentences and words of the shortest spans, and words that make a sentence a span by itself.
 SPAN, WORDS, LONG = 2, 15, 25
+#: Letters that count as a word where no spaces part them.
+HAN, INDIC = 2, 4
 #: What ends a sentence. No part of it can match in two ways, so the time is linear whatever the text.
 END = re.compile(rb"[.!?] +|\n")
+#: The same in all scripts: marks before Han or kana; wide and halfwidth marks and what closes after them; danda, Arabic marks;
+#: spaces after Thai or Lao, Burmese and Khmer letters. UTF-8, of which a first byte never stands inside another letter.
+WIDE_END = re.compile(
+    rb"[.!?](?: +|(?=[\xe3-\xe9]))|\n|(?:\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1)+(?:\xe3\x80[\x8d\x8f]|\xe2\x80[\x99\x9d]|\xef\xbc\x89)* *"
+    rb"|(?:\xe0\xa5[\xa4\xa5]|\xd8\x9f|\xdb\x94) *|(?<=\xe0[\xb8-\xbb][\x80-\xbf]) +|(?<=\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]) +"
+)
+#: First bytes of all that only WIDE_END ends at, and of all letters below.
+WIDE = re.compile(rb"[\xd8\xdb\xe0\xe1\xe3-\xe9\xef\xf0]")
+HAN_LETTER = re.compile(rb"(?:\xe3[\x81-\x83\x90-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xef[\xa4-\xab]|\xf0[\xa0-\xb2][\x80-\xbf])[\x80-\xbf]")
+INDIC_LETTER = re.compile(rb"(?:\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f])[\x80-\xbf]")
 
 
 def sentences(text: bytes) -> list[bytes]:
     """The text in pieces that make it up again."""
-    cuts = [0, *(m.end() for m in END.finditer(text)), len(text)]
+    ends = WIDE_END if WIDE.search(text) else END
+    cuts = [0, *(m.end() for m in ends.finditer(text)), len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
+def size(words: list[bytes], piece: bytes) -> int:
+    """How many words a sentence counts as."""
+    if not WIDE.search(piece):
+        return len(words)
+    return len(words) + len(HAN_LETTER.findall(piece)) // HAN + len(INDIC_LETTER.findall(piece)) // INDIC
+
+
 def spans(text: bytes, span: int = SPAN, least: int = WORDS, long: int = LONG) -> Iterator[tuple[bytes, int, int]]:
     """(16 bytes of hash, first sentence, sentences) of every span; sentences without words belong to none and are passed over."""
-    pieces = [(i, p.lower().split()) for i, p in enumerate(sentences(text))]
-    pieces = [(i, len(w), b" ".join(w)) for i, w in pieces if w]
+    pieces = [(i, p, p.lower().split()) for i, p in enumerate(sentences(text))]
+    pieces = [(i, size(w, p), b" ".join(w)) for i, p, w in pieces if w]
     count = len(pieces)
     until, runs = [0, *accumulate(n for _, n, _ in pieces)], {}
     for at in range(count):
@@ -79,7 +102,8 @@ def deduplicate(docs: DataFrame, span: int = SPAN, least: int = WORDS, long: int
     """One row for each document: doc_id, n_sentences, n_removed, kept_sha256, kept_text.
 
     Null texts are empty. Rows equal in doc_id and text are one document; first is the smallest doc_id (null first), then
-    the smaller hash of the text, then the earlier sentence.
+    the smaller hash of the text, then the earlier sentence. Texts of any length take linear time; an empty table gives none of
+    these rows; other columns of docs, whatever their names, are left out.
     """
     docs = placed(docs)
     gone = written(repeated_spans(docs, span, least, long).groupBy("did", "key").agg(F.collect_list(F.struct("start", "length")).alias("at")))

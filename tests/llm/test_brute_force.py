@@ -54,17 +54,48 @@ def test_suffixes(spark, sf, docs, bits):
     assert got == want
 
 
+def plain_sentences(text):
+    """Letter by letter: marks before spaces or Han, wide marks with brackets, danda and Arabic marks, spaces after Thai or Khmer."""
+    pieces, start, i = [], 0, 0
+    while i < len(text):
+        c, j = text[i], i + 1
+        after = text[j : j + 1]
+        ends = c == "\n" or c in "।॥؟۔" or (c in ".!?" and (after == " " or "\u3000" <= after <= "\u9fff"))
+        if c in "。！．？｡":
+            ends = True
+            while text[j : j + 1] and text[j] in "。！．？｡":
+                j += 1
+            while text[j : j + 1] and text[j] in "」』’”）":
+                j += 1
+        if after == " " and ("\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u10bf" or "\u1780" <= c <= "\u17ff"):
+            ends = True
+        if ends:
+            while c != "\n" and text[j : j + 1] == " ":
+                j += 1
+            pieces.append(text[start:j])
+            start = j
+        i = j
+    return [*pieces, text[start:]] if start < len(text) else pieces
+
+
+def plain_size(piece):
+    han = sum("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\U00020000" <= c <= "\U00032fff" for c in piece)
+    indic = sum("\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u10bf" or "\u1780" <= c <= "\u17ff" for c in piece)
+    return len(piece.split()) + han // 2 + indic // 4
+
+
 def without_repeated_runs(texts):
     """Texts without the sentences of runs of 15 words, of long ones, or of whole short texts, that were there before."""
     seen, kept = set(), []
     for text in texts:
-        pieces = [p for p in re.split(r"(?<=\n)|(?<=[.!?] )(?! )", text) if p]
+        pieces = plain_sentences(text)
         own = [(i, tuple(p.lower().split())) for i, p in enumerate(pieces) if p.split()]
+        sizes = [plain_size(pieces[i]) for i, _ in own]
         gone = set()
         for a in range(len(own)):
             for b in range(a + 1, len(own) + 1):
                 run = tuple(w for _, w in own[a:b])
-                if (b - a >= 2 and sum(map(len, run)) >= 15) or (b - a == 1 and len(run[0]) >= 25) or (a, b) == (0, len(own)):
+                if (b - a >= 2 and sum(sizes[a:b]) >= 15) or (b - a == 1 and sizes[a] >= 25) or (a, b) == (0, len(own)):
                     if run in seen:
                         gone.update(range(own[a][0], own[b - 1][0] + 1))
                     seen.add(run)
@@ -91,10 +122,37 @@ def test_sentences(spark, docs):
     assert "" in want[-17:-6]
 
 
+#: Letters, a sentence's end and the letters of a sentence, in scripts that put no spaces between words.
+SCRIPTS = {
+    "chinese": (range(0x4E00, 0x9F00), "。", 20), "japanese": ([*range(0x3042, 0x3094), *range(0x4E00, 0x5E00)], "。」", 20), "marks": (range(0x4E00, 0x9F00), "!", 20),
+    "rare": (range(0x20000, 0x2A000), "！", 20), "thai": (range(0x0E01, 0x0E2F), " ", 40), "burmese": (range(0x1000, 0x1020), " ", 40),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_sentences_of_scripts_without_spaces(spark, script):
+    letters, end, least = SCRIPTS[script]
+    rng = np.random.default_rng(5)
+
+    def passage(n):
+        return "".join("".join(chr(letters[x]) for x in rng.integers(0, len(letters), rng.integers(least, 2 * least))) + end for _ in range(n))
+
+    shared = [passage(n) for n in (2, 3, 5, 30, 30)]
+    texts = [passage(4) + p + passage(4) for p in shared for _ in range(2)]
+    texts += [passage(1)[: least // 2] + end + passage(2), passage(9), shared[0], shared[3] + "\n" + shared[4], "你好。" + passage(1), "你好。" + passage(1), "यह है। वह है॥ هل؟ نعم۔ x"]
+    rows = sentences.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = [r["kept_text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert kept == without_repeated_runs(texts)
+    assert all(len(kept[i + 1]) <= len(texts[i + 1]) - len(p) + 3 for i, p in zip(range(0, 10, 2), shared)) and kept[12] == kept[13].strip() == ""
+    assert all(kept[i] == texts[i] for i in (0, 2, 4, 6, 8, 10, 11, 14, 15, 16))
+
+
 def test_sentences_take_linear_time():
     text = (b"one" + b"." * 10_000 + b"5 ") * 100 + b"." * 1_000_000 + b" no final mark" + b" " * 100_000
     began = time.time()
     assert b"".join(sentences.sentences(text)) == text and sentences.sentences(b"") == [] and time.time() - began < 1
+    wide = ("。" * 300_000 + "」" * 300_000 + "你!" + "ก" * 100_000 + " " * 100_000).encode()
+    assert b"".join(sentences.sentences(wide)) == wide and time.time() - began < 2
 
 
 def closed(ids, near):
