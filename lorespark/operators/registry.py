@@ -5,23 +5,35 @@ Nulls in key columns match nulls. Of several changes to one key the last in the
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """name, with as many underscores before it as no column of the tables begins with."""
+    while any(c.lower().startswith(name) for t in tables for c in t.columns):
+        name = f"_{name}"
+    return name
+
+
 def latest(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row a key: the first in the given order (give it newest first)."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    return changes.withColumn("_at", F.row_number().over(line)).where("_at = 1").drop("_at")
+    line, at = Window.partitionBy(*keys).orderBy(*order), free("_at", changes)
+    return changes.withColumn(at, F.row_number().over(line)).where(F.col(at) == 1).drop(at)
 
 
-def matched(table: DataFrame, changes: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """table joined with changes, whose columns are named _new_<column>; null keys match."""
-    new = changes.withColumnsRenamed({c: f"_new_{c}" for c in changes.columns})
-    return table.join(new, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys], how)
+def matched(table: DataFrame, changes: DataFrame, keys: Sequence[str], how: str, null_keys: bool = True) -> tuple[DataFrame, Callable[[str], Column]]:
+    """table joined with changes, and what gives a column of changes by its name.
+
+    Null keys match, unless no key is ever null: a plain equality lets a table that is bucketed by its keys stay where it is.
+    """
+    prefix = free("_new_", table)
+    new = changes.withColumnsRenamed({c: f"{prefix}{c}" for c in changes.columns})
+    same = [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) if null_keys else F.col(k) == F.col(f"{prefix}{k}") for k in keys]
+    return table.join(new, same, how), lambda c: F.col(f"{prefix}{c}")
 
 
 def last_of(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
@@ -30,64 +42,62 @@ def last_of(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return latest(changes, keys, [*order, *rest] or [F.lit(1)])
 
 
-def register(table: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str, order: Sequence[Column | str] = ()) -> DataFrame:
+def register(table: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str, order: Sequence[Column | str] = (), null_keys: bool = True) -> DataFrame:
     """New keys are inserted with defaults; of known ones only the stamp is moved. Of a key's rows in new the last in order counts."""
-    new = last_of(new, keys, order)
-    known, fresh = F.col("_old"), F.col("_fresh")
-    old = table.withColumn("_old", F.lit(True))
-    both = matched(old, new.withColumn("fresh", F.lit(True)).withColumnRenamed("fresh", "_fresh"), keys, "full")
-    both = both.withColumnRenamed("_new__fresh", "_fresh")
+    new, (old, fresh) = last_of(new, keys, order), (free("_old", table), free("_fresh", new))
+    both, of_new = matched(table.withColumn(old, F.lit(True)), new.withColumn(fresh, F.lit(True)), keys, "full", null_keys)
     columns = []
     for c in table.columns:
-        given = F.col(f"_new_{c}") if c in new.columns else F.lit(None)
-        kept = F.when(fresh.isNotNull(), F.coalesce(given, F.col(c))).otherwise(F.col(c)) if c == stamp else F.col(c)
-        columns.append(F.when(known.isNotNull(), kept).otherwise(given).alias(c))
+        given = of_new(c) if c in new.columns else F.lit(None)
+        kept = F.when(of_new(fresh).isNotNull(), F.coalesce(given, F.col(c))).otherwise(F.col(c)) if c == stamp else F.col(c)
+        columns.append(F.when(F.col(old).isNotNull(), kept).otherwise(given).alias(c))
     return both.select(*columns)
 
 
 def upsert(
-    table: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: Sequence[Column | str] = (), prune: Sequence[str] = ()
+    table: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: Sequence[Column | str] = (), prune: Sequence[str] = (), null_keys: bool = True
 ) -> DataFrame:
     """New keys are inserted, known ones overwritten but for the columns to keep. Of a key's rows in new the last in order counts.
 
     prune names columns of a source: old rows of a source that new has rows of go if new does not have their key.
     """
-    once = last_of(new, keys, order)
-    both = matched(table.withColumn("_old", F.lit(True)), once.withColumn("_is", F.lit(True)), keys, "full")
+    once, (old, there) = last_of(new, keys, order), (free("_old", table), free("_is", new))
+    both, of_new = matched(table.withColumn(old, F.lit(True)), once.withColumn(there, F.lit(True)), keys, "full", null_keys)
     columns = []
     for c in table.columns:
-        value = F.when(F.col("_new__is").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c))
-        columns.append((F.when(F.col("_old").isNotNull(), F.col(c)).otherwise(F.col(f"_new_{c}")) if c in keep else value).alias(c))
+        value = F.when(of_new(there).isNotNull(), of_new(c)).otherwise(F.col(c))
+        columns.append((F.when(F.col(old).isNotNull(), F.col(c)).otherwise(of_new(c)) if c in keep else value).alias(c))
     if not prune:
         return both.select(*columns)
-    stale = both.select(*columns, F.col("_new__is").isNull().alias("_stale"))
-    sources = new.select(*prune).distinct().withColumn("_is", F.lit(True))
-    return matched(stale, sources, prune, "left").where(~(F.col("_stale") & F.col("_new__is").isNotNull())).select(*table.columns)
+    stale = free("_stale", table)
+    rows = both.select(*columns, of_new(there).isNull().alias(stale))
+    left, again = matched(rows, new.select(*prune).distinct().withColumn(there, F.lit(True)), prune, "left")
+    return left.where(~(F.col(stale) & again(there).isNotNull())).select(*table.columns)
 
 
 def mark(
-    table: DataFrame, changes: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], fill: Sequence[str] = (), order: Sequence[Column | str] = ()
-) -> DataFrame:
+    table: DataFrame, changes: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], fill: Sequence[str] = (), order: Sequence[Column | str] = (),
+    null_keys: bool = True,
+) -> DataFrame:
     """Rows whose key is among the changes get the flags, and the changes' values of ``fill`` unless null or empty.
 
     Of several changes to a key the last in order counts.
     """
-    extra = [c for c in changes.columns if c not in keys and c not in fill]
-    one = last_of(changes.select(*keys, *fill, *extra), keys, order).select(*keys, *fill).withColumn("_is", F.lit(True))
-    both = matched(table, one, keys, "left")
-    hit = F.col("_new__is").isNotNull()
-    out = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in flags.items()}
-    out |= {c: F.coalesce(F.nullif(F.col(f"_new_{c}"), F.lit("")), F.col(c)) for c in fill}
+    extra, there = [c for c in changes.columns if c not in keys and c not in fill], free("_is", changes)
+    one = last_of(changes.select(*keys, *fill, *extra), keys, order).select(*keys, *fill).withColumn(there, F.lit(True))
+    both, of_new = matched(table, one, keys, "left", null_keys)
+    out = {c: F.when(of_new(there).isNotNull(), v).otherwise(F.col(c)) for c, v in flags.items()}
+    out |= {c: F.coalesce(F.nullif(of_new(c), F.lit("")), F.col(c)) for c in fill}
     return both.select(*[out[c].alias(c) if c in out else F.col(c) for c in table.columns])
 
 
-def remove(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return matched(table, gone.select(*keys).distinct(), keys, "left_anti")
+def remove(table: DataFrame, gone: DataFrame, keys: Sequence[str], null_keys: bool = True) -> DataFrame:
+    return matched(table, gone.select(*keys).distinct(), keys, "left_anti", null_keys)[0]
 
 
 def missing(table: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys asked for that the table does not have."""
-    return matched(asked.select(*keys).distinct(), table.select(*keys).distinct(), keys, "left_anti")
+    return matched(asked.select(*keys).distinct(), table.select(*keys).distinct(), keys, "left_anti")[0]
 
 
 def delete_where(table: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
@@ -126,14 +136,15 @@ def flag_set(probes: DataFrame, table: DataFrame, keys: Sequence[str], flag: str
     """probes with ``is_set``: the row exists and its flag is 1."""
     if flag not in allowed:
         raise ValueError(f"no flag {flag}; {', '.join(allowed)}")
-    both = matched(probes, table.select(*keys, flag), keys, "left")
-    return both.select(*probes.columns, (F.coalesce(F.col(f"_new_{flag}"), F.lit(0)) == 1).alias("is_set"))
+    both, of_table = matched(probes, table.select(*keys, flag), keys, "left")
+    return both.select(*probes.columns, (F.coalesce(of_table(flag), F.lit(0)) == 1).alias("is_set"))
 
 
 def put_latest(table: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str) -> DataFrame:
     """One row a key, the newest by stamp of both tables; on equal stamps the new one."""
-    both = table.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return latest(both, keys, [F.col(stamp).desc_nulls_last(), F.desc("_new")]).drop("_new")
+    side = free("_new", table, new)
+    both = table.withColumn(side, F.lit(0)).unionByName(new.withColumn(side, F.lit(1)))
+    return latest(both, keys, [F.col(stamp).desc_nulls_last(), F.desc(side)]).drop(side)
 
 
 def append_stamped(table: DataFrame, new: DataFrame, stamp: str, as_of: Column) -> DataFrame:

@@ -321,6 +321,20 @@ def upsert_keeping_flags(spark, sf):
     return registry.upsert(f, new, ["doc_id"], keep=["embedded"], order=[F.desc("length")])
 
 
+@query(f"""WITH {A.FILES} SELECT doc_id, length + doc_id AS length, CASE WHEN doc_id % 7 = 0 THEN 2 WHEN doc_id % 2 = 0 THEN embedded ELSE 0 END AS embedded
+FROM files WHERE doc_id % 11 <> 0""")
+def bucketed_registry(spark, sf):
+    """An upsert, a mark and a removal, step by step, none of which moves the registry's rows to other buckets."""
+    kept = tables.Registry(tables.shared_folder(spark), ("file_fingerprint",), 16)
+    f = A.files(spark, sf).select("file_fingerprint", "doc_id", "length", "embedded")
+    kept.put(f.where("doc_id % 2 = 0"), 0)
+    new = f.withColumn("length", F.col("length") + F.col("doc_id")).withColumn("embedded", F.lit(0))
+    kept.put(registry.upsert(kept.get(spark), new, ["file_fingerprint"], keep=["embedded"], null_keys=False), 1)
+    done = f.where("doc_id % 7 = 0").select("file_fingerprint")
+    kept.put(registry.mark(kept.get(spark), done, ["file_fingerprint"], {"embedded": F.lit(2)}, null_keys=False), 2)
+    return registry.remove(kept.get(spark), f.where("doc_id % 11 = 0"), ["file_fingerprint"], null_keys=False).select("doc_id", "length", "embedded")
+
+
 @query(f"WITH {A.FILES} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE converted END AS converted, CASE WHEN doc_id % 14 = 0 THEN 'new' ELSE domain END AS domain FROM files")
 def mark_converted(spark, sf):
     f = A.files(spark, sf).select("doc_id", "converted", "domain")
@@ -682,14 +696,26 @@ def note_tables(spark, sf):
     return p.select("page_id", notes.markdown(notes.parsed(document)).alias("markdown"))
 
 
-@query(f"{CACHED} SELECT note_id, content_version, 'Review the note against its sources and its earlier form.' || chr(10) || 'Earlier:' || chr(10) || coalesce(analysis, '') || chr(10) || 'Note:' || chr(10) || coalesce(n.text, '') || chr(10) || 'Sources:' || chr(10) || CASE WHEN c.note_id IS NULL THEN '' ELSE 'source of ' || n.note_id END || chr(10) AS prompt FROM current_notes n LEFT JOIN (SELECT note_id, analysis FROM analysis_cache) c USING (note_id)")
+@query(f"""{CACHED}, {A.VECTORS}, found AS (SELECT CAST(q.vec_id AS VARCHAR) AS note_id, v.chunk_id, v.content, {DISTANCE.replace('q.query_vector', 'q.embedding')} AS distance
+  FROM embeddings q JOIN vectors v ON v.chunk_id // 5 = q.vec_id // 5 AND v.chunk_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+once AS (SELECT *, row_number() OVER (PARTITION BY note_id, sha256(content) ORDER BY distance, chunk_id) AS f FROM found),
+fresh AS (SELECT note_id, string_agg(content, chr(10) || chr(10) ORDER BY distance, chunk_id) AS context FROM once WHERE f = 1 GROUP BY note_id)
+SELECT note_id, content_version, 'Review the note against its sources and its earlier form.' || chr(10) || 'Earlier:' || chr(10) || coalesce(analysis, '') || chr(10) || 'Note:' || chr(10) || coalesce(n.text, '')
+  || chr(10) || 'Sources:' || chr(10) || CASE WHEN c.note_id IS NULL THEN coalesce(context, '') ELSE 'source of ' || n.note_id END || chr(10) AS prompt
+FROM current_notes n LEFT JOIN (SELECT note_id, analysis FROM analysis_cache) c USING (note_id) LEFT JOIN fresh USING (note_id)""")
 def review_prompts(spark, sf):
-    """Notes with a retrieval cache use it; the others have no route here, so their context is empty."""
+    """Notes with a retrieval cache use it. Of the others those of asking vectors are routed to a collection of five, all of which
+    is their context but the vector itself; the rest have none."""
     n, c = A.current_notes(spark, sf), A.analysis_cache(spark, sf)
     archive = c.select("note_id", F.col("content_version"), F.lit(0).alias("chunk_id"), F.col("analysis").alias("content"))
     held = c.select("note_id", "bubble_id", F.lit("d").alias("domain"), F.lit("s").alias("subject"), F.lit(1).cast("long").alias("chunk_id"), F.concat(F.lit("source of "), "note_id").alias("content"))
-    q = A.subqueries(spark, sf).withColumn("note_id", F.lit("no such note")).withColumn("query_pos", F.col("question_id"))
-    return jobs.analyse_notes(n, archive, held, q, A.vectors(spark, sf)).drop("bubble_id")
+
+    def five(rows, vec_id):
+        five_id = F.floor(F.col(vec_id) / 5)
+        return rows.withColumn("domain", F.concat(F.lit("d"), five_id % 3)).withColumn("subject", F.concat(F.lit("s"), five_id))
+
+    q = five(A.subqueries(spark, sf), "query_id").withColumn("note_id", F.col("query_id").cast("string")).withColumn("query_pos", F.col("question_id"))
+    return jobs.analyse_notes(n, archive, held, q, five(A.vectors(spark, sf), "chunk_id")).drop("bubble_id")
 
 
 @query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN 'about ' || source || ' in ' || lang END AS prompt, source, lang FROM documents)

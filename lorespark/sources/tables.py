@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,18 @@ NOTE = "title string, note_id string, bubble_id string, document string, ink str
 BUBBLE = "id string, name string, description string, domains array<string>, user_goals array<string>, created_at timestamp"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which a cluster must name; only a local session may go without."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"{(top or tempfile.mkdtemp(prefix='lorespark-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a Parquet table, read back. Without a folder it goes below spark.checkpoint.dir, which a cluster must name; only a
-    local session may go without."""
+    """df as a Parquet table, read back; in a new shared folder if none is given."""
     spark = df.sparkSession
-    if folder is None:
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if not top and spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir is not set")
-        folder = f"{(top or tempfile.mkdtemp(prefix='lorespark-')).rstrip('/')}/{uuid.uuid4().hex}"
+    folder = shared_folder(spark) if folder is None else folder
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
@@ -138,6 +142,52 @@ def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataF
     return spark.read.parquet(f"{path.rstrip('/')}/after={max(there)}") if there else None
 
 
+@dataclass(frozen=True)
+class Registry:
+    """A registry in a folder, one state for each numbered step, bucketed and sorted by keys that are never null.
+
+    An upsert, mark or removal by these keys (with null_keys=False) shuffles what changes and not the registry: each bucket is
+    read in place, joined, and written as the same bucket of the next state.
+    """
+
+    folder: str
+    keys: tuple[str, ...]
+    buckets: int
+
+    def put(self, table: DataFrame, number: int) -> None:
+        """The state after a numbered step, in the place of an earlier try of it; states before the last two are deleted.
+
+        A null key fails the write, which leaves no complete state.
+        """
+        spark, name = table.sparkSession, f"registry_{uuid.uuid4().hex}"
+        checked = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null")).cast(t)).otherwise(F.col(c)).alias(c) if c in self.keys else F.col(c) for c, t in table.dtypes]
+        where = f"{self.folder.rstrip('/')}/after={number}"
+        # of a bucketed registry's own upsert rows lie in their buckets already; the others come one file a bucket this way
+        writer = table.select(*checked).write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", where)
+        try:
+            writer.mode("overwrite").saveAsTable(name)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # the folder stays, as it was named
+        fs, there = _snapshots(spark, self.folder)
+        for old in [n for n in there if n < number - 1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder.rstrip('/')}/after={old}"), True)
+
+    def get(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The last complete state, or the last from a step below ``before``; None if there is none."""
+        there = [n for n in _snapshots(spark, self.folder)[1] if before is None or n < before]
+        if not there:
+            return None
+        where, name = f"{self.folder.rstrip('/')}/after={max(there)}", f"registry_{uuid.uuid4().hex}"
+        quoted = {c: "`" + c.replace("`", "``") + "`" for c in spark.read.parquet(where).columns}
+        schema = ", ".join(f"{quoted[f.name]} {f.dataType.simpleString()}" for f in spark.read.parquet(where).schema.fields)
+        keys = ", ".join(quoted[k] for k in self.keys)
+        place = where.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        rows = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # rows has found its files and buckets
+        return rows
+
+
 def _snapshots(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

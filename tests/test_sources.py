@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.operators import analysis, chunking, retrieval, stats
+from lorespark.operators import analysis, chunking, registry, retrieval, stats
 from lorespark.plans import jobs
 from lorespark.sources import tables
 from lorespark.streaming import feeds
@@ -195,3 +195,43 @@ def test_analyses_are_kept(spark, tmp_path):
 def test_completions(spark):
     rows = analysis.complete(spark.createDataFrame([("a",)], "prompt string"), "prompt", lambda s: s + "!")
     assert rows.first()["output"] == "a!"
+
+
+def test_changes_of_a_bucketed_registry_shuffle_the_changes_alone(spark, tmp_path):
+    kept = tables.Registry(str(tmp_path / "it's a registry"), ("a", "b"), 6)
+    assert kept.get(spark) is None
+    table = spark.range(300).selectExpr("cast(id as string) a", "id % 3 b", "0 as flag", "id as v")
+    new = spark.range(200, 500).selectExpr("cast(id as string) a", "id % 3 b", "1 as flag", "id * 2 as v")
+    kept.put(table, 0)
+    steps = [
+        lambda t, **o: registry.upsert(t, new, ["a", "b"], keep=["flag"], **o), lambda t, **o: registry.mark(t, new.where("v > 900"), ["a", "b"], {"flag": F.lit(7)}, **o),
+        lambda t, **o: registry.register(t, new, ["a", "b"], "v", **o), lambda t, **o: registry.remove(t, table.where("b = 1"), ["a", "b"], **o),
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for number, step in enumerate(steps, 1):
+            want = sorted(map(tuple, step(kept.get(spark)).collect()))
+            out = step(kept.get(spark), null_keys=False)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            of_registry, of_changes = plan.split("Join")[1].split("Exchange")[0], plan.split("Join")[1]
+            assert "Bucketed: true" in of_registry and "Exchange" in of_changes, plan
+            kept.put(out, number)
+            assert sorted(map(tuple, kept.get(spark).collect())) == want
+            assert len(list((tmp_path / "it's a registry" / f"after={number}").glob("*.parquet"))) == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(Exception, match="a is null"):
+        kept.put(table.withColumn("a", F.expr("nullif(a, '5')")), 5)
+    assert sorted(map(tuple, kept.get(spark).collect())) == want  # what failed is not seen, and comes again
+    kept.put(table, 5)
+    assert kept.get(spark).count() == 300 and kept.get(spark, 5).count() == len(want) and not spark.catalog.listTables()
+
+
+def test_no_name_of_a_column_is_reserved(spark):
+    table = spark.createDataFrame([(1, 1, 1, 1, 1, 1), (2, 2, 2, 2, 2, 2)], "k int, _at int, _old int, _is int, _new_k int, _stale int")
+    new = spark.createDataFrame([(2, 5, 5, 5, 5, 5), (3, 6, 6, 6, 6, 6)], table.schema)
+    one, two, five, six = (tuple([x] * 6) for x in (1, 2, 5, 6))
+    assert sorted(map(tuple, registry.upsert(table, new, ["k"], prune=["k"]).collect())) == [one, (2, *five[1:]), (3, *six[1:])]
+    assert sorted(map(tuple, registry.register(table, new, ["k"], "_at").collect())) == [one, (2, 5, *two[2:]), (3, *six[1:])]
+    assert sorted(map(tuple, registry.mark(table, new, ["k"], {"_is": F.lit(9)}).collect())) == [one, (2, 2, 2, 9, 2, 2)]
+    assert registry.put_latest(table.withColumn("_new", F.lit(1)), new.withColumn("_new", F.lit(2)), ["k"], "_at").count() == 3
