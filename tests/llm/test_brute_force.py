@@ -291,6 +291,51 @@ def test_language_model(spark, sf, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("lookup", [400, 10**6])
+def test_language_model_scores(spark, sf, docs, lookup):
+    """Scores by hand from the classes of the words: transitions, emissions, and a class for what training has not seen, whose
+    neighbours are those that words seen once have among the frequent ones."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    of = {r["word"].encode(): r["class"] for r in brown.word_classes(d, 60, 8, lookup).collect()} | {None: brown.END}
+    lines = {i: [None, *brown.words(t.encode()), None] for i, t in docs.items()}
+    train = [x for i, x in lines.items() if zlib.crc32(str(i).encode()) % 10]
+    n = Counter(w for x in train for w in x[1:])
+    joint = Counter((of[a], of[b]) for x in train for a, b in zip(x, x[1:]))
+    frequent = {None, *sorted((w for w in n if w and n[w] > 1), key=lambda w: (-n[w], w))[:lookup]}
+    for a, b in (p for x in train for p in zip(x, x[1:])):
+        joint[brown.RARE, of[b]] += n[a] == 1 and a is not None and b in frequent
+        joint[of[a], brown.RARE] += n[b] == 1 and b is not None and a in frequent
+    held, kinds, after = Counter(), Counter(of[w] for w in n), Counter()
+    for w, c in n.items():
+        held[of[w]] += c
+    held[brown.RARE], kinds[brown.RARE] = sum(c == 1 for c in n.values()), 1
+    for (a, _), c in joint.items():
+        after[a] += c
+    total, every = 8 + brown.RARE + 1, sum(held.values())
+
+    def token(a, b):
+        k, l = of.get(a, brown.RARE), of.get(b, brown.RARE)
+        step = (joint[k, l] + brown.BETA * (held[l] + brown.ALPHA) / (every + brown.ALPHA * total)) / (after[k] + brown.BETA)
+        return np.log10(step) + (np.log10((n[b] + brown.ALPHA) / (held[l] + brown.ALPHA * kinds[l])) if b in n else 0.0)
+
+    for r in brown.score(d, head=60, classes=8, lookup=lookup).collect():
+        x = lines[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(token(a, b) for a, b in zip(x, x[1:])))
+
+
+def test_classes_make_up_for_much_of_the_gain(spark):
+    """With one class only the mass of unknown words and the smoothing differ from the base; clustering must gain beyond that."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def held_out(classes):
+        rows = brown.score(d, classes=classes).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        return rows[0] / rows[2], rows[1] / rows[2]
+
+    (one, base), (many, _) = held_out(1), held_out(brown.CLASSES)
+    print({"base": 10**-base, "one class": 10**-one, "classes": 10**-many})
+    assert many > one + 0.2 and one > base
+
+
 def test_rare_words_find_their_counts(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     a = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in brown.score(d, head=50, lookup=100).collect()}
