@@ -446,6 +446,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
 
     Scores are log10 probabilities; tokens are a text's words and its end. Null texts are empty; repeated rows count and score as
     often as they stand there. Without any training document all counts are 0 and scores are those of an empty model.
+    Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     model, texts = train(marked(docs), head, classes, lookup)
     joint, held, total = model.joint, model.held, len(model.held)

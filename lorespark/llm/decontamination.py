@@ -164,7 +164,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
 
     A word is hit if it lies in any occurrence of an item's window. No hits: 0, 0, the hash of an empty string, false. n_near
     counts the items whose rarest terms stand near one another (proximity_matches). Null and empty texts have no words; repeated
-    rows have a row each, with equal results.
+    rows have a row each, with equal results. Without any item nothing is hit.
+    Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     docs = documents(docs)
     phrases, names = test_items(benchmark)

@@ -110,7 +110,9 @@ def mix(
     """One row for each document: doc_id, size, source_size, target, taken, rate, copies, partial.
 
     taken words are copies whole repeats of the text and its first partial words; at most one document of a source and base
-    rate gets a part that is neither nothing nor all. Empty texts take 0. Rows that repeat are documents of their own.
+    rate gets a part that is neither nothing nor all. Empty texts take 0. Rows that repeat are documents of their own;
+    of equal tickets the smaller doc_id, then the smaller size, comes first.
+    Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     rows = dense(sizes(docs, prior))
     cells = dense(rows.groupBy("source", "prior").agg(F.sum("size").alias("words")))

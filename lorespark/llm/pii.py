@@ -313,6 +313,7 @@ def report(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), n_added, base_sha256, spans.
 
     Null and empty texts have no spans. Repeated rows have a row each, with equal results.
+    Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     rows = detect(docs)
 

@@ -202,6 +202,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
 
     Equal fingerprints are one node, compared once. Null ids count for nothing; a component of null ids has a null id.
     The keys find every pair of at most 3 differing bits, so radius is at most 3.
+    Null and empty texts have the fingerprint zero. Repeated rows have a row each.
+    Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     if not 0 <= radius <= 3:
         raise ValueError("block keys find radii up to 3")

@@ -326,6 +326,7 @@ def deduplicate(docs: DataFrame, bits: int = 64) -> DataFrame:
 
     A null text is empty. Rows equal in doc_id and text are one document and none repeats another; rows of one doc_id with
     different texts follow one another in the order of the texts' hashes; a null doc_id comes before all others.
+    Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     docs = placed(docs)
     spans = broadcast_if_small(repeated_stretches(docs, bits))

@@ -146,6 +146,7 @@ def grade(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Data
 
     expected_severity sums the chances of exceeding each threshold; grade is the likeliest. Null and empty texts have no term, and
     the grade of such texts. Repeated rows have a row each, with equal results.
+    Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     weights, theta = train(docs, labels, most)
 

@@ -124,7 +124,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple
     labelled: (url, label 1.0 block or 0.0 allow). Without it, the URLs that rules decide are the labelled ones, so the trees
     carry the rules' judgement over to URLs that look alike. block_score is the trees' probability; null where there are none,
     and then what no rule decides is allowed. Null or malformed URLs have an empty host and path and are judged like others;
-    repeated rows have a row each, with equal results.
+    repeated rows have a row each, with equal results. URLs of any length are read whole; an empty table gives no rows; other
+    columns, whatever their names, are left out.
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = lexical(urls).withColumn("by_rule", ruled(F.col("host"), F.col("path"), rules))

@@ -69,6 +69,16 @@ def test_mixing_meets_targets(odd_docs):
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in prior)
 
 
+def test_mixing_of_ties(spark):
+    rows = [(1, "five words in each text", "a")] * 30 + [(2, "two words", "a")] * 7 + [(None, "not two words", "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(((r["doc_id"], r["taken"]) for r in mixing.mix(d).collect()), key=str) for d in (docs, docs.orderBy(F.rand(3))))
+    assert a == b and Counter(i for i, _ in a) == {1: 30, 2: 7, None: 5}
+    for source, ids in (("a", (1, 2)), ("b", (None,))):
+        target = mixing.mix(docs).where(F.col("doc_id").eqNullSafe(ids[0])).first()["target"]
+        assert sum(t for i, t in a if i in ids) == pytest.approx(target, abs=2), source
+
+
 def test_repeats(odd_docs):
     rows = suffixes.deduplicate(odd_docs).collect()
     by_id = {i: [r for r in rows if r["doc_id"] == i] for i in (1, 2, 3, 7, None)}
