@@ -52,17 +52,16 @@ def sentences(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def size(words: list[bytes], piece: bytes) -> int:
-    """How many words a sentence counts as."""
-    if not WIDE.search(piece):
-        return len(words)
-    return len(words) + len(HAN_LETTER.findall(piece)) // HAN + len(INDIC_LETTER.findall(piece)) // INDIC
+def unspaced(piece: bytes) -> int:
+    """How many words a sentence counts as beside those between spaces."""
+    return len(HAN_LETTER.findall(piece)) // HAN + len(INDIC_LETTER.findall(piece)) // INDIC
 
 
 def spans(text: bytes, span: int = SPAN, least: int = WORDS, long: int = LONG) -> Iterator[tuple[bytes, int, int]]:
     """(16 bytes of hash, first sentence, sentences) of every span; sentences without words belong to none and are passed over."""
     pieces = [(i, p, p.lower().split()) for i, p in enumerate(sentences(text))]
-    pieces = [(i, size(w, p), b" ".join(w)) for i, p, w in pieces if w]
+    wide = WIDE.search(text)
+    pieces = [(i, len(w) + (unspaced(p) if wide else 0), b" ".join(w)) for i, p, w in pieces if w]
     count = len(pieces)
     until, runs = [0, *accumulate(n for _, n, _ in pieces)], {}
     for at in range(count):
