@@ -12,22 +12,24 @@ The gain of a word outside the head is that of the exchange to first order in th
 class's. A text's probability is the product of class transitions, from the end of the text before, and of word emissions;
 unknown words are one word in a class of their own, whose transitions are those of the words that training texts hold once.
 
-Texts become numbers once: all later passes read these. Words beyond LOOKUP stay strings and meet their classes by joins.
+Texts become numbers once: all later passes read these. Words beyond LOOKUP stay strings: their occurrences in training texts
+are shuffled by word once, where the word is placed, and go back to their texts with its class; those of held-out texts meet
+theirs by a join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrow import numbers, packed, runs, unpacked, values
+from lorespark.llm.arrow import join, numbers, packed, runs, unpacked
 from lorespark.llm.common import discard, documents, written
 from lorespark.llm.repeats import differs
 
@@ -39,6 +41,8 @@ ALPHA, BETA = 0.1, 2.0
 END, RARE = 0, 1
 #: A frequent word's neighbours are dealt to a salt for every so many of them.
 WORD_ROWS = 4_000_000
+#: Texts are split together up to so many bytes, and a word's counts in a task meet up to so many words.
+PIECE_BYTES, COUNTED_WORDS = 32 << 20, 600_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -51,48 +55,72 @@ def marked(docs: DataFrame) -> DataFrame:
     return documents(docs).select("doc_id", "text", (F.crc32(name) % 10 == 0).alias("held_out"))
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most PIECE_BYTES of text, or one text more."""
+    ends = np.cumsum(numbers(pc.fill_null(pc.binary_length(batch.column("text")), 0)), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.maximum(ends - 1, 0) // PIECE_BYTES)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words end to end, how many each text has): words() of many texts at once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text.cast(pa.string()), "")))
+    found, many = lists.flatten(), numbers(lists.value_lengths()).astype(np.int64)
+    full = pc.not_equal(found, "")  # white space at either end leaves an empty word
+    return found.filter(full), np.bincount(np.repeat(np.arange(len(many)), many)[numbers(full)], minlength=len(many))
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all texts; written."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+    def summed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        if len(held) < 2:
+            return held
+        sums = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table([sums["word"], sums["n_sum"]], names=["word", "n"]).to_batches()
 
-        found: Counter[bytes] = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for text in values(batch.column("text")):
-                found.update(words(text))
-                if len(found) > 300_000:
-                    yield out()
-                    found = Counter()
-        if found:
-            yield out()
+            for piece in pieces(batch):
+                found = split(piece.column("text"))[0].value_counts()
+                held.append(pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"]))
+                if sum(len(x) for x in held) > COUNTED_WORDS:
+                    yield from summed(held)
+                    held = []
+        yield from summed(held)
 
     return written(train.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def coded(rows: DataFrame, index: dict[bytes, int]) -> DataFrame:
-    """(row, doc_id, held_out, ids, rare): each text's words as codes of index, RARE for others, and END; rare has those others. Written."""
-    sent = rows.sparkSession.sparkContext.broadcast(index)
+    """(row, doc_id, held_out, ids, rare): each text's words as codes of index, RARE for others, and END; rare has those others,
+    a space between them. Written."""
+    sent = rows.sparkSession.sparkContext.broadcast(pa.array(list(index), pa.binary()).cast(pa.string()))  # in the order of codes
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = sent.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            parts, rare, cuts = [np.zeros(0, np.int32)], [], [0]
-            for text in values(batch.column("text")):
-                own = words(text)
-                found = [known.get(w, RARE) for w in own]
-                rare += [w for w, x in zip(own, found) if x == RARE]
-                found.append(END)
-                parts.append(np.array(found, np.int32))
-                cuts.append(len(rare))
-            lists = [packed(np.concatenate(parts), np.cumsum([len(x) for x in parts]))]
-            lists.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())))
-            number = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([number, batch.column("doc_id"), batch.column("held_out"), *lists], names=["row", "doc_id", "held_out", "ids", "rare"])
-
-    return written(rows.mapInArrow(each, "row long, doc_id long, held_out boolean, ids binary, rare array<string>"), "zstd")
+            for piece in pieces(batch):
+                found, many = split(piece.column("text"))
+                code = pc.index_in(found, value_set=known)
+                of, ends = np.repeat(np.arange(len(many)), many), np.cumsum(many + 1)
+                flat = np.full(len(found) + len(many), END, np.int32)
+                flat[np.arange(len(found)) + of] = np.where(numbers(code.is_null()), RARE, numbers(pc.fill_null(code, 0)) + RARE + 1)
+                cuts = np.cumsum(np.bincount(of[numbers(code.is_null())], minlength=len(many)))
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, cuts), pa.int32()), found.filter(code.is_null()))
+                number = pa.array(np.arange(row, row + len(many), dtype=np.int64))
+                row += len(many)
+                lists = [packed(flat, np.append(0, ends)), pc.binary_join(rare, " ")]
+                yield pa.RecordBatch.from_arrays([number, piece.column("doc_id"), piece.column("held_out"), *lists], names=["row", "doc_id", "held_out", "ids", "rare"])
+
+    return written(rows.mapInArrow(each, "row long, doc_id long, held_out boolean, ids binary, rare string"), "zstd")
+
+
+def rare_words(batch: pa.RecordBatch) -> pa.Array:
+    """The rare words of a batch's texts end to end."""
+    own = batch.column("rare").cast(pa.string())
+    return pc.split_pattern(own.filter(pc.not_equal(own, "")), " ").flatten()
 
 
 def line(batch: pa.RecordBatch) -> np.ndarray:
@@ -100,16 +128,18 @@ def line(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([[END], unpacked(batch.column("ids"))[0]])
 
 
-def bigrams(texts: DataFrame, unit: np.ndarray, units: int) -> np.ndarray:
-    """Counts of neighbouring units over all texts; unit gives that of each code."""
+def bigrams(texts: DataFrame, unit: np.ndarray, units: int, least: int = 0) -> np.ndarray:
+    """Counts of neighbouring units over all texts, of pairs with a code from ``least`` on; unit gives that of each code."""
     sent = texts.sparkSession.sparkContext.broadcast(unit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(units * units, np.int64)
         for batch in batches:
             if batch.num_rows:
-                x = sent.value[line(batch)]
-                table += np.bincount(x[:-1] * units + x[1:], minlength=units * units)
+                x = line(batch)
+                u, of = sent.value[x], x >= least
+                pair = (u[:-1] * units + u[1:])[of[:-1] | of[1:]]
+                table += np.bincount(pair, minlength=units * units)
         code = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(table[code])], names=["code", "n"])
 
@@ -193,9 +223,10 @@ def best(nxt: np.ndarray, prv: np.ndarray, now: np.ndarray, joint: np.ndarray, s
 
 
 def neighbours(texts: DataFrame, n: np.ndarray, least: int, word_rows: int = WORD_ROWS) -> DataFrame:
-    """(word, codes) of frequent words from code ``least`` on: twice the code of each next word, and one more for words before.
+    """(words, many, codes) of frequent words from code ``least`` on, a row for a block of words: how many codes each has, and those
+    of its neighbours, twice the code of each next word and one more for words before. Written.
 
-    In parts of a word's rows, sorted by word; all parts of a word lie in one partition, unless it has over word_rows. Written.
+    A word lies in one block, unless it has over word_rows.
     """
     flush_at, sent = 1_000_000, texts.sparkSession.sparkContext.broadcast(1 + n // word_rows)
 
@@ -222,8 +253,16 @@ def neighbours(texts: DataFrame, n: np.ndarray, least: int, word_rows: int = WOR
         if held:
             yield out()
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, ["word"]):
+            word, (codes, many) = numbers(batch.column("word")), unpacked(batch.column("codes"))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            lists = [packed(x, np.array([0, len(x)])) for x in (word[first], np.add.reduceat(many, first), codes)]
+            yield pa.RecordBatch.from_arrays(lists, names=["words", "many", "codes"])
+
     rows = texts.select("ids").mapInArrow(each, "word int, salt int, codes binary")
-    return written(rows.repartition("word", "salt").sortWithinPartitions("word").drop("salt"), "zstd")
+    rows = rows.repartition("word", "salt").sortWithinPartitions("word").drop("salt")
+    return written(rows.mapInArrow(blocks, "words binary, many binary, codes binary"), "zstd")
 
 
 def sweep(
@@ -234,6 +273,10 @@ def sweep(
     sent = beside.sparkSession.sparkContext.broadcast((of, n, joint, size))
     names = ["code", "value", "profile"]
 
+    def blocks(column: pa.Array) -> list[np.ndarray]:
+        flat, many = unpacked(column)
+        return np.split(flat, np.cumsum(many)[:-1])
+
     def chosen(word: np.ndarray, profile: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
         of, _, joint, size = sent.value
         nxt, first, second = profile[:, 0], profile[:, 1], profile[:, 2]
@@ -248,14 +291,11 @@ def sweep(
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, n, table = sent.value[0], sent.value[1], np.zeros((total, total))
-        for batch in runs(batches, ["word"]):
-            word, at = np.unique(numbers(batch.column("word")), return_inverse=True)
-            codes, many = unpacked(batch.column("codes"))
-            at = np.repeat(at, many)
-            other = codes >> 1
-            # next ones, then those before that are frequent only as neighbours, then others
-            part = (codes & 1) * np.where(other >= least, 2, 1)
-            profile = np.bincount((at * 3 + part) * total + of[other], minlength=len(word) * 3 * total).reshape(-1, 3, total)
+        # next ones, then those before that are frequent only as neighbours, then others
+        part = np.stack([of, of + np.where(np.arange(len(of)) >= least, 2, 1) * total], axis=1).reshape(-1)
+        for word, many, codes in (x for batch in batches for x in zip(*(blocks(batch.column(c)) for c in ("words", "many", "codes")))):
+            at = np.repeat(np.arange(len(word)) * 3 * total, many)
+            profile = np.bincount(at + part[codes], minlength=len(word) * 3 * total).reshape(-1, 3, total)
             whole = n[word] < word_rows
             yield chosen(word[whole], profile[whole].astype(float), table)
             if not whole.all():  # other partitions have more of these
@@ -301,17 +341,20 @@ def cluster(texts: DataFrame, n: np.ndarray, head: int, classes: int, settled: f
     of[END] = END
     of[RARE + 1 : least] = RARE + 1 + np.arange(least - RARE - 1) % classes
     beside, reached = neighbours(texts, n, least, word_rows) if least < len(n) else None, -np.inf
+    units, heads = total + least - RARE, None
     while True:
         # units: the end, rare words, later words of each class and those that have none yet; then each head word
         later = np.where(of[least:] > RARE, of[least:], total)
-        table = bigrams(texts, np.concatenate([[END, RARE], total + 1 + np.arange(least - RARE - 1), later]), total + least - RARE)
+        unit = np.concatenate([[END, RARE], total + 1 + np.arange(least - RARE - 1), later])
+        table = bigrams(texts, unit, units) if heads is None else heads + bigrams(texts, unit, units, least)
         own = np.concatenate([np.arange(total), of[RARE:least]])
         own[total] = RARE
         exchange(table, own, total, total + 1)
         of[RARE + 1 : least] = own[total + 1 :]
         joint = by_class(table, own, total)
         table[RARE + 1 : total + 1] = table[:, RARE + 1 : total + 1] = 0  # sweeps count the pairs with later words
-        fixed = by_class(table, own, total)
+        heads = table  # the same in all rounds
+        fixed = by_class(heads, own, total)
         now = likelihood(joint)
         if beside is None or ((later < total).all() and now <= reached + settled):
             if beside is not None:
@@ -326,74 +369,115 @@ def cluster(texts: DataFrame, n: np.ndarray, head: int, classes: int, settled: f
 
 
 def occurrences(texts: DataFrame, of: np.ndarray, total: int) -> DataFrame:
-    """(word, code, after) of every rare word in the texts: total times the class before and the class after it, and the next word if it is rare too."""
+    """(word, row, at) of every rare word in the texts: its place in the text times total squared, and total times the class
+    before and the class after it; RARE is that of rare words only."""
     sent = texts.sparkSession.sparkContext.broadcast(of)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, word = line(batch), batch.column("rare").flatten()
+            if not batch.num_rows:
+                continue
+            x, size = line(batch), unpacked(batch.column("ids"))[1]
             at, of = np.flatnonzero(x == RARE), sent.value[x]
             if len(at):
-                after = np.where(x[at + 1] == RARE, np.arange(1, len(at) + 1), len(at))
-                after = word.take(pa.array(after, mask=after == len(at)))
-                yield pa.RecordBatch.from_arrays([word, pa.array((of[at - 1] * total + of[at + 1]).astype(np.int32)), after], names=["word", "code", "after"])
+                text = np.repeat(np.arange(batch.num_rows), size)[at - 1]
+                pos = at - 1 - (np.cumsum(size) - size)[text]
+                place = (pos * total + of[at - 1]) * total + of[at + 1]
+                yield pa.RecordBatch.from_arrays([rare_words(batch), pa.array(numbers(batch.column("row"))[text]), pa.array(place)], names=["word", "row", "at"])
+
+    return texts.select("row", "ids", "rare").mapInArrow(each, "word string, row long, at long")
 
-    return texts.select("ids", "rare").mapInArrow(each, "word string, code int, after string")
 
+def place(found: DataFrame, joint: np.ndarray) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(word, n, class) of rare words, each in its best class; (row, at, n, class) of their occurrences; and counts of neighbouring
+    classes, of which rare words are one; those in RARE's row and column are those of the words that occur once.
 
-def place(found: DataFrame, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(word, n, class) of rare words, each in its best class, and counts of neighbouring classes, of which rare words are one or
-    both; those in RARE's row and column are those of the words that occur once."""
+    A task holds the occurrences of one word: rare ones have fewer than LOOKUP others, or occur once.
+    """
     total, size = len(joint), joint.sum(axis=1)
     sent = found.sparkSession.sparkContext.broadcast(joint)
+    schema = "word string, n long, class int, row long, at long"
+    kinds = {"word": pa.string(), "n": pa.int64(), "class": pa.int32(), "row": pa.int64(), "at": pa.int64()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = np.zeros((total, total)), None
+        table, held = np.zeros((total, total)), []
 
-        def out(word: pa.Array, profile: np.ndarray) -> pa.RecordBatch:
+        def out(many: int, **columns) -> pa.RecordBatch:
+            rows = [columns[c] if c in columns else pa.nulls(many, t) for c, t in kinds.items()]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds.values())], names=list(kinds))
+
+        def placed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            new, at = differs(batch.column("word")), numbers(batch.column("at"))
+            of, first, sides = np.cumsum(new) - 1, np.flatnonzero(new), at % (total * total)
+            profile = np.bincount(np.concatenate([of * 2 * total + sides // total, (of * 2 + 1) * total + sides % total]), minlength=len(first) * 2 * total)
+            profile = profile.reshape(-1, 2, total).astype(float)
             prv, nxt = profile[:, 0], profile[:, 1]
-            n = nxt.sum(axis=1)
-            of = best(nxt, prv, np.full(len(n), RARE), sent.value, size)
+            n = np.diff(first, append=len(at))
+            own = best(nxt, prv, np.full(len(n), RARE), sent.value, size)
             prv[:, RARE] = nxt[:, RARE] = 0  # rare on both sides: counted apart
-            np.add.at(table, of, nxt)
-            np.add.at(table.T, of, prv)
+            np.add.at(table, own, nxt)
+            np.add.at(table.T, own, prv)
             table[RARE] += nxt[n == 1].sum(axis=0)
             table[:, RARE] += prv[n == 1].sum(axis=0)
-            return pa.RecordBatch.from_arrays([word, pa.array(n.astype(np.int64)), pa.array(of.astype(np.int32))], names=["word", "n", "class"])
+            yield out(len(n), word=batch.column("word").take(pa.array(first)), n=n, **{"class": own})
+            yield out(len(at), n=n[of], row=batch.column("row"), at=batch.column("at"), **{"class": own[of]})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, code = batch.column("word"), numbers(batch.column("code"))
-            new = differs(word)
-            at, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            profile = np.bincount(np.concatenate([at * 2 * total + code // total, (at * 2 + 1) * total + code % total]), minlength=len(first) * 2 * total)
-            profile = profile.reshape(-1, 2, total).astype(float)
-            if held is not None:
-                if held[0][0] == word[0]:
-                    profile[0] += held[1][0]
-                else:
-                    yield out(*held)
-            if len(first) > 1:
-                yield out(word.take(pa.array(first[:-1])), profile[:-1])
-            held = word.slice(int(first[-1]), 1), profile[-1:]  # may go on in the next batch
-        if held is not None:
-            yield out(*held)
+            word = batch.column("word")
+            if held and held[-1].column("word")[0] != word[0]:
+                yield from placed(join(held))
+                held = []
+            cut = int(np.flatnonzero(differs(word))[-1])  # the last word may go on in the next batch
+            if cut:
+                yield from placed(join([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from placed(join(held))
         code = np.flatnonzero(table)
-        none = pa.array([None] * len(code), pa.string())
-        yield pa.RecordBatch.from_arrays([none, pa.array(table.reshape(-1)[code].astype(np.int64)), pa.array(code.astype(np.int32))], names=["word", "n", "class"])
+        yield out(len(code), n=table.reshape(-1)[code].astype(np.int64), **{"class": code})
 
-    rows = found.select("word", "code").repartition("word").sortWithinPartitions("word").mapInArrow(each, "word string, n long, class int")
-    rows = written(rows)
-    placed, pairs = rows.where("word is not null"), np.zeros(total * total)
-    for r in rows.where("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect():
+    rows = written(found.repartition("word").sortWithinPartitions("word").mapInArrow(each, schema), "zstd")
+    pairs = np.zeros(total * total)
+    for r in rows.where("word is null and row is null").groupBy("class").agg(F.sum("n").alias("n")).collect():
         pairs[r["class"]] = r["n"]
-    of = placed.select("word", "class")
-    both = found.where("after is not null").select("word", "after").join(of.withColumnRenamed("class", "a"), "word")
-    both = both.join(of.withColumnsRenamed({"word": "after", "class": "b"}), "after")
-    for r in both.groupBy("a", "b").count().collect():
-        pairs[r["a"] * total + r["b"]] += r["count"]
-    return placed, pairs.reshape(total, total)
+    return rows.where("word is not null").select("word", "n", "class"), rows.where("row is not null").select("row", "at", "n", "class"), pairs.reshape(total, total)
+
+
+def by_text(trained: DataFrame, others: DataFrame, total: int) -> DataFrame:
+    """(row, held_out, sides, class, n) of each text with rare words, those in order: total times the class before and the class
+    after each, its own, and its count. trained and others, held out, have (row, at, n, class) of rare words. Written."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, ["row"]):
+            first = np.flatnonzero(np.diff(numbers(batch.column("row")), prepend=-1))
+            sides, ends = numbers(batch.column("at")) % (total * total), np.append(first, batch.num_rows)
+            lists = [packed(x, ends) for x in (sides, numbers(batch.column("class")), numbers(batch.column("n")))]
+            own = [batch.column(c).take(pa.array(first)) for c in ("row", "held_out")]
+            yield pa.RecordBatch.from_arrays([*own, *lists], names=["row", "held_out", "sides", "class", "n"])
+
+    rows = trained.withColumn("held_out", F.lit(False)).union(others.withColumn("held_out", F.lit(True)))
+    rows = rows.repartition("row").sortWithinPartitions("row", "at")
+    return written(rows.mapInArrow(each, "row long, held_out boolean, sides binary, class binary, n binary"), "zstd")
+
+
+def rare_pairs(rare: DataFrame, total: int) -> np.ndarray:
+    """Counts of neighbouring classes of words that are both rare, in texts of by_text() that are not held out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(total * total, np.int64)
+        for batch in batches:
+            k, at = unpacked(batch.column("class"))[0], np.flatnonzero(unpacked(batch.column("sides"))[0] % total == RARE)
+            table += np.bincount(k[at] * total + k[at + 1], minlength=len(table))  # the rare word after one comes next
+        code = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(table[code])], names=["code", "n"])
+
+    pairs = np.zeros(total * total)
+    for r in rare.where("not held_out").select("sides", "class").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        pairs[r["code"]] = r["n"]
+    return pairs.reshape(total, total)
 
 
 @dataclass
@@ -411,8 +495,8 @@ class Model:
     types: int
 
 
-def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP, word_rows: int = WORD_ROWS) -> tuple[Model, DataFrame]:
-    """The model of the rows of marked() that are not held out, and all of them coded."""
+def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP, word_rows: int = WORD_ROWS) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the rows of marked() that are not held out, all of them coded, and by_text() of all of them."""
     learn = rows.where("not held_out")
     counts, n_train = word_counts(learn), learn.count()
     n_words, n_types, n_once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
@@ -424,19 +508,23 @@ def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
     learn = texts.where("not held_out")
     of, total = cluster(learn, n, head, classes, word_rows=word_rows), RARE + 1 + classes
     joint = bigrams(learn, of, total)
-    rare, pairs = place(occurrences(learn, of, total), joint)
+    rare, trained, pairs = place(occurrences(learn, of, total), joint)
+    others = occurrences(texts.where("held_out"), of, total).join(rare, "word", "left")
+    others = others.select("row", "at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(RARE)).alias("class"))
+    beside = by_text(trained, others, total)
+    pairs = pairs + rare_pairs(beside, total)
     joint[RARE] = joint[:, RARE] = 0
     held, kinds = np.bincount(of, n, total), np.bincount(of, minlength=total).astype(float)
     held[RARE], kinds[RARE] = n_once, 1
     for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
         held[r["class"]] += r["n"]
         kinds[r["class"]] += r["kinds"]
-    return Model(index, of, n, rare, joint + pairs, held, kinds, n_words + n_train, n_types + (n_train > 0)), texts
+    return Model(index, of, n, rare, joint + pairs, held, kinds, n_words + n_train, n_types + (n_train > 0)), texts, beside
 
 
 def word_classes(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int = LOOKUP, word_rows: int = WORD_ROWS) -> DataFrame:
     """(word, n, class) of every word of the documents that are not held out."""
-    model, _ = train(marked(docs), head, classes, lookup, word_rows)
+    model, _, _ = train(marked(docs), head, classes, lookup, word_rows)
     rows = [(w.decode(), int(model.n[i]), int(model.of[i])) for w, i in model.index.items()]  # bounded by lookup
     return docs.sparkSession.createDataFrame(rows, "word string, n long, class int").union(model.rare)
 
@@ -448,7 +536,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
     often as they stand there. Without any training document all counts are 0 and scores are those of an empty model.
     Texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
-    model, texts = train(marked(docs), head, classes, lookup)
+    model, texts, beside = train(marked(docs), head, classes, lookup)
     joint, held, total = model.joint, model.held, len(model.held)
     prior = (held + ALPHA) / (held.sum() + ALPHA * total)
     step = np.log10((joint + BETA * prior[None, :]) / (joint.sum(axis=1, keepdims=True) + BETA))
@@ -457,50 +545,36 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, lookup: int
     log_n = np.log10(model.n + ALPHA)
     log_n[RARE] = 0.0
     sent = docs.sparkSession.sparkContext.broadcast((model.of, step, spare, log_n))
-    schema = "row long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, part double, word string, left int, right int"
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, step, spare, log_n = sent.value
-
-        def out(n: int, **columns) -> pa.RecordBatch:
-            rows = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)]
-            return pa.RecordBatch.from_arrays(rows, names=names)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, size = line(batch), unpacked(batch.column("ids"))[1]
             k, known, first = of[x], x != RARE, np.cumsum(size) - size
             part = np.where(known[1:] & known[:-1], step[k[:-1], k[1:]], 0.0) + np.where(known[1:], log_n[x[1:]] - spare[k[1:]], 0.0)
-            seen, counted, part = (np.add.reduceat(v, first) for v in ((x[1:] > RARE).astype(np.int64), log_n[x[1:]], part))
-            yield out(batch.num_rows, row=batch.column("row"), pos=np.full(batch.num_rows, -1), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=size, n_known=seen, counted=counted, part=part)
-            at = np.flatnonzero(~known)
-            text = np.repeat(np.arange(batch.num_rows), size)[at - 1]
-            left, right = (np.where(known[i], k[i], -1) for i in (at - 1, at + 1))
-            if len(at):
-                yield out(len(at), row=numbers(batch.column("row"))[text], pos=at - 1 - first[text], word=batch.column("rare").flatten(), left=left, right=right)
+            sums = [np.add.reduceat(v, first) for v in ((x[1:] > RARE).astype(np.int64), log_n[x[1:]], part)]
+            own = [batch.column(c) for c in ("row", "doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(size), *map(pa.array, sums)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "counted", "part"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, step, spare, _ = sent.value
-        for batch in runs(batches, ["row"]):
-            pos, k, n, left, right = (numbers(batch.column(c)) for c in ("pos", "class", "n", "left", "right"))
-            doc, rare, counted = np.flatnonzero(pos < 0), pos >= 0, np.log10(n + ALPHA)
-            left = np.where(left >= 0, left, np.roll(k, 1))  # a rare word after a rare one comes in the row after
-            part = step[left, k] + np.where(right >= 0, step[k, right], 0.0) + np.where(n > 0, counted - spare[k], 0.0)
-            more, counted, part = (np.add.reduceat(np.where(rare, v, 0), doc) for v in ((n > 0).astype(np.int64), counted, part))
-            own = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "held_out", "n_tokens", "n_known", "counted", "part")]
-            sums = [pa.array(numbers(c) + v) for c, v in zip(own[3:], (more, counted, part))]
-            yield pa.RecordBatch.from_arrays([*own[:3], *sums], names=["doc_id", "held_out", "n_tokens", "n_known", "counted", "part"])
-
-    rows = texts.mapInArrow(each, schema)  # cheap to compute twice, and large to store
-    rare = rows.where("word is not null").join(model.rare, "word", "left")
-    zero = F.lit(0)
-    rare = rare.select(*names[:8], "left", "right", F.coalesce("n", zero).alias("n"), F.coalesce("class", F.lit(RARE)).alias("class"))
-    own = rows.where("word is null").select(*names[:8], zero.alias("left"), zero.alias("right"), zero.cast("long").alias("n"), zero.alias("class"))
-    both = own.union(rare).repartition("row").sortWithinPartitions("row", "pos")
-    both = both.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, part double")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (sides, many), k, n = unpacked(batch.column("sides")), unpacked(batch.column("class"))[0], unpacked(batch.column("n"))[0]
+            left, right, counted = sides // total, sides % total, np.log10(n + ALPHA)
+            left = np.where(left == RARE, np.roll(k, 1), left)  # a rare word after a rare one comes next
+            part = step[left, k] + np.where(right == RARE, 0.0, step[k, right]) + np.where(n > 0, counted - spare[k], 0.0)
+            sums = [np.add.reduceat(v, np.cumsum(many) - many) for v in ((n > 0).astype(np.int64), counted, part)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, sums)], names=["row", "rare_known", "rare_counted", "rare_part"])
+
+    own = texts.select("row", "doc_id", "held_out", "ids")
+    own = own.mapInArrow(each, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, part double")
+    rare = beside.select("row", "sides", "class", "n").mapInArrow(finish, "row long, rare_known long, rare_counted double, rare_part double")
+    both = own.join(rare, "row", "left")
+    both = both.select("doc_id", "held_out", "n_tokens", *[(F.col(c) + F.coalesce(r, F.lit(0))).alias(c) for c, r in zip(("n_known", "counted", "part"), rare.columns[1:])])
     both = both.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.lit(1 if model.n[END] else 0)).alias("n_known"),

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -382,6 +383,54 @@ def test_rare_words_keep_their_places_in_scores(spark):
     assert rows[0] == pytest.approx(rows[1]) and rows[1] == pytest.approx(rows[2])
 
 
+def test_words_of_many_texts_at_once(monkeypatch):
+    texts = ["", None, " a  B\tc\n", "\x0b\x0c\r", "Émile ÀB x\u00a0y \u2003z \u0130", "one", "\x1c a\x1fb \x85 c", "d " * 50]
+    own = [brown.words((t or "").encode()) for t in texts]
+    found, many = brown.split(pa.array(texts))
+    assert [w.as_py().encode() for w in found] == sum(own, []) and many.tolist() == [len(w) for w in own]
+    monkeypatch.setattr(brown, "PIECE_BYTES", 8)
+    parts = [p.column("text").to_pylist() for p in brown.pieces(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))]
+    assert sum(parts, []) == texts and len(parts) > 3
+    assert not list(brown.pieces(pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["text"])))
+
+
+def test_language_model_of_small_batches(spark, sf):
+    """Rare words whose occurrences lie in several Arrow batches, texts too, and ones that only held-out texts have, many times."""
+    held = [i for i in range(10**6, 10**6 + 200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    d = d.union(spark.createDataFrame([(i, "unheard " * 40 + "the end") for i in held], d.schema))
+    found = []
+    for rows in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            found.append({r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in brown.score(d, 40, 6, 60).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(held) > 5 and found[0].keys() == found[1].keys()
+    assert all(found[0][i] == pytest.approx(found[1][i]) for i in found[0])
+
+
+def test_rare_words_are_shuffled_by_word_once(spark, sf, docs):
+    """Where nearly all words are rare, their occurrences cross one shuffle by word and one by text, and nothing else does as often."""
+    sc = spark.sparkContext
+    quantiles, none = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        brown.score(spark.read.parquet(f"{sf}/documents.parquet"), head=2, classes=2, lookup=4).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = sum(n for i, n in shuffled().items() if i not in before)
+    tokens = sum(len(brown.words(t.encode())) for t in docs.values())
+    assert rows < 2.7 * tokens, (rows, tokens)
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(3)
     table = np.zeros((12, 12))
