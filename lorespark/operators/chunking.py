@@ -153,7 +153,8 @@ def chunk(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP,
     """Chunk rows of documents (source_id, text), in the columns of the chunk registry and with content and header path.
 
     Chunks of more than ``most`` tokens are split; their pieces carry the index of the header chunk they come from, counted
-    among header chunks. Texts are read once, and only the running offsets of a document shuffle. byte_start and byte_end address the contents laid end to end. Only oversize chunks meet Python.
+    among header chunks. Texts are read once; rows shuffle by source_id for their offsets, and what is not asked for, contents too, stays
+    behind: fingerprints and sizes are taken before. byte_start and byte_end address the contents laid end to end. Only oversize chunks meet Python.
     length replaces the token pattern.
     """
     measure = length or default_length
@@ -176,13 +177,13 @@ def chunk(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP,
     rows = rows.select(
         "source_id", "section", "piece", F.col("part.text").alias("content"), F.when(whole, F.lit("header")).otherwise(F.lit("recursive")).alias("chunk_type"),
         F.when(~whole, F.col("idx")).alias("parent_chunk_index"), F.when(whole, F.col("tokens")).otherwise(count(F.col("part.text"))).alias("token_count"), *HEADERS,
+        chunk_fingerprint(F.col("part.text")).alias("chunk_fingerprint"), F.octet_length("part.text").cast("long").alias("bytes"),
     )
     order = Window.partitionBy("source_id").orderBy("section", "piece")
-    size = F.octet_length("content").cast("long")
-    end = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumns({"chunk_index": F.row_number().over(order) - 1, "byte_end": end})
     return rows.select(
-        "source_id", chunk_fingerprint(F.col("content")).alias("chunk_fingerprint"), "chunk_index", (F.col("byte_end") - size).alias("byte_start"), "byte_end",
+        "source_id", "chunk_fingerprint", "chunk_index", (F.col("byte_end") - F.col("bytes")).alias("byte_start"), "byte_end",
         "token_count", "chunk_type", "parent_chunk_index", F.lit(0).alias("embedded"), "content", *HEADERS,
     )
 

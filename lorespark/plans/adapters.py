@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,13 +13,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
+def files(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
+    """more: further columns, from those of the documents."""
     d = table(spark, sf, "documents")
     name = F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf"))
     rows = d.select(
         "doc_id", name.alias("original_name"), F.col("source").alias("domain"), F.col("lang").alias("subject"),
         F.concat(F.lit("/kb/"), "source", F.lit("/"), "lang", F.lit("/"), name).alias("filepath"),
-        (F.col("doc_id") % 3 != 0).cast("int").alias("converted"), (F.col("doc_id") % 3 == 1).cast("int").alias("embedded"), F.col("n_chars").alias("length"),
+        (F.col("doc_id") % 3 != 0).cast("int").alias("converted"), (F.col("doc_id") % 3 == 1).cast("int").alias("embedded"), F.col("n_chars").alias("length"), *more,
     )
     return rows.withColumn("file_fingerprint", file_fingerprint(F.col("original_name"), F.col("filepath")))
 
@@ -30,16 +31,19 @@ FILES = """files AS (
       CAST(doc_id % 3 <> 0 AS INTEGER) AS converted, CAST(doc_id % 3 = 1 AS INTEGER) AS embedded, n_chars AS length FROM documents))"""
 
 
-def markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Line 0 becomes a title, every seventh a level-three and every third other one a level-two header; each fifth document has
-    front matter."""
-    d = table(spark, sf, "documents")
+def markdown_text() -> Column:
+    """Of a document: line 0 becomes a title, every seventh a level-three and every third other one a level-two header; each fifth
+    document has front matter."""
     lines = F.transform(
         F.split("text", "\n"),
         lambda line, i: F.concat(F.when(i == 0, F.lit("# ")).when(i % 7 == 0, F.lit("### ")).when(i % 3 == 0, F.lit("## ")).otherwise(F.lit("")), line),
     )
     front = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("---\ntitle: doc "), "doc_id", F.lit("\n---\n\n"))).otherwise(F.lit(""))
-    return d.select(F.col("doc_id").cast("string").alias("source_id"), F.concat(front, F.array_join(lines, "\n")).alias("text"))
+    return F.concat(front, F.array_join(lines, "\n"))
+
+
+def markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), markdown_text().alias("text"))
 
 
 MARKDOWN_LINES = """raw_lines AS (

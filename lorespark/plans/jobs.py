@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as X
 from lorespark.operators import analysis, chunking, notes, registry, retrieval, search, stats
 from lorespark.sources import tables
-from lorespark.sources.tables import stored
+from lorespark.sources.tables import packed, stored
 
 QUESTION = "Answer the question from the context only.\nQuestion: {question}\nContext:\n{context}\nAnswer:"
 REVIEW = "Review the note against its sources and its earlier form.\nEarlier:\n{archived_data}\nNote:\n{current_note}\nSources:\n{context}\n"
@@ -55,26 +55,48 @@ class Ingested:
     vectors: DataFrame
 
 
+CHUNK = ["source_id", "chunk_fingerprint", "chunk_index"]
+
+
+def chunks_to_embed(files: DataFrame, chunks: DataFrame, new: DataFrame) -> DataFrame:
+    """analysis.unembedded() of the chunk registry as it is once new is upserted, with original_name, domain and subject.
+
+    Chunks of a document stay together and are shuffled by source_id alone, so their repeated headers hardly count; chunks
+    of which only the key matters go without contents. Keys of new are unique and not null.
+    """
+    places = files.where("converted = 1 and embedded = 0").select(F.col("file_fingerprint").alias("source_id"), "original_name", "domain", "subject")
+    # both sides lie by source_id, so joins by the whole key move nothing
+    held = chunks.where("embedded = 0").join(places, "source_id").join(new.select(*CHUNK).repartition("source_id"), CHUNK, "left_anti")
+    done = chunks.where("embedded <> 0 or embedded is null").select(*CHUNK).repartition("source_id")
+    made = new.select(*chunks.columns).join(places, "source_id").join(done, CHUNK, "left_anti")
+    return held.select(*made.columns).unionByName(made)
+
+
 def ingest_corpus(sources: DataFrame, files: DataFrame, chunks: DataFrame, embed_fn, as_of: Column, most: int = chunking.MAX_TOKENS) -> Ingested:
     """Registers sources (original_name, filepath, domain, subject, text), chunks those not converted, embeds what is not embedded.
 
     files and chunks are the registries before; the result has them after, and the new vectors. Equal chunks are embedded once.
     Chunks and vectors are stored as they are made, and marks follow from what was stored. Running it again changes nothing but
     stamps; after a run that stopped half way it embeds what is registered and has no vectors.
+
+    Each step is stored before the next, so that no more is on disk at once than the tables so far and one step's shuffles.
+    Embeddings are stored beside their chunks, and joined when vectors is read.
     """
     named = sources.withColumn("file_fingerprint", X.file_fingerprint(F.col("original_name"), F.col("filepath")))
     fresh = named.select("file_fingerprint", "original_name", F.lit(None).cast("string").alias("sanitized_name"), "domain", "subject", F.lit(0).alias("converted"), F.lit(0).alias("embedded"), "filepath", as_of.alias("last_updated"))
-    files = registry.register(files, fresh, ["file_fingerprint"], "last_updated")
+    files = packed(registry.register(files, fresh, ["file_fingerprint"], "last_updated"))
     todo = named.join(files.where("converted = 0").select("file_fingerprint"), "file_fingerprint", "left_semi")
-    new = stored(chunking.chunk(todo.select(F.col("file_fingerprint").alias("source_id"), "text"), most))
-    chunks = registry.upsert(chunks, new, ["source_id", "chunk_fingerprint", "chunk_index"], keep=["embedded"])
+    new = packed(chunking.chunk(todo.select(F.col("file_fingerprint").alias("source_id"), "text"), most))
     titles = todo.select("file_fingerprint", X.sanitize_title(F.col("original_name")).alias("sanitized_name"))
-    files = registry.mark(files, titles, ["file_fingerprint"], {"converted": F.lit(1)}, fill=["sanitized_name"])
-    open_ = analysis.unembedded(files, chunks)
+    files = packed(registry.mark(files, titles, ["file_fingerprint"], {"converted": F.lit(1)}, fill=["sanitized_name"]))
+    open_ = chunks_to_embed(files, chunks, new)
+    row = registry.free("_row", open_)
+    open_ = packed(open_.withColumn(row, F.monotonically_increasing_id()))
     once = retrieval.embed(open_.groupBy("chunk_fingerprint").agg(F.first("content").alias("content")), "content", embed_fn).drop("content")
-    places = files.select(F.col("file_fingerprint").alias("source_id"), "original_name", "domain", "subject")
-    vectors = stored(open_.join(places, "source_id").join(once, "chunk_fingerprint"))
-    done = vectors.select("source_id", "chunk_fingerprint")
+    embedded = packed(open_.select("source_id", "chunk_fingerprint", row).join(once, "chunk_fingerprint"))
+    vectors = open_.join(embedded.select(row, "embedding"), row).drop(row)
+    chunks = registry.upsert(chunks, new, CHUNK, keep=["embedded"])
+    done = embedded.select("source_id", "chunk_fingerprint")
     chunks = registry.mark(chunks, done, ["source_id", "chunk_fingerprint"], {"embedded": F.lit(1)})
     files = registry.mark(files, done.select(F.col("source_id").alias("file_fingerprint")), ["file_fingerprint"], {"embedded": F.lit(1)})
     return Ingested(files, chunks, vectors)

@@ -572,14 +572,16 @@ def hashed_embeddings(spark, sf):
 
 @query(f"""WITH {MD}, {A.FILES} SELECT file_fingerprint AS source_id, chunk_index, domain, subject, 64 AS dimensions FROM chunks c JOIN files f ON c.source_id = CAST(doc_id AS VARCHAR) WHERE doc_id % 3 <> 1""")
 def ingested_chunks(spark, sf):
-    f = A.files(spark, sf)
-    sources = f.join(A.markdown(spark, sf).select(F.col("source_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    sources = A.files(spark, sf, A.markdown_text().alias("text")).where("doc_id is not null")
     stamp = F.lit("2026-01-01").cast("timestamp")
     # a third of the files is new, a third was converted only, and a third is done
-    known = f.where("converted = 1").select("file_fingerprint", "original_name", F.col("original_name").alias("sanitized_name"), "domain", "subject", "converted", "embedded", "filepath", stamp.alias("last_updated"))
-    before = chunking.chunk(sources.where("converted = 1").select(F.col("file_fingerprint").alias("source_id"), "text"), most=10**9)
-    before = before.drop("embedded").join(known.select(F.col("file_fingerprint").alias("source_id"), "embedded"), "source_id").select(*before.columns)
-    out = jobs.ingest_corpus(sources.select("original_name", "filepath", "domain", "subject", "text"), known, before, retrieval.hashing_embedder(), stamp, most=10**9)
+    known = sources.where("converted = 1").select("file_fingerprint", "original_name", F.col("original_name").alias("sanitized_name"), "domain", "subject", "converted", "embedded", "filepath", stamp.alias("last_updated"))
+
+    def held(embedded):
+        rows = sources.where(f"converted = 1 and embedded = {embedded}").select(F.col("file_fingerprint").alias("source_id"), "text")
+        return chunking.chunk(rows, most=10**9).withColumn("embedded", F.lit(embedded))
+
+    out = jobs.ingest_corpus(sources.select("original_name", "filepath", "domain", "subject", "text"), known, held(0).unionByName(held(1)), retrieval.hashing_embedder(), stamp, most=10**9)
     return out.vectors.select("source_id", "chunk_index", "domain", "subject", F.size("embedding").alias("dimensions"))
 
 
